@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tesserae.plans import adjudication, curation, evaluation, features  # noqa: F401  each registers its queries
+from tesserae.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
