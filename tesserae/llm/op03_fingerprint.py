@@ -9,7 +9,7 @@ smallest size is the fingerprint, written as hex.
 
 Two versions are compared by subtracting tables cell by cell: shared digests
 vanish, and peeling the cells that hold one digest recovers the differing digests
-of both sides. Where peeling gets stuck, tables four times as large, with other
+of both sides. Where peeling gets stuck, tables eight times as large, with other
 cells, are subtracted, until twice as many cells as digests are there; the few
 pairs that still fail are compared by their digests. All steps sort arrays within
 a row, so a row costs n log n in its paragraphs, and no step shuffles.
@@ -40,8 +40,10 @@ CUT = r"\n|(?<=[.!?])(?<=[^.!?\n]{60}.)[ \t]+"
 SUBTABLES = 3
 #: Cells of a subtable of the fingerprint; each retry has GROWTH times as many.
 BASE_CELLS = 8
-GROWTH = 4
-ROUNDS = 40
+GROWTH = 8
+ROUNDS = 24
+#: A difference that fills more of its cells than this is not peeled but retried.
+FULL = 0.85
 ROWS_A_BUCKET, MOST_BUCKETS = 2000, 100_000
 
 
@@ -94,9 +96,13 @@ def _combine(entries: Column) -> Column:
     """Add up the entries of each cell; empty cells go."""
 
     def cell(e: Column, s: Column, at: Column, k: Column) -> Column:
-        run = F.slice(e, at + 1, F.coalesce(F.get(s, k + 1), F.size(e)) - at)
-        zero = F.struct(F.get(e, at)["cell"].alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"))
-        return F.aggregate(run, zero, lambda a, x: F.struct(a["cell"].alias("cell"), (a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k")))
+        stop = F.coalesce(F.get(s, k + 1), F.size(e))
+        add = lambda a, x: F.struct(a["cell"].alias("cell"), (a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"))
+        # most cells have one entry, or two
+        return (
+            F.when(stop == at + 1, F.get(e, at)).when(stop == at + 2, add(F.get(e, at), F.get(e, at + 1)))
+            .otherwise(F.aggregate(F.slice(e, at + 2, stop - at - 1), F.get(e, at), add))
+        )
 
     added = let(F.sort_array(entries), lambda e: let(_run_starts(e, lambda x: x["cell"]), lambda s: F.transform(s, lambda at, k: cell(e, s, at, k))))
     return F.filter(added, lambda c: (c["n"] != 0) | (c["k"] != 0))
@@ -135,7 +141,7 @@ def peel(difference: Column, level: Column) -> Column:
                 F.struct(_combine(F.concat(acc["rest"], out)).alias("rest"), F.concat(acc["plus"], side(1)).alias("plus"), F.concat(acc["minus"], side(-1)).alias("minus"))
             )
 
-        return F.when(F.size(acc["rest"]) == 0, acc).otherwise(let(pure, take))
+        return F.when((F.size(acc["rest"]) == 0) | (F.size(acc["rest"]) > F.lit(FULL * SUBTABLES) * _cells(level)), acc).otherwise(let(pure, take))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda acc, _: turn(acc))
 

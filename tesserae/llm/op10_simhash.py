@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import BLANK, LOWER, materialise, passes, spans, table, text_buffer
@@ -85,8 +85,8 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def simhash(texts: pa.Array, words: int) -> np.ndarray:
-    """The 64-bit fingerprint of each text."""
+def simhash(texts: pa.Array, words: int, seed: int = 42, distinct: bool = False) -> np.ndarray:
+    """The 64-bit fingerprint of each text; `distinct` counts each shingle of a text once."""
     data, at = text_buffer(texts)
     data = LOWER[data]
     start, end = spans(~BLANK[data], at)
@@ -106,7 +106,13 @@ def simhash(texts: pa.Array, words: int) -> np.ndarray:
     first = np.arange(int(shingles.sum())) + np.repeat(before[:-1] - (np.cumsum(shingles) - shingles), shingles)
     last = first + np.repeat(np.minimum(count, words), shingles) - 1
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    values = np.array([digest(raw[a:b], 42) for a, b in zip(begin[first].tolist(), stop[last].tolist(), strict=True)], np.uint64)
+    values = np.array([digest(raw[a:b], seed) for a, b in zip(begin[first].tolist(), stop[last].tolist(), strict=True)], np.uint64)
+    if distinct:
+        owner = np.repeat(np.arange(len(count)), shingles)
+        order = np.lexsort((values, owner))
+        values, owner = values[order], owner[order]
+        new = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))
+        values, shingles = values[new], np.bincount(owner[new], minlength=len(count))
     full = np.flatnonzero(shingles)
     edge = np.append(0, np.cumsum(shingles[full]))
     votes = np.zeros((len(full), 64), np.int64)
@@ -121,14 +127,17 @@ def simhash(texts: pa.Array, words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+def fingerprints(documents: DataFrame, words: int = 4, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of each row; with several seeds fp0, fp1, ..."""
+    names = ["fp"] if len(seeds) == 1 else [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, limit=2_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(simhash(batch.column("text"), words).view(np.int64))], names=["doc_id", "fp"])
+            prints = [pa.array(simhash(batch.column("text"), words, seed, distinct).view(np.int64)) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *prints], names=["doc_id", *names])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def stars(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,5 +297,67 @@ def near_duplicates(documents: DataFrame, words: int = 4) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def document_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) between ids of written (doc_id, fp) rows: stars over equal fingerprints, and over linked ones."""
+    nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    links = link_stars(nodes)
+    a, b = (nodes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab")
+    between = links.join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    copies = prints.join(nodes.hint("shuffle_merge"), "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    return between.unionByName(copies)
+
+
+#: Fingerprints of the stage that drops near copies: distinct word pairs, under three seeds.
+DROP_WORDS, DROP_SEEDS = 2, (42, 43, 44)
+
+
+def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, one of each group of near copies (the smallest doc_id); their columns stay as they are.
+
+    Fingerprints over word pairs under several seeds bring together what may be similar: at a similarity of 0.8 a
+    fingerprint over longer shingles already differs in more bits than the links allow. A document goes only if its
+    set of `words`-word shingles and that of the one which stays have a Jaccard similarity of at least `similarity`;
+    those that are not similar to it form the next round. A null doc_id always stays; rows of one doc_id are one
+    document.
+    """
+    prints = materialise(fingerprints(documents, DROP_WORDS, DROP_SEEDS, distinct=True))
+    links = None
+    for i in range(len(DROP_SEEDS)):
+        found = document_links(prints.select("doc_id", F.col(f"fp{i}").alias("fp")))
+        links = found if links is None else links.unionByName(found)
+    groups = materialise(components(materialise(links.distinct())).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")))
+    groups = groups.unionByName(groups.select(F.col("grp").alias("doc_id"), "grp").distinct())
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    members = texts.join(groups.hint("shuffle_merge"), "doc_id")
+    rest = materialise(members.select("doc_id", "grp", _shingle_set(F.col("text"), words).alias("s")))
+    gone = []
+    while True:
+        first = rest.groupBy("grp").agg(F.min("doc_id").alias("kept"), F.count_distinct("doc_id").alias("n")).where("n > 1").select("grp", "kept")
+        kept = rest.withColumnRenamed("s", "k").join(first.hint("shuffle_merge"), "grp").where("doc_id = kept").groupBy("grp", "kept").agg(F.min("k").alias("k"))
+        shared = F.size(F.array_intersect("s", "k"))
+        alike = (shared >= F.lit(similarity) * (F.size("s") + F.size("k") - shared)) | ((F.size("s") == 0) & (F.size("k") == 0))
+        judged = rest.join(kept.hint("shuffle_merge"), "grp").where("doc_id <> kept").select("doc_id", "grp", "s", alike.alias("alike"))
+        judged = materialise(judged)
+        gone.append(judged.where("alike").select("doc_id"))
+        rest = judged.where("not alike").select("doc_id", "grp", "s")
+        if rest.isEmpty():
+            break
+    losers = gone[0]
+    for g in gone[1:]:
+        losers = losers.unionByName(g)
+    losers = materialise(losers.distinct().withColumnRenamed("doc_id", "_gone"))
+    return documents.join(losers, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def _shingle_set(text: Column, words: int) -> Column:
+    """Distinct hashes of the shingles of lower-cased words; of the whole text if it has fewer words, empty if none."""
+    w = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    bind = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    hashed = lambda h: F.when(F.size(h) == 0, F.expr("cast(array() as array<bigint>)")).when(F.size(h) < words, F.array(F.xxhash64(h))).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(words)))))
+    )
+    return bind(bind(w, lambda x: F.transform(x, lambda y: F.xxhash64(y))), hashed)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import op01_chat, op02_decontaminate, op03_fingerprint, op04_chunks, op05_language, op07_mixing, op08_pii, op09_toxicity, op10_simhash
+from tesserae.llm import op01_chat, op02_decontaminate, op03_fingerprint, op04_chunks, op05_language, op06_lm, op07_mixing, op08_pii, op09_toxicity, op10_simhash
 
 QUERIES = {
     "op1_chat_formatting": op01_chat.op1_chat_formatting,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_document_fingerprints": op03_fingerprint.op3_document_fingerprints,
     "op4_substring_dedup": op04_chunks.op4_substring_dedup,
     "op5_language_id": op05_language.op5_language_id,
+    "op6_lm_scoring": op06_lm.op6_lm_scoring,
     "op7_source_mixing": op07_mixing.op7_source_mixing,
     "op8_pii_surrogates": op08_pii.op8_pii_surrogates,
     "op9_toxicity": op09_toxicity.op9_toxicity,
