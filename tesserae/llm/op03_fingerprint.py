@@ -172,8 +172,13 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
 
 
 def likeness(a: Column, difference: Column) -> Column:
-    shared, union = F.size(a) - F.size(difference["plus"]), F.size(a) + F.size(difference["minus"])
-    return F.when(union == 0, F.lit(1.0)).otherwise(shared.cast("double") / union)
+    """Shared over all distinct digests; `difference` is worked out once."""
+
+    def share(only: Column) -> Column:
+        shared, union = F.size(a) - F.size(only["plus"]), F.size(a) + F.size(only["minus"])
+        return F.when(union == 0, F.lit(1.0)).otherwise(shared.cast("double") / union)
+
+    return let(difference, share)
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
