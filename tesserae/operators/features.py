@@ -50,9 +50,10 @@ def neighbours(queries: DataFrame, gallery: DataFrame, k: int, scope: str = "any
     """
     blocks = lambda df: max(1, -(-df.count() // block))
     nq, ng = blocks(queries), blocks(gallery)
-    vec = lambda df: df.select("id", "label", S.doubles(F.col("v")).alias("v"))
-    q = vec(queries).withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(nq)), "gb": F.explode(F.sequence(F.lit(0), F.lit(ng - 1)).cast("array<long>"))})
-    g = vec(gallery).withColumns({"gb": F.pmod(F.xxhash64("id"), F.lit(ng)), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>"))})
+    # the gallery gets names of its own: it may be the same frame as the queries
+    vec = lambda df, side: df.select(F.col("id").alias(f"{side}id"), F.col("label").alias(f"{side}label"), S.doubles(F.col("v")).alias("v"))
+    q = vec(queries, "q").withColumns({"qb": F.pmod(F.xxhash64("qid"), F.lit(nq)), "gb": F.explode(F.sequence(F.lit(0), F.lit(ng - 1)).cast("array<long>"))})
+    g = vec(gallery, "g").withColumns({"gb": F.pmod(F.xxhash64("gid"), F.lit(ng)), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>"))})
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = ["q", "g", "cos", "q_label", "g_label"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -60,7 +61,7 @@ def neighbours(queries: DataFrame, gallery: DataFrame, k: int, scope: str = "any
             return pa.table([pa.array([], t) for t in kinds], names=names)
         matrix = lambda t: np.stack(t["v"].to_numpy(zero_copy_only=False)).astype(float)
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        qi, gi, ql, gl = (t[c].to_numpy() for t, c in ((left, "id"), (right, "id"), (left, "label"), (right, "label")))
+        qi, gi, ql, gl = (t[c].to_numpy() for t, c in ((left, "qid"), (right, "gid"), (left, "qlabel"), (right, "glabel")))
         cos = unit(matrix(left)) @ unit(matrix(right)).T
         bad = qi[:, None] == gi[None, :]
         if scope != "any":

@@ -132,6 +132,11 @@ def image_manifest_profile(spark, d):
 
 
 # streams
+def arriving_files(spark, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files; the pattern matches a single file and a folder alike."""
+    return P.read(spark, f"{d}/{name}.parque[t]", table(spark, d, name).schema)
+
+
 def _scratch(spark) -> str:
     C.materialise(spark.range(0))
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -141,8 +146,7 @@ def _scratch(spark) -> str:
 @query("stream_dedup", "SELECT count(DISTINCT sha256(text)) AS n_kept FROM documents")
 def stream_dedup(spark, d):
     """Documents as a stream whose event time is its id in seconds; the delay covers the table."""
-    path = f"{d}/documents.parquet"
-    stream = P.read(spark, path, table(spark, d, "documents").schema)
+    stream = arriving_files(spark, d, "documents")
     rows = stream.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.timestamp_seconds("doc_id").alias("at"))
     out = _scratch(spark)
     P.run_available(P.dedup(rows, "sha256", "at", "3650 days"), f"{out}/rows", f"{out}/checkpoint")
@@ -151,7 +155,7 @@ def stream_dedup(spark, d):
 
 @query("stream_leak_gate", f"WITH {SPLIT} SELECT CASE WHEN t.class = r.class THEN 'exact' ELSE 'cross_class_exact' END AS kind, t.class AS cls, t.path AS test_path, r.path AS train_path, t.sha256 FROM samples t JOIN split r ON r.split = 'train' AND r.sha256 = t.sha256 WHERE t.sample_id % 5 = 0")
 def stream_leak_gate(spark, d):
-    docs = P.read(spark, f"{d}/documents.parquet", table(spark, d, "documents").schema)
+    docs = arriving_files(spark, d, "documents")
     name = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     arriving = docs.where("doc_id % 5 = 0").select(F.col("source").alias("class"), F.concat("source", F.lit("/"), name).alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     hits = P.leak_gate(arriving, split_samples(spark, d).where("split = 'train'"))
@@ -163,7 +167,7 @@ def stream_leak_gate(spark, d):
 @query("stream_score", f"WITH {SCORES} SELECT id, truth, pred, round(confidence, 6) AS confidence FROM scored")
 def stream_score(spark, d):
     model = [tuple(r) for r in V.centroids(vectors(spark, d)).orderBy("cls").collect()]  # classes x dimensions
-    stream = P.read(spark, f"{d}/embeddings.parquet", table(spark, d, "embeddings").schema)
+    stream = arriving_files(spark, d, "embeddings")
     rows = stream.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("v"))
     scored = P.score(rows, model)
     out = _scratch(spark)

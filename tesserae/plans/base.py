@@ -60,8 +60,8 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BITS = ", ".join(f"sum(2 * ((x >> {i}) & 1) - 1) AS b{i}" for i in range(60))
 _VALUE = " + ".join(f"CASE WHEN b{i} > 0 THEN {1 << i} ELSE 0 END" for i in range(60))
-HASHED = f"""words AS (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '\\s+'), w -> w <> '') AS w FROM documents),
-shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [text] ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) END) AS s FROM words),
+HASHED = f"""words AS (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [text] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM words),
 codes AS (SELECT doc_id, CAST('0x' || substr(sha256(s), 1, 15) AS BIGINT) AS x FROM shingles),
 votes AS (SELECT doc_id, {_BITS} FROM codes GROUP BY doc_id),
 hashed AS (SELECT d.doc_id AS id, d.lang AS label, CAST({_VALUE} AS BIGINT) AS h FROM documents d LEFT JOIN votes USING (doc_id))"""

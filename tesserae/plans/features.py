@@ -83,7 +83,7 @@ def vector_summary(spark, d):
     return plane(spark, d).select("id", R6(S.mean(v)).alias("mean"), R6(F.array_max(v)).alias("max"), R6(F.array_min(v)).alias("min"), R6(S.deviation(v)).alias("std"), R6(F.array_max(magnitude)).alias("abs_max"), R6(S.entropy(magnitude)).alias("entropy"))
 
 
-@query("minmax_scale", f"WITH {VECTORS} SELECT id, round((v[1] - list_min(v)) / (list_max(v) - list_min(v)), 6) AS first, round(list_sum(list_transform(v, x -> (x - list_min(v)) / (list_max(v) - list_min(v)))), 6) AS total FROM v")
+@query("minmax_scale", f"WITH {VECTORS} SELECT id, round((v[1] - list_min(v)) / (list_max(v) - list_min(v)), 6) AS first, round(list_sum(list_transform(v, lambda x: (x - list_min(v)) / (list_max(v) - list_min(v)))), 6) AS total FROM v")
 def minmax_scale(spark, d):
     scaled = S.minmax_scale(F.col("v"))
     return plane(spark, d).select("id", R6(F.get(scaled, F.lit(0))).alias("first"), R6(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)).alias("total"))
@@ -109,7 +109,7 @@ def to_own_centroid(spark, d) -> DataFrame:
     return rows.join(F.broadcast(C.materialise(V.centroids(rows)).withColumnRenamed("cls", "label")), "label")
 
 
-@query("class_separability", f"WITH {CENTROIDS}, j AS (SELECT id, label, list_cosine_similarity(v, centroid) AS cos, list_distance(list_transform(v, x -> x / sqrt(list_dot_product(v, v))), centroid) AS dist FROM v JOIN model ON cls = label), q AS (SELECT cls, list_cosine_similarity(v, centroid) AS qcos FROM v, model WHERE id = 0) SELECT label AS cls, count(*) AS n, round(avg(dist), 6) AS mean_distance, round(avg(cos), 6) AS mean_cos, round(quantile_cont(cos, 0.5), 6) AS median_cos, round(stddev_pop(cos), 6) AS sd_cos, round(any_value(qcos), 6) AS query_cos, rank() OVER (ORDER BY any_value(qcos) DESC) AS query_rank FROM j JOIN q ON q.cls = label GROUP BY label")
+@query("class_separability", f"WITH {CENTROIDS}, j AS (SELECT id, label, list_cosine_similarity(v, centroid) AS cos, list_distance(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))), centroid) AS dist FROM v JOIN model ON cls = label), q AS (SELECT cls, list_cosine_similarity(v, centroid) AS qcos FROM v, model WHERE id = 0) SELECT label AS cls, count(*) AS n, round(avg(dist), 6) AS mean_distance, round(avg(cos), 6) AS mean_cos, round(quantile_cont(cos, 0.5), 6) AS median_cos, round(stddev_pop(cos), 6) AS sd_cos, round(any_value(qcos), 6) AS query_cos, rank() OVER (ORDER BY any_value(qcos) DESC) AS query_rank FROM j JOIN q ON q.cls = label GROUP BY label")
 def class_separability(spark, d):
     rows = to_own_centroid(spark, d).select("label", S.cosine(F.col("v"), F.col("centroid")).alias("cos"), S.norm(F.zip_with(S.l2_normalise(F.col("v")), "centroid", lambda a, b: a - b)).alias("dist"))
     stats = rows.groupBy(F.col("label").alias("cls")).agg(F.count(F.lit(1)).alias("n"), R6(F.avg("dist")).alias("mean_distance"), R6(F.avg("cos")).alias("mean_cos"), R6(F.percentile("cos", F.lit(0.5))).alias("median_cos"), R6(F.stddev_pop("cos")).alias("sd_cos"))
@@ -366,7 +366,7 @@ def pair_forensics(spark, d):
 # variants
 FACTORS = (0.70, 0.85, 1.00, 1.15, 1.30)
 _SPECS = "specs(family, factor) AS (VALUES " + ", ".join(f"('{f}', {x:.2f})" for f in ("brightness", "contrast", "gamma") for x in FACTORS) + ")"
-_CHANGED = "CASE family WHEN 'brightness' THEN list_transform(v, x -> greatest(-1.0, least(1.0, x * factor))) WHEN 'contrast' THEN list_transform(v, x -> list_avg(v) + factor * (x - list_avg(v))) ELSE list_transform(v, x -> sign(x) * pow(abs(x), factor)) END"
+_CHANGED = "CASE family WHEN 'brightness' THEN list_transform(v, lambda x: greatest(-1.0, least(1.0, x * factor))) WHEN 'contrast' THEN list_transform(v, lambda x: list_avg(v) + factor * (x - list_avg(v))) ELSE list_transform(v, lambda x: sign(x) * pow(abs(x), factor)) END"
 _VARIANTS = f"""{CENTROIDS}, {_SPECS}, va AS (SELECT id, family, CAST(factor AS DOUBLE) AS factor, v, {_CHANGED} AS w FROM v, specs WHERE id % 10 = 0),
 vc AS (SELECT id, family, factor, list_cosine_similarity(v, w) AS to_control, cls, list_cosine_similarity(w, centroid) AS cos FROM va, model),
 vo AS (SELECT *, row_number() OVER (PARTITION BY id, family, factor ORDER BY cos DESC, cls) AS rk FROM vc),
@@ -406,9 +406,9 @@ def compared(spark, d) -> DataFrame:
     return out.join(control, ["id", "family"]).withColumns({"delta": F.col("top") - F.col("control_top"), "flipped": F.col("pred") != F.col("control_pred")})
 
 
-@query("variant_vs_control", f"WITH {_VARIANTS} SELECT id, family, factor, pred, round(to_control, 6) AS to_control, round(delta, 6) AS delta, flipped FROM vd")
+@query("variant_vs_control", f"WITH {_VARIANTS} SELECT id, family, factor, pred, round(to_control, 6) AS to_control, CASE WHEN abs(delta) < 0.0000005 THEN 0.0 ELSE round(delta, 6) END AS delta, flipped FROM vd")
 def variant_vs_control(spark, d):
-    return compared(spark, d).select("id", "family", "factor", "pred", R6("to_control").alias("to_control"), R6("delta").alias("delta"), "flipped")
+    return compared(spark, d).select("id", "family", "factor", "pred", R6("to_control").alias("to_control"), F.when(F.abs("delta") < 0.0000005, 0.0).otherwise(R6("delta")).alias("delta"), "flipped")
 
 
 @query("family_summary", f"WITH {_VARIANTS} SELECT family, count(*) AS n, round(avg(delta), 6) AS mean_delta, round(max(1 - to_control), 6) AS max_distance, count_if(delta > 0.000001) AS moved_toward, bool_or(flipped) AS any_flip FROM vd GROUP BY family")
@@ -494,7 +494,7 @@ def augmentation_plan(spark, d):
     return plan(spark, d).select("label", "real", "existing", "target", "needed")
 
 
-_DRAWS = _PLAN + """, need AS (SELECT label, real, unnest(range(1, needed + 1)) AS k FROM pl), rr AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS rn FROM v WHERE id % 10 <> 0),
+_DRAWS = _PLAN + """, need AS (SELECT label, real, unnest(range(1, CAST(needed + 1 AS BIGINT))) AS k FROM pl), rr AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS rn FROM v WHERE id % 10 <> 0),
 dr AS (SELECT n.label, n.k, r.id FROM need n JOIN rr r ON r.label = n.label AND r.rn = CAST('0x' || substr(sha256('42|' || n.label || '|' || n.k), 1, 12) AS BIGINT) % n.real)"""
 
 
