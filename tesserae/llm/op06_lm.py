@@ -197,10 +197,10 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Frequent:
     """The most frequent words: sorted hashes, the rank of each, counts by rank; totals; how hot contexts are split."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, documents: int, shards: int, shard_tokens: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, documents: int, shards: int, word_shards: int, shard_tokens: int):
         order = np.argsort(hashes)
         self.hashes, self.ranks, self.counts = hashes[order], order.astype(np.uint64), counts
-        self.n, self.v, self.documents, self.shards = n, v, documents, shards
+        self.n, self.v, self.documents, self.shards, self.word_shards = n, v, documents, shards, word_shards
         self.splits = np.maximum(1, -(-2 * self.totals() // shard_tokens))
         directory = np.zeros(1 << 22, bool)
         directory[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
@@ -256,7 +256,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], frequent: Frequent, rare: bool, b
         train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
         few = w >= LOWEST_HASH
         use = np.flatnonzero(few if rare else ~few)
-        shard = (hashes[use] % np.uint64(frequent.shards)).astype(np.int64) if rare else frequent.shard(v[use], w[use])
+        shard = (hashes[use] % np.uint64(frequent.word_shards)).astype(np.int64) if rare else frequent.shard(v[use], w[use])
         order = np.lexsort((v[use], shard))
         use, shard = use[order], shard[order]
         names, payloads, number = [], [], batch_name(batch)
@@ -278,24 +278,27 @@ def batch_name(batch: pa.RecordBatch) -> int:
 
 
 def _fetch(rows: pa.Table, known: pa.Table, frequent: Frequent) -> pa.Table:
-    """Blocks of rare words by word, and the counts of these words, to blocks by context with counts."""
+    """Blocks of rare words by word, and the counts of these words, to one block for each shard of contexts, with counts and batches."""
     h, c = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
-    out = []
-    for batch, payload in zip(rows["batch"].to_pylist(), rows["payload"].to_pylist(), strict=True):
-        v, w, who, hashes = unpack(payload, 4)
-        count = np.zeros(len(v), np.int64)
-        if len(h):
-            spot = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
-            count = np.where(h[spot] == hashes, c[spot], 0)
-        shard = frequent.shard(v, w)
-        order = np.lexsort((v, shard))
-        edge = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True):
-            at = order[a:b]
-            out.append((int(shard[at[0]]), batch, pack(v[at], w[at], who[at], count[at])))
     kinds = [pa.int32(), pa.int64(), pa.binary()]
+    if not rows.num_rows:
+        return pa.table([pa.array([], k) for k in kinds], names=["shard", "batch", "payload"])
+    parts = [unpack(p, 4) for p in rows["payload"].to_pylist()]
+    batch = np.repeat(rows["batch"].to_numpy().astype(np.uint64), [len(p[0]) for p in parts])
+    v, w, who, hashes = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    count = np.zeros(len(v), np.int64)
+    if len(h):
+        spot = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+        count = np.where(h[spot] == hashes, c[spot], 0)
+    shard = frequent.shard(v, w)
+    order = np.lexsort((v, batch, shard))
+    edge = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
+    out = []
+    for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True):
+        at = order[a:b]
+        out.append((int(shard[at[0]]), 0, pack(v[at], w[at], who[at], count[at], batch[at])))
     return pa.table([pa.array([r[i] for r in out], kinds[i]) for i in range(3)], names=["shard", "batch", "payload"])
 
 
@@ -314,13 +317,16 @@ def mixture(c2: np.ndarray, total: np.ndarray, p1: np.ndarray) -> np.ndarray:
 
 
 def _score_shard(rows: pa.Table, frequent: Frequent) -> pa.Table:
-    """All blocks of a shard: build its trie, look the tokens up, return sums per batch."""
-    blocks = rows.select(["batch", "payload", "rare"]).to_pylist()
-    parts = [unpack(r["payload"], 4 if r["rare"] else 3) for r in blocks]
-    counts = frequent.counts
-    c1 = [p[3].astype(np.int64) if len(p) == 4 else counts[p[1].astype(np.int64)] for p in parts]
-    block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    v, w, who, c1 = (np.concatenate(x) for x in ([p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], c1))
+    """All blocks of a shard: build its trie, look the tokens up, return sums per batch.
+
+    An answer holds texts and their sums; where rare words are among a batch's tokens, also what these add to the base.
+    """
+    parts = [(r["batch"], r["rare"], unpack(r["payload"], 5 if r["rare"] else 3)) for r in rows.select(["batch", "payload", "rare"]).to_pylist()]
+    c1 = np.concatenate([p[3].astype(np.int64) if rare else frequent.counts[p[1].astype(np.int64)] for _, rare, p in parts])
+    names = np.concatenate([p[4] if rare else np.full(len(p[0]), batch, np.uint64) for batch, rare, p in parts])
+    few = np.repeat([rare for _, rare, _ in parts], [len(p[0]) for _, _, p in parts])
+    v, w, who = (np.concatenate([p[i] for _, _, p in parts]) for i in range(3))
+    del parts
     train = (who & np.uint64(1)).astype(bool)
     p1 = (c1 + 1.0) / (frequent.n + frequent.v + 1.0)
     order = np.lexsort((w, v))
@@ -328,6 +334,7 @@ def _score_shard(rows: pa.Table, frequent: Frequent) -> pa.Table:
     pair = np.empty(len(v), np.int64)
     pair[order] = np.cumsum(new) - 1
     head = order[new]  # one token of each distinct pair
+    del order, new
     c2 = np.bincount(pair, train, len(head)).astype(np.int64)
     context = np.cumsum(np.append(True, v[head[1:]] != v[head[:-1]])) - 1
     local = np.bincount(context, c2)[context].astype(np.int64)  # all continuations of a rare context are here
@@ -341,34 +348,56 @@ def _score_shard(rows: pa.Table, frequent: Frequent) -> pa.Table:
         del trie
     lam = np.where(total > 0, weight[np.log2(np.maximum(total, 1)).astype(np.int64)], 0.0)
     logp = np.log10(lam * ml + (1 - lam) * p1[head])[pair]
-    base = np.log10(p1)
-    slot, owner = np.unique(block.astype(np.uint64) << np.uint64(40) | who >> np.uint64(1), return_inverse=True)
-    sums = [np.bincount(owner, x) for x in (logp, base, np.ones(len(v)), c1 > 0)]
-    where, text = (slot >> np.uint64(40)).astype(np.int64), slot & np.uint64((1 << 40) - 1)
+    del pair, v, w
+    batches, block = np.unique(names, return_inverse=True)
     out = []
-    edge = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-    for a, b in zip(edge.tolist(), np.append(edge[1:], len(where)).tolist(), strict=True):
-        floats = [s[a:b].view(np.uint64) for s in sums[:2]]
-        out.append((blocks[where[a]]["batch"], pack(text[a:b], *floats, sums[2][a:b], sums[3][a:b])))
-    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["batch", "payload"])
+    for rare in (False, True):
+        use = np.flatnonzero(few == rare)
+        slot, owner = np.unique(block[use].astype(np.uint64) << np.uint64(40) | who[use] >> np.uint64(1), return_inverse=True)
+        sums = [np.bincount(owner, logp[use]).astype(np.float32).view(np.uint32)]
+        if rare:
+            sums += [np.bincount(owner, np.log10(p1[use])).astype(np.float32).view(np.uint32), np.bincount(owner, c1[use] > 0)]
+        where, text = (slot >> np.uint64(40)).astype(np.int64), slot & np.uint64((1 << 40) - 1)
+        edge = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.empty(0, np.int64)
+        for a, b in zip(edge.tolist(), np.append(edge[1:], len(where)).tolist(), strict=True):
+            out.append((int(batches[where[a]]), "rare" if rare else "frequent", pack(text[a:b], *(x[a:b] for x in sums))))
+    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary())], names=["batch", "kind", "payload"])
+
+
+ANSWER = "batch long, kind string, payload binary"
+
+
+def _lists(batches: Iterator[pa.RecordBatch], frequent: Frequent, batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The documents of each batch, numbered as in `_blocks`, with what their frequent words add to the base."""
+    for batch in passes(batches, limit=batch_bytes):
+        ids, train = batch.column("doc_id"), ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        hashes, owner = tokens(batch.column("text"))
+        w = frequent.ids(hashes)
+        use = np.flatnonzero(w < LOWEST_HASH)
+        count, n = frequent.counts[w[use].astype(np.int64)], batch.num_rows
+        base = np.bincount(owner[use], np.log10((count + 1.0) / (frequent.n + frequent.v + 1.0)), n)
+        payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False), train, np.bincount(owner, minlength=n), np.bincount(owner[use], count > 0, n), base.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([batch_name(batch)], pa.int64()), pa.array(["list"]), pa.array([payload], pa.binary())], names=["batch", "kind", "payload"])
 
 
 def _gather(rows: pa.Table) -> pa.Table:
     """The sums of a batch added up per document. Equal batches have one name: their sums are shared out again."""
-    table_ = rows.to_pylist()
-    listed = [r for r in table_ if r["listed"]]
-    ids, null, train = unpack(listed[0]["payload"], 3)
-    sums = np.zeros((4, len(ids)))
-    for r in sorted((r for r in table_ if not r["listed"]), key=lambda r: r["payload"]):
-        text, logp, base, n, known = unpack(r["payload"], 5)
-        at = text.astype(np.int64)
-        for k, x in enumerate((logp.view(np.float64), base.view(np.float64), n.astype(float), known.astype(float))):
-            np.add.at(sums[k], at, x)
+    answers = rows.to_pylist()
+    listed = [r for r in answers if r["kind"] == "list"]
+    ids, null, train, n, known, base = unpack(listed[0]["payload"], 6)
     many = len(listed)
-    sums = np.tile(sums / many, many)
-    ids, null, train = (np.tile(x, many) for x in (ids, null, train))
-    doc = pa.array(ids.view(np.int64), mask=null.astype(bool))
-    return pa.table([doc, pa.array(train == 0), pa.array(sums[2].astype(np.int64)), pa.array(sums[3].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    score, base, known = np.zeros(len(ids)), base.view(np.float64).copy(), known.astype(float)
+    single = lambda x: x.astype(np.uint32).view(np.float32).astype(float) / many
+    for r in sorted((r for r in answers if r["kind"] != "list"), key=lambda r: (r["kind"], r["payload"])):
+        columns = unpack(r["payload"], 2 if r["kind"] == "frequent" else 4)
+        at = columns[0].astype(np.int64)
+        score[at] += single(columns[1])
+        if r["kind"] == "rare":
+            base[at] += single(columns[2])
+            known[at] += columns[3].astype(float) / many
+    doc = pa.array(np.tile(ids.view(np.int64), many), mask=np.tile(null.astype(bool), many))
+    again = lambda x: pa.array(np.tile(x, many))
+    return pa.table([doc, again(train == 0), again(n.astype(np.int64)), again(np.round(known).astype(np.int64)), again(base), again(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -385,26 +414,19 @@ def score(documents: DataFrame, shard_tokens: int = 1_500_000, batch_bytes: int
     # the end token comes first: it always has a rank
     hashes = np.append(END, best["h"].to_numpy().view(np.uint64)).astype(np.uint64)
     counts = np.append(ends, best["c"].to_numpy()).astype(np.int64)
-    shards = max(1, -(-n * 7 // (6 * shard_tokens)))
-    shared = spark.sparkContext.broadcast(Frequent(hashes, counts, n, v, ends, shards, shard_tokens))
+    scored = n * 7 // 6  # about all tokens, as a seventh is held out
+    shards = max(1, -(-scored // shard_tokens))
+    word_shards = max(1, -(-(n - int(counts.sum())) * 7 // (6 * shard_tokens)))
+    shared = spark.sparkContext.broadcast(Frequent(hashes, counts, n, v, ends, shards, word_shards, shard_tokens))
 
     direct = rows.mapInArrow(lambda b: _blocks(b, shared.value, False, batch_bytes), BLOCK)
     rare = rows.mapInArrow(lambda b: _blocks(b, shared.value, True, batch_bytes), BLOCK)
-    words = known.withColumn("shard", F.expr(f"cast(pmod(cast(h as decimal(20, 0)) + case when h < 0 then 18446744073709551616 else 0 end, {shards}) as int)"))
+    words = known.withColumn("shard", F.expr(f"cast(pmod(cast(h as decimal(20, 0)) + case when h < 0 then 18446744073709551616 else 0 end, {word_shards}) as int)"))
     fetched = rare.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(lambda a, b: _fetch(a, b, shared.value), BLOCK)
     blocks = direct.withColumn("rare", F.lit(False)).unionByName(fetched.withColumn("rare", F.lit(True)))
-    answers = blocks.groupBy("shard").applyInArrow(lambda t: _score_shard(t, shared.value), "batch long, payload binary")
-    lists = rows.mapInArrow(lambda b: _lists(b, batch_bytes), "batch long, payload binary")
-    back = answers.withColumn("listed", F.lit(False)).unionByName(lists.withColumn("listed", F.lit(True)))
-    return back.groupBy("batch").applyInArrow(_gather, SCORED).withColumn("train_tokens", F.lit(n).cast("long"))
-
-
-def _lists(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The documents of each batch, numbered as in `_blocks`."""
-    for batch in passes(batches, limit=batch_bytes):
-        ids, train = batch.column("doc_id"), ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False), train)
-        yield pa.RecordBatch.from_arrays([pa.array([batch_name(batch)], pa.int64()), pa.array([payload], pa.binary())], names=["batch", "payload"])
+    answers = blocks.groupBy("shard").applyInArrow(lambda t: _score_shard(t, shared.value), ANSWER)
+    lists = rows.mapInArrow(lambda b: _lists(b, shared.value, batch_bytes), ANSWER)
+    return lists.unionByName(answers).groupBy("batch").applyInArrow(_gather, SCORED).withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
