@@ -261,7 +261,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], frequent: Frequent, rare: bool, b
         use, shard = use[order], shard[order]
         names, payloads, number = [], [], batch_name(batch)
         edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(use) else np.empty(0, np.int64)
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(use)).tolist(), strict=True):
+        for a, b in zip(edge.tolist(), np.append(edge, len(use))[1:].tolist(), strict=True):
             here = use[a:b]
             names.append(int(shard[a]))
             payloads.append(pack(v[here], w[here], owner[here] * 2 + train[owner[here]], *([hashes[here]] if rare else [])))
@@ -296,7 +296,7 @@ def _fetch(rows: pa.Table, known: pa.Table, frequent: Frequent) -> pa.Table:
     order = np.lexsort((v, batch, shard))
     edge = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
     out = []
-    for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True):
+    for a, b in zip(edge.tolist(), np.append(edge, len(order))[1:].tolist(), strict=True):
         at = order[a:b]
         out.append((int(shard[at[0]]), 0, pack(v[at], w[at], who[at], count[at], batch[at])))
     return pa.table([pa.array([r[i] for r in out], kinds[i]) for i in range(3)], names=["shard", "batch", "payload"])
@@ -359,7 +359,7 @@ def _score_shard(rows: pa.Table, frequent: Frequent) -> pa.Table:
             sums += [np.bincount(owner, np.log10(p1[use])).astype(np.float32).view(np.uint32), np.bincount(owner, c1[use] > 0)]
         where, text = (slot >> np.uint64(40)).astype(np.int64), slot & np.uint64((1 << 40) - 1)
         edge = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.empty(0, np.int64)
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(where)).tolist(), strict=True):
+        for a, b in zip(edge.tolist(), np.append(edge, len(where))[1:].tolist(), strict=True):
             out.append((int(batches[where[a]]), "rare" if rare else "frequent", pack(text[a:b], *(x[a:b] for x in sums))))
     return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary())], names=["batch", "kind", "payload"])
 

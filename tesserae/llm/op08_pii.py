@@ -5,8 +5,8 @@ US social security numbers, IBANs, assigned secrets (token = "...") and persons
 after a title. An entity is reduced to its normal form (case, separators and title
 dropped) and gets a surrogate from a keyed SHA-256 stream:
 
-* numbers keep their separators and lengths; a valid card number or IBAN-like code
-  keeps its shape, and a card that passes the Luhn check gets one that passes too;
+* numbers keep their separators and lengths; a card that passes the Luhn
+  check gets one that passes too;
   IPv4 octets stay octets;
 * letters stay letters of the same case and digits digits in secrets and mail
   names; mail hosts become reserved example hosts;
@@ -115,6 +115,13 @@ def _fill(shape: Column, stream: Column, keep: Column | None = None) -> Column:
     return F.array_join(F.transform(F.filter(F.split(shape, ""), lambda c: c != ""), one), "")
 
 
+def _reshape(shape: Column, filled: Column, separator: str) -> Column:
+    """The characters of `filled` in the places of those of `shape` that are no separators."""
+    kept = lambda i: F.char_length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), separator, ""))
+    one = lambda c, i: F.when(c.rlike(f"^{separator}$"), c).otherwise(F.substring(filled, kept(i), F.lit(1)))
+    return F.array_join(F.transform(F.filter(F.split(shape, ""), lambda c: c != ""), one), "")
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Of a string of digits, the rightmost not doubled."""
     value = lambda c, i: F.when(F.pmod(F.char_length(digits) - i, F.lit(2)) == 1, c.cast("int")).otherwise(F.element_at(F.array(*(F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), c.cast("int") + 1))
@@ -144,14 +151,13 @@ def surrogate(key: str, kind: Column, norm: Column, shape: Column, attempt: Colu
         host = F.concat(F.regexp_extract(_fill(norm, stream), r"@([^.]*)", 1), F.when(tld.isin("com", "org", "net"), F.concat(F.lit(".example."), tld)).otherwise(".example"))
         mail = F.concat(F.regexp_extract(_fill(shape, stream), r"^[^@]*", 0), F.lit("@"), host)
         # a valid card: the last digit makes the sum right
-        card = lambda filled: F.when(
-            F.pmod(_luhn_sum(norm), F.lit(10)) == 0,
-            F.concat(F.regexp_replace(filled, r"\d$", ""), F.pmod(-_luhn_sum(F.concat(F.regexp_replace(F.regexp_replace(filled, r"\d$", ""), r"\D", ""), F.lit("0"))), F.lit(10)).cast("string")),
-        ).otherwise(filled)
-        country = F.char_length(F.regexp_extract(shape, r"^(\+\d{1,3}[ .-])?", 0))
+        body = lambda filled: F.regexp_replace(filled, r"\d$", "")
+        card = lambda filled: F.when(F.pmod(_luhn_sum(norm), F.lit(10)) == 0, F.concat(body(filled), F.pmod(-_luhn_sum(F.concat(body(filled), F.lit("0"))), F.lit(10)).cast("string"))).otherwise(filled)
+        country = F.char_length(F.regexp_replace(F.regexp_extract(shape, r"^(\+\d{1,3}[ .-])?", 0), r"\D", ""))
         return (
-            F.when(kind == "ip", octets).when(kind == "email", mail).when(kind == "card", _let(_fill(shape, stream), card))
-            .when(kind == "iban", _fill(shape, stream, F.lit(2))).when(kind == "phone", _fill(shape, stream, country))
+            F.when(kind == "ip", octets).when(kind == "email", mail).when(kind == "card", _reshape(shape, _let(_fill(norm, stream), card), r"\D"))
+            .when(kind == "ssn", _reshape(shape, _fill(norm, stream), r"\D")).when(kind == "phone", _reshape(shape, _fill(norm, stream, country), r"\D"))
+            .when(kind == "iban", _reshape(shape, _fill(norm, stream, F.lit(2)), " "))
             .when(kind.isin("male", "female", "surname"), _name(kind, norm, stream)).otherwise(_fill(shape, stream))
         )
 
