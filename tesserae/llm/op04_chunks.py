@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import materialise, passes, table, text_buffer
 
 #: About 2^MASK_BITS bytes beyond the minimum on average.
-MASK_BITS, MIN_BYTES, MAX_BYTES = 5, 16, 256
+MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 8, 256
 _GEAR = np.random.default_rng(97).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -38,12 +38,15 @@ def cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h, width = _GEAR[data], 1
+    # 32 silent bytes before each text: its hashes do not see the text before it
+    place = np.arange(n) + 32 * np.repeat(np.arange(1, len(at)), np.diff(at))
+    h, width = np.zeros(n + 32 * (len(at) - 1), np.uint32), 1
+    h[place] = _GEAR[data]
     while width < 32:  # h[i] = sum of gear << age over the last `width` bytes
         older = h[:-width] << np.uint32(width)
-        h = h.copy()
         h[width:] += older
         width *= 2
+    h = h[place]
     whole = np.append((data[1:] & 0xC0) != 0x80, True)  # a character ends here
     wish = np.flatnonzero((h >> np.uint32(32 - MASK_BITS) == 0) & whole) + 1
     ends: list[int] = []
@@ -95,7 +98,7 @@ def chunks(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, start int, end int, n_bytes int, again boolean")
 
 
-def repeated_spans(documents: DataFrame, least_bytes: int = 128) -> DataFrame:
+def repeated_spans(documents: DataFrame, least_bytes: int = 200) -> DataFrame:
     """doc_id, start, end, kept_doc_id: the spans that repeat an earlier text, and a document that keeps it."""
     cut = chunks(documents)
     counted = cut.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("n"))
@@ -109,7 +112,7 @@ def repeated_spans(documents: DataFrame, least_bytes: int = 128) -> DataFrame:
     return joined.where(F.col("n_bytes") >= least_bytes).select("doc_id", "start", "end", "kept_doc_id")
 
 
-def deduplicate(documents: DataFrame, least_bytes: int = 128) -> DataFrame:
+def deduplicate(documents: DataFrame, least_bytes: int = 200) -> DataFrame:
     """The documents with their repeated spans cut out of `text`; all other columns stay as they are."""
     spans = materialise(repeated_spans(documents, least_bytes))
     gone = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
