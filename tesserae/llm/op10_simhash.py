@@ -140,8 +140,8 @@ def fingerprints(documents: DataFrame, words: int = 4, seeds: tuple[int, ...] =
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def stars(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of as many fingerprints each (runs x size): links from the first of each connected part to its others."""
+def stars(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of as many fingerprints each (runs x size): links from the first of each connected part to its others, and their rows."""
     runs, size = groups.shape
     near = np.bitwise_count(groups[:, :, None] ^ groups[:, None, :]) <= MAX_BITS
     label = np.broadcast_to(np.arange(size), (runs, size))
@@ -151,7 +151,7 @@ def stars(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         label = new
     row, col = np.nonzero(label != np.arange(size))
-    return groups[row, label[row, col]], groups[row, col]
+    return groups[row, label[row, col]], groups[row, col], row
 
 
 def star(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,23 +171,24 @@ def star(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prints[label[other]], prints[other]
 
 
-LINKS = "a long, b long, key int"
+#: part: which of a document's fingerprints; key: of the rows of a group that is too large for one task.
+LINKS = "part int, a long, b long, key int"
 
 
 def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Stars of the key groups of a sorted partition; groups over the limit come out as (fp, fp, key) instead."""
 
-    def out(a, b, key=None):
-        kind = pa.int32()
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), kind) if key is None else pa.array(np.full(len(a), key, np.int32))], names=["a", "b", "key"])
+    def out(part, a, b, key=None):
+        parts = pa.array(np.broadcast_to(np.asarray(part) >> 26, len(a)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([parts, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int32()) if key is None else pa.array(np.full(len(a), key, np.int32))], names=["part", "a", "b", "key"])
 
     held_key, held, over = None, np.empty(0, np.uint64), False
 
     def close() -> Iterator[pa.RecordBatch]:
         if over:
-            yield out(held, held, held_key)
+            yield out(held_key, held, held, held_key)
         elif len(held) > 1:
-            yield out(*star(np.unique(held)))
+            yield out(held_key, *star(np.unique(held)))
 
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -199,7 +200,7 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[
         if held_key is not None and keys[0] == held_key:
             held = np.concatenate([held, prints[: size[0]]])
             if len(held) > limit:
-                yield out(held, held, held_key)
+                yield out(held_key, held, held, held_key)
                 held, over = held[:0], True
             edge, size = edge[1:], size[1:]
         if not len(edge):
@@ -213,38 +214,41 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[
             at = edge[size == n]
             if n > limit:
                 for i in at.tolist():
-                    yield out(prints[i : i + n], prints[i : i + n], int(keys[i]))
+                    yield out(keys[i], prints[i : i + n], prints[i : i + n], int(keys[i]))
             elif n > 512:
                 for i in at.tolist():
-                    yield out(*star(prints[i : i + n]))
+                    yield out(keys[i], *star(prints[i : i + n]))
             else:
                 step = max(1, 2_000_000 // (n * n))
                 for i in range(0, len(at), step):
-                    yield out(*stars(prints[at[i : i + step, None] + np.arange(n)]))
+                    a, b, row = stars(prints[at[i : i + step, None] + np.arange(n)])
+                    yield out(keys[at[i : i + step]][row], a, b)
     if held_key is not None:
         yield from close()
 
 
 def link_stars(distinct: DataFrame, group_limit: int = 4096) -> DataFrame:
-    """Links (a, b) between fingerprints that span the connected parts of the graph of at most 4 differing bits."""
+    """Of distinct (part, fp): links (part, a, b) that span the connected parts of the graph of at most 4 differing bits."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            parts = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
             for a in range(0, len(prints), 4096):
                 keys, owner = golay_keys(prints[a : a + 4096])
+                keys = keys | parts[a : a + 4096][owner] << 26
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(prints[a : a + 4096][owner].view(np.int64))], names=["key", "fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _links_of_sorted(batches, group_limit)
 
-    keys = distinct.select("fp").mapInArrow(keyed, "key int, fp long")
+    keys = distinct.select("part", "fp").mapInArrow(keyed, "key int, fp long")
     found = materialise(keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked, LINKS))
-    links = found.where("key is null").select("a", "b")
+    links = found.where("key is null").select("part", "a", "b")
     large = found.where("key is not null").select("key", F.col("a").alias("fp"))
     if not large.isEmpty():
         links = links.unionByName(_links_of_large(large, group_limit))
-    return materialise(links.distinct())
+    return links.distinct()
 
 
 def _links_of_large(large: DataFrame, limit: int) -> DataFrame:
@@ -256,9 +260,10 @@ def _links_of_large(large: DataFrame, limit: int) -> DataFrame:
 
     def linked(group: pa.Table) -> pa.Table:
         a, b = star(np.unique(group["fp"].to_numpy().view(np.uint64)))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        part = np.full(len(a), group["key"][0].as_py() >> 26, np.int32)
+        return pa.table({"part": part, "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(linked, "a long, b long")
+    return dealt.groupBy("key", "i", "j").applyInArrow(linked, "part int, a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,7 +272,7 @@ def components(links: DataFrame) -> DataFrame:
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges, seen = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
+    edges, seen = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -284,7 +289,7 @@ def components(links: DataFrame) -> DataFrame:
 def component_ids(prints: DataFrame) -> DataFrame:
     """doc_id, fp and component_id for each row of written fingerprints."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = materialise(components(link_stars(nodes)))
+    roots = materialise(components(link_stars(nodes.withColumn("part", F.lit(0)))))
     named = nodes.join(roots.hint("shuffle_merge"), nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = materialise(named.join(least.hint("shuffle_merge"), "root").select("fp", "component_id"))
@@ -298,12 +303,12 @@ def near_duplicates(documents: DataFrame, words: int = 4) -> DataFrame:
 
 
 def document_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) between ids of written (doc_id, fp) rows: stars over equal fingerprints, and over linked ones."""
-    nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """Links (a, b) between ids of written (part, fp, doc_id) rows: stars over equal fingerprints, and over linked ones."""
+    nodes = materialise(prints.where("doc_id is not null").groupBy("part", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     links = link_stars(nodes)
-    a, b = (nodes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab")
-    between = links.join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    copies = prints.join(nodes.hint("shuffle_merge"), "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    a, b = (nodes.select("part", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab")
+    between = links.join(a, ["part", "a"]).join(b, ["part", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    copies = prints.join(nodes.where("n > 1").hint("shuffle_merge"), ["part", "fp"]).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     return between.unionByName(copies)
 
 
@@ -320,12 +325,10 @@ def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0
     those that are not similar to it form the next round. A null doc_id always stays; rows of one doc_id are one
     document.
     """
-    prints = materialise(fingerprints(documents, DROP_WORDS, DROP_SEEDS, distinct=True))
-    links = None
-    for i in range(len(DROP_SEEDS)):
-        found = document_links(prints.select("doc_id", F.col(f"fp{i}").alias("fp")))
-        links = found if links is None else links.unionByName(found)
-    groups = materialise(components(materialise(links.distinct())).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")))
+    several = fingerprints(documents, DROP_WORDS, DROP_SEEDS, distinct=True)
+    parts = F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"fp{i}").alias("fp")) for i in range(len(DROP_SEEDS))))
+    prints = materialise(several.select("doc_id", F.inline(parts)))
+    groups = materialise(components(document_links(prints)).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")))
     groups = groups.unionByName(groups.select(F.col("grp").alias("doc_id"), "grp").distinct())
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = texts.join(groups.hint("shuffle_merge"), "doc_id")
