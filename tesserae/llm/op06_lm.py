@@ -288,6 +288,7 @@ def _fetch(rows: pa.Table, known: pa.Table, frequent: Frequent) -> pa.Table:
     parts = [unpack(p, 4) for p in rows["payload"].to_pylist()]
     batch = np.repeat(rows["batch"].to_numpy().astype(np.uint64), [len(p[0]) for p in parts])
     v, w, who, hashes = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    del parts
     count = np.zeros(len(v), np.int64)
     if len(h):
         spot = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
@@ -403,7 +404,7 @@ def _gather(rows: pa.Table) -> pa.Table:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(documents: DataFrame, shard_tokens: int = 1_500_000, batch_bytes: int = 8_000_000) -> DataFrame:
+def score(documents: DataFrame, shard_tokens: int = 1_200_000, batch_bytes: int = 8_000_000) -> DataFrame:
     """Of rows (doc_id, text, held_out): trained on those not held out, all scored; with train_tokens."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("held_out"))
@@ -416,7 +417,7 @@ def score(documents: DataFrame, shard_tokens: int = 1_500_000, batch_bytes: int
     counts = np.append(ends, best["c"].to_numpy()).astype(np.int64)
     scored = n * 7 // 6  # about all tokens, as a seventh is held out
     shards = max(1, -(-scored // shard_tokens))
-    word_shards = max(1, -(-(n - int(counts.sum())) * 7 // (6 * shard_tokens)))
+    word_shards = max(1, -(-(n - int(counts.sum())) * 7 // shard_tokens))  # six times as fine: a shard also holds its words' counts
     shared = spark.sparkContext.broadcast(Frequent(hashes, counts, n, v, ends, shards, word_shards, shard_tokens))
 
     direct = rows.mapInArrow(lambda b: _blocks(b, shared.value, False, batch_bytes), BLOCK)
