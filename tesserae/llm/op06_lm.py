@@ -181,17 +181,24 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(planes[c].T).view(np.uint64).ravel() for c in range(columns)]
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, an end after each, and the text of each token."""
-    data, at = text_buffer(texts)
-    data = LOWER[data]
-    start, end = spans(~BLANK[data], at)
-    before = np.searchsorted(start, at)
-    out = np.full(len(start) + len(texts), END, np.uint64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(before) + 1)
-    words = np.arange(len(start)) + np.repeat(np.arange(len(texts)), np.diff(before))
-    out[words] = span_hashes(data, start, end)
-    return out, owner
+def tokens(texts: pa.Array, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts, an end after each, and the text of each token; hashed about `step` bytes at a time."""
+    _, at = text_buffer(texts)
+    hashes, counts, first = [], [], 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + step, "right")) - 1)
+        data, edge = text_buffer(texts[first:last])
+        data = LOWER[data]
+        start, end = spans(~BLANK[data], edge)
+        count = np.diff(np.searchsorted(start, edge))
+        out = np.full(len(start) + len(count), END, np.uint64)
+        out[np.arange(len(start)) + np.repeat(np.arange(len(count)), count)] = span_hashes(data, start, end)
+        hashes.append(out)
+        counts.append(count + 1)
+        first = last
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.repeat(np.arange(len(texts)), np.concatenate(counts))
 
 
 class Frequent:
