@@ -157,6 +157,8 @@ class Trie:
 
     def lookup(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """p_ML of each pair, 0 where the trie does not have it."""
+        if len(v) > 1 << 17:
+            return np.concatenate([self.lookup(v[i : i + (1 << 17)], w[i : i + (1 << 17)]) for i in range(0, len(v), 1 << 17)])
         context, word = self.levels[0].find(v), self.levels[1].find(w)
         known = np.flatnonzero((context >= 0) & (word >= 0))
         out = np.zeros(len(v))
@@ -411,7 +413,7 @@ def _gather(rows: pa.Table) -> pa.Table:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(documents: DataFrame, shard_tokens: int = 1_200_000, batch_bytes: int = 8_000_000) -> DataFrame:
+def score(documents: DataFrame, shard_tokens: int = 1_000_000, batch_bytes: int = 8_000_000) -> DataFrame:
     """Of rows (doc_id, text, held_out): trained on those not held out, all scored; with train_tokens."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("held_out"))
