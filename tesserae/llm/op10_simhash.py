@@ -320,7 +320,8 @@ def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0
     """The documents, one of each group of near copies (the smallest doc_id); their columns stay as they are.
 
     Fingerprints over word pairs under several seeds bring together what may be similar: at a similarity of 0.8 a
-    fingerprint over longer shingles already differs in more bits than the links allow. A document goes only if its
+    fingerprint over longer shingles already differs in more bits than the links allow. Links between texts that are
+    not similar are dropped before groups are made. A document goes only if its
     set of `words`-word shingles and that of the one which stays have a Jaccard similarity of at least `similarity`;
     those that are not similar to it form the next round. A null doc_id always stays; rows of one doc_id are one
     document.
@@ -328,18 +329,28 @@ def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0
     several = fingerprints(documents, DROP_WORDS, DROP_SEEDS, distinct=True)
     parts = F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"fp{i}").alias("fp")) for i in range(len(DROP_SEEDS))))
     prints = materialise(several.select("doc_id", F.inline(parts)))
-    groups = materialise(components(document_links(prints)).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")))
-    groups = groups.unionByName(groups.select(F.col("grp").alias("doc_id"), "grp").distinct())
+    links = document_links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    links = materialise(links)
+    linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = texts.join(groups.hint("shuffle_merge"), "doc_id")
-    rest = materialise(members.select("doc_id", "grp", _shingle_set(F.col("text"), words).alias("s")))
+    sets = texts.join(linked.hint("shuffle_merge"), "doc_id").select("doc_id", _shingle_set(F.col("text"), words).alias("s"))
+    sets = materialise(sets.groupBy("doc_id").agg(F.min("s").alias("s")))
+
+    def alike(s: str, k: str) -> Column:
+        shared = F.size(F.array_intersect(s, k))
+        return (shared >= F.lit(similarity) * (F.size(s) + F.size(k) - shared)) | ((F.size(s) == 0) & (F.size(k) == 0))
+
+    # only links between similar texts make groups, so chance links cannot chain the corpus together
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
+    similar = materialise(links.hint("shuffle_merge").join(left, "a").hint("shuffle_merge").join(right, "b").where(alike("x", "y")).select("a", "b"))
+    groups = materialise(components(similar).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")))
+    groups = groups.unionByName(groups.select(F.col("grp").alias("doc_id"), "grp").distinct())
+    rest = materialise(sets.join(groups.hint("shuffle_merge"), "doc_id"))
     gone = []
     while True:
         first = rest.groupBy("grp").agg(F.min("doc_id").alias("kept"), F.count_distinct("doc_id").alias("n")).where("n > 1").select("grp", "kept")
         kept = rest.withColumnRenamed("s", "k").join(first.hint("shuffle_merge"), "grp").where("doc_id = kept").groupBy("grp", "kept").agg(F.min("k").alias("k"))
-        shared = F.size(F.array_intersect("s", "k"))
-        alike = (shared >= F.lit(similarity) * (F.size("s") + F.size("k") - shared)) | ((F.size("s") == 0) & (F.size("k") == 0))
-        judged = rest.join(kept.hint("shuffle_merge"), "grp").where("doc_id <> kept").select("doc_id", "grp", "s", alike.alias("alike"))
+        judged = rest.join(kept.hint("shuffle_merge"), "grp").where("doc_id <> kept").select("doc_id", "grp", "s", alike("s", "k").alias("alike"))
         judged = materialise(judged)
         gone.append(judged.where("alike").select("doc_id"))
         rest = judged.where("not alike").select("doc_id", "grp", "s")
