@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BLANK, LOWER, materialise, passes, spans, table, text_buffer
+from tesserae.llm.common import BLANK, LOWER, materialise, mix64, passes, span_hashes, spans, table, text_buffer
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 MAX_BITS = 4
@@ -171,12 +171,31 @@ def star(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prints[label[other]], prints[other]
 
 
+def near_pairs(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `stars`, but every link within a group."""
+    near = np.triu(np.bitwise_count(groups[:, :, None] ^ groups[:, None, :]) <= MAX_BITS, 1)
+    row, i, j = np.nonzero(near)
+    return groups[row, i], groups[row, j], row
+
+
+def near_pair(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one large group, a block of rows at a time."""
+    step = max(1, 4_000_000 // max(1, len(prints)))
+    left, right = [], []
+    for a in range(0, len(prints), step):
+        i, j = np.nonzero(np.bitwise_count(prints[a : a + step, None] ^ prints[None, a + 1 :]) <= MAX_BITS)
+        keep = j >= i
+        left.append(prints[a + i[keep]])
+        right.append(prints[a + 1 + j[keep]])
+    return (np.concatenate(left), np.concatenate(right)) if left else (prints, prints)
+
+
 #: part: which of a document's fingerprints; key: of the rows of a group that is too large for one task.
 LINKS = "part int, a long, b long, key int"
 
 
-def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Stars of the key groups of a sorted partition; groups over the limit come out as (fp, fp, key) instead."""
+def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int, small=stars, large=star) -> Iterator[pa.RecordBatch]:
+    """Links of the key groups of a sorted partition (`small` for many groups of one size, `large` for one); groups over the limit come out as (fp, fp, key) instead."""
 
     def out(part, a, b, key=None):
         parts = pa.array(np.broadcast_to(np.asarray(part) >> 26, len(a)).astype(np.int32))
@@ -188,7 +207,7 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[
         if over:
             yield out(held_key, held, held, held_key)
         elif len(held) > 1:
-            yield out(held_key, *star(np.unique(held)))
+            yield out(held_key, *large(np.unique(held)))
 
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -217,11 +236,11 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[
                     yield out(keys[i], prints[i : i + n], prints[i : i + n], int(keys[i]))
             elif n > 512:
                 for i in at.tolist():
-                    yield out(keys[i], *star(prints[i : i + n]))
+                    yield out(keys[i], *large(prints[i : i + n]))
             else:
                 step = max(1, 2_000_000 // (n * n))
                 for i in range(0, len(at), step):
-                    a, b, row = stars(prints[at[i : i + step, None] + np.arange(n)])
+                    a, b, row = small(prints[at[i : i + step, None] + np.arange(n)])
                     yield out(keys[at[i : i + step]][row], a, b)
     if held_key is not None:
         yield from close()
@@ -229,6 +248,16 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[
 
 def link_stars(distinct: DataFrame, group_limit: int = 4096) -> DataFrame:
     """Of distinct (part, fp): links (part, a, b) that span the connected parts of the graph of at most 4 differing bits."""
+    return _links(distinct, group_limit, stars, star)
+
+
+def link_pairs(distinct: DataFrame, group_limit: int = 4096) -> DataFrame:
+    """Of distinct (part, fp): all links (part, a, b), a < b, of at most 4 differing bits."""
+    found = _links(distinct, group_limit, near_pairs, near_pair)
+    return found.select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links(distinct: DataFrame, group_limit: int, small, one) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,18 +269,18 @@ def link_stars(distinct: DataFrame, group_limit: int = 4096) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(prints[a : a + 4096][owner].view(np.int64))], names=["key", "fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _links_of_sorted(batches, group_limit)
+        return _links_of_sorted(batches, group_limit, small, one)
 
     keys = distinct.select("part", "fp").mapInArrow(keyed, "key int, fp long")
     found = materialise(keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked, LINKS))
     links = found.where("key is null").select("part", "a", "b")
     large = found.where("key is not null").select("key", F.col("a").alias("fp"))
     if not large.isEmpty():
-        links = links.unionByName(_links_of_large(large, group_limit))
+        links = links.unionByName(_links_of_large(large, group_limit, one))
     return links.distinct()
 
 
-def _links_of_large(large: DataFrame, limit: int) -> DataFrame:
+def _links_of_large(large: DataFrame, limit: int, of) -> DataFrame:
     """Each pair of blocks of a large key group goes to a task of its own."""
     blocks = large.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("n"))
     one = large.hint("shuffle_merge").join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
@@ -259,7 +288,7 @@ def _links_of_large(large: DataFrame, limit: int) -> DataFrame:
     dealt = pair.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
 
     def linked(group: pa.Table) -> pa.Table:
-        a, b = star(np.unique(group["fp"].to_numpy().view(np.uint64)))
+        a, b = of(np.unique(group["fp"].to_numpy().view(np.uint64)))
         part = np.full(len(a), group["key"][0].as_py() >> 26, np.int32)
         return pa.table({"part": part, "a": a.view(np.int64), "b": b.view(np.int64)})
 
@@ -302,75 +331,143 @@ def near_duplicates(documents: DataFrame, words: int = 4) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def document_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) between ids of written (part, fp, doc_id) rows: stars over equal fingerprints, and over linked ones."""
-    nodes = materialise(prints.where("doc_id is not null").groupBy("part", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    links = link_stars(nodes)
-    a, b = (nodes.select("part", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab")
-    between = links.join(a, ["part", "a"]).join(b, ["part", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    copies = prints.join(nodes.where("n > 1").hint("shuffle_merge"), ["part", "fp"]).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    return between.unionByName(copies)
-
-
 #: Fingerprints of the stage that drops near copies: distinct word pairs, under three seeds.
 DROP_WORDS, DROP_SEEDS = 2, (42, 43, 44)
 
 
-def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents, one of each group of near copies (the smallest doc_id); their columns stay as they are.
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in order (uint64), and how many each has; a text of fewer words is one shingle."""
+    data, at = text_buffer(texts)
+    data = LOWER[data]
+    start, end = spans(~BLANK[data], at)
+    before = np.searchsorted(start, at)
+    count = np.diff(before)
+    if not len(start):
+        return np.empty(0, np.uint64), np.zeros(len(count), np.int64)
+    word = span_hashes(data, start, end)
+    shingles = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    first = np.arange(int(shingles.sum())) + np.repeat(before[:-1] - (np.cumsum(shingles) - shingles), shingles)
+    size = np.repeat(np.minimum(count, words), shingles)
+    values = size.astype(np.uint64)
+    for i in range(words):
+        here = word[np.minimum(first + i, len(word) - 1)]
+        values = np.where(i < size, mix64(values * np.uint64(0x9E3779B97F4A7C15) + here), values)
+    owner = np.repeat(np.arange(len(count)), shingles)
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))
+    return values[new], np.bincount(owner[new], minlength=len(count))
+
+
+def _set_digests(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two signed longs."""
+    out = np.zeros((2, len(count)), np.uint64)
+    full = np.flatnonzero(count)
+    if len(full):
+        edge = np.append(0, np.cumsum(count[full])[:-1])
+        out[0, full] = np.add.reduceat(mix64(values), edge)
+        out[1, full] = np.bitwise_xor.reduceat(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), edge)
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def sketches(documents: DataFrame, words: int) -> DataFrame:
+    """doc_id, digest of the shingle set (d1, d2), its size n, and the fingerprints, of each row with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passes(batches, limit=2_000_000):
+            text = batch.column("text")
+            values, count = shingle_sets(text, words)
+            prints = np.stack([simhash(text, DROP_WORDS, seed, distinct=True) for seed in DROP_SEEDS], 1)
+            d1, d2 = _set_digests(values, count)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1), pa.array(d2), pa.array(count.astype(np.int32)), _lists(prints)], names=["doc_id", "d1", "d2", "n", "prints"])
+
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, n int, prints array<long>")
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel().view(np.int64)))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Of written sketches: all distinct pairs of ids (a < b) with at most 4 differing bits in one fingerprint."""
+    prints = materialise(nodes.select("doc_id", F.posexplode("prints").alias("part", "fp")))
+    links = link_pairs(prints.select("part", "fp").distinct())
+    a, b = (prints.select("part", F.col("fp").alias(c), F.col("doc_id").alias(f"{c}_id")) for c in "ab")
+    between = links.join(a.hint("shuffle_merge"), ["part", "a"]).join(b.hint("shuffle_merge"), ["part", "b"]).select("a_id", "b_id")
+    equal = a.hint("shuffle_merge").join(b.withColumnRenamed("b", "a"), ["part", "a"]).where("a_id < b_id").select("a_id", "b_id")
+    found = between.unionByName(equal)
+    return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
-    Fingerprints over word pairs under several seeds bring together what may be similar: at a similarity of 0.8 a
-    fingerprint over longer shingles already differs in more bits than the links allow. Links between texts that are
-    not similar are dropped before groups are made. A document goes only if its
-    set of `words`-word shingles and that of the one which stays have a Jaccard similarity of at least `similarity`;
-    those that are not similar to it form the next round. A null doc_id always stays; rows of one doc_id are one
-    document.
-    """
-    several = fingerprints(documents, DROP_WORDS, DROP_SEEDS, distinct=True)
-    parts = F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"fp{i}").alias("fp")) for i in range(len(DROP_SEEDS))))
-    prints = materialise(several.select("doc_id", F.inline(parts)))
-    links = document_links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    links = materialise(links)
-    linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(linked.hint("shuffle_merge"), "doc_id").select("doc_id", _shingle_set(F.col("text"), words).alias("s"))
-    sets = materialise(sets.groupBy("doc_id").agg(F.min("s").alias("s")))
 
-    def alike(s: str, k: str) -> Column:
-        shared = F.size(F.array_intersect(s, k))
-        return (shared >= F.lit(similarity) * (F.size(s) + F.size(k) - shared)) | ((F.size(s) == 0) & (F.size(k) == 0))
+def similar_pairs(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the written pairs whose shingle sets have the similarity."""
 
-    # only links between similar texts make groups, so chance links cannot chain the corpus together
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passes(batches, limit=2_000_000):
+            values, count = shingle_sets(batch.column("text"), words)
+            d1, d2 = _set_digests(values, count)
+            s = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1), pa.array(d2), s], names=["doc_id", "d1", "d2", "s"])
+
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(nodes.select("doc_id", "d1", "d2").hint("shuffle_merge"), "doc_id")
+    linked = materialise(linked)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = texts.join(linked.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, s array<long>")
+    # of rows with one id, the one that was sketched
+    sets = materialise(sets.join(linked.hint("shuffle_merge"), ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id").agg(F.first("s").alias("s")))
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    similar = materialise(links.hint("shuffle_merge").join(left, "a").hint("shuffle_merge").join(right, "b").where(alike("x", "y")).select("a", "b"))
-    groups = materialise(components(similar).select(F.col("node").alias("doc_id"), F.col("root").alias("grp")))
-    groups = groups.unionByName(groups.select(F.col("grp").alias("doc_id"), "grp").distinct())
-    rest = materialise(sets.join(groups.hint("shuffle_merge"), "doc_id"))
-    gone = []
-    while True:
-        first = rest.groupBy("grp").agg(F.min("doc_id").alias("kept"), F.count_distinct("doc_id").alias("n")).where("n > 1").select("grp", "kept")
-        kept = rest.withColumnRenamed("s", "k").join(first.hint("shuffle_merge"), "grp").where("doc_id = kept").groupBy("grp", "kept").agg(F.min("k").alias("k"))
-        judged = rest.join(kept.hint("shuffle_merge"), "grp").where("doc_id <> kept").select("doc_id", "grp", "s", alike("s", "k").alias("alike"))
-        judged = materialise(judged)
-        gone.append(judged.where("alike").select("doc_id"))
-        rest = judged.where("not alike").select("doc_id", "grp", "s")
-        if rest.isEmpty():
-            break
-    losers = gone[0]
-    for g in gone[1:]:
-        losers = losers.unionByName(g)
-    losers = materialise(losers.distinct().withColumnRenamed("doc_id", "_gone"))
-    return documents.join(losers, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)
+    return pairs.hint("shuffle_merge").join(left, "a").hint("shuffle_merge").join(right, "b").where(alike).select("a", "b")
+
+
+def _not_first(similar: DataFrame, limit: int = 2_000_000) -> list[DataFrame]:
+    """The ids (gone) that are similar to a smaller id which stays, of written pairs a < b; ids are judged in rising order.
+
+    While there are more than `limit` pairs, ids without a smaller neighbour stay and take theirs with them, all at
+    once; what is left is judged pair by pair.
+    """
+    gone, edges = [], similar
+    while edges.count() > limit:
+        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).hint("shuffle_merge"), "a", "left_anti")
+        stay = materialise(stay)
+        go = materialise(edges.join(stay.hint("shuffle_merge"), "a").select(F.col("b").alias("gone")).distinct())
+        gone.append(go)
+        open_ = edges.join(go.hint("shuffle_merge"), F.col("b") == F.col("gone"), "left_anti").join(go.hint("shuffle_merge"), F.col("a") == F.col("gone"), "left_anti")
+        edges = materialise(open_.join(stay.hint("shuffle_merge"), "a", "left_anti"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lost: set[int] = set()
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if a not in lost:
+                    lost.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.int64())], names=["gone"])
 
+    gone.append(edges.coalesce(1).sortWithinPartitions("a", "b").mapInArrow(judge, "gone long"))  # at most `limit` pairs
+    return gone
 
-def _shingle_set(text: Column, words: int) -> Column:
-    """Distinct hashes of the shingles of lower-cased words; of the whole text if it has fewer words, empty if none."""
-    w = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    bind = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    hashed = lambda h: F.when(F.size(h) == 0, F.expr("cast(array() as array<bigint>)")).when(F.size(h) < words, F.array(F.xxhash64(h))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(words)))))
-    )
-    return bind(bind(w, lambda x: F.transform(x, lambda y: F.xxhash64(y))), hashed)
+
+def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, one of each group of near copies (the smallest doc_id); their columns stay as they are.
+
+    A document goes if its set of `words`-word shingles and that of a smaller doc_id which stays have a Jaccard
+    similarity of at least `similarity`. Equal sets are folded first. Fingerprints over word pairs under several seeds
+    bring together what may be similar (at a similarity of 0.8 a fingerprint over longer shingles already differs in
+    more bits than the links allow); every pair of them is tested, never only the links of a star, whose centre may be
+    there by chance. A null doc_id always stays; rows of one doc_id are one document.
+    """
+    rows = materialise(sketches(documents, words))
+    known = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n", "prints")).alias("r")).select("doc_id", "r.*"))
+    nodes = materialise(known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "prints")).alias("r")).select("d1", "d2", "n", "r.*"))
+    copies = known.select("doc_id").join(nodes.select("doc_id").hint("shuffle_merge"), "doc_id", "left_anti").select(F.col("doc_id").alias("_gone"))
+    pairs = materialise(candidates(nodes))
+    losers = copies
+    for gone in _not_first(materialise(similar_pairs(documents, nodes, pairs, words, similarity))):
+        losers = losers.unionByName(gone.withColumnRenamed("gone", "_gone"))
+    losers = materialise(losers.distinct())
+    return documents.join(losers, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
