@@ -46,6 +46,18 @@ def test_chance_linked_centre(spark):
     assert dropped(spark, texts) == [1, 2, 5, 7]
 
 
+def test_every_similar_pair_is_found(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    texts, i = {}, 0
+    for length in (8, 30, 100, 1000):
+        for _ in range(60):
+            text = " ".join(rng.choice(words) for _ in range(length))
+            texts[i], texts[i + 1] = text, edited(rng, text, rng.randint(1, max(1, length // 45)))
+            i += 2
+    assert dropped(spark, texts) == kept(texts)
+
+
 def test_link_pairs_lists_every_link(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 20).tolist()
