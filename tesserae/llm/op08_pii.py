@@ -12,12 +12,14 @@ dropped) and gets a surrogate from a keyed SHA-256 stream:
   names; mail hosts become reserved example hosts;
 * persons: each name word gets a name of its own script (Latin, Cyrillic, Greek); a
   given name takes the gender of the title, a surname is the same whatever the
-  title, so that "Mr. A B" and "Dr. B" still name one person.
+  title, so that "Mr. A B" and "Dr. B" still name one person; an initial becomes a name.
 
 The same normal form gets the same surrogate everywhere (coreference). Distinct
 forms must differ: the table of distinct entities is checked for equal surrogates
 and for surrogates that are real entities, and those rows draw again (a higher
-attempt) until none is left. Only entities with a later attempt are joined back to
+attempt) until none is left. Later attempts draw from more surrogates (names get a
+syllable each time; secrets, mail names and phone numbers a character after four
+times), so this ends however many entities there are. Only entities with a later attempt are joined back to
 the documents that hold them; usually there are none, and the rewriting shuffles
 nothing.
 
@@ -35,19 +37,21 @@ from tesserae.llm.common import materialise, table
 
 _MALE, _FEMALE, _NEUTRAL = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "господин"), ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Mlle", "госпожа", "κυρία"), ("Dr", "Prof")
 _TITLE = "(?:" + "|".join(sorted(_MALE + _FEMALE + _NEUTRAL, key=len, reverse=True)) + r")\.?"
-_NAME = r"\p{Lu}[\p{Ll}'’-]{1,30}"
+#: A word with inner capitals, hyphens and apostrophes, initials with dots, or a bare initial before a further word.
+_NAME = r"(?:(?:\p{Lu}\.)*+\p{Lu}[\p{L}\p{M}'’-]++|(?:\p{Lu}\.)++|\p{Lu}(?= \p{Lu}))(?![\p{L}\p{N}])"
+_EMAIL = r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
 SECRET_WORDS = "token|secret|password|passwd|api_key|apikey|access_key|secret_key|auth"
 
 #: Each pattern begins where no letter or digit stands before it.
 PATTERNS = {
-    "secret": rf"(?i:{SECRET_WORDS})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8,256}}+",
-    "email": r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
+    "secret": rf"(?i:{SECRET_WORDS})\s{{0,3}}[=:]\s{{0,3}}[\"']?(?!{_EMAIL})(?=[A-Za-z0-9+/_-](?:\.?[A-Za-z0-9+/_-]){{7}})[A-Za-z0-9+/_.-]+(?<!\.)",
+    "email": _EMAIL,
     "ip": r"(?<!\.)(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)",
     "iban": r"[A-Z]{2}\d{2} ?(?:[A-Z0-9]{4} ?){2,7}[A-Z0-9]{1,4}(?![\p{L}\p{N}])",
     "card": r"(?<!\.)(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|3\d{3}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\p{N}])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4})(?![\p{L}\p{N}])",
-    "person": rf"{_TITLE} {_NAME}(?: {_NAME})?(?![\p{{L}}\p{{N}}])",
+    "person": rf"{_TITLE} {_NAME}(?: {_NAME})*+",
 }
 #: What a first character can begin is tried alone, the most common failures first.
 ENTITY = (
@@ -55,6 +59,9 @@ ENTITY = (
     + r")|(?=[\d+(._%-])(?:" + "|".join(PATTERNS[k] for k in ("email", "ip", "card", "ssn", "phone")) + "))"
 )
 
+#: Attempts before a secret, mail name or phone number gets longer than its original.
+GROW_AFTER = 4
+
 #: Name words are built from these syllables, then an ending.
 _LATIN = "ba be bi bo da de di do fa fe fi ga ge gi ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi za ze".split()
 _CYRILLIC = "ба бе би бо да де ди до ва ве ви га ге ги ка ке ки ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то за зе".split()
@@ -89,7 +96,7 @@ def units(entity: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(entity, rf"^{_TITLE} ", ""), " "), lambda w: w != "")
     title = F.regexp_replace(F.regexp_extract(entity, rf"^{_TITLE} ", 0), r"[. ]", "")
     gender = F.when(title.isin(list(_MALE)), "male").when(title.isin(list(_FEMALE)), "female").otherwise("male")
-    names = F.transform(words, lambda w, i: unit(F.when(i < F.size(words) - 1, gender).otherwise("surname"), F.lower(w), w))
+    names = F.transform(words, lambda w, i: unit(F.when(i < F.size(words) - 1, gender).otherwise("surname"), F.lower(F.replace(w, F.lit("."), F.lit(""))), w))
     norm = F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(body, r"\D", "")).when(kind == "iban", F.replace(body, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(body)).otherwise(body)
     return F.when(kind == "person", names).otherwise(F.array(unit(kind, norm, body)))
 
@@ -132,12 +139,20 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _name(kind: Column, norm: Column, stream: Column) -> Column:
+def _further(stream: Column, n: Column, words: list[str]) -> Column:
+    """n more words (letters, digits, syllables) from the stream; none if n is not positive."""
+    pick = lambda j: F.element_at(F.array(*(F.lit(w) for w in words)), F.pmod(_nibble(stream, j + 9, 4), F.lit(len(words))) + 1)
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), pick), "")).otherwise("")
+
+
+def _name(kind: Column, norm: Column, stream: Column, attempt: Column) -> Column:
+    """A syllable more with each attempt, so that there are names enough for any number of persons."""
+
     def of(script: str) -> Column:
         syllables, endings = _ENDINGS[script]
         at = lambda words, i: F.element_at(F.array(*(F.lit(w) for w in words)), F.pmod(_nibble(stream, F.lit(i), 4), F.lit(len(words))) + 1)
         ending = F.when(kind == "male", at(endings["male"], 9)).when(kind == "female", at(endings["female"], 9)).otherwise(at(endings["surname"], 9))
-        return F.initcap(F.concat(at(syllables, 0), at(syllables, 1), F.when(kind == "surname", at(syllables, 2)).otherwise(""), ending))
+        return F.initcap(F.concat(at(syllables, 0), at(syllables, 1), F.when(kind == "surname", at(syllables, 2)).otherwise(""), _further(stream, attempt, syllables), ending))
 
     return F.when(norm.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(norm.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
@@ -146,19 +161,21 @@ def surrogate(key: str, kind: Column, norm: Column, shape: Column, attempt: Colu
     """The replacement of a unit."""
 
     def of(stream: Column) -> Column:
+        # where the shape has too few others, later attempts are longer
+        letters, longer = list("abcdefghijklmnopqrstuvwxyz"), lambda words: _further(stream, attempt - GROW_AFTER, words)
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_nibble(stream, i, 4), F.lit(254)) + 1).cast("string")), ".")
         tld = F.regexp_extract(shape, r"[^.]*$", 0)
         host = F.concat(F.regexp_extract(_fill(norm, stream), r"@([^.]*)", 1), F.when(tld.isin("com", "org", "net"), F.concat(F.lit(".example."), tld)).otherwise(".example"))
-        mail = F.concat(F.regexp_extract(_fill(shape, stream), r"^[^@]*", 0), F.lit("@"), host)
+        mail = F.concat(F.regexp_extract(_fill(shape, stream), r"^[^@]*", 0), longer(letters), F.lit("@"), host)
         # a valid card: the last digit makes the sum right
         body = lambda filled: F.regexp_replace(filled, r"\d$", "")
         card = lambda filled: F.when(F.pmod(_luhn_sum(norm), F.lit(10)) == 0, F.concat(body(filled), F.pmod(-_luhn_sum(F.concat(body(filled), F.lit("0"))), F.lit(10)).cast("string"))).otherwise(filled)
         country = F.char_length(F.regexp_replace(F.regexp_extract(shape, r"^(\+\d{1,3}[ .-])?", 0), r"\D", ""))
         return (
             F.when(kind == "ip", octets).when(kind == "email", mail).when(kind == "card", _reshape(shape, _let(_fill(norm, stream), card), r"\D"))
-            .when(kind == "ssn", _reshape(shape, _fill(norm, stream), r"\D")).when(kind == "phone", _reshape(shape, _fill(norm, stream, country), r"\D"))
+            .when(kind == "ssn", _reshape(shape, _fill(norm, stream), r"\D")).when(kind == "phone", F.concat(_reshape(shape, _fill(norm, stream, country), r"\D"), longer(list("0123456789"))))
             .when(kind == "iban", _reshape(shape, _fill(norm, stream, F.lit(2)), " "))
-            .when(kind.isin("male", "female", "surname"), _name(kind, norm, stream)).otherwise(_fill(shape, stream))
+            .when(kind.isin("male", "female", "surname"), _name(kind, norm, stream, attempt)).otherwise(F.concat(_fill(shape, stream), longer(letters)))
         )
 
     return _let(_stream(key, kind, norm, attempt), of)
