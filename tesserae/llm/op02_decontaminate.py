@@ -56,7 +56,7 @@ class Tests:
     first: np.ndarray  # where each item begins in ids
     vocabulary: np.ndarray  # sorted word hashes
     words: list[bytes]  # the words themselves, by id - 1
-    windows: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray]]]  # length -> distinct id rows, a place of each, its items
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> distinct id rows, where the places of each begin, all places
     pairs: np.ndarray  # sorted codes of two adjacent words
     least: int  # words of the shortest window
 
@@ -77,10 +77,10 @@ def build_tests(rows: list[tuple[str, str]], window: int) -> Tests | None:
     for length in np.unique(np.minimum(count[count > 0], window)).tolist():
         use = np.flatnonzero((count >= window) if length == window else (count == length))
         spots = np.concatenate([first[i] + np.arange(count[i] - length + 1) for i in use])
-        owner = np.repeat(use, count[use] - length + 1)
-        rows_of, at, inverse = np.unique(ids[spots[:, None] + np.arange(length)], axis=0, return_index=True, return_inverse=True)
-        both = np.unique(np.stack([inverse.ravel(), owner], 1), axis=0)
-        windows[length] = (rows_of, spots[at], np.split(both[:, 1], np.flatnonzero(np.diff(both[:, 0])) + 1))
+        rows_of, inverse = np.unique(ids[spots[:, None] + np.arange(length)], axis=0, return_inverse=True)
+        inverse = inverse.ravel()
+        edge = np.append(0, np.cumsum(np.bincount(inverse, minlength=len(rows_of))))
+        windows[length] = (rows_of, edge, spots[np.lexsort((spots, inverse))])
     two = ids[:-1] * (len(vocabulary) + 1) + ids[1:]
     pairs = np.unique(two[(ids[:-1] > 0) & (ids[1:] > 0)])
     return Tests(names, ids, first, vocabulary, words, windows, pairs, min(windows))
@@ -126,6 +126,32 @@ def narrow(ids: np.ndarray, order: np.ndarray, queries: np.ndarray) -> tuple[np.
     return low, high
 
 
+def _longest(best: dict, shard: np.ndarray, tests: Tests, length: int, edges: np.ndarray, spots: np.ndarray, which: np.ndarray, here: np.ndarray, begin: np.ndarray, text: np.ndarray, before: np.ndarray) -> None:
+    """Put the longest match of each (text, item) among some window occurrences into `best` as (words, item place, text place)."""
+    many = edges[which + 1] - edges[which]
+    at = spots[np.arange(int(many.sum())) + np.repeat(edges[which] - (np.cumsum(many) - many), many)]
+    here, begin, text = np.repeat(here, many), np.repeat(begin, many), np.repeat(text, many)
+    # where the words before agree too, the match begins earlier
+    inner = (here > 0) & (at > 0) & (shard[here - 1] > 0) & (shard[here - 1] == tests.ids[at - 1])
+    at, here, begin, text = at[~inner], here[~inner], begin[~inner], text[~inner]
+    reach = np.full(len(begin), length)
+    padded, tail = np.append(shard, 0), np.append(tests.ids, 0)
+    live = np.arange(len(begin))
+    while len(live):
+        x = padded[np.minimum(here[live] + reach[live], len(shard))]
+        y = tail[np.minimum(at[live] + reach[live], len(tests.ids))]
+        live = live[(x == y) & (x > 0)]
+        reach[live] += 1
+    item = np.searchsorted(tests.first, at, "right") - 1
+    pick = np.lexsort((at, begin, -reach, item, text))
+    pick = pick[np.concatenate([[True], (np.diff(text[pick]) != 0) | (np.diff(item[pick]) != 0)])] if len(pick) else pick
+    for i in pick.tolist():
+        match = (int(reach[i]), int(at[i] - tests.first[item[i]]), int(begin[i] - before[text[i]]))
+        known = best.get((int(text[i]), int(item[i])))
+        if known is None or (-match[0], match[2], match[1]) < (-known[0], known[2], known[1]):
+            best[(int(text[i]), int(item[i]))] = match
+
+
 def search(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int, int]]]:
     """One shard: words per text, hit start and end (word places in the shard), longest matches (text, item, item place, text place, words)."""
     data, start, end, before = words_of(texts)
@@ -169,7 +195,8 @@ def search(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.nd
     places = np.where(shard > 0, word_at[np.minimum(index, len(runs) - 1)], -1)
     order = suffix_array(shard, max(tests.windows))
     hit_at, hit_end, best = [], [], {}
-    for length, (queries, sample, owners) in tests.windows.items():
+    for length, (queries, edges, spots) in tests.windows.items():
+        sample = spots[edges[:-1]]
         low, high = narrow(shard, order, queries)
         found = np.flatnonzero(low < high)
         if not len(found):
@@ -187,24 +214,13 @@ def search(texts: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.nd
         which, here, begin, text = which[same], here[same], begin[same], text[same]
         hit_at.append(begin)
         hit_end.append(begin + length)
-        reach, at = np.full(len(begin), length), sample[which]
-        padded, tail = np.append(shard, 0), np.append(tests.ids, 0)
-        live = np.arange(len(begin))
-        while len(live):
-            x = padded[np.minimum(here[live] + reach[live], len(shard))]
-            y = tail[np.minimum(at[live] + reach[live], len(tests.ids))]
-            live = live[(x == y) & (x > 0)]
-            reach[live] += 1
-        # items per text, the longest match of each
-        pick = np.lexsort((begin, -reach, which, text))
-        pick = pick[np.concatenate([[True], (np.diff(text[pick]) != 0) | (np.diff(which[pick]) != 0)])] if len(pick) else pick
-        for i in pick.tolist():
-            item = int(np.searchsorted(tests.first, sample[which[i]], "right")) - 1
-            for o in owners[which[i]].tolist():
-                match = (int(reach[i]) if o == item else length, int(sample[which[i]] - tests.first[item]) if o == item else -1, int(begin[i] - before[text[i]]))
-                known = best.get((int(text[i]), o))
-                if known is None or match[0] > known[0]:
-                    best[(int(text[i]), o)] = match
+        # every place of the window is extended on its own, some occurrences at a time
+        total = np.cumsum(edges[which + 1] - edges[which])
+        cut = 0
+        while cut < len(which):
+            stop = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + 1_000_000, "right")))
+            _longest(best, shard, tests, length, edges, spots, *(x[cut:stop] for x in (which, here, begin, text)), before)
+            cut = stop
     matches = [(t, o, m[1], m[2], m[0]) for (t, o), m in sorted(best.items())]
     if not hit_at:
         return before, none, none, matches
