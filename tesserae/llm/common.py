@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 # Task code travels with the job, so executors need no installed copy of it.
 cloudpickle.register_pickle_by_value(sys.modules["tesserae"])
 
-#: Bytes of text that one numpy pass works on; a longer text gets a pass of its own.
-PASS_BYTES = 4_000_000
+#: Bytes of text that one numpy pass works on; a longer text is cut into pieces of about this size.
+PASS_BYTES = 1_000_000
+#: Where a piece may end early, at a better place.
+_BACKWARDS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +72,95 @@ def passes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     """Slices of the batches with at most `limit` bytes of text, or one row."""
     for batch in batches:
         _, at = text_buffer(batch.column(column))
-        start = 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
-            stop = min(stop, batch.num_rows)
+        for start, stop in runs(at, limit):
             yield batch.slice(start, stop - start)
-            start = stop
+        trim()
+
+
+def runs(at: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most `limit` bytes, or of one row."""
+    start, rows = 0, len(at) - 1
+    while start < rows:
+        stop = min(rows, max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1))
+        yield start, stop
+        start = stop
+
+
+def pieces(texts: pa.Array, inside: np.ndarray, overlap: int = 0, prefer: np.ndarray | None = None, limit: int = PASS_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, int, bool]]:
+    """(texts, their rows, words before, whether the last text ends here): all texts in passes of about `limit` bytes.
+
+    A longer text comes in pieces that end between words (runs of the bytes in the table `inside`), where possible after
+    a byte of the table `prefer`; each further piece begins with the last `overlap` words of the one before.
+    """
+    data, at = text_buffer(texts)
+    for start, stop in runs(at, limit):
+        if at[stop] - at[start] <= limit:
+            yield texts.slice(start, stop - start), np.arange(start, stop), 0, True
+            continue
+        begin, words = int(at[start]), 0
+        end_of_text = _last_word(data, inside, begin, int(at[stop]))
+        while begin < end_of_text:
+            size = limit
+            while True:
+                end = min(begin + size, end_of_text)
+                if end < end_of_text:
+                    end = _border(data, inside, prefer, begin, end, end_of_text)
+                first = spans(inside[data[begin:end]], np.array([0, end - begin]))[0] if end < end_of_text else ()
+                if end == end_of_text or len(first) > overlap:
+                    break
+                size += limit
+            piece = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, end - begin], np.int32)), pa.py_buffer(data[begin:end]))
+            yield piece, np.array([start]), words, end == end_of_text
+            if end == end_of_text:
+                break
+            words += len(first) - overlap
+            begin = begin + int(first[-overlap]) if overlap else end
+
+
+def _last_word(data: np.ndarray, inside: np.ndarray, begin: int, end: int) -> int:
+    """The end of the last word of a text; its begin where it has none."""
+    while end > begin:
+        here = np.flatnonzero(inside[data[max(begin, end - _BACKWARDS) : end]])
+        if len(here):
+            return max(begin, end - _BACKWARDS) + int(here[-1]) + 1
+        end = max(begin, end - _BACKWARDS)
+    return begin
+
+
+def _border(data: np.ndarray, inside: np.ndarray, prefer: np.ndarray | None, begin: int, end: int, most: int) -> int:
+    """An end of a piece near `end`."""
+    if prefer is not None:
+        low = max(begin, end - _BACKWARDS)
+        good = np.flatnonzero(prefer[data[low:end]])
+        if len(good):
+            return low + int(good[-1]) + 1
+    while end < most:
+        out = np.flatnonzero(~inside[data[end : end + _BACKWARDS]])
+        if len(out):
+            return min(most, end + int(out[0]))
+        end += _BACKWARDS
+    return most
+
+
+def trim() -> None:
+    """Give unused memory of a reused worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def per_text(run: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """A column function of texts: `run` maps a batch of texts (nulls: empty) to as many values; all else of a row stays with Spark."""
+
+    def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield run(pc.fill_null(text, ""))
+            trim()
+
+    batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(batches, kind)
 
 
 def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,21 +191,20 @@ LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+_STEP = 1 << 16
+
+
+def _powers(factor: int) -> np.ndarray:
+    steps = np.full(_STEP + 1, factor, np.uint64)
+    steps[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(steps)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for name, factor in (("up", _BASE), ("down", _BACK)):
-                steps = np.full(size, factor, np.uint64)
-                steps[0] = 1
-                _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"], _POWERS["down"]
+_UP, _DOWN = _powers(_BASE), _powers(_BACK)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -131,10 +216,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of many byte spans from one polynomial prefix sum."""
-    n = len(data)
-    up, down = _powers(n + 1)
+    """64-bit hashes of many byte spans (starts and ends rising) from a polynomial prefix sum, a step of bytes at a time."""
+    out, opened = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    carry, top, bottom, mask = 0, 1, 1, (1 << 64) - 1
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-        return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        for low in range(0, len(data), _STEP):
+            here = data[low : low + _STEP]
+            total = np.zeros(len(here) + 1, np.uint64)
+            np.cumsum(_BYTE[here] * _UP[: len(here)], out=total[1:])
+            total = total * np.uint64(top) + np.uint64(carry)
+            a, b = np.searchsorted(start, (low, low + len(here)))
+            opened[a:b] = total[start[a:b] - low]
+            out[a:b] = _DOWN[start[a:b] - low] * np.uint64(bottom)
+            a, b = np.searchsorted(end, (low, low + len(here)), "right")  # a span that ends with the step is closed here
+            out[a:b] *= total[end[a:b] - low] - opened[a:b]
+            carry = int(total[-1])
+            top, bottom = top * pow(_BASE, _STEP, 1 << 64) & mask, bottom * pow(_BACK, _STEP, 1 << 64) & mask
+        return mix64(out + (end - start).astype(np.uint64))

@@ -81,7 +81,7 @@ def assemble(rows: pa.Table, trained: str) -> pa.RecordBatch:
     new[1:] = (key[1:] != key[:-1]) | (null[1:] != null[:-1])
     first = np.flatnonzero(new)
     which = np.cumsum(new) - 1
-    formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(start[first], end[-1]).astype(np.int32)), pa.py_buffer(out))
+    formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append(start[first], end[-1])), pa.py_buffer(out))
 
     chars = [pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (role, text)]
     wide = fixed + chars[0] + chars[1]

@@ -9,9 +9,10 @@ to the longest verbatim match and kept with their place. A document is whole in
 one shard, so nothing is shuffled and a hot group of copies costs no more than
 other rows.
 
-The benchmark is cut into blocks of at most `block_bytes`; each is broadcast on
-its own and the documents pass the blocks one after another, so that no broadcast
-grows with the benchmark.
+A long text is searched in pieces that overlap by the words of the longest item, so
+that no match is cut. The benchmark is cut into blocks of about `block_bytes`; each
+is broadcast on its own, and what a block leaves is written before the next one, so
+that a worker holds one block.
 
 Defined results: null or word-less text: no words, not contaminated; item without
 words: never occurs; repeated item_ids count once; a null item_id is named
@@ -22,7 +23,7 @@ further columns of the documents are ignored (or, in `decontaminate`, kept).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import LOWER, passes, span_hashes, spans, table, text_buffer
+from tesserae.llm.common import LOWER, materialise, per_text, pieces, span_hashes, spans, table, text_buffer
 
 #: Word bytes after lower-casing: digits, a-z and every byte of a non-ASCII character.
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
-FOUND = "hits array<struct<start:int,end:int>>, matches array<struct<item:string,item_start:int,doc_start:int,n_words:int>>"
+FOUND = "n_words bigint, hits array<struct<start:int,end:int>>, matches array<struct<item:string,item_start:int,doc_start:int,n_words:int>>"
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,6 +60,7 @@ class Tests:
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> distinct id rows, where the places of each begin, all places
     pairs: np.ndarray  # sorted codes of two adjacent words
     least: int  # words of the shortest window
+    longest: int  # words of the longest item
 
 
 def build_tests(rows: list[tuple[str, str]], window: int) -> Tests | None:
@@ -83,7 +85,7 @@ def build_tests(rows: list[tuple[str, str]], window: int) -> Tests | None:
         windows[length] = (rows_of, edge, spots[np.lexsort((spots, inverse))])
     two = ids[:-1] * (len(vocabulary) + 1) + ids[1:]
     pairs = np.unique(two[(ids[:-1] > 0) & (ids[1:] > 0)])
-    return Tests(names, ids, first, vocabulary, words, windows, pairs, min(windows))
+    return Tests(names, ids, first, vocabulary, words, windows, pairs, min(windows), int(count.max()))
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -234,41 +236,69 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
-    """The documents with n_words, hits (word spans) and matches (the longest per item), row by row."""
-    spark = documents.sparkSession
+#: Word places of different rows are this far apart.
+_ROW = 1 << 36
+
+
+def find(texts: pa.Array, tests: Tests | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    """Words of each text, its hits as places plus row * _ROW (merged), and the longest match of each (text, item)."""
+    words = np.zeros(len(texts), np.int64)
+    starts, ends, best = [], [], {}
+    for part, rows, before, _ in pieces(texts, WORD[LOWER], tests.longest if tests else 0):
+        if tests is None:
+            words[rows] = before + np.diff(words_of(part)[3])
+            continue
+        counts, at, end, matches = search(part, tests)
+        words[rows] = before + np.diff(counts)
+        owner = np.searchsorted(counts[1:], at, "right")
+        shift = rows[owner] * _ROW + before - counts[owner]
+        starts.append(at + shift)
+        ends.append(end + shift)
+        for t, o, j, p, n in matches:
+            match, key = (-n, p + before, j), (int(rows[t]), o)
+            best[key] = min(best.get(key, match), match)
+    if not starts or not sum(map(len, starts)):
+        return words, np.empty(0, np.int64), np.empty(0, np.int64), best
+    return words, *_merged(np.concatenate(starts), np.concatenate(ends)), best
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Callable[[], Tests | None]]:
+    """For each block of the benchmark a function that gives a worker its tests, from a broadcast of plain values."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("body") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    kept = documents.columns
-    df = documents.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "matches": F.expr("cast(array() as array<struct<item:string,item_start:int,doc_start:int,n_words:int>>)")})
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()  # at most about block_bytes
-        shared = spark.sparkContext.broadcast(build_tests([tuple(r) for r in rows], window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tests = shared.value
-            for batch in passes(batches):
-                texts = batch.column("text")
-                if tests is None:
-                    before, at, end, matches = words_of(texts)[3], np.empty(0, np.int64), np.empty(0, np.int64), []
-                else:
-                    before, at, end, matches = search(texts, tests)
-                hits: list[list] = batch.column("hits").to_pylist()
-                found: list[list] = batch.column("matches").to_pylist()
-                if len(at):
-                    at, end = _merged(at, end)
-                    owner = np.searchsorted(before[1:], at, "right")
-                    for o, s, e in zip(owner.tolist(), (at - before[owner]).tolist(), (end - before[owner]).tolist(), strict=True):
-                        hits[o].append({"start": s, "end": e})
-                for t, o, j, p, n in matches:
-                    found[t].append({"item": tests.items[o], "item_start": j, "doc_start": p, "n_words": n})
-                kinds = [batch.schema.field(n).type for n in ("hits", "matches")]
-                columns = [batch.column(n) for n in kept] + [pa.array(np.diff(before)), pa.array(hits, kinds[0]), pa.array(found, kinds[1])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_words", "hits", "matches"])
-
-        df = df.mapInArrow(run, df.schema)
-    return df
+        rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()  # about block_bytes, or one item
+        tests = build_tests([tuple(r) for r in rows], window)
+        shared = spark.sparkContext.broadcast(vars(tests) if tests else None)
+        yield lambda shared=shared: Tests(**shared.value) if shared.value else None
+
+
+def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
+    """doc_id, n_words, hits (word spans) and matches (the longest per item) of each row of (doc_id, text)."""
+
+    def finder(tests_of: Callable) -> Callable[[pa.Array], pa.Array]:
+        def run(texts: pa.Array) -> pa.Array:
+            tests = tests_of()
+            words, start, end, best = find(texts, tests)
+            per = np.bincount(start // _ROW, minlength=len(texts))
+            hits = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.StructArray.from_arrays([pa.array((start % _ROW).astype(np.int32)), pa.array((end % _ROW).astype(np.int32))], names=["start", "end"])
+            )
+            found: list[list] = [[] for _ in range(len(texts))]
+            for (t, o), (n, p, j) in sorted(best.items()):
+                found[t].append({"item": tests.items[o], "item_start": j, "doc_start": p, "n_words": -n})
+            match = pa.struct([("item", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())])
+            return pa.StructArray.from_arrays([pa.array(words), hits, pa.array(found, pa.list_(match))], names=["n_words", "hits", "matches"])
+
+        return run
+
+    df = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"), F.expr("cast(array() as array<struct<item:string,item_start:int,doc_start:int,n_words:int>>)").alias("matches"))
+    for k, tests_of in enumerate(_blocks(benchmark, window, block_bytes)):
+        found = (materialise(df) if k else df).withColumn("found", per_text(finder(tests_of), FOUND)(F.col("text")))
+        df = found.select("doc_id", "text", F.concat("hits", "found.hits").alias("hits"), F.concat("matches", "found.matches").alias("matches"), F.col("found.n_words").alias("n_words"))
+    return df.select("doc_id", "n_words", "hits", "matches")
 
 
 def _hit_words(hits: Column) -> Column:
@@ -281,23 +311,31 @@ def _hit_words(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), zero, step, lambda acc: acc["n"])
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), matches and contaminated, for each document."""
-    slim = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = find_matches(slim, benchmark, window)
+    found = find_matches(documents, benchmark, window, block_bytes)
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
     n_hit = _hit_words(F.col("hits"))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), items.alias("items"), "matches", (F.size("hits") > 0).alias("contaminated"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
     """The documents without those that hold a benchmark window; their columns stay as they are."""
+
+    def clean(tests_of: Callable) -> Callable[[pa.Array], pa.Array]:
+        def run(texts: pa.Array) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            out[find(texts, tests_of())[1] // _ROW] = False
+            return pa.array(out)
+
+        return run
+
     names = [f"c{i}" for i in range(len(documents.columns))]
-    renamed = documents.toDF(*names)
-    text = names[documents.columns.index("text")]
-    found = find_matches(renamed.withColumnRenamed(text, "text"), benchmark, window)
-    kept = ["text" if n == text else n for n in names]
-    return found.where(F.size("hits") == 0).select(*kept).toDF(*documents.columns)
+    text = F.col(names[documents.columns.index("text")]).cast("string")
+    df = documents.toDF(*names)
+    for k, tests_of in enumerate(_blocks(benchmark, window, block_bytes)):
+        df = (materialise(df) if k else df).where(per_text(clean(tests_of), "boolean")(text))
+    return df.toDF(*documents.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

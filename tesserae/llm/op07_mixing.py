@@ -21,7 +21,7 @@ Defined results: null text: no tokens; null source: a source of its own; documen
 without tokens are drawn once an epoch like others; sources without tokens: one
 epoch, weight 0; one source: weight 1, one epoch; equal ids: told apart by a hash of
 the text; repeated rows: each is drawn; no rows: no rows; further columns are kept
-by `mix`.
+by `mix`, but for those of the names that it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -73,13 +73,15 @@ def mix(documents: DataFrame, max_epochs: float = 2.0, target_entropy: float | N
     """The drawn documents: all columns, and mix_tokens, weight, epoch, position, block, shuffle_key."""
     if max_epochs < 1:
         raise ValueError("max_epochs is at least 1")
-    own = documents.columns
-    tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\S+")).cast("long")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    sized = documents.withColumns({"n_tokens": tokens, "mix_key": key}) if "n_tokens" not in own else documents.withColumns({"mix_tokens": tokens, "mix_key": key})
-    n = "n_tokens" if "n_tokens" not in own else "mix_tokens"
-    sized = sized.withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    small = sized.select("mix_key", F.col(n).alias("n_tokens"), "hash")
+    added = ("mix_tokens", "weight", "epoch", "position", "block", "shuffle_key")
+    kept = [c for c in documents.columns if c not in added]
+    names = [f"c{i}" for i in range(len(kept))]
+    column = {c: F.col(n) for c, n in zip(kept, names, strict=True)}
+    tokens = F.regexp_count(F.coalesce(column["text"], F.lit("")), F.lit(r"\S+")).cast("long")
+    key = F.coalesce(F.concat(F.lit("s"), column["source"].cast("string")), F.lit("null"))
+    sized = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)))
+    sized = sized.select(*names, tokens.alias("n_tokens"), key.alias("mix_key"), F.xxhash64(F.lit(seed), column["doc_id"], column["text"]).alias("hash"))
+    small = sized.select("mix_key", "n_tokens", "hash")
     plan = budgets(small, max_epochs, target_entropy)
     # buckets in the order of the hash
     place = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
@@ -91,8 +93,8 @@ def mix(documents: DataFrame, max_epochs: float = 2.0, target_entropy: float | N
     before = materialise(totals.select("mix_key", "bucket", F.coalesce(F.sum("in_bucket").over(by_source), F.lit(0)).alias("before_bucket")))
     rows = sized.join(known, "mix_key").withColumn("bucket", bucket)
     rows = rows.join(before.hint("shuffle_merge"), ["mix_key", "bucket"])
-    within = Window.partitionBy("mix_key", "bucket").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.col("before_bucket") + F.coalesce(F.sum(n).over(within), F.lit(0)))
+    within = Window.partitionBy("mix_key", "bucket").orderBy("hash", column["doc_id"]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.col("before_bucket") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     t = F.greatest(F.col("t"), F.lit(1)).cast("double")
     # the epochs of a document: all full ones, and the last while the tokens before it are within the budget
     times = F.when(F.col("t") > 0, F.ceil(F.col("epochs") - F.col("before") / t)).otherwise(F.lit(1)).cast("int")
@@ -101,9 +103,9 @@ def mix(documents: DataFrame, max_epochs: float = 2.0, target_entropy: float | N
     total = plan.agg(F.sum(F.col("epochs") * F.col("t"))).first()[0] or 0.0
     blocks = max(1, math.ceil(total / block_tokens))
     return drawn.select(
-        *own, F.col(n).alias("mix_tokens"), "weight", "epoch", position.alias("position"), F.least(F.floor(position * blocks), F.lit(blocks - 1)).cast("long").alias("block"),
+        *names, F.col("n_tokens"), "weight", "epoch", position.alias("position"), F.least(F.floor(position * blocks), F.lit(blocks - 1)).cast("long").alias("block"),
         F.xxhash64(F.lit(seed), F.col("epoch"), F.col("hash")).alias("shuffle_key"),
-    )
+    ).toDF(*kept, *added)
 
 
 def _is_small(sources: DataFrame, most: int = 100_000) -> bool:

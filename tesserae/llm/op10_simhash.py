@@ -22,15 +22,15 @@ rows: one row each; no rows: no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BLANK, LOWER, materialise, mix64, passes, span_hashes, spans, table, text_buffer
+from tesserae.llm.common import BLANK, LOWER, materialise, mix64, pieces, span_hashes, spans, table, text_buffer, trim
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 MAX_BITS = 4
@@ -85,45 +85,82 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def simhash(texts: pa.Array, words: int, seed: int = 42, distinct: bool = False) -> np.ndarray:
-    """The 64-bit fingerprint of each text; `distinct` counts each shingle of a text once."""
+def _words(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, word starts and ends, and the first word of each shingle and the number of shingles of each text."""
     data, at = text_buffer(texts)
     data = LOWER[data]
     start, end = spans(~BLANK[data], at)
     before = np.searchsorted(start, at)
     count = np.diff(before)
-    out = np.zeros(len(count), np.uint64)
+    shingles = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    first = np.arange(int(shingles.sum())) + np.repeat(before[:-1] - (np.cumsum(shingles) - shingles), shingles)
+    return data, start, end, first, shingles
+
+
+def xx_hashes(texts: pa.Array, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each shingle, and how many each text has; a text of fewer words is one shingle."""
+    data, start, end, first, shingles = _words(texts, words)
     if not len(start):
-        return out
+        return np.empty(0, np.uint64), shingles
     # words with one space between: each goes to its place in a new buffer
     size = end - start
     stop = np.cumsum(size + 1)
     begin = stop - size - 1
     joined = np.full(int(stop[-1]), 0x20, np.uint8)
-    joined[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)] = data[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    joined[inner + np.repeat(begin, size)] = data[inner + np.repeat(start, size)]
     stop -= 1
-    shingles = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
-    first = np.arange(int(shingles.sum())) + np.repeat(before[:-1] - (np.cumsum(shingles) - shingles), shingles)
-    last = first + np.repeat(np.minimum(count, words), shingles) - 1
+    last = first + np.minimum(np.repeat(np.searchsorted(start, text_buffer(texts)[1][1:]), shingles) - first, words) - 1
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    values = np.array([digest(raw[a:b], seed) for a, b in zip(begin[first].tolist(), stop[last].tolist(), strict=True)], np.uint64)
-    if distinct:
-        owner = np.repeat(np.arange(len(count)), shingles)
-        order = np.lexsort((values, owner))
-        values, owner = values[order], owner[order]
-        new = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))
-        values, shingles = values[new], np.bincount(owner[new], minlength=len(count))
-    full = np.flatnonzero(shingles)
-    edge = np.append(0, np.cumsum(shingles[full]))
+    return np.fromiter((digest(raw[a:b], seed) for a, b in zip(begin[first].tolist(), stop[last].tolist(), strict=True)), np.uint64, len(first)), shingles
+
+
+def shingled(texts: pa.Array, words: int, hashes: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, shingle hashes, how many each row has), some whole texts at a time; a long text is hashed in pieces."""
+    held: list[np.ndarray] = []
+    for part, rows, _, whole in pieces(texts, ~BLANK, words - 1):
+        values, count = hashes(part, words)
+        if held or not whole:
+            held.append(values)
+            if not whole:
+                continue
+            values = np.concatenate(held)
+            count, held = np.array([len(values)]), []
+        yield rows, values, count
+
+
+def _distinct(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each row, each once and in order."""
+    owner = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))[: len(values)]
+    return values[new], np.bincount(owner[new], minlength=len(count))
+
+
+def majority(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half the values of each row."""
+    out = np.zeros(len(count), np.uint64)
+    full = np.flatnonzero(count)
+    if not len(full):
+        return out
+    edge = np.append(0, np.cumsum(count[full]))
     votes = np.zeros((len(full), 64), np.int64)
-    for a in range(0, len(values), 1 << 18):  # 64 bytes a shingle at a time
-        b = min(a + (1 << 18), len(values))
+    for a in range(0, len(values), 1 << 16):  # 64 bytes a shingle at a time
+        b = min(a + (1 << 16), len(values))
         bits = np.unpackbits(values[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         here = slice(int(np.searchsorted(edge, a, "right")) - 1, int(np.searchsorted(edge, b, "left")))
         cuts = np.maximum(edge[here], a) - a
         votes[here] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-    major = 2 * votes > shingles[full][:, None]
-    out[full] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+    out[full] = np.packbits(2 * votes > count[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def simhash(texts: pa.Array, words: int, seed: int = 42, distinct: bool = False) -> np.ndarray:
+    """The 64-bit fingerprint of each text; `distinct` counts each shingle of a text once."""
+    out = np.zeros(len(texts), np.uint64)
+    for rows, values, count in shingled(texts, words, lambda part, n: xx_hashes(part, n, seed)):
+        out[rows] = majority(*(_distinct(values, count) if distinct else (values, count)))
     return out
 
 
@@ -132,9 +169,10 @@ def fingerprints(documents: DataFrame, words: int = 4, seeds: tuple[int, ...] =
     names = ["fp"] if len(seeds) == 1 else [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in passes(batches, limit=2_000_000):
+        for batch in batches:
             prints = [pa.array(simhash(batch.column("text"), words, seed, distinct).view(np.int64)) for seed in seeds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *prints], names=["doc_id", *names])
+            trim()
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
@@ -171,31 +209,12 @@ def star(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prints[label[other]], prints[other]
 
 
-def near_pairs(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As `stars`, but every link within a group."""
-    near = np.triu(np.bitwise_count(groups[:, :, None] ^ groups[:, None, :]) <= MAX_BITS, 1)
-    row, i, j = np.nonzero(near)
-    return groups[row, i], groups[row, j], row
-
-
-def near_pair(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for one large group, a block of rows at a time."""
-    step = max(1, 4_000_000 // max(1, len(prints)))
-    left, right = [], []
-    for a in range(0, len(prints), step):
-        i, j = np.nonzero(np.bitwise_count(prints[a : a + step, None] ^ prints[None, a + 1 :]) <= MAX_BITS)
-        keep = j >= i
-        left.append(prints[a + i[keep]])
-        right.append(prints[a + 1 + j[keep]])
-    return (np.concatenate(left), np.concatenate(right)) if left else (prints, prints)
-
-
 #: part: which of a document's fingerprints; key: of the rows of a group that is too large for one task.
 LINKS = "part int, a long, b long, key int"
 
 
-def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int, small=stars, large=star) -> Iterator[pa.RecordBatch]:
-    """Links of the key groups of a sorted partition (`small` for many groups of one size, `large` for one); groups over the limit come out as (fp, fp, key) instead."""
+def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Links of the key groups of a sorted partition; groups over the limit come out as (fp, fp, key) instead."""
 
     def out(part, a, b, key=None):
         parts = pa.array(np.broadcast_to(np.asarray(part) >> 26, len(a)).astype(np.int32))
@@ -207,7 +226,7 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int, small=stars,
         if over:
             yield out(held_key, held, held, held_key)
         elif len(held) > 1:
-            yield out(held_key, *large(np.unique(held)))
+            yield out(held_key, *star(np.unique(held)))
 
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -236,11 +255,11 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int, small=stars,
                     yield out(keys[i], prints[i : i + n], prints[i : i + n], int(keys[i]))
             elif n > 512:
                 for i in at.tolist():
-                    yield out(keys[i], *large(prints[i : i + n]))
+                    yield out(keys[i], *star(prints[i : i + n]))
             else:
                 step = max(1, 2_000_000 // (n * n))
                 for i in range(0, len(at), step):
-                    a, b, row = small(prints[at[i : i + step, None] + np.arange(n)])
+                    a, b, row = stars(prints[at[i : i + step, None] + np.arange(n)])
                     yield out(keys[at[i : i + step]][row], a, b)
     if held_key is not None:
         yield from close()
@@ -248,16 +267,6 @@ def _links_of_sorted(batches: Iterator[pa.RecordBatch], limit: int, small=stars,
 
 def link_stars(distinct: DataFrame, group_limit: int = 4096) -> DataFrame:
     """Of distinct (part, fp): links (part, a, b) that span the connected parts of the graph of at most 4 differing bits."""
-    return _links(distinct, group_limit, stars, star)
-
-
-def link_pairs(distinct: DataFrame, group_limit: int = 4096) -> DataFrame:
-    """Of distinct (part, fp): all links (part, a, b), a < b, of at most 4 differing bits."""
-    found = _links(distinct, group_limit, near_pairs, near_pair)
-    return found.select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _links(distinct: DataFrame, group_limit: int, small, one) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,18 +278,18 @@ def _links(distinct: DataFrame, group_limit: int, small, one) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(prints[a : a + 4096][owner].view(np.int64))], names=["key", "fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _links_of_sorted(batches, group_limit, small, one)
+        return _links_of_sorted(batches, group_limit)
 
     keys = distinct.select("part", "fp").mapInArrow(keyed, "key int, fp long")
     found = materialise(keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked, LINKS))
     links = found.where("key is null").select("part", "a", "b")
     large = found.where("key is not null").select("key", F.col("a").alias("fp"))
     if not large.isEmpty():
-        links = links.unionByName(_links_of_large(large, group_limit, one))
+        links = links.unionByName(_links_of_large(large, group_limit))
     return links.distinct()
 
 
-def _links_of_large(large: DataFrame, limit: int, of) -> DataFrame:
+def _links_of_large(large: DataFrame, limit: int) -> DataFrame:
     """Each pair of blocks of a large key group goes to a task of its own."""
     blocks = large.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("n"))
     one = large.hint("shuffle_merge").join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
@@ -288,27 +297,35 @@ def _links_of_large(large: DataFrame, limit: int, of) -> DataFrame:
     dealt = pair.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
 
     def linked(group: pa.Table) -> pa.Table:
-        a, b = of(np.unique(group["fp"].to_numpy().view(np.uint64)))
+        a, b = star(np.unique(group["fp"].to_numpy().view(np.uint64)))
         part = np.full(len(a), group["key"][0].as_py() >> 26, np.int32)
         return pa.table({"part": part, "a": a.view(np.int64), "b": b.view(np.int64)})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(linked, "part int, a long, b long")
 
 
+def _with_least(edges: DataFrame, hub: int) -> DataFrame:
+    """Edges (a, b) with the least b of each a as m. The few a with over `hub` edges are broadcast, so no task holds all of one."""
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    hubs = least.where(F.col("n") > hub).select("a", "m")
+    few = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.select("a", "m").hint("shuffle_merge"), "a")
+    return few.unionByName(edges.join(F.broadcast(hubs), "a"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for every node of the links, by large-star and small-star rounds."""
 
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges, seen = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
+    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    seen = digest(edges)
     while True:
+        hub = max(1000, seen[0] // 20_000)  # so there are at most 40,000 of them
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least.hint("shuffle_merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.hint("shuffle_merge"), "a")
-        edges = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        large = materialise(_with_least(both, hub).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct())
+        small = _with_least(large, hub)
+        edges = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = digest(edges)
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -340,28 +357,18 @@ BANDS, ROWS = 24, 4
 _FACTORS = np.random.default_rng(2024).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text in order (uint64), and how many each has; a text of fewer words is one shingle."""
-    data, at = text_buffer(texts)
-    data = LOWER[data]
-    start, end = spans(~BLANK[data], at)
-    before = np.searchsorted(start, at)
-    count = np.diff(before)
+def set_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each shingle, and how many each text has."""
+    data, start, end, first, shingles = _words(texts, words)
     if not len(start):
-        return np.empty(0, np.uint64), np.zeros(len(count), np.int64)
+        return np.empty(0, np.uint64), shingles
     word = span_hashes(data, start, end)
-    shingles = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
-    first = np.arange(int(shingles.sum())) + np.repeat(before[:-1] - (np.cumsum(shingles) - shingles), shingles)
-    size = np.repeat(np.minimum(count, words), shingles)
+    size = np.minimum(np.repeat(np.searchsorted(start, text_buffer(texts)[1][1:]), shingles) - first, words)
     values = size.astype(np.uint64)
     for i in range(words):
         here = word[np.minimum(first + i, len(word) - 1)]
         values = np.where(i < size, mix64(values * np.uint64(0x9E3779B97F4A7C15) + here), values)
-    owner = np.repeat(np.arange(len(count)), shingles)
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    new = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))
-    return values[new], np.bincount(owner[new], minlength=len(count))
+    return values, shingles
 
 
 def _set_digests(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,12 +400,15 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
     """doc_id, digest of the shingle set (d1, d2), its size n, the fingerprints, and the bands of least hashes, of each row with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in passes(batches, limit=2_000_000):
-            text = batch.column("text")
-            values, count = shingle_sets(text, words)
+        for batch in batches:
+            text, n = batch.column("text"), batch.num_rows
             prints = np.stack([simhash(text, DROP_WORDS, seed, distinct=True) for seed in DROP_SEEDS], 1)
-            d1, d2 = _set_digests(values, count)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1), pa.array(d2), pa.array(count.astype(np.int32)), _lists(prints), _lists(least_hashes(values, count))], names=["doc_id", "d1", "d2", "n", "prints", "bands"])
+            digests, sizes, bands = np.zeros((2, n), np.int64), np.zeros(n, np.int32), np.zeros((n, BANDS), np.int64)
+            for rows, values, count in shingled(text, words, set_hashes):
+                values, count = _distinct(values, count)
+                digests[:, rows], sizes[rows], bands[rows] = _set_digests(values, count), count, least_hashes(values, count)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(sizes), _lists(prints), _lists(bands)], names=["doc_id", "d1", "d2", "n", "prints", "bands"])
+            trim()
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, n int, prints array<long>, bands array<long>")
@@ -408,42 +418,87 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel().view(np.int64)))
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of written sketches: all distinct pairs of ids (a < b) with at most 4 differing bits in one fingerprint, or with a band in common and sizes that allow the similarity."""
-    prints = materialise(nodes.select("doc_id", F.posexplode("prints").alias("part", "fp")))
-    links = link_pairs(prints.select("part", "fp").distinct())
-    a, b = (prints.select("part", F.col("fp").alias(c), F.col("doc_id").alias(f"{c}_id")) for c in "ab")
-    between = links.join(a.hint("shuffle_merge"), ["part", "a"]).join(b.hint("shuffle_merge"), ["part", "b"]).select("a_id", "b_id")
-    equal = a.hint("shuffle_merge").join(b.withColumnRenamed("b", "a"), ["part", "a"]).where("a_id < b_id").select("a_id", "b_id")
-    keys = materialise(nodes.select("doc_id", "n", F.posexplode("bands").alias("band", "key")))
-    shared = materialise(keys.groupBy("band", "key").agg(F.count("*").alias("many")).where("many > 1").select("band", "key"))
-    keys = materialise(keys.hint("shuffle_merge").join(shared, ["band", "key"]))
-    x, y = (keys.select("band", "key", F.col("doc_id").alias(f"{c}_id"), F.col("n").alias(f"{c}_n")) for c in "ab")
-    banded = x.hint("shuffle_merge").join(y, ["band", "key"]).where("a_id < b_id").where(F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-6)
-    found = between.unionByName(equal).unionByName(banded.select("a_id", "b_id"))
-    return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """Written (gid, doc_id, n) of written sketches: who may be similar to whom, as groups and never as pairs.
 
+    A group is a connected part of a Golay key group (of at most 4 differing bits in one fingerprint), or a band of
+    least hashes.
+    """
+    prints = materialise(nodes.select("doc_id", "n", F.posexplode("prints").alias("part", "fp")))
+    distinct = materialise(prints.groupBy("part", "fp").agg(F.count("*").alias("many")))
+    stars_ = link_stars(distinct.select("part", "fp"))
+    members = stars_.select("part", "a", F.col("b").alias("fp")).unionByName(stars_.select("part", "a", F.col("a").alias("fp")))
+    members = members.unionByName(distinct.where("many > 1").select("part", F.col("fp").alias("a"), "fp")).distinct()
+    linked = members.hint("shuffle_merge").join(prints.hint("shuffle_merge"), ["part", "fp"]).select(F.xxhash64(F.lit("print"), "part", "a").alias("gid"), "doc_id", "n")
+    banded = nodes.select("doc_id", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64(F.lit("band"), "band", "key").alias("gid"), "doc_id", "n")
+    return _shared(materialise(linked.unionByName(banded).distinct()))
 
-def similar_pairs(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the written pairs whose shingle sets have the similarity."""
+
+def _shared(groups: DataFrame) -> DataFrame:
+    """Of written groups those of two members or more, written."""
+    some = groups.groupBy("gid").agg(F.count("*").alias("many")).where("many > 1").select("gid")
+    return materialise(groups.hint("shuffle_merge").join(some.hint("shuffle_merge"), "gid"))
+
+
+def shingle_table(documents: DataFrame, nodes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """Written (doc_id, s): the shingle sets of some ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in passes(batches, limit=2_000_000):
-            values, count = shingle_sets(batch.column("text"), words)
-            d1, d2 = _set_digests(values, count)
-            s = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1), pa.array(d2), s], names=["doc_id", "d1", "d2", "s"])
-
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(nodes.select("doc_id", "d1", "d2").hint("shuffle_merge"), "doc_id")
-    linked = materialise(linked)
+        for batch in batches:
+            for rows, values, count in shingled(batch.column("text"), words, set_hashes):
+                values, count = _distinct(values, count)
+                d1, d2 = _set_digests(values, count)
+                s = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(d1), pa.array(d2), s], names=["doc_id", "d1", "d2", "s"])
+            trim()
+
+    linked = materialise(ids.join(nodes.select("doc_id", "d1", "d2").hint("shuffle_merge"), "doc_id"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(linked.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, s array<long>")
+    sets = texts.hint("shuffle_merge").join(linked.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, s array<long>")
     # of rows with one id, the one that was sketched
-    sets = materialise(sets.join(linked.hint("shuffle_merge"), ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id").agg(F.first("s").alias("s")))
+    return materialise(sets.hint("shuffle_merge").join(linked.hint("shuffle_merge"), ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id").agg(F.first("s").alias("s")))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the written pairs (a, b) whose shingle sets have the similarity, written."""
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     alike = shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)
-    return pairs.hint("shuffle_merge").join(left, "a").hint("shuffle_merge").join(right, "b").where(alike).select("a", "b")
+    return materialise(pairs.hint("shuffle_merge").join(right.hint("shuffle_merge"), "b").hint("shuffle_merge").join(left.hint("shuffle_merge"), "a").where(alike).select("a", "b"))
+
+
+def _fits(similarity: float) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-6
+
+
+def losers(groups: DataFrame, sets: DataFrame, similarity: float, pairs_an_id: int = 32) -> list[DataFrame]:
+    """The ids (gone) that are similar to a smaller id which stays, of written groups; ids are judged in rising order.
+
+    An id that is the smallest of all its groups stays, and is tested against their other members, at once for all such
+    ids: as many pairs as members, so a group of thousands of near copies goes in one round. What is left is judged so
+    again, while that halves its pairs and they are more than `pairs_an_id` for each id; then all of them are tested.
+    """
+    gone, before = [], float("inf")
+    while True:
+        ids = groups.agg(F.count_distinct("doc_id")).first()[0]
+        size = groups.groupBy("gid").agg(F.count("*").alias("many"))
+        pairs = size.agg(F.coalesce(F.sum(F.col("many").cast("double") * (F.col("many") - 1) / 2), F.lit(0.0))).first()[0]
+        if pairs <= pairs_an_id * ids or pairs > before / 2:
+            break
+        before = pairs
+        first = groups.groupBy("gid").agg(F.min(F.struct("doc_id", "n")).alias("first"))
+        led = materialise(groups.hint("shuffle_merge").join(first.hint("shuffle_merge"), "gid").select("gid", "doc_id", "n", F.col("first.doc_id").alias("a"), F.col("first.n").alias("a_n")))
+        stay = materialise(led.groupBy("doc_id").agg(F.min("a").alias("a")).where("doc_id = a").select("a"))
+        tried = led.where("doc_id <> a").select("a", "a_n", F.col("doc_id").alias("b"), F.col("n").alias("b_n")).where(_fits(similarity)).distinct()
+        tried = materialise(tried.hint("shuffle_merge").join(stay.hint("shuffle_merge"), "a", "left_semi").select("a", "b"))
+        go = materialise(similar_pairs(tried, sets, similarity).select(F.col("b").alias("gone")).distinct())
+        gone.append(go)
+        settled = stay.select(F.col("a").alias("doc_id")).unionByName(go.select(F.col("gone").alias("doc_id")))
+        groups = _shared(materialise(groups.hint("shuffle_merge").join(settled.hint("shuffle_merge"), "doc_id", "left_anti")))
+    x, y = (groups.select("gid", F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
+    rest = x.hint("shuffle_merge").join(y.hint("shuffle_merge"), "gid").where("a < b").where(_fits(similarity)).select("a", "b").distinct()
+    return gone + _not_first(similar_pairs(materialise(rest), sets, similarity))
 
 
 def _not_first(similar: DataFrame, limit: int = 2_000_000) -> list[DataFrame]:
@@ -479,18 +534,22 @@ def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0
     A document goes if its set of `words`-word shingles and that of a smaller doc_id which stays have a Jaccard
     similarity of at least `similarity`. Equal sets are folded first. Fingerprints over word pairs under several seeds
     bring together what may be similar, and bands of least hashes what differs in more bits than the fingerprints' links
-    allow; every pair is tested, never only the links of a star, whose centre may be there by chance. A null doc_id always stays; rows of one doc_id are one document.
+    allow; all members of a group are tested, never only the links of a star, whose centre may be there by chance. A null
+    doc_id always stays; rows of one doc_id are one document.
     """
     rows = materialise(sketches(documents, words))
     known = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n", "prints", "bands")).alias("r")).select("doc_id", "r.*"))
     nodes = materialise(known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "prints", "bands")).alias("r")).select("d1", "d2", "n", "r.*"))
-    copies = known.select("doc_id").join(nodes.select("doc_id").hint("shuffle_merge"), "doc_id", "left_anti").select(F.col("doc_id").alias("_gone"))
-    pairs = materialise(candidates(nodes, similarity))
-    losers = copies
-    for gone in _not_first(materialise(similar_pairs(documents, nodes, pairs, words, similarity))):
-        losers = losers.unionByName(gone.withColumnRenamed("gone", "_gone"))
-    losers = materialise(losers.distinct())
-    return documents.join(losers, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    out = known.select("doc_id").join(nodes.select("doc_id").hint("shuffle_merge"), "doc_id", "left_anti")
+    groups = candidate_groups(nodes)
+    sets = shingle_table(documents, nodes, groups.select("doc_id").distinct(), words)
+    for gone in losers(groups, sets, similarity):
+        out = out.unionByName(gone.select(F.col("gone").alias("doc_id")))
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    out = materialise(out.select(F.col("doc_id").alias("gone")).distinct())
+    left = documents.toDF(*names)
+    key = F.col(names[documents.columns.index("doc_id")]).cast("long")
+    return left.hint("shuffle_merge").join(out.hint("shuffle_merge"), key == F.col("gone"), "left_anti").toDF(*documents.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import corpus_pipeline
 from tesserae.llm import op01_chat, op02_decontaminate, op03_fingerprint, op04_chunks, op05_language, op06_lm, op07_mixing, op08_pii, op09_toxicity, op10_simhash
 from tesserae.llm.queries import QUERIES
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, c0 string, keys string, n_tokens long, label string"
+CLASHES = "c0 keys n_tokens label weight docs t epochs position block hash bucket before mix_key epoch _gone gone id score lang_pred found toxicity hits matches n_words digest attempts made text_ a b n".split()
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 LONG = " ".join(f"w{i % 997} tail{i % 13}." for i in range(20_000))
 ROWS = [
     (1, "the quick brown fox jumps over the lazy dog near the old river bank at dawn", "en", "a"),
@@ -28,7 +29,7 @@ BENCH = [(1, "lazy dog near the old river bank at dawn the fox"), (2, "vier fün
 
 
 def documents(spark, rows=ROWS):
-    return spark.createDataFrame([(i, t, la, s, None if t is None else len(t), "x", "y", 1, "z") for i, t, la, s in rows], DOCUMENTS)
+    return spark.createDataFrame([(i, t, la, s, None if t is None else len(t), *CLASHES) for i, t, la, s in rows], DOCUMENTS)
 
 
 @pytest.fixture(scope="module", params=["rows", "none"])
@@ -67,6 +68,7 @@ def test_pipeline_on_odd_tables(spark, folder):
         out = stage(spark, docs, path)
         if name != "mixing":
             assert out.columns == docs.columns, name
+        assert all(getattr(r, c) == c for r in out.select(*CLASHES).collect() for c in CLASHES if name != "mixing" or c not in ("weight", "epoch", "position", "block"))
         docs = spark.createDataFrame(out.collect(), out.schema)
     kept = {r.doc_id for r in docs.collect()}
     assert (None in kept and 6 in kept and 2 not in kept) if full else kept == set()
@@ -213,12 +215,18 @@ def test_surrogates_stay_distinct_when_they_collide(spark):
 
 def test_grammar_scores_clauses():
     g = op09_toxicity
-    machine = g.compose(g.negation(), g.reported_speech(), g.targeting())
-    run = lambda *symbols: g.score_clause(machine, list(symbols), [1.0 if s in (g.INSULT, g.THREAT) else 0.0 for s in symbols], [0] * len(symbols))
-    assert run(g.INSULT) == 1.0
-    assert run(g.TARGET, g.INSULT) == run(g.INSULT, g.TARGET) == 1.5
-    assert run(g.NEGATION, g.INSULT) < 0.5 and run(g.REPORT, g.INSULT) < 0.5
-    assert g.score_clause(machine, [g.NEGATION, g.INSULT], [0.0, 1.0], [0, 3]) == 1.0
+    machine = g.grammar_machine()
+    attack = {g.INSULT, g.THREAT}
+    run = lambda *symbols, gaps=None: g.score_clause(machine, list(symbols), [1.0 if s in attack else 0.0 for s in symbols], gaps or [0] * len(symbols))
+    assert run(g.INSULT) == g.LONE_INSULT and run(g.THREAT) == g.LONE_THREAT
+    aimed = 1 + g.AIMED_INSULT + g.TARGET_BONUS
+    assert run(g.TARGET, g.INSULT) == run(g.TARGET, g.COPULA, g.INSULT, gaps=[0, 0, 1]) == aimed
+    assert run(g.INSULT, g.INSULT) == g.LONE_INSULT + 1  # stupid fool
+    assert run(g.INSULT, g.TARGET) == g.LONE_INSULT + g.AIMED_INSULT + g.TARGET_BONUS
+    assert run(g.INTENT, g.THREAT, g.TARGET) == 1 + g.AIMED_THREAT + g.TARGET_BONUS > run(g.THREAT, g.TARGET) > run(g.THREAT)
+    assert run(g.NEGATION, g.INSULT) < run(g.INSULT) and run(g.REPORT, g.INSULT) < run(g.INSULT)
+    assert run(g.NEGATION, g.INSULT, gaps=[0, 3]) == run(g.INSULT)
+    assert run(g.TARGET, g.NEGATION, g.INSULT) < aimed
 
 
 def test_golay_keys_meet_at_four_bits():
@@ -253,3 +261,22 @@ def test_large_key_groups_are_exact(spark):
     for limit in (4096, 16):
         roots = op10_simhash.components(op10_simhash.link_stars(nodes, limit).select("a", "b")).collect()
         assert len(roots) == 119 and len({r.root for r in roots}) == 1
+
+
+def test_workers_need_no_installed_copy(tmp_path):
+    """A Spark whose workers cannot import the package: task code and broadcasts travel with the job."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(__import__("pathlib").Path(__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tesserae.llm.queries import QUERIES
+for name in ("op2_benchmark_decontamination", "op5_language_id", "op6_lm_scoring", "op9_toxicity"):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200, name
+print("all done")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=600)
+    assert "all done" in done.stdout, done.stderr[-3000:]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tesserae.llm import op10_simhash
 
@@ -58,14 +59,42 @@ def test_every_similar_pair_is_found(spark):
     assert dropped(spark, texts) == kept(texts)
 
 
-def test_link_pairs_lists_every_link(spark):
+def test_every_link_is_in_a_group(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 20).tolist()
     prints = sorted({b ^ sum(1 << int(x) for x in rng.choice(62, k, replace=False)) for b in base for k in (0, 1, 2, 2, 3, 4, 5)})
-    want = {(0, a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 4}
+    want = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 4}
     nodes = spark.createDataFrame([(0, p) for p in prints], "part int, fp long")
     for limit in (4096, 2):
-        assert {tuple(r) for r in op10_simhash.link_pairs(nodes, limit).collect()} == want
+        groups = {}
+        for r in op10_simhash.link_stars(nodes, limit).collect():
+            groups.setdefault(r.a, {r.a}).add(r.b)
+        assert all(any({a, b} <= g for g in groups.values()) for a, b in want)
+
+
+def test_a_large_group_goes_in_few_pairs(spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(300))
+    texts = {i: edited(rng, text, 2) for i in range(200)} | {i: " ".join(rng.choice(words) for _ in range(100)) for i in range(200, 260)}
+    assert dropped(spark, texts) == kept(texts)
+
+
+def test_a_hub_is_one_component(spark):
+    links = spark.range(1, 5000).selectExpr("0L as a", "id as b").unionByName(spark.range(1).selectExpr("7000L as a", "8000L as b"))
+    roots = {(r.node, r.root) for r in op10_simhash.components(links).collect()}
+    assert roots == {(i, 0) for i in range(1, 5000)} | {(8000, 7000)}
+
+
+def test_a_long_text_is_hashed_in_pieces():
+    rng = random.Random(17)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(400_000))
+    texts = pa.array(["a b c d e f", long, None, "x"])
+    for words in (2, 4):
+        for distinct in (False, True):
+            values, count = op10_simhash.xx_hashes(texts, words, 42)
+            whole = op10_simhash.majority(*(op10_simhash._distinct(values, count) if distinct else (values, count)))
+            assert (op10_simhash.simhash(texts, words, 42, distinct) == whole).all()
 
 
 def test_judged_in_rising_order(spark):
