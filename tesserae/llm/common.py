@@ -49,6 +49,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, most: int = 5_000) -> DataFrame:
+    """Inner join of two written frames on a key; a key of more than `most` left rows is dealt over several tasks."""
+    most = max(most, left.count() // 50_000)  # so at most 50,000 keys are broadcast
+    heavy = materialise(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    dealt = left.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    copied = right.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.hint("shuffle_merge").join(copied.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32(doc_id as text) mod modulus == remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % modulus == remainder, F.lit(False))

@@ -27,10 +27,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BLANK, LOWER, materialise, mix64, pieces, span_hashes, spans, table, text_buffer, trim
+from tesserae.llm.common import BLANK, LOWER, materialise, mix64, pieces, salted_join, span_hashes, spans, table, text_buffer, trim
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 MAX_BITS = 4
@@ -464,7 +464,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     alike = shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)
-    return materialise(pairs.hint("shuffle_merge").join(right.hint("shuffle_merge"), "b").hint("shuffle_merge").join(left.hint("shuffle_merge"), "a").where(alike).select("a", "b"))
+    with_right = materialise(salted_join(pairs, right, "b"))
+    return materialise(salted_join(with_right, left, "a").where(alike).select("a", "b"))
 
 
 def _fits(similarity: float) -> Column:
@@ -472,60 +473,70 @@ def _fits(similarity: float) -> Column:
     return F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-6
 
 
-def losers(groups: DataFrame, sets: DataFrame, similarity: float, pairs_an_id: int = 32) -> list[DataFrame]:
+def losers(groups: DataFrame, sets: DataFrame, similarity: float, few: int = 4) -> list[DataFrame]:
     """The ids (gone) that are similar to a smaller id which stays, of written groups; ids are judged in rising order.
 
-    An id that is the smallest of all its groups stays, and is tested against their other members, at once for all such
-    ids: as many pairs as members, so a group of thousands of near copies goes in one round. What is left is judged so
-    again, while that halves its pairs and they are more than `pairs_an_id` for each id; then all of them are tested.
+    In each round the `few` smallest ids of each group are tested against its other members: as many pairs as members,
+    a few times. Ids that are among them in all their groups are judged, and go or stay; so a group of thousands of near
+    copies goes in a few rounds. The next round tests twice as many of each group, until no group has two members.
     """
-    gone, before = [], float("inf")
-    while True:
-        ids = groups.agg(F.count_distinct("doc_id")).first()[0]
-        size = groups.groupBy("gid").agg(F.count("*").alias("many"))
-        pairs = size.agg(F.coalesce(F.sum(F.col("many").cast("double") * (F.col("many") - 1) / 2), F.lit(0.0))).first()[0]
-        if pairs <= pairs_an_id * ids or pairs > before / 2:
-            break
-        before = pairs
-        first = groups.groupBy("gid").agg(F.min(F.struct("doc_id", "n")).alias("first"))
-        led = materialise(groups.hint("shuffle_merge").join(first.hint("shuffle_merge"), "gid").select("gid", "doc_id", "n", F.col("first.doc_id").alias("a"), F.col("first.n").alias("a_n")))
-        stay = materialise(led.groupBy("doc_id").agg(F.min("a").alias("a")).where("doc_id = a").select("a"))
-        tried = led.where("doc_id <> a").select("a", "a_n", F.col("doc_id").alias("b"), F.col("n").alias("b_n")).where(_fits(similarity)).distinct()
-        tried = materialise(tried.hint("shuffle_merge").join(stay.hint("shuffle_merge"), "a", "left_semi").select("a", "b"))
-        go = materialise(similar_pairs(tried, sets, similarity).select(F.col("b").alias("gone")).distinct())
+    gone = []
+    while not groups.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("gid").orderBy("doc_id"))
+        heads = groups.withColumn("rank", rank).where(F.col("rank") <= few).select("gid", F.struct(F.col("doc_id").alias("a"), F.col("n").alias("a_n")).alias("head"))
+        heads = materialise(heads.groupBy("gid").agg(F.collect_list("head").alias("heads")))
+        # one row a member, with the heads of its group; then one row an id, with the heads of all its groups
+        led = salted_join(groups, heads, "gid").select("doc_id", "n", "heads", F.exists("heads", lambda h: h["a"] == F.col("doc_id")).cast("int").alias("leads"))
+        led = materialise(led.groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"), (F.min("leads") == 1).alias("ready")))
+        ready = led.where("ready").select("doc_id")
+        tried = led.select(F.explode("heads").alias("head"), F.col("doc_id").alias("b"), F.col("n").alias("b_n")).select("head.a", "head.a_n", "b", "b_n").where("a < b").where(_fits(similarity)).select("a", "b")
+        stay, go = judge(similar_pairs(materialise(tried), sets, similarity), ready)
         gone.append(go)
-        settled = stay.select(F.col("a").alias("doc_id")).unionByName(go.select(F.col("gone").alias("doc_id")))
+        settled = materialise(stay.unionByName(go))
         groups = _shared(materialise(groups.hint("shuffle_merge").join(settled.hint("shuffle_merge"), "doc_id", "left_anti")))
-    x, y = (groups.select("gid", F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
-    rest = x.hint("shuffle_merge").join(y.hint("shuffle_merge"), "gid").where("a < b").where(_fits(similarity)).select("a", "b").distinct()
-    return gone + _not_first(similar_pairs(materialise(rest), sets, similarity))
+        few *= 2
+    return gone
 
 
-def _not_first(similar: DataFrame, limit: int = 2_000_000) -> list[DataFrame]:
-    """The ids (gone) that are similar to a smaller id which stays, of written pairs a < b; ids are judged in rising order.
+def judge(edges: DataFrame, ready: DataFrame, limit: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(ids that stay, ids that go), written, of written similar pairs a < b. Only `ready` ids may stay, as only their
+    pairs with smaller ids are all there; whatever such an id is similar to goes.
 
-    While there are more than `limit` pairs, ids without a smaller neighbour stay and take theirs with them, all at
-    once; what is left is judged pair by pair.
+    While there are more than `limit` pairs, ready ids without a smaller neighbour stay and take theirs with them, all at
+    once; what is left is judged pair by pair in rising order.
     """
-    gone, edges = [], similar
+    stays, goes = [], []
     while edges.count() > limit:
-        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).hint("shuffle_merge"), "a", "left_anti")
-        stay = materialise(stay)
-        go = materialise(edges.join(stay.hint("shuffle_merge"), "a").select(F.col("b").alias("gone")).distinct())
-        gone.append(go)
-        open_ = edges.join(go.hint("shuffle_merge"), F.col("b") == F.col("gone"), "left_anti").join(go.hint("shuffle_merge"), F.col("a") == F.col("gone"), "left_anti")
-        edges = materialise(open_.join(stay.hint("shuffle_merge"), "a", "left_anti"))
+        first = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).hint("shuffle_merge"), "a", "left_anti")
+        first = materialise(first.join(ready.select(F.col("doc_id").alias("a")).hint("shuffle_merge"), "a", "left_semi"))
+        if first.isEmpty():
+            break
+        go = materialise(edges.hint("shuffle_merge").join(first.hint("shuffle_merge"), "a", "left_semi").select("b").distinct())
+        stays.append(first.select(F.col("a").alias("doc_id")))
+        goes.append(go.select(F.col("b").alias("doc_id")))
+        left = edges.hint("shuffle_merge").join(first.hint("shuffle_merge"), "a", "left_anti").join(go.hint("shuffle_merge"), "b", "left_anti")
+        edges = materialise(left.join(go.select(F.col("b").alias("a")).hint("shuffle_merge"), "a", "left_anti"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lost: set[int] = set()
+        waits: set[int] = set()
         for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            for a, b, may in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "may")), strict=True):
                 if a not in lost:
-                    lost.add(b)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.int64())], names=["gone"])
-
-    gone.append(edges.coalesce(1).sortWithinPartitions("a", "b").mapInArrow(judge, "gone long"))  # at most `limit` pairs
-    return gone
+                    (lost if may and a not in waits else waits).add(b)
+        ids = [*sorted(lost), *sorted(waits - lost)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i < len(lost) for i in range(len(ids))], pa.bool_())], names=["doc_id", "lost"])
+
+    few = edges.count() <= limit  # else all that is left waits for ids that are not ready
+    marked = edges.join(ready.select(F.col("doc_id").alias("a"), F.lit(True).alias("may")).hint("shuffle_merge"), "a", "left").withColumn("may", F.coalesce("may", F.lit(False)))
+    last = marked.coalesce(1).sortWithinPartitions("a", "b").mapInArrow(one_by_one, "doc_id long, lost boolean") if few else edges.select(F.col("b").alias("doc_id"), F.lit(False).alias("lost")).distinct()
+    last = materialise(last)
+    go, rest = last.where("lost").select("doc_id"), ready.join(last.select("doc_id").hint("shuffle_merge"), "doc_id", "left_anti")
+    for more in goes:
+        go, rest = go.unionByName(more), rest.join(more.hint("shuffle_merge"), "doc_id", "left_anti")
+    for more in stays:
+        rest = rest.unionByName(more)
+    return materialise(rest.distinct()), materialise(go.distinct())
 
 
 def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -544,7 +555,7 @@ def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0
     groups = candidate_groups(nodes)
     sets = shingle_table(documents, nodes, groups.select("doc_id").distinct(), words)
     for gone in losers(groups, sets, similarity):
-        out = out.unionByName(gone.select(F.col("gone").alias("doc_id")))
+        out = out.unionByName(gone)
     names = [f"c{i}" for i in range(len(documents.columns))]
     out = materialise(out.select(F.col("doc_id").alias("gone")).distinct())
     left = documents.toDF(*names)

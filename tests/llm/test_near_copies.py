@@ -100,10 +100,17 @@ def test_a_long_text_is_hashed_in_pieces():
 def test_judged_in_rising_order(spark):
     rng = random.Random(11)
     pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)})
-    want: set[int] = set()
-    for a, b in pairs:
-        if a not in want:
-            want.add(b)
-    for limit in (2_000_000, 10):
-        frame = spark.createDataFrame(pairs, "a long, b long")
-        assert {r.gone for g in op10_simhash._not_first(frame, limit) for r in g.collect()} == want
+    for ready in (set(range(60)), {i for i in range(60) if i % 7}):
+        stays, goes, waits = set(), set(), set()
+        for i in range(60):
+            smaller = [a for a, b in pairs if b == i]
+            if any(a in stays for a in smaller):
+                goes.add(i)
+            elif i not in ready or any(a in waits for a in smaller):
+                waits.add(i)
+            else:
+                stays.add(i)
+        for limit in (1_000_000, 10):
+            frame, may = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(i,) for i in ready], "doc_id long")
+            stay, go = op10_simhash.judge(frame, may, limit)
+            assert ({r.doc_id for r in stay.collect()}, {r.doc_id for r in go.collect()}) == (stays, goes)
