@@ -109,6 +109,8 @@ def pieces(texts: pa.Array, inside: np.ndarray, overlap: int = 0, prefer: np.nda
             continue
         begin, words = int(at[start]), 0
         end_of_text = _last_word(data, inside, begin, int(at[stop]))
+        if end_of_text == begin:
+            yield pa.array([""]), np.array([start]), 0, True
         while begin < end_of_text:
             size = limit
             while True:

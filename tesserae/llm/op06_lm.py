@@ -1,19 +1,23 @@
-"""LM scoring with Elias-Fano n-gram tries (contexts of one word), dealt over shards of contexts.
+"""LM scoring with Elias-Fano n-gram tries (three orders), dealt over shards of contexts.
 
 1. Every training token is counted. The most frequent words (a bounded table) get ids by rank and are broadcast with
-   their counts; any other word's id is 48 bits of its hash, and its count is fetched by dealing the tokens of rare words
-   by word.
-2. All tokens are dealt by context, as packed blocks: a batch of documents gives a shard the tokens whose context belongs
-   to it. The contexts too frequent for one shard are split by the next word; their totals are in the broadcast table.
-3. A shard's training tokens become a trie: Elias-Fano levels of the contexts and the words, and one monotone sequence of
-   (context rank x words + word rank), so that a word is found by a successor search relative to its context.
-   Probabilities are quantised to 8 bits. The levels are written to a temporary file of the task, memory-mapped while
-   its tokens are looked up, and deleted.
-4. p(w | v) = l p_ML(w | v) + (1 - l) p(w), with p(w) = (c + 1) / (N + V + 1) and l by the magnitude of the context's
-   count, fitted in the shard by expectation maximisation on leave-one-out counts. An unseen context leaves p(w).
-5. Each block's sums go back to its batch, where they are added up per document.
-
-All that is gathered grows with the corpus and is spread over shards of about `shard_tokens` tokens.
+   their counts; any other word's id is 48 bits of its hash.
+2. The documents' tokens are written as batches of ids, once; all later steps read these, so a batch is the same in each.
+3. A batch asks for its distinct n-grams, each with its count in the training documents: its (u, v, w) by the context word
+   v, its rare words by themselves. A context too frequent for one shard is split: by u (then its pairs (v, w) are asked
+   for on their own), and a pair (u, v) that is too frequent as well by w; such totals are in bounded broadcast tables. An
+   n-gram comes once from a batch, however often the batch holds it.
+4. A shard adds up the training counts of its n-grams and builds a trie of them: v, then u relative to v, then w relative
+   to (u, v), and w relative to v. Levels are Elias-Fano sequences of word ranks, made monotone by adding what came
+   before, with monotone pointers to each node's children. Leaves hold the smoothed probability a = c / (C + mu), and
+   contexts the mass that they leave to the lower order, g = mu / (C + mu) (Dirichlet smoothing), quantised to 8 bits. The
+   trie is written to a file of the task, memory-mapped, and answers every batch: a word is found by a successor search
+   relative to its context, and what is not found leaves everything to the lower order.
+5. The codes go back to their batch, in the order of its questions, and each token gets
+   p(w | u, v) = a3 + g3 (a2 + g2 p(w)), with p(w) = (c + 1) / (N + V + 1) from exact counts.
+
+The smoothing is fixed by parameters, so scores do not depend on shards or batches. All that is gathered grows with the
+corpus and is spread over shards of about `shard_tokens` n-grams.
 
 Defined results: null text: empty (one token, the end); repeated rows: each scored and counted; a null doc_id is in
 training; no rows: no rows; no training rows: N = V = 0, the base formula; further columns are ignored.
@@ -27,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BLANK, LOWER, held_out, materialise, mix64, passes, span_hashes, spans, table, text_buffer
+from tesserae.llm.common import BLANK, LOWER, held_out, materialise, mix64, pieces, span_hashes, spans, table, text_buffer, trim
 
 FREQUENT = 1 << 18
 MASK48 = np.uint64((1 << 48) - 1)
@@ -41,6 +45,19 @@ END = np.uint64(0xE0D0E0D0E0D0E0D0)
 #: Ids after the ranks of frequent words; hashed ids start above.
 BEGIN_ID = FREQUENT + 1
 LOWEST_HASH = np.uint64(FREQUENT + 2)
+#: Dirichlet smoothing: pseudo-counts that the lower order gets in a context of one and of two words.
+MU2, MU3 = 50.0, 5.0
+#: Decades of the 255 quantised probabilities, from 1 down.
+DECADES = 8.0
+
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    """1 to 255: the nearest power of ten on an even grid."""
+    return np.clip(np.rint(-np.log10(p) * (254 / DECADES)), 0, 254).astype(np.uint8) + np.uint8(1)
+
+
+#: What a code stands for; 0: not there.
+_DECODED = np.append(0.0, 10.0 ** (-np.arange(255) * (DECADES / 254)))
 
 
 # the Elias-Fano sequence
@@ -55,7 +72,7 @@ class EliasFano:
     """A sorted sequence of n values below a bound: low bits packed, high bits in unary."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, n: int, width: int):
-        self.low, self.high, self.zeros, self.n, self.width = low, high, zeros, n, width
+        self.low, self.high, self.zeros, self.n, self.width = low, high, zeros, n, width  # zeros: how many are before each word
 
     @classmethod
     def build(cls, values: np.ndarray, bound: int) -> EliasFano:
@@ -84,11 +101,22 @@ class EliasFano:
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th zero of the high bits."""
         word = np.searchsorted(self.zeros, k, "right") - 1
-        rest = k - self.zeros[word]
-        bytes_ = (~self.high[word]).view(np.uint8).reshape(-1, 8)
+        return self._select(word, k - self.zeros[word], ~self.high[word])
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values."""
+        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+        word = np.searchsorted(ones, i, "right") - 1
+        place = self._select(word, i - ones[word], self.high[word])
+        return (place - i << self.width) + self._low(i).astype(np.int64)
+
+    @staticmethod
+    def _select(word: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """The place of one more set bit than `rest` in each word."""
+        bytes_ = bits.view(np.uint8).reshape(-1, 8)
         counts = np.cumsum(np.bitwise_count(bytes_), axis=1, dtype=np.int64)
         byte = (counts <= rest[:, None]).sum(1)
-        rows = np.arange(len(k))
+        rows = np.arange(len(word))
         rest = rest - np.where(byte > 0, counts[rows, np.maximum(byte - 1, 0)], 0)
         return word * 64 + byte * 8 + _SELECT[bytes_[rows, byte], rest]
 
@@ -123,25 +151,62 @@ class EliasFano:
         return np.where(hit, a, -1)
 
 
-class Trie:
-    """Contexts, words, and the words after each context, with quantised probabilities."""
+class Level:
+    """The children of a level's nodes: pointers to where each node's begin, and their ranks, each node's above those of the one before."""
+
+    def __init__(self, pointers: EliasFano, ranks: EliasFano):
+        self.parts = [pointers, ranks]
 
-    def __init__(self, v: np.ndarray, w: np.ndarray, ml: np.ndarray):
-        """Of distinct (context, word) pairs sorted by both."""
-        contexts, rank = np.unique(v, return_inverse=True)
-        words, place = np.unique(w, return_inverse=True)
-        self.words_n = max(1, len(words))
+    @classmethod
+    def build(cls, parent: np.ndarray, rank: np.ndarray, nodes: int, words: int) -> Level:
+        """Of children sorted by parent and rank."""
+        begin = np.searchsorted(parent, np.arange(nodes + 1))
+        last = rank[begin[1:] - 1]  # every node has a child
+        base = np.append(0, np.cumsum(last + 1))
+        values = rank + base[parent]
+        return cls(EliasFano.build(begin, len(rank) + 1), EliasFano.build(values, int(values[-1]) + 1 if len(values) else 1))
+
+    def find(self, node: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The child of each node (or -1) with each rank (or -1); -1 where there is none."""
+        pointers, ranks = self.parts
+        out = np.full(len(node), -1, np.int64)
+        use = np.flatnonzero((node >= 0) & (rank >= 0))
+        begin, end = pointers.access(node[use]), pointers.access(node[use] + 1)
+        base = np.zeros(len(use), np.int64)
+        later = np.flatnonzero(begin > 0)
+        base[later] = ranks.access(begin[later] - 1) + 1
+        at = ranks.find(rank[use] + base)
+        out[use] = np.where((at >= begin) & (at < end), at, -1)
+        return out
+
+
+class Trie:
+    """Words; contexts v; u relative to v; w relative to (u, v); w relative to v; and the codes of leaves and contexts."""
+
+    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, total3: np.ndarray, total2: np.ndarray, own2: np.ndarray):
+        """Of distinct training n-grams sorted by (v, u, w): counts c, context totals of each, and whether the pairs (v, w) of v are all here."""
+        words = np.unique(np.concatenate([v, u, w]))
+        rv, ru, rw = (np.searchsorted(words, x) for x in (v, u, w))
+        new = lambda *columns: np.flatnonzero(np.any([np.append(True, x[1:] != x[:-1]) for x in columns], axis=0)) if len(v) else np.empty(0, np.int64)
+        one, two = new(rv), new(rv, ru)
+        node1 = np.repeat(np.arange(len(one)), np.diff(np.append(one, len(v))))
+        node2 = np.repeat(np.arange(len(two)), np.diff(np.append(two, len(v))))
+        pair = np.lexsort((rw, node1))
+        head = np.flatnonzero(np.append(True, (node1[pair][1:] != node1[pair][:-1]) | (rw[pair][1:] != rw[pair][:-1]))) if len(v) else np.empty(0, np.int64)
+        c2 = np.add.reduceat(c[pair], head) if len(v) else np.empty(0, np.int64)
+        bi = pair[head]
         bound = lambda a: int(a[-1]) + 1 if len(a) else 1
-        self.levels = [EliasFano.build(contexts, bound(contexts)), EliasFano.build(words, bound(words)), EliasFano.build(rank * self.words_n + place, len(contexts) * self.words_n + 1)]
-        logs = np.log10(np.maximum(ml, 1e-300))
-        edges = np.unique(np.quantile(logs, np.linspace(0, 1, 257))) if len(logs) else np.zeros(2)
-        self.codes = np.clip(np.searchsorted(edges, logs, "right") - 1, 0, max(0, len(edges) - 2)).astype(np.uint8)
-        sums, counts = np.bincount(self.codes, ml, 256), np.bincount(self.codes, minlength=256)
-        self.values = sums / np.maximum(counts, 1)
+        self.words, self.contexts = EliasFano.build(words, bound(words)), EliasFano.build(rv[one], bound(rv[one]))
+        self.second, self.third = Level.build(node1[two], ru[two], len(one), len(words)), Level.build(node2, rw, len(two), len(words))
+        self.pairs = Level.build(node1[bi], rw[bi], len(one), len(words))
+        here = own2[bi]
+        self.a3, self.g3 = quantise(c / (total3 + MU3)), quantise(MU3 / (total3[two] + MU3))
+        self.a2, self.g2 = np.where(here, quantise(c2 / (total2[bi] + MU2)), np.uint8(0)), np.where(own2[one], quantise(MU2 / (total2[one] + MU2)), np.uint8(0))
 
     def mapped(self, folder: str) -> None:
         """Move the levels to a file and read them through a memory map."""
-        arrays = [a for e in self.levels for a in e.arrays()] + [self.codes]
+        sequences = [self.words, self.contexts, *self.second.parts, *self.third.parts, *self.pairs.parts]
+        arrays = [a for e in sequences for a in e.arrays()] + [self.a3, self.g3, self.a2, self.g2]
         path = os.path.join(folder, "trie")
         with open(path, "wb") as f:
             for a in arrays:
@@ -151,20 +216,19 @@ class Trie:
         for a in arrays:
             out.append(np.memmap(path, a.dtype, "r", at, a.shape) if a.size else a)
             at += a.nbytes + (-a.nbytes % 8)
-        for k, e in enumerate(self.levels):
+        for k, e in enumerate(sequences):
             e.low, e.high, e.zeros = out[3 * k : 3 * k + 3]
-        self.codes = out[-1]
-
-    def lookup(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """p_ML of each pair, 0 where the trie does not have it."""
-        if len(v) > 1 << 17:
-            return np.concatenate([self.lookup(v[i : i + (1 << 17)], w[i : i + (1 << 17)]) for i in range(0, len(v), 1 << 17)])
-        context, word = self.levels[0].find(v), self.levels[1].find(w)
-        known = np.flatnonzero((context >= 0) & (word >= 0))
-        out = np.zeros(len(v))
-        at = self.levels[2].find(context[known] * self.words_n + word[known])
-        out[known] = np.where(at >= 0, self.values[self.codes[np.maximum(at, 0)]], 0.0)
-        return out
+        self.a3, self.g3, self.a2, self.g2 = out[-4:]
+
+    def lookup(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        """Codes a3, g3, a2, g2 of questions; 0 where the trie has no such node."""
+        first, second, third = (self.words.find(x) for x in (v, u, w))
+        node1 = np.full(len(v), -1, np.int64)
+        known = np.flatnonzero(first >= 0)
+        node1[known] = self.contexts.find(first[known])
+        node2 = self.second.find(node1, second)
+        leaves = ((self.third.find(node2, third), self.a3), (node2, self.g3), (self.pairs.find(node1, third), self.a2), (node1, self.g2))
+        return [np.where(at >= 0, codes[np.maximum(at, 0)], np.uint8(0)) if len(codes) else np.zeros(len(v), np.uint8) for at, codes in leaves]
 
 
 # packed blocks
@@ -183,37 +247,40 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(planes[c].T).view(np.uint64).ravel() for c in range(columns)]
 
 
-def tokens(texts: pa.Array, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, an end after each, and the text of each token; hashed about `step` bytes at a time."""
-    _, at = text_buffer(texts)
-    hashes, counts, first = [], [], 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + step, "right")) - 1)
-        data, edge = text_buffer(texts[first:last])
-        data = LOWER[data]
-        start, end = spans(~BLANK[data], edge)
-        count = np.diff(np.searchsorted(start, edge))
-        out = np.full(len(start) + len(count), END, np.uint64)
-        out[np.arange(len(start)) + np.repeat(np.arange(len(count)), count)] = span_hashes(data, start, end)
-        hashes.append(out)
-        counts.append(count + 1)
-        first = last
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.repeat(np.arange(len(texts)), np.concatenate(counts))
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, and how many each has."""
+    data, at = text_buffer(texts)
+    data = LOWER[data]
+    start, end = spans(~BLANK[data], at)
+    return span_hashes(data, start, end), np.diff(np.searchsorted(start, at))
+
+
+def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(token hashes, rows, tokens of each, whether it goes on a text): an end follows each text; a long one comes in pieces."""
+    open_ = False
+    for part, rows, _, whole in pieces(texts, ~BLANK):
+        hashes, count = words_of(part)
+        after = np.full(1, open_) if len(rows) == 1 else np.zeros(len(rows), bool)
+        if whole:
+            out = np.full(len(hashes) + len(count), END, np.uint64)
+            out[np.arange(len(hashes)) + np.repeat(np.arange(len(count)), count)] = hashes
+            hashes, count = out, count + 1
+        open_ = not whole
+        yield hashes, rows, count, after
 
 
 class Frequent:
     """The most frequent words: sorted hashes, the rank of each, counts by rank; totals; how hot contexts are split."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, documents: int, shards: int, word_shards: int, shard_tokens: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, documents: int, shards: int, hot: int):
+        """hot: more training tokens than this are too many for a shard."""
         order = np.argsort(hashes)
         self.hashes, self.ranks, self.counts = hashes[order], order.astype(np.uint64), counts
-        self.n, self.v, self.documents, self.shards, self.word_shards = n, v, documents, shards, word_shards
-        self.splits = np.maximum(1, -(-2 * self.totals() // shard_tokens))
+        self.n, self.v, self.documents, self.shards, self.hot = n, v, documents, shards, hot
         directory = np.zeros(1 << 22, bool)
         directory[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
         self.directory = np.packbits(directory)
+        self.pair_keys, self.pair_totals = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def totals(self) -> np.ndarray:
         """Training tokens after each id below LOWEST_HASH; the last two are the end, after which nothing comes, and the begin."""
@@ -232,188 +299,245 @@ class Frequent:
             out[maybe[hit]] = self.ranks[spot[hit]]
         return out
 
-    def shard(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        home = mix64(v)
-        split = self.splits[np.minimum(v, LOWEST_HASH - np.uint64(1)).astype(np.int64)]
-        split = np.where(v < LOWEST_HASH, split, 1)
-        hot = split > 1
-        home[hot] += mix64(w[hot] ^ np.uint64(0x51ED270B)) % split[hot].astype(np.uint64)
-        return (home % np.uint64(self.shards)).astype(np.int64)
+    def is_hot(self, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(v), bool)
+        low = np.flatnonzero(v < LOWEST_HASH)
+        out[low] = self.totals()[v[low].astype(np.int64)] > self.hot
+        return out
+
+    def pair(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The training total of each pair of hot words (u, v) that is too frequent for a shard, else 0."""
+        out = np.zeros(len(v), np.int64)
+        use = np.flatnonzero((v < LOWEST_HASH) & (u < LOWEST_HASH)) if len(self.pair_keys) else np.empty(0, np.int64)
+        key = v[use] << np.uint64(32) | u[use]
+        spot = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        out[use] = np.where(self.pair_keys[spot] == key, self.pair_totals[spot], 0) if len(use) else 0
+        return out
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
     """Written (h, c): the count of every token of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in passes(batches, limit=8_000_000):
-            h, c = np.unique(tokens(batch.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+
+        for batch in batches:
+            for hashes, *_ in tokens(batch.column("text")):
+                held.append(hashes)
+                if sum(map(len, held)) > 1 << 21:
+                    yield counted()
+                    held = []
+            trim()
+        if held:
+            yield counted()
 
     return materialise(documents.select(F.col("text").cast("string")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
 
 
-BLOCK = "shard int, batch long, payload binary"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], frequent: Frequent, rare: bool, batch_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Tokens of each batch by shard: those of frequent words by context, or (rare) those of rare words by word, with their 64-bit hash."""
-    for batch in passes(batches, limit=batch_bytes):
-        hashes, owner = tokens(batch.column("text"))
-        w = frequent.ids(hashes)
+BATCH = "batch long, docs binary, ids binary"
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch], frequent: Frequent, batch_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about batch_tokens tokens: per document (or part of one) key, doc_id, null, held_out, tokens and the two ids before; and the ids."""
+    held: list[tuple] = []
+    size, number, before = 0, TaskContext.get().partitionId() << 32, np.full(2, BEGIN_ID, np.uint64)
+
+    def closed() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack(*columns[:-1])], pa.binary()), pa.array([pack(columns[-1])], pa.binary())], names=["batch", "docs", "ids"])
+
+    for batch in batches:
+        key, doc = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "doc_id"))
+        null, held_out_ = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), batch.column("held_out").to_numpy(zero_copy_only=False)
+        for hashes, rows, count, after in tokens(batch.column("text")):
+            ids = frequent.ids(hashes)
+            u, v = (np.where(after, x, np.uint64(BEGIN_ID)) for x in before)
+            held.append((key[rows], doc[rows], null[rows], held_out_[rows], count, u, v, ids))
+            before = np.append(np.array([u[-1], v[-1]]), ids[-2:])[-2:] if len(rows) == 1 else before
+            size += len(ids)
+            if size >= batch_tokens:
+                yield closed()
+                held, size, number = [], 0, number + 1
+        trim()
+    if held:
+        yield closed()
+
+
+class Questions:
+    """What a batch asks: for each level the distinct n-grams, their training counts, their shards, and which tokens they are for."""
+
+    def __init__(self, docs: bytes, ids: bytes, frequent: Frequent):
+        self.key, self.doc, self.null, self.held_out, count, u0, v0 = unpack(docs, 7)
+        (w,) = unpack(ids, 1)
+        self.count = count.astype(np.int64)
+        self.owner = np.repeat(np.arange(len(count)), self.count)
+        first = (np.cumsum(self.count) - self.count)[self.count > 0]
         v = np.append(np.uint64(BEGIN_ID), w[:-1])
-        v[np.append(True, owner[1:] != owner[:-1])] = BEGIN_ID
-        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        few = w >= LOWEST_HASH
-        use = np.flatnonzero(few if rare else ~few)
-        shard = (hashes[use] % np.uint64(frequent.word_shards)).astype(np.int64) if rare else frequent.shard(v[use], w[use])
-        order = np.lexsort((v[use], shard))
-        use, shard = use[order], shard[order]
-        names, payloads, number = [], [], batch_name(batch)
-        edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(use) else np.empty(0, np.int64)
-        for a, b in zip(edge.tolist(), np.append(edge, len(use))[1:].tolist(), strict=True):
-            here = use[a:b]
-            names.append(int(shard[a]))
-            payloads.append(pack(v[here], w[here], owner[here] * 2 + train[owner[here]], *([hashes[here]] if rare else [])))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([number] * len(names), pa.int64()), pa.array(payloads, pa.binary())], names=["shard", "batch", "payload"])
-
-
-def batch_name(batch: pa.RecordBatch) -> int:
-    """A batch is named by what it holds, so every pass over the documents gives it the same name."""
-    data, at = text_buffer(batch.column("text"))
-    h = xxhash.xxh64(data.tobytes())
-    h.update(at.tobytes())
-    h.update(np.array(batch.column("doc_id").to_pylist(), object).astype(str).astype("S").tobytes())
-    return h.intdigest() >> 1
-
-
-def _fetch(rows: pa.Table, known: pa.Table, frequent: Frequent) -> pa.Table:
-    """Blocks of rare words by word, and the counts of these words, to one block for each shard of contexts, with counts and batches."""
-    h, c = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    kinds = [pa.int32(), pa.int64(), pa.binary()]
-    if not rows.num_rows:
-        return pa.table([pa.array([], k) for k in kinds], names=["shard", "batch", "payload"])
-    parts = [unpack(p, 4) for p in rows["payload"].to_pylist()]
-    batch = np.repeat(rows["batch"].to_numpy().astype(np.uint64), [len(p[0]) for p in parts])
-    v, w, who, hashes = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    del parts
-    count = np.zeros(len(v), np.int64)
-    if len(h):
-        spot = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
-        count = np.where(h[spot] == hashes, c[spot], 0)
-    shard = frequent.shard(v, w)
-    order = np.lexsort((v, batch, shard))
-    edge = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
-    out = []
-    for a, b in zip(edge.tolist(), np.append(edge, len(order))[1:].tolist(), strict=True):
-        at = order[a:b]
-        out.append((int(shard[at[0]]), 0, pack(v[at], w[at], who[at], count[at], batch[at])))
-    return pa.table([pa.array([r[i] for r in out], kinds[i]) for i in range(3)], names=["shard", "batch", "payload"])
-
-
-def mixture(c2: np.ndarray, total: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    """The weight of p_ML by floor(log2(context count)), by expectation maximisation on leave-one-out counts."""
-    out = np.full(64, 0.1)
-    use = total > 1
-    bucket = np.log2(np.maximum(total[use] - 1, 1)).astype(np.int64)
-    ml, low, n = (c2[use] - 1) / (total[use] - 1), p1[use], c2[use].astype(float)
-    weight = np.bincount(bucket, n, 64)
-    for _ in range(20):
-        mine = out[bucket] * ml
-        share = np.bincount(bucket, n * mine / (mine + (1 - out[bucket]) * low), 64)
-        out = np.where(weight > 0, (share + 1) / (weight + 10), out)
-    return out
-
-
-def _score_shard(rows: pa.Table, frequent: Frequent) -> pa.Table:
-    """All blocks of a shard: build its trie, look the tokens up, return sums per batch.
-
-    An answer holds texts and their sums; where rare words are among a batch's tokens, also what these add to the base.
-    """
-    parts = [(r["batch"], r["rare"], unpack(r["payload"], 5 if r["rare"] else 3)) for r in rows.select(["batch", "payload", "rare"]).to_pylist()]
-    c1 = np.concatenate([p[3].astype(np.int64) if rare else frequent.counts[p[1].astype(np.int64)] for _, rare, p in parts])
-    names = np.concatenate([p[4] if rare else np.full(len(p[0]), batch, np.uint64) for batch, rare, p in parts])
-    few = np.repeat([rare for _, rare, _ in parts], [len(p[0]) for _, _, p in parts])
-    v, w, who = (np.concatenate([p[i] for _, _, p in parts]) for i in range(3))
-    del parts
-    train = (who & np.uint64(1)).astype(bool)
+        v[first] = v0[self.count > 0]
+        u = np.append(np.uint64(BEGIN_ID), v[:-1])
+        u[first] = u0[self.count > 0]
+        train = (self.held_out == 0)[self.owner]
+        words, code = np.unique(np.concatenate([w, v0, u0, np.array([BEGIN_ID], np.uint64)]), return_inverse=True)
+        width = np.uint64(max(1, int(len(words)).bit_length()))
+        code = code.astype(np.uint64)
+        of = lambda x: code[: len(w)] if x is w else np.searchsorted(words, x).astype(np.uint64)
+        cw, cv, cu = of(w), of(v), of(u)
+        self.u, self.v, self.w = u, v, w
+        hot = frequent.is_hot(words)[cv.astype(np.int64)]
+        everything = np.arange(len(w))
+        salt = lambda x, k: mix64(x ^ np.uint64(k * 0x9E3779B9))
+
+        def level(use: np.ndarray, *codes: np.ndarray) -> tuple:
+            joined = np.zeros(len(use), np.uint64)
+            for c in codes:
+                joined = joined << width | c[use]
+            distinct, inverse = np.unique(joined, return_inverse=True)
+            mask = (np.uint64(1) << width) - np.uint64(1)
+            columns = [words[(distinct >> (width * np.uint64(len(codes) - 1 - i)) & mask).astype(np.int64)] for i in range(len(codes))]
+            return use, inverse, columns, np.bincount(inverse, train[use], len(distinct)).astype(np.uint64)
+
+        self.levels = []
+        use, inverse, (v3, u3, w3), n = level(everything, cv, cu, cw)
+        home = mix64(v3)
+        split = np.flatnonzero(frequent.is_hot(v3))
+        home[split] += salt(u3[split], 1)
+        split = split[frequent.pair(v3[split], u3[split]) > 0]
+        home[split] += salt(w3[split], 2)
+        self.levels.append((use, inverse, [v3, u3, w3], n, home))
+        use, inverse, (v2, w2), n = level(np.flatnonzero(hot), cv, cw)
+        self.levels.append((use, inverse, [v2, w2], n, mix64(v2 * np.uint64(3) + np.uint64(1)) + salt(w2, 3)))
+        use, inverse, (w1,), n = level(np.flatnonzero(w >= LOWEST_HASH), cw)
+        self.levels.append((use, inverse, [w1], n, salt(w1, 4)))
+        self.levels = [(use, inverse, columns, n, (mix64(home) % np.uint64(frequent.shards)).astype(np.int64)) for use, inverse, columns, n, home in self.levels]
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(level, shard, which of the level's n-grams) for each shard that is asked."""
+        for k, (_, _, _, _, shard) in enumerate(self.levels):
+            order = np.argsort(shard, kind="stable")
+            edge = np.flatnonzero(np.append(True, np.diff(shard[order]) > 0)) if len(order) else np.empty(0, np.int64)
+            for a, b in zip(edge.tolist(), np.append(edge, len(order))[1:].tolist(), strict=True):
+                yield k, int(shard[order[a]]), order[a:b]
+
+
+BLOCK = "level int, shard int, batch long, payload binary"
+
+
+def _asked(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            asked = Questions(r["docs"], r["ids"], frequent)
+            rows = [(k, s, pack(*(c[at] for c in asked.levels[k][2]), asked.levels[k][3][at])) for k, s, at in asked.blocks()]
+            kinds = [pa.int32(), pa.int32(), pa.binary()]
+            level, shard, payload = (pa.array([x[i] for x in rows], kinds[i]) for i in range(3))
+            yield pa.RecordBatch.from_arrays([level, shard, pa.array([r["batch"]] * len(rows), pa.int64()), payload], names=["level", "shard", "batch", "payload"])
+            trim()
+
+
+def _summed(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct n-grams with a training count of the blocks, sorted, and their counts."""
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+    use = columns[-1] > 0
+    *grams, n = (c[use] for c in columns)
+    order = np.lexsort(grams[::-1])
+    grams, n = [g[order] for g in grams], n[order].astype(np.int64)
+    if not len(n):
+        return grams, n
+    head = np.flatnonzero(np.any([np.append(True, g[1:] != g[:-1]) for g in grams], axis=0))
+    return [g[head] for g in grams], np.add.reduceat(n, head)
+
+
+def _by_run(x: np.ndarray, n: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The sum of n over each run of equal x (and more), for each row."""
+    run = np.cumsum(np.any([np.append(True, c[1:] != c[:-1]) for c in (x, *more)], axis=0)) - 1 if len(x) else np.empty(0, np.int64)
+    return np.bincount(run, n).astype(np.int64)[run] if len(x) else np.empty(0, np.int64)
+
+
+def _answered(rows: pa.Table, frequent: Frequent) -> pa.Table:
+    """All blocks of a shard: build its trie, then answer each block from it."""
+    level = rows["level"][0].as_py()
+    width = (4, 3, 2)[level]
+    blobs, names = rows["payload"].to_pylist(), rows["batch"].to_pylist()
+    grams, n = _summed([unpack(b, width) for b in blobs])
+    if level == 2:  # rare words: exact counts
+        (w,) = grams
+        count = lambda x: n[np.minimum(np.searchsorted(w, x), len(w) - 1)] * (w[np.minimum(np.searchsorted(w, x), len(w) - 1)] == x) if len(w) else np.zeros(len(x), np.int64)
+        answers = [pack(count(unpack(b, width)[0])) for b in blobs]
+    else:
+        if level == 1:  # pairs of a hot context
+            v, w = grams
+            u = np.zeros(len(v), np.uint64)
+            total2 = frequent.totals()[v.astype(np.int64)]
+            total3, own2 = n, np.ones(len(v), bool)
+        else:
+            v, u, w = grams
+            pair = frequent.pair(v, u)
+            total3 = np.where(pair > 0, pair, _by_run(v, n, u))
+            total2, own2 = _by_run(v, n), ~frequent.is_hot(v)
+        with tempfile.TemporaryDirectory() as folder:
+            trie = Trie(v, u, w, n, total3, total2, own2)
+            trie.mapped(folder)
+            del grams, n, v, u, w, total2, total3, own2
+            answers = []
+            for b in blobs:
+                asked = unpack(b, width)[:-1]
+                codes = trie.lookup(*asked) if level == 0 else trie.lookup(asked[0], np.zeros(len(asked[0]), np.uint64), asked[1])[2:]
+                answers.append(pack(*codes))
+            del trie
+    trim()
+    return pa.table([rows["level"], rows["shard"], rows["batch"], pa.array(answers, pa.binary())], names=["level", "shard", "batch", "payload"])
+
+
+SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(batch: pa.Table, answers: pa.Table, frequent: Frequent) -> pa.Table:
+    """The sums of each document (or part of one) of a batch."""
+    asked = Questions(batch["docs"][0].as_py(), batch["ids"][0].as_py(), frequent)
+    known = {(r["level"], r["shard"]): r["payload"] for r in answers.select(["level", "shard", "payload"]).to_pylist()}
+    found = [np.zeros((k, len(n)), np.int64) for k, (_, _, _, n, _) in zip((4, 2, 1), asked.levels, strict=True)]
+    for k, shard, at in asked.blocks():
+        found[k][:, at] = unpack(known[(k, shard)], len(found[k]))
+    tokens_ = len(asked.w)
+    codes = np.zeros((4, tokens_), np.int64)
+    codes[:, asked.levels[0][0]] = found[0][:, asked.levels[0][1]]
+    codes[2:, asked.levels[1][0]] = found[1][:, asked.levels[1][1]]
+    c1 = np.zeros(tokens_, np.int64)
+    often = asked.w < LOWEST_HASH
+    c1[often] = frequent.counts[asked.w[often].astype(np.int64)]
+    c1[asked.levels[2][0]] = found[2][0][asked.levels[2][1]]
     p1 = (c1 + 1.0) / (frequent.n + frequent.v + 1.0)
-    order = np.lexsort((w, v))
-    new = np.append(True, (v[order[1:]] != v[order[:-1]]) | (w[order[1:]] != w[order[:-1]]))
-    pair = np.empty(len(v), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    head = order[new]  # one token of each distinct pair
-    del order, new
-    c2 = np.bincount(pair, train, len(head)).astype(np.int64)
-    context = np.cumsum(np.append(True, v[head[1:]] != v[head[:-1]])) - 1
-    local = np.bincount(context, c2)[context].astype(np.int64)  # all continuations of a rare context are here
-    total = np.where(v[head] < LOWEST_HASH, frequent.totals()[np.minimum(v[head], LOWEST_HASH - np.uint64(1)).astype(np.int64)], local)
-    seen = c2 > 0
-    weight = mixture(c2[seen], total[seen], p1[head[seen]])
-    with tempfile.TemporaryDirectory() as folder:
-        trie = Trie(v[head[seen]], w[head[seen]], c2[seen] / total[seen])
-        trie.mapped(folder)
-        ml = trie.lookup(v[head], w[head])
-        del trie
-    lam = np.where(total > 0, weight[np.log2(np.maximum(total, 1)).astype(np.int64)], 0.0)
-    logp = np.log10(lam * ml + (1 - lam) * p1[head])[pair]
-    del pair, v, w
-    batches, block = np.unique(names, return_inverse=True)
-    out = []
-    for rare in (False, True):
-        use = np.flatnonzero(few == rare)
-        slot, owner = np.unique(block[use].astype(np.uint64) << np.uint64(40) | who[use] >> np.uint64(1), return_inverse=True)
-        sums = [np.bincount(owner, logp[use]).astype(np.float32).view(np.uint32)]
-        if rare:
-            sums += [np.bincount(owner, np.log10(p1[use])).astype(np.float32).view(np.uint32), np.bincount(owner, c1[use] > 0)]
-        where, text = (slot >> np.uint64(40)).astype(np.int64), slot & np.uint64((1 << 40) - 1)
-        edge = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.empty(0, np.int64)
-        for a, b in zip(edge.tolist(), np.append(edge, len(where))[1:].tolist(), strict=True):
-            out.append((int(batches[where[a]]), "rare" if rare else "frequent", pack(text[a:b], *(x[a:b] for x in sums))))
-    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary())], names=["batch", "kind", "payload"])
-
-
-ANSWER = "batch long, kind string, payload binary"
-
-
-def _lists(batches: Iterator[pa.RecordBatch], frequent: Frequent, batch_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The documents of each batch, numbered as in `_blocks`, with what their frequent words add to the base."""
-    for batch in passes(batches, limit=batch_bytes):
-        ids, train = batch.column("doc_id"), ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        hashes, owner = tokens(batch.column("text"))
-        w = frequent.ids(hashes)
-        use = np.flatnonzero(w < LOWEST_HASH)
-        count, n = frequent.counts[w[use].astype(np.int64)], batch.num_rows
-        base = np.bincount(owner[use], np.log10((count + 1.0) / (frequent.n + frequent.v + 1.0)), n)
-        payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False), train, np.bincount(owner, minlength=n), np.bincount(owner[use], count > 0, n), base.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([batch_name(batch)], pa.int64()), pa.array(["list"]), pa.array([payload], pa.binary())], names=["batch", "kind", "payload"])
-
-
-def _gather(rows: pa.Table) -> pa.Table:
-    """The sums of a batch added up per document. Equal batches have one name: their sums are shared out again."""
-    answers = rows.to_pylist()
-    listed = [r for r in answers if r["kind"] == "list"]
-    ids, null, train, n, known, base = unpack(listed[0]["payload"], 6)
-    many = len(listed)
-    score, base, known = np.zeros(len(ids)), base.view(np.float64).copy(), known.astype(float)
-    single = lambda x: x.astype(np.uint32).view(np.float32).astype(float) / many
-    for r in sorted((r for r in answers if r["kind"] != "list"), key=lambda r: (r["kind"], r["payload"])):
-        columns = unpack(r["payload"], 2 if r["kind"] == "frequent" else 4)
-        at = columns[0].astype(np.int64)
-        score[at] += single(columns[1])
-        if r["kind"] == "rare":
-            base[at] += single(columns[2])
-            known[at] += columns[3].astype(float) / many
-    doc = pa.array(np.tile(ids.view(np.int64), many), mask=np.tile(null.astype(bool), many))
-    again = lambda x: pa.array(np.tile(x, many))
-    return pa.table([doc, again(train == 0), again(n.astype(np.int64)), again(np.round(known).astype(np.int64)), again(base), again(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-
-
-def score(documents: DataFrame, shard_tokens: int = 1_000_000, batch_bytes: int = 8_000_000) -> DataFrame:
+    a3, g3, a2, g2 = codes
+    # what a split context leaves is the same in all its shards, also in those without one of its n-grams
+    hot = asked.levels[1][0]
+    g2[hot] = quantise(MU2 / (frequent.totals()[asked.v[hot].astype(np.int64)] + MU2))
+    pair = frequent.pair(asked.v[hot], asked.u[hot])
+    g3[hot[pair > 0]] = quantise(MU3 / (pair[pair > 0] + MU3))
+    left = lambda g: np.where(g > 0, _DECODED[g], 1.0)  # noqa: E731  an unseen context leaves all
+    p2 = np.minimum(1.0, _DECODED[a2] + left(g2) * p1)
+    p3 = np.minimum(1.0, _DECODED[a3] + left(g3) * p2)
+    n = len(asked.key)
+    add = lambda x: np.bincount(asked.owner, x, n)
+    doc = pa.array(asked.doc.view(np.int64), mask=asked.null.astype(bool))
+    return pa.table([pa.array(asked.key.view(np.int64)), doc, pa.array(asked.held_out > 0), pa.array(asked.count), pa.array(add(c1 > 0).astype(np.int64)), pa.array(add(np.log10(p1))), pa.array(add(np.log10(p3)))], names=["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _hot_pairs(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    """(v, u, n): the training tokens of a batch after each pair of hot words."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            use, inverse, (v, u, _), n, _ = Questions(r["docs"], r["ids"], frequent).levels[0]
+            hot = np.flatnonzero(frequent.is_hot(v))
+            hot = hot[frequent.is_hot(u[hot])]
+            key, place = np.unique(v[hot] << np.uint64(32) | u[hot], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(place, n[hot], len(key)).astype(np.int64))], names=["key", "n"])
+            trim()
+
+
+def score(documents: DataFrame, shard_tokens: int = 1_000_000, batch_tokens: int = 1_200_000) -> DataFrame:
     """Of rows (doc_id, text, held_out): trained on those not held out, all scored; with train_tokens."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("held_out"))
@@ -424,19 +548,29 @@ def score(documents: DataFrame, shard_tokens: int = 1_000_000, batch_bytes: int
     # the end token comes first: it always has a rank
     hashes = np.append(END, best["h"].to_numpy().view(np.uint64)).astype(np.uint64)
     counts = np.append(ends, best["c"].to_numpy()).astype(np.int64)
-    scored = n * 7 // 6  # about all tokens, as a seventh is held out
-    shards = max(1, -(-scored // shard_tokens))
-    word_shards = max(1, -(-(n - int(counts.sum())) * 7 // shard_tokens))  # six times as fine: a shard also holds its words' counts
-    shared = spark.sparkContext.broadcast(Frequent(hashes, counts, n, v, ends, shards, word_shards, shard_tokens))
-
-    direct = rows.mapInArrow(lambda b: _blocks(b, shared.value, False, batch_bytes), BLOCK)
-    rare = rows.mapInArrow(lambda b: _blocks(b, shared.value, True, batch_bytes), BLOCK)
-    words = known.withColumn("shard", F.expr(f"cast(pmod(cast(h as decimal(20, 0)) + case when h < 0 then 18446744073709551616 else 0 end, {word_shards}) as int)"))
-    fetched = rare.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(lambda a, b: _fetch(a, b, shared.value), BLOCK)
-    blocks = direct.withColumn("rare", F.lit(False)).unionByName(fetched.withColumn("rare", F.lit(True)))
-    answers = blocks.groupBy("shard").applyInArrow(lambda t: _score_shard(t, shared.value), ANSWER)
-    lists = rows.mapInArrow(lambda b: _lists(b, shared.value, batch_bytes), ANSWER)
-    return lists.unionByName(answers).groupBy("batch").applyInArrow(_gather, SCORED).withColumn("train_tokens", F.lit(n).cast("long"))
+    shards = max(1, -(-(n * 7 // 6) // shard_tokens))  # about all tokens, as a seventh is held out
+    hot = max(shard_tokens // 2, n >> 18)  # so there are at most 2^18 hot pairs
+    frequent = Frequent(hashes, counts, n, v, ends, shards, hot)
+    spread = lambda: spark.sparkContext.broadcast(vars(frequent))  # noqa: E731  plain arrays: workers need no installed copy
+
+    def of(shared) -> Frequent:
+        out = Frequent.__new__(Frequent)
+        out.__dict__.update(shared.value)
+        return out
+
+    first = spread()
+    keyed = rows.withColumn("key", F.monotonically_increasing_id())
+    batches = materialise(keyed.mapInArrow(lambda b: _tokenised(b, of(first), batch_tokens), BATCH))
+    if (frequent.totals() > hot).any():
+        pairs = batches.mapInArrow(lambda b: _hot_pairs(b, of(first)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot).orderBy("key").toArrow()
+        frequent.pair_keys, frequent.pair_totals = pairs["key"].to_numpy().view(np.uint64), pairs["n"].to_numpy().astype(np.int64)
+    shared = spread()
+    asked = batches.mapInArrow(lambda b: _asked(b, of(shared)), BLOCK)
+    answers = asked.groupBy("level", "shard").applyInArrow(lambda t: _answered(t, of(shared)), BLOCK)
+    parts = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: _scored(a, b, of(shared)), SCORED)
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    whole = parts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums)
+    return whole.drop("key").withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
