@@ -60,14 +60,6 @@ def quantise(p: np.ndarray) -> np.ndarray:
 _DECODED = np.append(0.0, 10.0 ** (-np.arange(255) * (DECADES / 254)))
 
 
-# the Elias-Fano sequence
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-_SELECT = np.zeros((256, 8), np.uint8)
-for _b in range(256):
-    _ones = np.flatnonzero(_BYTE_BITS[_b])
-    _SELECT[_b, : len(_ones)] = _ones
-
-
 class EliasFano:
     """A sorted sequence of n values below a bound: low bits packed, high bits in unary."""
 
@@ -112,13 +104,16 @@ class EliasFano:
 
     @staticmethod
     def _select(word: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """The place of one more set bit than `rest` in each word."""
-        bytes_ = bits.view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(np.bitwise_count(bytes_), axis=1, dtype=np.int64)
-        byte = (counts <= rest[:, None]).sum(1)
-        rows = np.arange(len(word))
-        rest = rest - np.where(byte > 0, counts[rows, np.maximum(byte - 1, 0)], 0)
-        return word * 64 + byte * 8 + _SELECT[bytes_[rows, byte], rest]
+        """The place of one more set bit than `rest` in each word: halve the word, and again."""
+        place = word * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            low = bits & np.uint64((1 << width) - 1)
+            count = np.bitwise_count(low).astype(np.int64)
+            right = rest >= count
+            rest = rest - np.where(right, count, 0)
+            bits = np.where(right, bits >> np.uint64(width), low)
+            place += right * width
+        return place
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -167,16 +162,21 @@ class Level:
         return cls(EliasFano.build(begin, len(rank) + 1), EliasFano.build(values, int(values[-1]) + 1 if len(values) else 1))
 
     def find(self, node: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """The child of each node (or -1) with each rank (or -1); -1 where there is none."""
+        """The child of each node (or -1) with each rank (or -1); -1 where there is none. A run of one node finds its children's range once."""
         pointers, ranks = self.parts
         out = np.full(len(node), -1, np.int64)
         use = np.flatnonzero((node >= 0) & (rank >= 0))
-        begin, end = pointers.access(node[use]), pointers.access(node[use] + 1)
-        base = np.zeros(len(use), np.int64)
+        if not len(use):
+            return out
+        node = node[use]
+        head = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        begin, end = pointers.access(node[head]), pointers.access(node[head] + 1)
+        base = np.zeros(len(head), np.int64)
         later = np.flatnonzero(begin > 0)
         base[later] = ranks.access(begin[later] - 1) + 1
-        at = ranks.find(rank[use] + base)
-        out[use] = np.where((at >= begin) & (at < end), at, -1)
+        run = np.diff(np.append(head, len(node)))
+        at = ranks.find(rank[use] + np.repeat(base, run))
+        out[use] = np.where((at >= np.repeat(begin, run)) & (at < np.repeat(end, run)), at, -1)
         return out
 
 
@@ -185,8 +185,8 @@ class Trie:
 
     def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, total3: np.ndarray, total2: np.ndarray, own2: np.ndarray):
         """Of distinct training n-grams sorted by (v, u, w): counts c, context totals of each, and whether the pairs (v, w) of v are all here."""
-        words = np.unique(np.concatenate([v, u, w]))
-        rv, ru, rw = (np.searchsorted(words, x) for x in (v, u, w))
+        words, code = np.unique(np.concatenate([v, u, w]), return_inverse=True)
+        rv, ru, rw = code.reshape(3, -1)
         new = lambda *columns: np.flatnonzero(np.any([np.append(True, x[1:] != x[:-1]) for x in columns], axis=0)) if len(v) else np.empty(0, np.int64)
         one, two = new(rv), new(rv, ru)
         node1 = np.repeat(np.arange(len(one)), np.diff(np.append(one, len(v))))
@@ -220,13 +220,17 @@ class Trie:
             e.low, e.high, e.zeros = out[3 * k : 3 * k + 3]
         self.a3, self.g3, self.a2, self.g2 = out[-4:]
 
-    def lookup(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-        """Codes a3, g3, a2, g2 of questions; 0 where the trie has no such node."""
-        first, second, third = (self.words.find(x) for x in (v, u, w))
-        node1 = np.full(len(v), -1, np.int64)
-        known = np.flatnonzero(first >= 0)
-        node1[known] = self.contexts.find(first[known])
-        node2 = self.second.find(node1, second)
+    def lookup(self, words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        """Codes a3, g3, a2, g2 of questions (places of their words in `words`), sorted; 0 where the trie has no such node."""
+        rank = self.words.find(words)
+        first, second, third = rank[v], rank[u], rank[w]
+        node1, node2 = np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
+        if len(v):
+            one = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            node = np.where(first[one] >= 0, self.contexts.find(np.maximum(first[one], 0)), -1)
+            node1 = np.repeat(node, np.diff(np.append(one, len(v))))
+            two = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])))
+            node2 = np.repeat(self.second.find(node1[two], second[two]), np.diff(np.append(two, len(v))))
         leaves = ((self.third.find(node2, third), self.a3), (node2, self.g3), (self.pairs.find(node1, third), self.a2), (node1, self.g2))
         return [np.where(at >= 0, codes[np.maximum(at, 0)], np.uint8(0)) if len(codes) else np.zeros(len(v), np.uint8) for at, codes in leaves]
 
@@ -247,6 +251,14 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(planes[c].T).view(np.uint64).ravel() for c in range(columns)]
 
 
+def pack_codes(columns: list[np.ndarray]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+
+
+def unpack_codes(blob: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, -1)
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some texts, and how many each has."""
     data, at = text_buffer(texts)
@@ -437,17 +449,16 @@ def _asked(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa
             trim()
 
 
-def _summed(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct n-grams with a training count of the blocks, sorted, and their counts."""
-    columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
-    use = columns[-1] > 0
-    *grams, n = (c[use] for c in columns)
-    order = np.lexsort(grams[::-1])
-    grams, n = [g[order] for g in grams], n[order].astype(np.int64)
-    if not len(n):
-        return grams, n
-    head = np.flatnonzero(np.any([np.append(True, g[1:] != g[:-1]) for g in grams], axis=0))
-    return [g[head] for g in grams], np.add.reduceat(n, head)
+def _joined(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The words of some n-grams; the distinct n-grams in order as places in these; and which one each row is."""
+    words, code = np.unique(np.concatenate(columns), return_inverse=True)
+    width = np.uint64(max(1, len(words).bit_length()))
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in code.reshape(len(columns), -1):
+        key = key << width | c.astype(np.uint64)
+    distinct, inverse = np.unique(key, return_inverse=True)
+    mask = (np.uint64(1) << width) - np.uint64(1)
+    return words, [(distinct >> (width * np.uint64(len(columns) - 1 - i)) & mask).astype(np.int64) for i in range(len(columns))], inverse
 
 
 def _by_run(x: np.ndarray, n: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -460,33 +471,35 @@ def _answered(rows: pa.Table, frequent: Frequent) -> pa.Table:
     """All blocks of a shard: build its trie, then answer each block from it."""
     level = rows["level"][0].as_py()
     width = (4, 3, 2)[level]
-    blobs, names = rows["payload"].to_pylist(), rows["batch"].to_pylist()
-    grams, n = _summed([unpack(b, width) for b in blobs])
+    blobs = rows["payload"].to_pylist()
+    parts = [unpack(b, width) for b in blobs]
+    edges = np.append(0, np.cumsum([len(p[0]) for p in parts]))
+    *columns, n = (np.concatenate([p[i] for p in parts]) for i in range(width))
+    del blobs, parts
+    words, asked, inverse = _joined(columns)  # an n-gram that many batches ask for is one question
+    del columns
+    n = np.bincount(inverse, n, len(asked[0])).astype(np.int64)
     if level == 2:  # rare words: exact counts
-        (w,) = grams
-        count = lambda x: n[np.minimum(np.searchsorted(w, x), len(w) - 1)] * (w[np.minimum(np.searchsorted(w, x), len(w) - 1)] == x) if len(w) else np.zeros(len(x), np.int64)
-        answers = [pack(count(unpack(b, width)[0])) for b in blobs]
+        answers = [pack(n[inverse[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     else:
         if level == 1:  # pairs of a hot context
-            v, w = grams
-            u = np.zeros(len(v), np.uint64)
-            total2 = frequent.totals()[v.astype(np.int64)]
-            total3, own2 = n, np.ones(len(v), bool)
+            asked.insert(1, np.zeros(len(n), np.int64))
+        known = np.flatnonzero(n)
+        v, u, w = (words[c[known]] for c in asked)
+        c = n[known]
+        if level == 1:
+            total3, total2, own2 = c, frequent.totals()[v.astype(np.int64)], np.ones(len(v), bool)
         else:
-            v, u, w = grams
             pair = frequent.pair(v, u)
-            total3 = np.where(pair > 0, pair, _by_run(v, n, u))
-            total2, own2 = _by_run(v, n), ~frequent.is_hot(v)
+            total3 = np.where(pair > 0, pair, _by_run(v, c, u))
+            total2, own2 = _by_run(v, c), ~frequent.is_hot(v)
         with tempfile.TemporaryDirectory() as folder:
-            trie = Trie(v, u, w, n, total3, total2, own2)
+            trie = Trie(v, u, w, c, total3, total2, own2)
             trie.mapped(folder)
-            del grams, n, v, u, w, total2, total3, own2
-            answers = []
-            for b in blobs:
-                asked = unpack(b, width)[:-1]
-                codes = trie.lookup(*asked) if level == 0 else trie.lookup(asked[0], np.zeros(len(asked[0]), np.uint64), asked[1])[2:]
-                answers.append(pack(*codes))
+            del v, u, w, c, n, total2, total3, own2
+            codes = trie.lookup(words, *asked)[2 * level :]
             del trie
+        answers = [pack_codes([x[inverse[a:b]] for x in codes]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     trim()
     return pa.table([rows["level"], rows["shard"], rows["batch"], pa.array(answers, pa.binary())], names=["level", "shard", "batch", "payload"])
 
@@ -500,7 +513,7 @@ def _scored(batch: pa.Table, answers: pa.Table, frequent: Frequent) -> pa.Table:
     known = {(r["level"], r["shard"]): r["payload"] for r in answers.select(["level", "shard", "payload"]).to_pylist()}
     found = [np.zeros((k, len(n)), np.int64) for k, (_, _, _, n, _) in zip((4, 2, 1), asked.levels, strict=True)]
     for k, shard, at in asked.blocks():
-        found[k][:, at] = unpack(known[(k, shard)], len(found[k]))
+        found[k][:, at] = unpack(known[(k, shard)], 1) if k == 2 else unpack_codes(known[(k, shard)], len(found[k]))
     tokens_ = len(asked.w)
     codes = np.zeros((4, tokens_), np.int64)
     codes[:, asked.levels[0][0]] = found[0][:, asked.levels[0][1]]

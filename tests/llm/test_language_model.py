@@ -71,9 +71,11 @@ def test_trie_finds_its_ngrams_and_no_others():
     c = rng.integers(1, 9, len(v))
     t3, t2 = g._by_run(v, c, u), g._by_run(v, c)
     trie = g.Trie(v, u, w, c, t3, t2, np.ones(len(v), bool))
-    a3, g3, a2, g2 = trie.lookup(v, u, w)
+    words = np.arange(40, dtype=np.uint64) ** np.uint64(3)
+    ask = lambda rows: trie.lookup(words, *np.searchsorted(words, rows).T)
+    a3, g3, a2, g2 = ask(inside)
     assert (a3 == g.quantise(c / (t3 + g.MU3))).all() and (g3 == g.quantise(g.MU3 / (t3 + g.MU3))).all() and (g2 == g.quantise(g.MU2 / (t2 + g.MU2))).all()
-    a3, g3, a2, g2 = trie.lookup(*other.T.copy())
+    a3, g3, a2, g2 = ask(other)
     assert (a3 == 0).all()
     pairs, contexts = {tuple(x) for x in inside[:, [0, 2]].tolist()}, {tuple(x) for x in inside[:, :2].tolist()}
     assert [x > 0 for x in a2.tolist()] == [(a, b) in pairs for a, _, b in other.tolist()]
