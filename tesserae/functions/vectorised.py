@@ -1,11 +1,14 @@
-"""The few array functions that need numpy: transforms and blurs of square planes, by Arrow batch."""
+"""The few functions that need numpy: transforms and blurs of square planes and the text hash, by Arrow batch."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
 def _planes(v: pd.Series) -> np.ndarray:
@@ -54,3 +57,21 @@ def retinex(v: pd.Series) -> pd.Series:
     p = _planes(v)
     p = p - p.min(axis=(1, 2), keepdims=True) + 1
     return _rows(np.log(p) - np.log(_blur(p)))
+
+
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def similarity_hash(lowered: str, text: str, words: int = 3, step: int = 1 << 16) -> int:
+    """60 bits: the majority of each bit over the digests of the distinct shingles; a text of fewer words is one shingle."""
+    w = [x for x in _BLANKS.split(lowered) if x]
+    shingles = {" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {text}
+    raw = b"".join(hashlib.sha256(s.encode()).digest()[:8] for s in shingles)
+    codes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    ones = sum(np.unpackbits(codes[i : i + step], axis=1).sum(0, dtype=np.int64) for i in range(0, len(codes), step))[:60]
+    return int("".join("1" if 2 * n > len(codes) else "0" for n in ones), 2)
+
+
+@pandas_udf(LongType())
+def simhash60(lowered: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else similarity_hash(a, t) for a, t in zip(lowered, text, strict=True)], dtype="Int64")

@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.curation import hash_pairs
+from tesserae.operators.curation import hash_pairs, materialise
 
 #: Most severe first.
 SEVERITY = ("cross_class_exact", "exact", "near", "filename")
 
 
 def exact_leaks(test: DataFrame, train: DataFrame) -> DataFrame:
-    """All test/train pairs of one digest: kind exact, or cross_class_exact where the classes differ. Rows: (class, path, sha256)."""
+    """Test rows with train rows of the same digest: kind exact, or cross_class_exact where the classes differ.
+
+    One row for each test row and train class, with the first train path and the number of train rows (n_train), so
+    copies are never expanded into pairs. Rows: (class, path, sha256).
+    """
     t = test.where("sha256 <> ''").select(F.col("class").alias("cls"), F.col("path").alias("test_path"), "sha256")
-    r = train.where("sha256 <> ''").select(F.col("class").alias("train_cls"), F.col("path").alias("train_path"), "sha256")
+    r = train.where("sha256 <> ''").groupBy("sha256", F.col("class").alias("train_cls")).agg(F.min("path").alias("train_path"), F.count(F.lit(1)).alias("n_train"))
     kind = F.when(F.col("cls") == F.col("train_cls"), "exact").otherwise("cross_class_exact")
-    return t.join(r, "sha256").select(kind.alias("kind"), "cls", "test_path", "train_path", F.lit(None).cast("int").alias("distance"), "sha256")
+    return t.join(r, "sha256").select(kind.alias("kind"), "cls", "test_path", "train_path", "n_train", F.lit(None).cast("int").alias("distance"), "sha256")
 
 
 def filename_leaks(test: DataFrame, train: DataFrame) -> DataFrame:
     """Same filename, other bytes, against the first train row of that name."""
     first = train.groupBy("filename").agg(F.min(F.struct("path", "sha256")).alias("row")).select("filename", F.col("row.path").alias("train_path"), F.col("row.sha256").alias("train_sha"))
     found = test.join(first, "filename").where(F.col("sha256") != F.col("train_sha"))
-    return found.select(F.lit("filename").alias("kind"), F.col("class").alias("cls"), F.col("path").alias("test_path"), "train_path", F.lit(None).cast("int").alias("distance"), F.lit(None).cast("string").alias("sha256"))
+    return found.select(F.lit("filename").alias("kind"), F.col("class").alias("cls"), F.col("path").alias("test_path"), "train_path", F.lit(1).cast("long").alias("n_train"), F.lit(None).cast("int").alias("distance"), F.lit(None).cast("string").alias("sha256"))
+
+
+def within_split_copies(rows: DataFrame) -> DataFrame:
+    """(split, duplicates): surplus copies inside each side."""
+    return rows.where("sha256 <> ''").groupBy("split", "sha256").count().groupBy("split").agg(F.sum(F.col("count") - 1).alias("duplicates"))
 
 
 def without_exact(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -32,11 +41,12 @@ def without_exact(test: DataFrame, train: DataFrame) -> DataFrame:
 
 def near_leaks(test: DataFrame, train: DataFrame, threshold: int = 6, bits: int = 60, cross_class: bool = False) -> DataFrame:
     """Per test row that has no exact hit: the nearest train row of its class within the threshold; ties go to the first path."""
-    rows = without_exact(test, train).where("h is not null")
+    rows = materialise(without_exact(test, train).where("h is not null"))
     label = F.lit("") if cross_class else F.col("class")
-    pairs = hash_pairs(rows.select(F.col("path").alias("id"), label.alias("label"), "h"), train.where("h is not null").select(F.col("path").alias("id"), label.alias("label"), "h"), threshold, bits)
+    copies = train.where("h is not null").groupBy(label.alias("label"), "h").agg(F.min("path").alias("id"))
+    pairs = hash_pairs(rows.select(F.col("path").alias("id"), label.alias("label"), "h"), materialise(copies), threshold, bits)
     best = pairs.groupBy("l").agg(F.min(F.struct("distance", "r")).alias("m"))
-    return best.join(rows.select(F.col("path").alias("l"), "class"), "l").select(F.lit("near").alias("kind"), F.col("class").alias("cls"), F.col("l").alias("test_path"), F.col("m.r").alias("train_path"), F.col("m.distance").alias("distance"), F.lit(None).cast("string").alias("sha256"))
+    return best.join(rows.select(F.col("path").alias("l"), "class"), "l").select(F.lit("near").alias("kind"), F.col("class").alias("cls"), F.col("l").alias("test_path"), F.col("m.r").alias("train_path"), F.lit(1).cast("long").alias("n_train"), F.col("m.distance").alias("distance"), F.lit(None).cast("string").alias("sha256"))
 
 
 def severity(kind: Column) -> Column:
@@ -49,9 +59,9 @@ def severity(kind: Column) -> Column:
 def leak_summary(hits: DataFrame, test_rows: int | Column) -> DataFrame:
     """Count per kind (zero-filled), whether it blocks, and its share of the test rows."""
     kinds = hits.sparkSession.createDataFrame([(k, k in SEVERITY[:2]) for k in SEVERITY], "kind string, blocking boolean")
-    counts = hits.groupBy("kind").count()
-    n = F.coalesce("count", F.lit(0)).cast("long")
-    return F.broadcast(kinds).join(counts, "kind", "left").select("kind", n.alias("hits"), "blocking", F.round(F.lit(100.0) * n / test_rows, 6).alias("percent_of_test"))
+    counts = hits.groupBy("kind").agg(F.sum("n_train").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return kinds.join(counts, "kind", "left").select("kind", n.alias("hits"), "blocking", F.round(F.lit(100.0) * n / test_rows, 6).alias("percent_of_test"))
 
 
 class LeakageError(ValueError):
@@ -65,11 +75,21 @@ def gate(summary: DataFrame, allow: bool = False) -> DataFrame:
     return summary
 
 
+def leakage_audit(test: DataFrame, train: DataFrame, allow: bool = False, threshold: int = 6, bits: int = 60) -> DataFrame:
+    """All hit kinds with their counts, and the copies inside each side; raises where a blocking kind has hits and is not allowed."""
+    n = test.count()
+    hits = exact_leaks(test, train).unionByName(near_leaks(test, train, threshold, bits)).unionByName(filename_leaks(test, train))
+    summary = gate(materialise(leak_summary(hits, n)), allow)
+    inside = within_split_copies(test.withColumn("split", F.lit("test")).unionByName(train.withColumn("split", F.lit("train"))))
+    share = F.round(F.lit(100.0) * F.col("duplicates") / n, 6)
+    return summary.unionByName(inside.select(F.concat(F.lit("within_"), "split").alias("kind"), F.col("duplicates").alias("hits"), F.lit(False).alias("blocking"), share.alias("percent_of_test")))
+
+
 def count_by_split_class(rows: DataFrame, classes: DataFrame, splits: list[str]) -> DataFrame:
     """Rows per split and class, zero-filled over the class dimension."""
     grid = classes.select("class", F.explode(F.array(*(F.lit(s) for s in splits))).alias("split"))
     counts = rows.groupBy("split", "class").count()
-    return F.broadcast(grid).join(counts, ["split", "class"], "left").select("split", "class", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+    return grid.join(counts, ["split", "class"], "left").select("split", "class", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
 def class_differences(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalar as S
+from tesserae.functions import vectorised as U
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -57,47 +59,62 @@ def dedup_audit(rows: DataFrame, digest: str, order: list[str], path: str, label
 
 
 # near duplicates
-def simhash60(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h): 60-bit similarity hash over the distinct 3-word shingles."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
-    exploded = documents.select(key, F.col(text).alias("_text"), words.alias("w")).select(key, F.when(F.size("w") < 3, F.array("_text")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("s"))
-    hashed = exploded.select(key, F.explode(F.array_distinct("s")).alias("s")).select(key, F.conv(F.substring(F.sha2(F.col("s").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("x"))
-    votes = hashed.groupBy(key).agg(*(F.sum(F.getbit("x", F.lit(i)) * 2 - 1).alias(f"b{i}") for i in range(60)))
-    value = F.lit(0).cast("long")
-    for i in range(60):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return votes.select(key, value.alias("h"))
-
-
-def hash_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
-    """(l, r, distance) of rows (id, label, h) of one label within the threshold.
-
-    Pigeonhole: of threshold + 2 bands at least two agree, so the join key is a pair of bands.
+def simhash60(text: Column) -> Column:
+    """60-bit similarity hash over the distinct 3-word shingles, within the row: no explode, no shuffle. Null text: null."""
+    return U.simhash60(F.lower(text), text)
+
+
+def bands_that_agree(rows: int) -> int:
+    """How many bands make a join key: keys of about 15, 20 or 24 bits, so that chance groups stay small."""
+    return 2 if rows <= 2_000_000 else 3 if rows <= 200_000_000 else 4
+
+
+def hash_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int = 64, agree: int | None = None) -> DataFrame:
+    """(l, r, distance) of written rows (id, label, h) of one label within the threshold.
+
+    Pigeonhole: of threshold + agree bands at least `agree` are equal, so the join key is a choice of that many bands.
     """
-    bands = threshold + 2
+    agree = agree or bands_that_agree(max(left.count(), right.count()))
+    bands = threshold + agree
     edges = [round(i * bits / bands) for i in range(bands + 1)]
+    part = lambda i: F.shiftright("h", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
 
-    def keyed(rows: DataFrame, side: str) -> DataFrame:
-        part = lambda i: F.shiftright("h", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-        pairs = [F.struct(F.lit(i * bands + j).alias("band"), part(i).alias("x"), part(j).alias("y")) for i in range(bands) for j in range(i + 1, bands)]
-        return rows.select(F.col("id").alias(side), "label", F.col("h").alias(f"h_{side}"), F.inline(F.array(*pairs)))
+    def joined(some: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for i in some:
+            out = F.shiftleft(out, edges[i + 1] - edges[i]).bitwiseOR(part(i))
+        return out
 
+    keys = [F.struct(F.lit(k).alias("band"), joined(some).alias("x")) for k, some in enumerate(combinations(range(bands), agree))]
+    keyed = lambda rows, side: rows.select(F.col("id").alias(side), "label", F.col("h").alias(f"h_{side}"), F.inline(F.array(*keys)))
     a, b = keyed(left, "l"), keyed(right, "r")
     near = S.hamming(F.col("h_l"), F.col("h_r")) <= threshold
-    found = a.hint("shuffle_merge").join(b, ["label", "band", "x", "y"]).where(near)
+    found = a.hint("shuffle_merge").join(b.hint("shuffle_merge"), ["label", "band", "x"]).where(near)
     return found.select("l", "r", S.hamming(F.col("h_l"), F.col("h_r")).alias("distance")).distinct()
 
 
+def hash_classes(rows: DataFrame) -> DataFrame:
+    """Written (id, label, h): the smallest id of each label and hash, which stands for its copies."""
+    return materialise(rows.groupBy("label", "h").agg(F.min("id").alias("id")).select("id", "label", "h"))
+
+
 def near_pairs(rows: DataFrame, threshold: int, bits: int = 60) -> DataFrame:
-    """All pairs l < r of one label within the threshold; equal hashes are joined as one class first."""
-    return hash_pairs(rows, rows, threshold, bits).where("l < r")
+    """All pairs l < r of one label within the threshold, of distinct hashes: between the classes of equal hashes, each by
+    its smallest id. `near_members` gives the copies of each."""
+    one = hash_classes(rows)
+    return hash_pairs(one, one, threshold, bits).where("l < r")
+
+
+def near_members(rows: DataFrame) -> DataFrame:
+    """(id, label, class_id): the class of equal hashes of each row."""
+    return rows.hint("shuffle_merge").join(hash_classes(rows).withColumnRenamed("id", "class_id").hint("shuffle_merge"), ["label", "h"]).select("id", "label", "class_id")
 
 
 def near_stars(rows: DataFrame, threshold: int, bits: int = 60) -> DataFrame:
-    """Links (l, r) with the same connected parts as near_pairs: copies hang on one representative of their hash."""
-    one = rows.groupBy("label", "h").agg(F.min("id").alias("id"))
-    copies = rows.join(one.withColumnRenamed("id", "l"), ["label", "h"]).where("id <> l").select("l", F.col("id").alias("r"))
-    return near_pairs(one, threshold, bits).select("l", "r").unionByName(copies)
+    """Links (l, r) with the same connected parts as all pairs: copies hang on the one that stands for their hash."""
+    one = hash_classes(rows)
+    copies = rows.hint("shuffle_merge").join(one.withColumnRenamed("id", "l").hint("shuffle_merge"), ["label", "h"]).where("id <> l").select("l", F.col("id").alias("r"))
+    return hash_pairs(one, one, threshold, bits).where("l < r").select("l", "r").unionByName(copies)
 
 
 def components(links: DataFrame) -> DataFrame:

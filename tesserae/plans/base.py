@@ -53,9 +53,7 @@ split AS (SELECT * EXCLUDE (rk, cn), CASE WHEN rk <= least(greatest(CAST(round_e
 
 # similarity hashes of the texts, the language as label
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    h = C.simhash60(documents, "doc_id", "text")
-    return C.materialise(documents.select("doc_id", "lang").join(h, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "h"))
+    return C.materialise(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), C.simhash60(F.col("text")).alias("h")))
 
 
 _BITS = ", ".join(f"sum(2 * ((x >> {i}) & 1) - 1) AS b{i}" for i in range(60))

@@ -118,7 +118,7 @@ def report_lookup(spark, d):
 
 
 _LEAKS_SQL = SPLIT + """, t AS (SELECT * FROM split WHERE split = 'test' AND sha256 <> ''), r AS (SELECT * FROM split WHERE split = 'train'),
-exact AS (SELECT CASE WHEN t.class = r.class THEN 'exact' ELSE 'cross_class_exact' END AS kind, t.class AS cls, t.path AS test_path, r.path AS train_path, CAST(NULL AS INTEGER) AS distance, t.sha256 FROM t JOIN r USING (sha256))"""
+exact AS (SELECT CASE WHEN t.class = r.class THEN 'exact' ELSE 'cross_class_exact' END AS kind, t.class AS cls, t.path AS test_path, min(r.path) AS train_path, count(*) AS n_train, CAST(NULL AS INTEGER) AS distance, t.sha256 FROM t JOIN r USING (sha256) GROUP BY t.class, r.class, t.path, t.sha256)"""
 
 
 def sides(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +146,7 @@ def write_leakage_report(spark, d):
 
 
 _FILE_SQL = SPLIT + """, f AS (SELECT *, class || '.txt' AS shared FROM split), first AS (SELECT shared, arg_min(path, path) AS train_path, arg_min(sha256, path) AS train_sha FROM f WHERE split = 'train' GROUP BY shared),
-named AS (SELECT 'filename' AS kind, class AS cls, path AS test_path, train_path, CAST(NULL AS INTEGER) AS distance, CAST(NULL AS VARCHAR) AS sha256 FROM f JOIN first USING (shared) WHERE split = 'test' AND f.sha256 <> train_sha)"""
+named AS (SELECT 'filename' AS kind, class AS cls, path AS test_path, train_path, CAST(1 AS BIGINT) AS n_train, CAST(NULL AS INTEGER) AS distance, CAST(NULL AS VARCHAR) AS sha256 FROM f JOIN first USING (shared) WHERE split = 'test' AND f.sha256 <> train_sha)"""
 
 
 @query("leak_filename", f"WITH {_FILE_SQL} SELECT * FROM named")
@@ -169,7 +169,7 @@ def hashed_sides(spark, d) -> tuple[DataFrame, DataFrame]:
 _NEAR_LEAK_SQL = f"""{HASHED}, {SPLIT}, hs AS (SELECT s.*, h.h FROM split s JOIN hashed h ON s.sample_id = h.id),
 q AS (SELECT * FROM hs WHERE split = 'test' AND sha256 NOT IN (SELECT sha256 FROM hs WHERE split = 'train')),
 m AS (SELECT q.lang AS cls, q.path AS test_path, r.path AS train_path, CAST(bit_count(xor(q.h, r.h)) AS INTEGER) AS distance, row_number() OVER (PARTITION BY q.path ORDER BY bit_count(xor(q.h, r.h)), r.path) AS rn FROM q JOIN hs r ON r.split = 'train' AND r.lang = q.lang AND bit_count(xor(q.h, r.h)) <= 6),
-near AS (SELECT 'near' AS kind, cls, test_path, train_path, distance, CAST(NULL AS VARCHAR) AS sha256 FROM m WHERE rn = 1)"""
+near AS (SELECT 'near' AS kind, cls, test_path, train_path, CAST(1 AS BIGINT) AS n_train, distance, CAST(NULL AS VARCHAR) AS sha256 FROM m WHERE rn = 1)"""
 
 
 @query("leak_near", f"WITH {_NEAR_LEAK_SQL} SELECT * FROM near")
@@ -186,22 +186,26 @@ def near_candidates_checked(spark, d):
 _KINDS_SQL = "kinds(kind, blocking) AS (VALUES ('cross_class_exact', true), ('exact', true), ('near', false), ('filename', false))"
 
 
-@query("leak_summary", f"WITH {_LEAKS_SQL}, {_KINDS_SQL} SELECT kind, count(test_path) AS hits, blocking, round(100.0 * count(test_path) / (SELECT count(*) FROM split WHERE split = 'test'), 6) AS percent_of_test FROM kinds LEFT JOIN exact USING (kind) GROUP BY kind, blocking")
+@query("leak_summary", f"WITH {_LEAKS_SQL}, {_KINDS_SQL} SELECT kind, CAST(coalesce(sum(n_train), 0) AS BIGINT) AS hits, blocking, round(100.0 * coalesce(sum(n_train), 0) / (SELECT count(*) FROM split WHERE split = 'test'), 6) AS percent_of_test FROM kinds LEFT JOIN exact USING (kind) GROUP BY kind, blocking")
 def leak_summary(spark, d):
     test, train = sides(spark, d)
     return A.leak_summary(A.exact_leaks(test, train), test.count())
 
 
-@query("leakage_audit", f"WITH {_NEAR_LEAK_SQL}, {_KINDS_SQL}, t AS (SELECT * FROM hs WHERE split = 'test'), exact AS (SELECT CASE WHEN t.lang = r.lang THEN 'exact' ELSE 'cross_class_exact' END AS kind FROM t JOIN hs r ON r.split = 'train' AND r.sha256 = t.sha256), hits AS (SELECT kind FROM exact UNION ALL SELECT kind FROM near) SELECT k.kind, count(h.kind) AS hits, blocking, round(100.0 * count(h.kind) / (SELECT count(*) FROM t), 6) AS percent_of_test FROM kinds k LEFT JOIN hits h ON k.kind = h.kind GROUP BY k.kind, blocking")
+@query("leakage_audit", f"""WITH {_NEAR_LEAK_SQL}, {_KINDS_SQL}, t AS (SELECT * FROM hs WHERE split = 'test'),
+exact AS (SELECT CASE WHEN t.lang = r.lang THEN 'exact' ELSE 'cross_class_exact' END AS kind FROM t JOIN hs r ON r.split = 'train' AND r.sha256 = t.sha256),
+first AS (SELECT lang, arg_min(sha256, path) AS train_sha FROM hs WHERE split = 'train' GROUP BY lang), named AS (SELECT 'filename' AS kind FROM t JOIN first USING (lang) WHERE t.sha256 <> train_sha),
+hits AS (SELECT kind FROM exact UNION ALL SELECT kind FROM near UNION ALL SELECT kind FROM named), inside AS (SELECT split, count(*) - 1 AS more FROM hs WHERE sha256 <> '' GROUP BY split, sha256)
+SELECT k.kind, count(h.kind) AS hits, blocking, round(100.0 * count(h.kind) / (SELECT count(*) FROM t), 6) AS percent_of_test FROM kinds k LEFT JOIN hits h ON k.kind = h.kind GROUP BY k.kind, blocking
+UNION ALL SELECT 'within_' || split, CAST(sum(more) AS BIGINT), false, round(100.0 * sum(more) / (SELECT count(*) FROM t), 6) FROM inside GROUP BY split""")
 def leakage_audit(spark, d):
-    test, train = hashed_sides(spark, d)
-    hits = A.exact_leaks(test, train).unionByName(A.near_leaks(test, train))
-    return A.gate(A.leak_summary(hits, test.count()), allow=True)
+    test, train = (x.withColumn("filename", F.concat("class", F.lit(".txt"))) for x in hashed_sides(spark, d))
+    return A.leakage_audit(test, train, allow=True)
 
 
 @query("within_split_dups", f"WITH {SPLIT}, g AS (SELECT split, sha256, count(*) AS n FROM split WHERE sha256 <> '' GROUP BY ALL) SELECT split, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM g GROUP BY split")
 def within_split_dups(spark, d):
-    return split_samples(spark, d).where("sha256 <> ''").groupBy("split", "sha256").count().groupBy("split").agg(F.sum(F.col("count") - 1).alias("duplicates"))
+    return A.within_split_copies(split_samples(spark, d))
 
 
 # labels
@@ -272,11 +276,19 @@ def dedup_audit(spark, d):
     return C.dedup_audit(samples(spark, d), "sha256", ["sample_id"], "path", "class")
 
 
-@query("near_pairs", f"WITH {NEAR} SELECT label, l, r, distance FROM pairs JOIN (SELECT label AS lb, h AS hh, min(id) AS m FROM hashed GROUP BY ALL) x ON x.m = l JOIN (SELECT label AS lc, h AS hi, min(id) AS o FROM hashed GROUP BY ALL) y ON y.o = r")
+_CLASSES = NEAR + ", c AS (SELECT label, h, min(id) AS class_id FROM hashed WHERE h IS NOT NULL GROUP BY ALL)"
+
+
+@query("near_pairs", f"WITH {_CLASSES} SELECT DISTINCT p.label, x.class_id AS l, y.class_id AS r, p.distance FROM (SELECT label, l, r, distance FROM pairs UNION ALL SELECT label, r, l, distance FROM pairs) p JOIN hashed a ON a.id = p.l JOIN hashed b ON b.id = p.r JOIN c x ON x.label = a.label AND x.h = a.h JOIN c y ON y.label = b.label AND y.h = b.h WHERE x.class_id < y.class_id")
 def near_pairs(spark, d):
-    """Pairs of distinct hashes (their first rows); copies follow from equal hashes."""
-    one = hashed(spark, d).groupBy("label", "h").agg(F.min("id").alias("id"))
-    return C.near_pairs(one, 6).join(one.select(F.col("id").alias("l"), "label"), "l").select("label", "l", "r", F.col("distance").cast("int").alias("distance"))
+    """Pairs between the classes of equal hashes; near_pair_members gives the rows of each class."""
+    rows = hashed(spark, d).where("h is not null")
+    return C.near_pairs(rows, 6).join(rows.select(F.col("id").alias("l"), "label"), "l").select("label", "l", "r", F.col("distance").cast("int").alias("distance"))
+
+
+@query("near_pair_members", f"WITH {_CLASSES} SELECT id, label, class_id FROM hashed JOIN c USING (label, h)")
+def near_pair_members(spark, d):
+    return C.near_members(hashed(spark, d).where("h is not null"))
 
 
 @query("near_dup_groups", f"WITH RECURSIVE {GROUPS} SELECT id, label, group_id FROM groups")
@@ -295,27 +307,39 @@ def group_stats(spark, d):
     return g.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), (F.sum("n") - F.count(F.lit(1))).alias("rows_minus_groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_larger_groups"))
 
 
+def _walk(rows: str) -> str:
+    """The grouped split of (label, group_id, n): the groups in order, each to the side that lacks more."""
+    side = "CASE WHEN want_test > 0 AND (want_test - ht) / want_test >= CASE WHEN want_train > 0 THEN (want_train - hr) / want_train ELSE 0.0 END THEN 'test' ELSE 'train' END"
+    return f"""ord AS (SELECT label, group_id, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, sha256('42|' || label || '|' || group_id)) AS rn, sum(n) OVER (PARTITION BY label) AS total, count(*) OVER (PARTITION BY label) AS k FROM ({rows})),
+goal AS (SELECT *, CAST(CASE WHEN k > 1 THEN greatest(1, round_even(total * 0.2, 0)) ELSE 0 END AS DOUBLE) AS want_test, CAST(total - CASE WHEN k > 1 THEN greatest(1, round_even(total * 0.2, 0)) ELSE 0 END AS DOUBLE) AS want_train FROM ord),
+walk AS (SELECT label, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS group_id, 0.0::DOUBLE AS ht, 0.0::DOUBLE AS hr, '' AS split FROM goal WHERE rn = 1
+ UNION ALL SELECT label, rn, group_id, ht + CASE WHEN side = 'test' THEN n ELSE 0 END, hr + CASE WHEN side = 'train' THEN n ELSE 0 END, side FROM (SELECT g.label, g.rn, g.group_id, g.n, ht, hr, {side} AS side FROM walk w JOIN goal g ON g.label = w.label AND g.rn = w.rn + 1)),
+sided AS (SELECT label, group_id, split FROM walk WHERE rn > 0)"""
+
+
+_GROUPED = f"{GROUPS}, {_walk('SELECT label, group_id, count(*) AS n FROM groups GROUP BY ALL')}"
+
+
 def grouped(spark, d) -> DataFrame:
     """Rows with group and side of the grouped split."""
     groups = C.materialise(C.near_groups(hashed(spark, d), 6))
     sizes = groups.groupBy("label", "group_id").agg(F.count(F.lit(1)).alias("n"))
-    return groups.join(C.grouped_split(sizes, 0.2), ["label", "group_id"])
+    return groups.hint("shuffle_merge").join(C.materialise(C.grouped_split(sizes, 0.2)), ["label", "group_id"])
 
 
-@query("grouped_split")
+@query("grouped_split", f"WITH RECURSIVE {_GROUPED} SELECT id, label, group_id, split FROM groups JOIN sided USING (label, group_id)")
 def grouped_split(spark, d):
-    return grouped(spark, d)
+    return grouped(spark, d).select("id", "label", "group_id", "split")
 
 
-@query("group_overlap", "SELECT 0 AS label_groups_on_both_sides WHERE false")
+@query("group_overlap", f"WITH RECURSIVE {_GROUPED}, g AS (SELECT label, group_id, split FROM groups JOIN sided USING (label, group_id)) SELECT count(DISTINCT (label, group_id)) AS n_groups, count(DISTINCT (label, group_id)) FILTER (split = 'test') AS n_test, count(DISTINCT (label, group_id)) FILTER (split = 'test' AND (label, group_id) IN (SELECT (label, group_id) FROM g WHERE split = 'train')) AS on_both_sides FROM g")
 def group_overlap(spark, d):
-    """Groups on both sides: none."""
-    rows = C.materialise(grouped(spark, d))
-    side = lambda s: rows.where(F.col("split") == s).select("label", "group_id")
-    return side("test").intersect(side("train")).select(F.lit(0).alias("label_groups_on_both_sides"))
+    """How many groups there are, how many are on the test side, and how many on both (none)."""
+    sides_of = grouped(spark, d).groupBy("label", "group_id").agg(F.bool_or(F.col("split") == "test").alias("test"), F.bool_or(F.col("split") == "train").alias("train"))
+    return sides_of.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if("test").alias("n_test"), F.count_if(F.col("test") & F.col("train")).alias("on_both_sides"))
 
 
-@query("split_partition_check", "SELECT CAST(0 AS BIGINT) AS overlap, CAST(0 AS BIGINT) AS missing, count(*) AS n_rows FROM documents")
+@query("split_partition_check", f"WITH {SPLIT}, o AS (SELECT sample_id FROM split WHERE split = 'test' INTERSECT SELECT sample_id FROM split WHERE split = 'train'), m AS (SELECT doc_id FROM documents EXCEPT ALL SELECT sample_id FROM split) SELECT (SELECT count(*) FROM o) AS overlap, (SELECT count(*) FROM m) AS missing, count(*) AS n_rows FROM documents")
 def split_partition_check(spark, d):
     rows, ids = split_samples(spark, d), samples(spark, d).select("sample_id")
     test, train = (rows.where(F.col("split") == s).select("sample_id") for s in ("test", "train"))
@@ -338,6 +362,14 @@ def train_val_split(spark, d):
     return counts.withColumn("starved", F.col("n_rows") < 2)
 
 
+@query("val_from_test", f"WITH {SPLIT} SELECT class, count_if(split = 'train') AS n_train, count_if(split = 'test') AS n_val, count_if(split = 'test') AS n_test, 'validation rows are the test rows: scores on them are biased' AS warning FROM split GROUP BY class")
+def val_from_test(spark, d):
+    """The mode in which the test side doubles as validation, with its warning on every row."""
+    n = lambda side: F.count_if(F.col("split") == side)
+    counts = split_samples(spark, d).groupBy("class").agg(n("train").alias("n_train"), n("test").alias("n_val"), n("test").alias("n_test"))
+    return counts.withColumn("warning", F.lit("validation rows are the test rows: scores on them are biased"))
+
+
 @query("sample_per_class", f"WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY sha256('42|' || sample_id), sample_id) AS rk FROM samples) SELECT sample_id, class FROM r WHERE rk <= 10")
 def sample_per_class(spark, d):
     return C.sample_per_class(samples(spark, d).select("sample_id", "class"), "class", "sample_id", 10)
@@ -370,15 +402,25 @@ def materialise_splits(spark, d):
     return spark.read.schema(named.schema).parquet(path).select("split", "class", "stored_name", "sample_id")
 
 
-@query("build_dataset", f"WITH RECURSIVE {GROUPS}, docs AS (SELECT doc_id, lang, source, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents) SELECT lang AS class, count(*) AS n_rows, count_if(rn > 1) AS duplicates, count(DISTINCT group_id) FILTER (rn = 1) AS n_groups FROM docs JOIN groups ON doc_id = id WHERE lang <> 'es' GROUP BY lang")
+@query("build_dataset", f"""WITH RECURSIVE {GROUPS}, docs AS (SELECT doc_id, lang, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents WHERE lang <> 'es'),
+kept AS (SELECT doc_id, lang AS label, sha, group_id FROM docs JOIN groups ON doc_id = id WHERE rn = 1), {_walk('SELECT label, group_id, count(*) AS n FROM kept GROUP BY ALL')},
+manifest AS (SELECT split, kept.label AS class, sha, group_id FROM kept JOIN sided USING (label, group_id)),
+l AS (SELECT sha256(split || '|' || class || '|' || sha) AS d FROM manifest), bk AS (SELECT substr(d, 1, 2) AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l GROUP BY 1), f AS (SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS fingerprint FROM bk),
+r AS (SELECT lang AS class, count(*) AS n_rows, count_if(rn > 1) AS duplicates FROM docs GROUP BY lang), c AS (SELECT class, count(DISTINCT group_id) AS n_groups, count_if(split = 'train') AS n_train, count_if(split = 'test') AS n_test FROM manifest GROUP BY class)
+SELECT class, n_rows, duplicates, n_groups, n_train, n_test, fingerprint FROM r JOIN c USING (class), f""")
 def build_dataset(spark, d):
-    """The build as one plan: labels, quarantine, dedup, groups, and the counts of its report."""
+    """The build as one plan: labels, quarantine, dedup, groups, grouped split, manifest fingerprint, and its report by class."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    known = C.normalise_labels(docs, "lang", C.alias_table(spark, ALIASES), "crop").where("canonical is not null")
-    kept = C.dedup_first(known.select("doc_id", "sha"), "sha", ["doc_id"]).select("doc_id", F.lit(True).alias("kept"))
+    known = C.normalise_labels(docs, "lang", C.alias_table(spark, ALIASES), "crop").where("canonical is not null").select("doc_id", "sha", F.col("lang").alias("label"))
     groups = C.near_groups(hashed(spark, d), 6).select(F.col("id").alias("doc_id"), "group_id")
-    rows = known.join(kept, "doc_id", "left").join(groups, "doc_id")
-    return rows.groupBy(F.col("lang").alias("class")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("kept").isNull()).alias("duplicates"), F.count_distinct(F.when(F.col("kept"), F.col("group_id"))).alias("n_groups"))
+    kept = C.materialise(C.dedup_first(known, "sha", ["doc_id"]).join(groups, "doc_id"))
+    sizes = kept.groupBy("label", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    manifest = kept.hint("shuffle_merge").join(C.materialise(C.grouped_split(sizes, 0.2)), ["label", "group_id"])
+    manifest = C.materialise(manifest.select("split", F.col("label").alias("class"), "sha", "group_id"))
+    report = known.groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n_rows"))
+    sides_of = manifest.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("group_id").alias("n_groups"), F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    out = report.join(sides_of, "class").join(F.broadcast(C.merkle_fingerprint(manifest, ["split", "class", "sha"])))  # one row
+    return out.select("class", "n_rows", (F.col("n_rows") - F.col("n")).alias("duplicates"), "n_groups", "n_train", "n_test", "fingerprint")
 
 
 # validation
@@ -455,9 +497,14 @@ def unreadable_count(spark, d):
 @query("validate_dataset", f"""WITH {SPLIT}, {_CLASSES_SQL}, {_SPLITS_SQL}, c AS (SELECT d.split, e.class, count(s.sample_id) AS n FROM expected e CROSS JOIN sides d LEFT JOIN split s ON s.class = e.class AND s.split = d.split GROUP BY ALL)
 SELECT 'empty_class' AS check_name, 'fatal' AS level, class || '/' || split AS subject FROM c WHERE n = 0
 UNION ALL SELECT 'missing', 'fatal', class FROM expected WHERE class NOT IN (SELECT class FROM split)
-UNION ALL SELECT DISTINCT 'unexpected', 'warning', class FROM split WHERE class NOT IN (SELECT class FROM expected)""")
+UNION ALL SELECT DISTINCT 'unexpected', 'warning', class FROM split WHERE class NOT IN (SELECT class FROM expected)
+UNION ALL SELECT 'one_sided', 'warning', class FROM split GROUP BY class HAVING count_if(split = 'train') = 0 OR count_if(split = 'test') = 0
+UNION ALL SELECT 'corrupt', 'fatal', CAST(page_id AS VARCHAR) FROM (SELECT page_id, {_ERROR_SQL} AS error FROM ({_CORRUPT_SQL})) WHERE error IS NOT NULL""")
 def validate_dataset(spark, d):
     rows = split_samples(spark, d)
     empty = A.count_by_split_class(rows, expected(spark), ["train", "test"]).where("n = 0").select(F.lit("empty_class").alias("check_name"), F.lit("fatal").alias("level"), F.concat("class", F.lit("/"), "split").alias("subject"))
     kinds = A.class_differences(expected(spark), rows).select(F.col("kind").alias("check_name"), F.when(F.col("kind") == "missing", "fatal").otherwise("warning").alias("level"), F.col("class").alias("subject"))
-    return empty.unionByName(kinds)
+    lines = lambda rows, name, level, subject: rows.select(F.lit(name).alias("check_name"), F.lit(level).alias("level"), F.col(subject).cast("string").alias("subject"))
+    sides_missing = lines(A.one_sided_classes(rows), "one_sided", "warning", "class")
+    corrupt = lines(planted_pages(spark, d).where(_CORRUPT().isNotNull()), "corrupt", "fatal", "page_id")
+    return empty.unionByName(kinds).unionByName(sides_missing).unionByName(corrupt)

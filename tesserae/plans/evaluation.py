@@ -191,11 +191,29 @@ def log_loss(spark, d):
     return joined.agg(R6(E.log_loss(F.col("p"))).alias("loss"), R6(E.log_loss(F.col("p"), F.col("wt"))).alias("weighted_loss"), R6(F.avg(-0.9 * F.log("p") + 0.1 * F.col("every"))).alias("smoothed_loss"))
 
 
-@query("evaluate", f"WITH {_CONF}, a AS (SELECT avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM scored), r AS (SELECT truth, sum(n) FILTER (truth = pred) / sum(n) AS recall FROM cm GROUP BY truth) SELECT round(accuracy, 6) AS accuracy, round(avg(recall), 6) AS balanced_accuracy FROM a, r GROUP BY accuracy")
+_PRF_ALL = _PRF.replace(_CONF_KEEP, _CONF) + _CS.removeprefix(SCORES)
+
+
+@query("evaluate", f"""WITH {_PRF_ALL}, rk AS (SELECT *, rank() OVER (PARTITION BY cls ORDER BY score) + (count(*) OVER (PARTITION BY cls, score) - 1) / 2.0 AS rk FROM cs),
+auc AS (SELECT cls, (sum(rk) FILTER (positive) - count_if(positive) * (count_if(positive) + 1) / 2.0) / nullif(count_if(positive) * count_if(NOT positive), 0) AS auc FROM rk GROUP BY cls),
+per AS (SELECT cls, p, r, f1, CAST(support AS DOUBLE) AS support, auc FROM prf JOIN auc USING (cls)),
+lines AS (SELECT 'accuracy' AS metric, NULL AS cls, avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END) AS value FROM scored
+UNION ALL SELECT 'mean_confidence', NULL, avg(confidence) FROM scored
+UNION ALL SELECT 'balanced_accuracy', NULL, avg(r) FROM per UNION ALL SELECT 'macro_precision', NULL, avg(p) FROM per UNION ALL SELECT 'macro_recall', NULL, avg(r) FROM per UNION ALL SELECT 'macro_f1', NULL, avg(f1) FROM per
+UNION ALL SELECT 'weighted_f1', NULL, sum(f1 * support) / sum(support) FILTER (f1 IS NOT NULL) FROM per
+UNION ALL SELECT 'precision', cls, p FROM per UNION ALL SELECT 'recall', cls, r FROM per UNION ALL SELECT 'f1', cls, f1 FROM per UNION ALL SELECT 'support', cls, support FROM per UNION ALL SELECT 'auc', cls, auc FROM per)
+SELECT metric, cls, round(value, 6) AS value FROM lines""")
 def evaluate(spark, d):
-    rows = predictions(spark, d)
-    accuracy = rows.agg(R6(F.avg((F.col("truth") == F.col("pred")).cast("double"))).alias("accuracy"))
-    return accuracy.join(E.per_class(E.confusion_matrix(rows, classes(spark, d))).agg(R6(F.avg("recall")).alias("balanced_accuracy")))
+    """Every metric as a line (metric, cls, value); cls is null for metrics of all classes."""
+    rows = C.materialise(predictions(spark, d))
+    per = E.per_class(E.confusion_matrix(rows, classes(spark, d))).join(E.auc_one_vs_rest(class_scores(spark, d)), "cls", "left")
+    per = C.materialise(per)
+    whole = rows.agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"))
+    whole = whole.join(F.broadcast(E.macro_weighted(per))).withColumn("balanced_accuracy", F.col("macro_recall"))  # one row each
+    line = lambda name, cls, value: F.struct(F.lit(name).alias("metric"), cls.alias("cls"), R6(value.cast("double")).alias("value"))
+    names = ("accuracy", "mean_confidence", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1")
+    both = whole.select(F.inline(F.array(*(line(n, F.lit(None).cast("long"), F.col(n)) for n in names))))
+    return both.unionByName(per.select(F.inline(F.array(*(line(n, F.col("cls"), F.col(n)) for n in ("precision", "recall", "f1", "support", "auc"))))))
 
 
 # histories: one epoch a day of events

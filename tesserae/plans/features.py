@@ -234,14 +234,14 @@ def neighbour_group_stats(spark, d):
     return V.neighbours(v.where("id % 20 = 0"), v, 20).groupBy("q", "g_label").agg(F.count(F.lit(1)).alias("n"), R6(F.avg(c)).alias("mean"), q(0.5).alias("median"), R6(F.max(c)).alias("max"), R6(F.min(c)).alias("min"), q(0.25).alias("p25"), q(0.75).alias("p75"))
 
 
-_PCTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+_PCTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.25, 0.4, 0.5, 0.6, 0.75, 0.8, 0.9, 0.95, 0.98, 0.99)
 
 
-@query("similarity_distribution", f"WITH {COS_PAIRS}, b AS (SELECT CASE WHEN q_label = 0 AND g_label = 0 THEN '0-0' WHEN q_label = 0 THEN '0-1' WHEN g_label = 0 THEN '1-0' ELSE '1-1' END AS block, cos FROM cp WHERE q_label IN (0, 1) AND g_label IN (0, 1)) SELECT block, count(*) AS n, round(avg(cos), 6) AS mean, round(stddev_pop(cos), 6) AS sd, round(min(cos), 6) AS min, round(max(cos), 6) AS max, " + ", ".join(f"round(quantile_cont(cos, {p}), 6) AS p{round(p * 100)}" for p in _PCTS) + " FROM b GROUP BY block")
+@query("similarity_distribution", f"WITH {COS_PAIRS}, b AS (SELECT CASE WHEN q_label = 0 AND g_label = 0 THEN '0-0' WHEN q_label = 0 THEN '0-1' WHEN g_label = 0 THEN '1-0' ELSE '1-1' END AS block, cos FROM cp WHERE q_label IN (0, 1) AND g_label IN (0, 1)), b2 AS (SELECT * FROM b UNION ALL SELECT 'pooled', cos FROM b) SELECT block, count(*) AS n, round(avg(cos), 6) AS mean, round(stddev_pop(cos), 6) AS sd, round(min(cos), 6) AS min, round(max(cos), 6) AS max, " + ", ".join(f"round(quantile_cont(cos, {p}), 6) AS p{round(p * 100)}" for p in _PCTS) + " FROM b2 GROUP BY block")
 def similarity_distribution(spark, d):
     two = C.materialise(vectors(spark, d).where("label in (0, 1)"))
     c = F.col("cos")
-    rows = V.all_cosines(two, two).select(F.concat_ws("-", "q_label", "g_label").alias("block"), "cos")
+    rows = V.all_cosines(two, two).select(F.explode(F.array(F.concat_ws("-", "q_label", "g_label"), F.lit("pooled"))).alias("block"), "cos")
     return rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), R6(F.avg(c)).alias("mean"), R6(F.stddev_pop(c)).alias("sd"), R6(F.min(c)).alias("min"), R6(F.max(c)).alias("max"), *(R6(F.percentile(c, F.lit(p))).alias(f"p{round(p * 100)}") for p in _PCTS))
 
 
@@ -352,10 +352,12 @@ def top_channels(spark, d):
 
 
 # pairs and manifests
-@query("pair_forensics", f"WITH RECURSIVE {GROUPS}, {SAMPLES} SELECT p.l, p.r, a.sha256 = b.sha256 AS exact_bytes, p.distance, g.group_id = h.group_id AS same_group FROM pairs p JOIN samples a ON a.sample_id = p.l JOIN samples b ON b.sample_id = p.r JOIN groups g ON g.id = p.l JOIN groups h ON h.id = p.r")
+@query("pair_forensics", f"WITH RECURSIVE {GROUPS}, {SAMPLES}, c AS (SELECT label, h, min(id) AS class_id FROM hashed GROUP BY ALL), first AS (SELECT class_id FROM c), told AS (SELECT l, r, distance FROM pairs WHERE distance > 0 AND l IN (SELECT class_id FROM first) AND r IN (SELECT class_id FROM first) UNION ALL SELECT class_id, id, 0 FROM hashed JOIN c USING (label, h) WHERE id <> class_id) SELECT p.l, p.r, a.sha256 = b.sha256 AS exact_bytes, p.distance, g.group_id = h.group_id AS same_group FROM told p JOIN samples a ON a.sample_id = p.l JOIN samples b ON b.sample_id = p.r JOIN groups g ON g.id = p.l JOIN groups h ON h.id = p.r")
 def pair_forensics(spark, d):
+    """Pairs between the classes of equal hashes, and each copy with the row that stands for its class."""
     h = hashed(spark, d)
-    pairs = C.materialise(C.near_pairs(h, 6))
+    copies = C.near_members(h.where("h is not null")).where("id <> class_id").select(F.col("class_id").alias("l"), F.col("id").alias("r"), F.lit(0).alias("distance"))
+    pairs = C.materialise(C.near_pairs(h.where("h is not null"), 6).select("l", "r", F.col("distance").cast("int")).unionByName(copies))
     info = samples(spark, d).select("sample_id", "sha256").join(C.near_groups(h, 6).select(F.col("id").alias("sample_id"), "group_id"), "sample_id")
     info = C.materialise(info)
     a = info.select(F.col("sample_id").alias("l"), F.col("sha256").alias("sl"), F.col("group_id").alias("gl"))
@@ -365,9 +367,10 @@ def pair_forensics(spark, d):
 
 # variants
 FACTORS = (0.70, 0.85, 1.00, 1.15, 1.30)
-_SPECS = "specs(family, factor) AS (VALUES " + ", ".join(f"('{f}', {x:.2f})" for f in ("brightness", "contrast", "gamma") for x in FACTORS) + ")"
-_CHANGED = "CASE family WHEN 'brightness' THEN list_transform(v, lambda x: greatest(-1.0, least(1.0, x * factor))) WHEN 'contrast' THEN list_transform(v, lambda x: list_avg(v) + factor * (x - list_avg(v))) ELSE list_transform(v, lambda x: sign(x) * pow(abs(x), factor)) END"
-_VARIANTS = f"""{CENTROIDS}, {_SPECS}, va AS (SELECT id, family, CAST(factor AS DOUBLE) AS factor, v, {_CHANGED} AS w FROM v, specs WHERE id % 10 = 0),
+FAMILIES = ("brightness", "contrast", "gamma", "ramp", "shadow", "gray_world")
+_SPECS = "specs(family, factor) AS (VALUES " + ", ".join(f"('{f}', {x:.2f})" for f in FAMILIES for x in FACTORS) + ")"
+_CHANGED = "CASE family WHEN 'brightness' THEN list_transform(v, lambda x: greatest(-1.0, least(1.0, x * factor))) WHEN 'contrast' THEN list_transform(v, lambda x: list_avg(v) + factor * (x - list_avg(v))) WHEN 'gamma' THEN list_transform(v, lambda x: sign(x) * pow(abs(x), factor)) WHEN 'ramp' THEN list_transform(v, lambda x, i: x * (1 + (factor - 1) * (2 * ((i - 1) % 8) / 7.0 - 1))) WHEN 'shadow' THEN list_transform(v, lambda x, i: x * (1 + (factor - 1) * (((i - 1) // 8 - 3.5) * ((i - 1) // 8 - 3.5) + ((i - 1) % 8 - 3.5) * ((i - 1) % 8 - 3.5)) / 24.5)) ELSE list_transform(v, lambda x: x + (factor - 1) * (list_avg(v) - x)) END"
+_VARIANTS = f"""{CENTROIDS}, {_SPECS}, va AS (SELECT id, family, CAST(factor AS DOUBLE) AS factor, v, {_CHANGED} AS w FROM v, specs),
 vc AS (SELECT id, family, factor, list_cosine_similarity(v, w) AS to_control, cls, list_cosine_similarity(w, centroid) AS cos FROM va, model),
 vo AS (SELECT *, row_number() OVER (PARTITION BY id, family, factor ORDER BY cos DESC, cls) AS rk FROM vc),
 vr AS (SELECT id, family, factor, any_value(to_control) AS to_control, max(cls) FILTER (rk = 1) AS pred, max(cos) FILTER (rk = 1) AS top FROM vo GROUP BY ALL),
@@ -375,14 +378,18 @@ vd AS (SELECT r.id, r.family, r.factor, r.pred, r.to_control, r.top - c.top AS d
 
 
 def variants(spark, d) -> DataFrame:
-    specs = spark.createDataFrame([(f, x) for f in ("brightness", "contrast", "gamma") for x in FACTORS], "family string, factor double")
+    specs = spark.createDataFrame([(f, x) for f in FAMILIES for x in FACTORS], "family string, factor double")
     v = F.col("v")
     changed = (
         F.when(F.col("family") == "brightness", F.transform(v, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * F.col("factor")))))
         .when(F.col("family") == "contrast", S.let(S.mean(v), lambda m: F.transform(v, lambda x: m + F.col("factor") * (x - m))))
-        .otherwise(F.transform(v, lambda x: F.signum(x) * F.pow(F.abs(x), F.col("factor"))))
+        .when(F.col("family") == "gamma", F.transform(v, lambda x: F.signum(x) * F.pow(F.abs(x), F.col("factor"))))
+        # a gain that changes along the columns; one that changes with the squared distance from the centre; values drawn to, or away from, the common mean
+        .when(F.col("family") == "ramp", F.transform(v, lambda x, i: x * (1 + (F.col("factor") - 1) * (2 * (i % 8) / 7.0 - 1))))
+        .when(F.col("family") == "shadow", F.transform(v, lambda x, i: x * (1 + (F.col("factor") - 1) * (F.pow(F.floor(i / 8) - 3.5, F.lit(2)) + F.pow(i % 8 - 3.5, F.lit(2))) / 24.5)))
+        .otherwise(S.let(S.mean(v), lambda m: F.transform(v, lambda x: x + (F.col("factor") - 1) * (m - x))))
     )
-    return plane(spark, d).where("id % 10 = 0").join(F.broadcast(specs)).select("id", "label", "family", "factor", "v", changed.alias("w"))
+    return plane(spark, d).join(F.broadcast(specs)).select("id", "label", "family", "factor", "v", changed.alias("w"))
 
 
 @query("appearance_variants", f"WITH {_VARIANTS} SELECT id, family, factor, round(list_avg(w), 6) AS mean, round(w[1], 6) AS first FROM va")

@@ -23,8 +23,13 @@ def test_pairs_find_every_pair_within_the_threshold(spark):
     hashes = base + [b ^ sum(1 << i for i in rnd.sample(range(60), rnd.randint(0, 8))) for b in base]
     rows = spark.createDataFrame([(i, "a", h) for i, h in enumerate(hashes)], "id long, label string, h long")
     got = {(r.l, r.r) for r in C.near_pairs(rows, 6).collect()}
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if (hashes[i] ^ hashes[j]).bit_count() <= 6}
+    first = {h: i for i, h in reversed(list(enumerate(hashes)))}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 0 < (hashes[i] ^ hashes[j]).bit_count() <= 6 and first[hashes[i]] == i and first[hashes[j]] == j}
     assert got == want
+    assert {(r.id, r.class_id) for r in C.near_members(rows).collect()} == {(i, first[h]) for i, h in enumerate(hashes)}
+    for agree in (3, 4):
+        one = C.hash_classes(rows)
+        assert {(r.l, r.r) for r in C.hash_pairs(one, one, 6, 60, agree).where("l < r").collect()} == want
 
 
 def test_groups_are_components_and_null_hashes_share_minus_one(spark):
