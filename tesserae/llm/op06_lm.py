@@ -237,18 +237,25 @@ class Trie:
 
 # packed blocks
 def pack(*columns: np.ndarray) -> bytes:
-    """Integer columns of one length as compressed byte planes."""
-    planes = [np.uint64(len(columns[0])).tobytes()]
-    for c in columns:
-        planes += [np.ascontiguousarray(p).tobytes() for p in c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    """Integer columns of one length as compressed byte planes, as many as each needs."""
+    n, planes = len(columns[0]), []
+    wide = np.zeros(16, np.uint8)
+    for k, c in enumerate(columns):
+        c = c.astype(np.uint64)
+        wide[k] = max(1, -(-int(c.max()).bit_length() // 8)) if n else 0
+        planes += [np.ascontiguousarray(p).tobytes() for p in c.view(np.uint8).reshape(-1, 8).T[: wide[k]]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.uint64(n).tobytes(), wide.tobytes(), *planes]))
 
 
 def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = int(raw[:8].view(np.uint64)[0])
-    planes = raw[8:].reshape(columns, 8, n)
-    return [np.ascontiguousarray(planes[c].T).view(np.uint64).ravel() for c in range(columns)]
+    n, wide, at, out = int(raw[:8].view(np.uint64)[0]), raw[8 : 8 + columns].tolist(), 24, []
+    for width in wide:
+        bytes_ = np.zeros((n, 8), np.uint8)
+        bytes_[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        out.append(bytes_.view(np.uint64).ravel())
+        at += n * width
+    return out
 
 
 def pack_codes(columns: list[np.ndarray]) -> bytes:
@@ -379,26 +386,39 @@ def _tokenised(batches: Iterator[pa.RecordBatch], frequent: Frequent, batch_toke
         yield closed()
 
 
-class Questions:
-    """What a batch asks: for each level the distinct n-grams, their training counts, their shards, and which tokens they are for."""
+class Tokens:
+    """A batch: its documents (or parts of one), and each token w with the two before it and its document."""
 
-    def __init__(self, docs: bytes, ids: bytes, frequent: Frequent):
-        self.key, self.doc, self.null, self.held_out, count, u0, v0 = unpack(docs, 7)
-        (w,) = unpack(ids, 1)
+    def __init__(self, docs: bytes, ids: bytes):
+        self.key, self.doc, self.null, self.held_out, count, self.u0, self.v0 = unpack(docs, 7)
+        (self.w,) = unpack(ids, 1)
         self.count = count.astype(np.int64)
         self.owner = np.repeat(np.arange(len(count)), self.count)
-        first = (np.cumsum(self.count) - self.count)[self.count > 0]
-        v = np.append(np.uint64(BEGIN_ID), w[:-1])
-        v[first] = v0[self.count > 0]
-        u = np.append(np.uint64(BEGIN_ID), v[:-1])
-        u[first] = u0[self.count > 0]
-        train = (self.held_out == 0)[self.owner]
-        words, code = np.unique(np.concatenate([w, v0, u0, np.array([BEGIN_ID], np.uint64)]), return_inverse=True)
+        some = self.count > 0
+        self.first, self.lead = (np.cumsum(self.count) - self.count)[some], np.flatnonzero(some)
+        self.v, self.u = self.before(self.w, self.v0, self.u0)
+        self.train = (self.held_out == 0)[self.owner]
+
+    def before(self, w: np.ndarray, v0: np.ndarray, u0: np.ndarray) -> list[np.ndarray]:
+        """For each token what stands one and two before it, of values w of the tokens and v0, u0 before each document."""
+        out = []
+        for lead in (v0, u0):
+            w = np.append(w[:1], w[:-1])
+            w[self.first] = lead[self.lead]
+            out.append(w)
+        return out
+
+
+class Questions(Tokens):
+    """What a batch asks: for each level the distinct n-grams, their training counts, their shards, and which tokens they are for."""
+
+    def __init__(self, docs: bytes, ids: bytes, frequent: Frequent):
+        super().__init__(docs, ids)
+        w, train = self.w, self.train
+        words, code = np.unique(np.concatenate([w, self.v0, self.u0]), return_inverse=True)
         width = np.uint64(max(1, int(len(words)).bit_length()))
-        code = code.astype(np.uint64)
-        of = lambda x: code[: len(w)] if x is w else np.searchsorted(words, x).astype(np.uint64)
-        cw, cv, cu = of(w), of(v), of(u)
-        self.u, self.v, self.w = u, v, w
+        cw, v0, u0 = np.split(code.astype(np.uint64), [len(w), len(w) + len(self.v0)])
+        cv, cu = self.before(cw, v0, u0)
         hot = frequent.is_hot(words)[cv.astype(np.int64)]
         everything = np.arange(len(w))
         salt = lambda x, k: mix64(x ^ np.uint64(k * 0x9E3779B9))
@@ -542,11 +562,11 @@ def _hot_pairs(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterato
     """(v, u, n): the training tokens of a batch after each pair of hot words."""
     for batch in batches:
         for r in batch.to_pylist():
-            use, inverse, (v, u, _), n, _ = Questions(r["docs"], r["ids"], frequent).levels[0]
-            hot = np.flatnonzero(frequent.is_hot(v))
-            hot = hot[frequent.is_hot(u[hot])]
-            key, place = np.unique(v[hot] << np.uint64(32) | u[hot], return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(place, n[hot], len(key)).astype(np.int64))], names=["key", "n"])
+            t = Tokens(r["docs"], r["ids"])
+            hot = np.flatnonzero(t.train & frequent.is_hot(t.v))
+            hot = hot[frequent.is_hot(t.u[hot])]
+            key, n = np.unique(t.v[hot] << np.uint64(32) | t.u[hot], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
             trim()
 
 
