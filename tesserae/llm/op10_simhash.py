@@ -382,36 +382,39 @@ def _set_digests(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def least_hashes(values: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A signed long for each band of each set (an empty set: zeros)."""
-    out = np.zeros((len(count), BANDS), np.uint64)
+def least_hashes(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A signed long for each band of each set, and 32 bits of each least hash (an empty set: zeros)."""
+    out, low = np.zeros((len(count), BANDS), np.uint64), np.zeros((len(count), BANDS * ROWS), np.uint32)
     full = np.flatnonzero(count)
     if len(full):
         edge = np.append(0, np.cumsum(count[full])[:-1])
         for band in range(BANDS):
             key = np.full(len(full), band, np.uint64)
-            for factor in _FACTORS[band * ROWS : band * ROWS + ROWS]:
-                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix64(values * factor), edge))
+            for k in range(band * ROWS, band * ROWS + ROWS):
+                least = np.minimum.reduceat(mix64(values * _FACTORS[k]), edge)
+                low[full, k] = (least >> np.uint64(20)).astype(np.uint32)
+                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
             out[full, band] = key
-    return out.view(np.int64)
+    return out.view(np.int64), low
 
 
 def sketches(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest of the shingle set (d1, d2), its size n, the fingerprints, and the bands of least hashes, of each row with an id."""
+    """doc_id, digest of the shingle set (d1, d2), its size n, the fingerprints, the bands of least hashes, and the least hashes, of each row with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, n = batch.column("text"), batch.num_rows
             prints = np.stack([simhash(text, DROP_WORDS, seed, distinct=True) for seed in DROP_SEEDS], 1)
-            digests, sizes, bands = np.zeros((2, n), np.int64), np.zeros(n, np.int32), np.zeros((n, BANDS), np.int64)
+            digests, sizes, bands, mins = np.zeros((2, n), np.int64), np.zeros(n, np.int32), np.zeros((n, BANDS), np.int64), np.zeros((n, BANDS * ROWS), np.uint32)
             for rows, values, count in shingled(text, words, set_hashes):
                 values, count = _distinct(values, count)
-                digests[:, rows], sizes[rows], bands[rows] = _set_digests(values, count), count, least_hashes(values, count)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(sizes), _lists(prints), _lists(bands)], names=["doc_id", "d1", "d2", "n", "prints", "bands"])
+                digests[:, rows], sizes[rows] = _set_digests(values, count), count
+                bands[rows], mins[rows] = least_hashes(values, count)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(sizes), _lists(prints), _lists(bands), pa.array([m.tobytes() for m in mins], pa.binary())], names=["doc_id", "d1", "d2", "n", "prints", "bands", "mins"])
             trim()
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, n int, prints array<long>, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, n int, prints array<long>, bands array<long>, mins binary")
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -473,15 +476,45 @@ def _fits(similarity: float) -> Column:
     return F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-6
 
 
-def losers(groups: DataFrame, sets: DataFrame, similarity: float, few: int = 4) -> list[DataFrame]:
-    """The ids (gone) that are similar to a smaller id which stays, of written groups; ids are judged in rising order.
+#: Least hashes (of 96) that a pair must share to be tested: of pairs with a similarity of 0.8, 2 in a million share fewer.
+LEAST_SHARED = 58
+
+
+def close_pairs(groups: DataFrame, nodes: DataFrame, similarity: float, limit: int = 1024) -> DataFrame:
+    """Distinct pairs (a, b) of a group that share LEAST_SHARED least hashes, compared in blocks within tasks: no other pair
+    is ever a row. A group of more than `limit` members is dealt out as pairs of blocks."""
+    size = materialise(groups.groupBy("gid").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks")))
+    rows = materialise(groups.hint("shuffle_merge").join(nodes.select("doc_id", "mins").hint("shuffle_merge"), "doc_id"))
+    one = rows.hint("shuffle_merge").join(size.hint("shuffle_merge"), "gid").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    both = one.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = both.select("gid", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "doc_id", "n", "mins")
+
+    def pairs(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["doc_id"].to_numpy())
+        ids, n = group["doc_id"].to_numpy()[order], group["n"].to_numpy()[order]
+        mins = np.frombuffer(b"".join(group["mins"].to_pylist()), np.uint32).reshape(len(ids), -1)[order].T.copy()
+        left, right = [], []
+        for a in range(len(ids) - 1):
+            fits = np.minimum(n[a], n[a + 1 :]) >= similarity * np.maximum(n[a], n[a + 1 :]) - 1e-6
+            near = a + 1 + np.flatnonzero(fits & ((mins[:, a, None] == mins[:, a + 1 :]).sum(0) >= LEAST_SHARED))
+            left.append(np.full(len(near), ids[a]))
+            right.append(ids[near])
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate(left or empty), "b": np.concatenate(right or empty)})
+
+    return dealt.groupBy("gid", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def losers(groups: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, few: int = 4) -> list[DataFrame]:
+    """The ids that are similar to a smaller id which stays, of written groups; ids are judged in rising order.
 
     In each round the `few` smallest ids of each group are tested against its other members: as many pairs as members,
     a few times. Ids that are among them in all their groups are judged, and go or stay; so a group of thousands of near
-    copies goes in a few rounds. The next round tests twice as many of each group, until no group has two members.
+    copies goes in a few rounds. Once a round takes less than a tenth of the ids, those left are together by chance: they
+    are compared by their least hashes within tasks, and the few close pairs are tested.
     """
-    gone = []
-    while not groups.isEmpty():
+    gone, ids = [], groups.select("doc_id").distinct().count()
+    while ids:
         rank = F.row_number().over(Window.partitionBy("gid").orderBy("doc_id"))
         heads = groups.withColumn("rank", rank).where(F.col("rank") <= few).select("gid", F.struct(F.col("doc_id").alias("a"), F.col("n").alias("a_n")).alias("head"))
         heads = materialise(heads.groupBy("gid").agg(F.collect_list("head").alias("heads")))
@@ -494,7 +527,12 @@ def losers(groups: DataFrame, sets: DataFrame, similarity: float, few: int = 4)
         gone.append(go)
         settled = materialise(stay.unionByName(go))
         groups = _shared(materialise(groups.hint("shuffle_merge").join(settled.hint("shuffle_merge"), "doc_id", "left_anti")))
-        few *= 2
+        few_went = go.count() < ids / 10
+        ids = groups.select("doc_id").distinct().count()
+        if ids and few_went:
+            pairs = materialise(close_pairs(groups, nodes, similarity))
+            gone.append(judge(similar_pairs(pairs, sets, similarity), materialise(groups.select("doc_id").distinct()))[1])
+            break
     return gone
 
 
@@ -549,12 +587,12 @@ def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0
     doc_id always stays; rows of one doc_id are one document.
     """
     rows = materialise(sketches(documents, words))
-    known = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n", "prints", "bands")).alias("r")).select("doc_id", "r.*"))
-    nodes = materialise(known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "prints", "bands")).alias("r")).select("d1", "d2", "n", "r.*"))
+    known = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n", "prints", "bands", "mins")).alias("r")).select("doc_id", "r.*"))
+    nodes = materialise(known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "prints", "bands", "mins")).alias("r")).select("d1", "d2", "n", "r.*"))
     out = known.select("doc_id").join(nodes.select("doc_id").hint("shuffle_merge"), "doc_id", "left_anti")
     groups = candidate_groups(nodes)
     sets = shingle_table(documents, nodes, groups.select("doc_id").distinct(), words)
-    for gone in losers(groups, sets, similarity):
+    for gone in losers(groups, nodes, sets, similarity):
         out = out.unionByName(gone)
     names = [f"c{i}" for i in range(len(documents.columns))]
     out = materialise(out.select(F.col("doc_id").alias("gone")).distinct())
