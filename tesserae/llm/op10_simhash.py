@@ -23,6 +23,7 @@ rows: one row each; no rows: no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -150,8 +151,9 @@ def majority(values: np.ndarray, count: np.ndarray) -> np.ndarray:
         b = min(a + (1 << 16), len(values))
         bits = np.unpackbits(values[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         here = slice(int(np.searchsorted(edge, a, "right")) - 1, int(np.searchsorted(edge, b, "left")))
-        cuts = np.maximum(edge[here], a) - a
-        votes[here] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+        cuts = np.append(np.maximum(edge[here], a), b) - a
+        for row, (low, high) in enumerate(pairwise(cuts.tolist()), here.start):
+            votes[row] += bits[low:high].sum(0, dtype=np.int32)
     out[full] = np.packbits(2 * votes > count[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
@@ -371,6 +373,16 @@ def set_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return values, shingles
 
 
+def drop_prints(texts: pa.Array) -> np.ndarray:
+    """A fingerprint of each text's distinct shingles of DROP_WORDS words for each of DROP_SEEDS; the shingles are hashed once."""
+    out = np.zeros((len(texts), len(DROP_SEEDS)), np.uint64)
+    for rows, values, count in shingled(texts, DROP_WORDS, set_hashes):
+        values, count = _distinct(values, count)
+        for k, seed in enumerate(DROP_SEEDS):
+            out[rows, k] = majority(mix64(values ^ np.uint64(seed * 0x9E3779B9)), count)
+    return out
+
+
 def _set_digests(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set, as two signed longs."""
     out = np.zeros((2, len(count)), np.uint64)
@@ -391,7 +403,7 @@ def least_hashes(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.
         for band in range(BANDS):
             key = np.full(len(full), band, np.uint64)
             for k in range(band * ROWS, band * ROWS + ROWS):
-                least = np.minimum.reduceat(mix64(values * _FACTORS[k]), edge)
+                least = np.minimum.reduceat(values * _FACTORS[k], edge)  # the values are mixed, and a product's high bits depend on all of theirs
                 low[full, k] = (least >> np.uint64(20)).astype(np.uint32)
                 key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
             out[full, band] = key
@@ -404,7 +416,7 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, n = batch.column("text"), batch.num_rows
-            prints = np.stack([simhash(text, DROP_WORDS, seed, distinct=True) for seed in DROP_SEEDS], 1)
+            prints = drop_prints(text)
             digests, sizes, bands, mins = np.zeros((2, n), np.int64), np.zeros(n, np.int32), np.zeros((n, BANDS), np.int64), np.zeros((n, BANDS * ROWS), np.uint32)
             for rows, values, count in shingled(text, words, set_hashes):
                 values, count = _distinct(values, count)
