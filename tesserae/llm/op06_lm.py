@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -393,11 +394,18 @@ class Tokens:
         self.key, self.doc, self.null, self.held_out, count, self.u0, self.v0 = unpack(docs, 7)
         (self.w,) = unpack(ids, 1)
         self.count = count.astype(np.int64)
-        self.owner = np.repeat(np.arange(len(count)), self.count)
         some = self.count > 0
         self.first, self.lead = (np.cumsum(self.count) - self.count)[some], np.flatnonzero(some)
-        self.v, self.u = self.before(self.w, self.v0, self.u0)
-        self.train = (self.held_out == 0)[self.owner]
+        self.train = np.repeat(self.held_out == 0, self.count)
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)
+
+    @cached_property
+    def context(self) -> list[np.ndarray]:
+        """v and u of each token: the token before it, and the one before that."""
+        return self.before(self.w, self.v0, self.u0)
 
     def before(self, w: np.ndarray, v0: np.ndarray, u0: np.ndarray) -> list[np.ndarray]:
         """For each token what stands one and two before it, of values w of the tokens and v0, u0 before each document."""
@@ -417,23 +425,26 @@ class Questions(Tokens):
         w, train = self.w, self.train
         words, code = np.unique(np.concatenate([w, self.v0, self.u0]), return_inverse=True)
         width = np.uint64(max(1, int(len(words)).bit_length()))
-        cw, v0, u0 = np.split(code.astype(np.uint64), [len(w), len(w) + len(self.v0)])
+        cw, v0, u0 = np.split(code.astype(np.uint32), [len(w), len(w) + len(self.v0)])
+        del code
         cv, cu = self.before(cw, v0, u0)
-        hot = frequent.is_hot(words)[cv.astype(np.int64)]
-        everything = np.arange(len(w))
+        hot = frequent.is_hot(words)[cv]
         salt = lambda x, k: mix64(x ^ np.uint64(k * 0x9E3779B9))
 
-        def level(use: np.ndarray, *codes: np.ndarray) -> tuple:
-            joined = np.zeros(len(use), np.uint64)
-            for c in codes:
-                joined = joined << width | c[use]
+        def level(use: np.ndarray | slice, *codes: np.ndarray) -> tuple:
+            joined = codes[0][use].astype(np.uint64)
+            for c in codes[1:]:
+                joined <<= width
+                joined |= c[use]
             distinct, inverse = np.unique(joined, return_inverse=True)
+            del joined
             mask = (np.uint64(1) << width) - np.uint64(1)
             columns = [words[(distinct >> (width * np.uint64(len(codes) - 1 - i)) & mask).astype(np.int64)] for i in range(len(codes))]
-            return use, inverse, columns, np.bincount(inverse, train[use], len(distinct)).astype(np.uint64)
+            n = np.bincount(inverse[train[use]], minlength=len(distinct)).astype(np.uint64)
+            return use, inverse.astype(np.int32), columns, n
 
         self.levels = []
-        use, inverse, (v3, u3, w3), n = level(everything, cv, cu, cw)
+        use, inverse, (v3, u3, w3), n = level(slice(None), cv, cu, cw)
         home = mix64(v3)
         split = np.flatnonzero(frequent.is_hot(v3))
         home[split] += salt(u3[split], 1)
@@ -531,11 +542,11 @@ def _scored(batch: pa.Table, answers: pa.Table, frequent: Frequent) -> pa.Table:
     """The sums of each document (or part of one) of a batch."""
     asked = Questions(batch["docs"][0].as_py(), batch["ids"][0].as_py(), frequent)
     known = {(r["level"], r["shard"]): r["payload"] for r in answers.select(["level", "shard", "payload"]).to_pylist()}
-    found = [np.zeros((k, len(n)), np.int64) for k, (_, _, _, n, _) in zip((4, 2, 1), asked.levels, strict=True)]
+    found = [np.zeros((k, len(n)), kind) for k, kind, (_, _, _, n, _) in zip((4, 2, 1), (np.uint8, np.uint8, np.int64), asked.levels, strict=True)]
     for k, shard, at in asked.blocks():
         found[k][:, at] = unpack(known[(k, shard)], 1) if k == 2 else unpack_codes(known[(k, shard)], len(found[k]))
     tokens_ = len(asked.w)
-    codes = np.zeros((4, tokens_), np.int64)
+    codes = np.zeros((4, tokens_), np.uint8)
     codes[:, asked.levels[0][0]] = found[0][:, asked.levels[0][1]]
     codes[2:, asked.levels[1][0]] = found[1][:, asked.levels[1][1]]
     c1 = np.zeros(tokens_, np.int64)
@@ -546,8 +557,9 @@ def _scored(batch: pa.Table, answers: pa.Table, frequent: Frequent) -> pa.Table:
     a3, g3, a2, g2 = codes
     # what a split context leaves is the same in all its shards, also in those without one of its n-grams
     hot = asked.levels[1][0]
-    g2[hot] = quantise(MU2 / (frequent.totals()[asked.v[hot].astype(np.int64)] + MU2))
-    pair = frequent.pair(asked.v[hot], asked.u[hot])
+    v, u = (x[hot] for x in asked.context)
+    g2[hot] = quantise(MU2 / (frequent.totals()[v.astype(np.int64)] + MU2))
+    pair = frequent.pair(v, u)
     g3[hot[pair > 0]] = quantise(MU3 / (pair[pair > 0] + MU3))
     left = lambda g: np.where(g > 0, _DECODED[g], 1.0)  # noqa: E731  an unseen context leaves all
     p2 = np.minimum(1.0, _DECODED[a2] + left(g2) * p1)
@@ -563,9 +575,10 @@ def _hot_pairs(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterato
     for batch in batches:
         for r in batch.to_pylist():
             t = Tokens(r["docs"], r["ids"])
-            hot = np.flatnonzero(t.train & frequent.is_hot(t.v))
-            hot = hot[frequent.is_hot(t.u[hot])]
-            key, n = np.unique(t.v[hot] << np.uint64(32) | t.u[hot], return_counts=True)
+            v, u = t.context
+            hot = np.flatnonzero(t.train & frequent.is_hot(v))
+            hot = hot[frequent.is_hot(u[hot])]
+            key, n = np.unique(v[hot] << np.uint64(32) | u[hot], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
             trim()
 
