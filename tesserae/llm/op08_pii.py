@@ -39,7 +39,8 @@ _MALE, _FEMALE, _NEUTRAL = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "г
 _TITLE = "(?:" + "|".join(sorted(_MALE + _FEMALE + _NEUTRAL, key=len, reverse=True)) + r")\.?"
 #: A word with inner capitals, hyphens and apostrophes, initials with dots, or a bare initial before a further word.
 _NAME = r"(?:(?:\p{Lu}\.)*+\p{Lu}[\p{L}\p{M}'’-]++|(?:\p{Lu}\.)++|\p{Lu}(?= \p{Lu}))(?![\p{L}\p{N}])"
-_EMAIL = r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
+#: From the beginning of a run of mail characters any length; from within it (after an entity, say) only 64, so that long runs take linear time.
+_EMAIL = r"(?:(?<![._%+-])[\p{L}\p{N}._%+-]++|(?<=[._%+-])[\p{L}\p{N}._%+-]{1,64}+)@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 SECRET_WORDS = "token|secret|password|passwd|api_key|apikey|access_key|secret_key|auth"
 
 #: Each pattern begins where no letter or digit stands before it.

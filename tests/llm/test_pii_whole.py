@@ -25,6 +25,10 @@ def test_nothing_of_a_secret_or_name_stays(spark):
         3: ("met Dr. Anna Maria Louise Schmidt today", ["Anna", "Maria", "Louise", "Schmidt"]),
         4: ("met Mr. J. R. McDonald-Smith today", ["J.", "R.", "McDonald", "Smith"]),
         5: ("met Mrs O'Brien and Mr J Doe, gone", ["O'B", "Brien", " J ", "Doe"]),
+        7: ("write to " + "jonathan." * 12 + "miller@mail.com now", ["jonathan", "miller"]),
+        8: ("write to ann@" + "north." * 12 + "office.org now", ["ann", "north", "office"]),
+        9: ("write to ann@" + "long" * 20 + ".org now", ["ann", "long"]),
+        10: ("write to -ann.lee@mail.org, now", ["ann", "lee", "mail"]),
         6: ("password: john.smith@mail.com here", ["john", "smith", "mail.com"]),
     }
     docs = spark.createDataFrame([(i, t) for i, (t, _) in hidden.items()], "doc_id long, text string")
@@ -32,3 +36,10 @@ def test_nothing_of_a_secret_or_name_stays(spark):
     for i, (text, parts) in hidden.items():
         assert not [p for p in parts if p in out[i]], out[i]
         assert out[i].split()[-1] == text.split()[-1]
+
+
+def test_a_long_run_of_mail_characters_takes_linear_time(spark):
+    text = "a.b-" * 250_000
+    docs = spark.createDataFrame([(1, text), (2, text + "@mail.org"), (3, text + "@mail")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in op08_pii.surrogate_text(docs, "k").collect()}
+    assert out[1] == text and out[2].endswith(".example.org") and text not in out[2] and out[3] == text + "@mail"
