@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import op01_chat, op02_decontaminate, op03_fingerprint, op04_chunks, op05_language, op06_lm, op07_mixing, op08_pii, op09_toxicity, op10_simhash, op11_infilling, op12_filter_audit
+from tesserae.llm import op01_chat, op02_decontaminate, op03_fingerprint, op04_chunks, op05_language, op06_lm, op07_mixing, op08_pii, op09_toxicity, op10_simhash, op11_infilling, op12_filter_audit, op13_extraction
 
 QUERIES = {
     "op1_chat_formatting": op01_chat.op1_chat_formatting,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash.op10_simhash_near_dedup,
     "op11_fill_in_middle": op11_infilling.op11_fill_in_middle,
     "op12_filter_audit": op12_filter_audit.op12_filter_audit,
+    "op13_html_extraction": op13_extraction.op13_html_extraction,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op2_benchmark_decontamination": op02_decontaminate.SQL,
     "op11_fill_in_middle": op11_infilling.SQL,
     "op12_filter_audit": op12_filter_audit.SQL,
+    "op13_html_extraction": op13_extraction.SQL,
 }
