@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import materialise, table, text_buffer, trim
@@ -90,13 +90,12 @@ def _shared(a: bytes, b: bytes) -> int:
 def split_ranges(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """(sorted hashes of the prefixes that are split, parts for each where it is one text, number of ranges of full size)."""
     size = F.octet_length("text").cast("long") + 16
-    seen = Observation()
-    rows = texts.observe(seen, F.sum(size).alias("bytes"))
-    sums = rows.select(size.alias("bytes"), F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.sum("bytes").alias("bytes"))
-    sums = materialise(sums.where(F.col("bytes") > RANGE_BYTES))
-    total = int(seen.get["bytes"] or 0)
+    every = F.array_append("prefixes", F.lit(None))  # null: all texts
+    sums = texts.select(size.alias("bytes"), F.explode(every).alias("prefix")).groupBy("prefix").agg(F.sum("bytes").alias("bytes"))
+    sums = materialise(sums.where((F.col("bytes") > RANGE_BYTES) | F.col("prefix").isNull()))
+    total = next((r["bytes"] for r in sums.where(F.col("prefix").isNull()).collect()), 0)
     limit = max(RANGE_BYTES, total // MOST_RANGES)
-    wide = sums.where(F.col("bytes") > limit).orderBy("prefix").toArrow()  # at most MOST_RANGES for each length
+    wide = sums.where((F.col("bytes") > limit) & F.col("prefix").isNotNull()).orderBy("prefix").toArrow()  # at most MOST_RANGES for each length
     parts = -(-wide["bytes"].to_numpy() // limit)
     return wide["prefix"].to_numpy().astype(np.int64), parts.astype(np.int64), -(-total // limit)
 
@@ -258,19 +257,17 @@ def audit(masked: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = per.hint("shuffle_merge").join(says.hint("shuffle_merge"), "doc_id", "left")
     marks = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("quality", "toxic")]
     counts = labelled.groupBy("part", "mask", *marks).agg(F.sum("n").alias("n"))
-    steps = []
-    for order in itertools.permutations(FILTERS):
-        before = 0
-        for step, letter in enumerate(order, 1):
-            steps.append((order, step, 1 << FILTERS.index(letter), before))
-            before |= 1 << FILTERS.index(letter)
-    table_ = F.array(*(F.struct(F.lit("".join(o)).alias("filter_order"), F.lit(s).alias("step"), F.lit(b).alias("bit"), F.lit(e).alias("before")) for o, s, b, e in steps))
+    bit = lambda step: F.expr(f"shiftleft(1, ascii(substring(filter_order, {step}, 1)) - 65)")
+    orders = F.split(F.lit(",".join("".join(o) for o in itertools.permutations(FILTERS))), ",")
+    steps = counts.withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(F.array(*(F.lit(i) for i in range(1, 6)))))
+    before = sum((F.when(F.col("step") > i, bit(i)).otherwise(0) for i in range(1, 5)), F.lit(0))
+    steps = steps.withColumn("bit", bit("step")).withColumn("before", before)
     fails, first = F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("mask").bitwiseAND(F.col("before")) == 0
     n = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
     # of the 120 orders, a document's k failing filters come first equally often
     share = F.sum(F.when(fails, F.col("n") * (F.lit(120) / F.bit_count("mask")).cast("long")).otherwise(0)).cast("long")
     return (
-        counts.select("*", F.inline(table_)).groupBy("part", "filter_order", "step")
+        steps.groupBy("part", "filter_order", "step")
         .agg(
             n(first & ~fails).alias("kept"), n(first & fails).alias("removed"), n(fails & ~first).alias("redundant"), n(F.col("mask") == F.col("bit")).alias("unique_fails"),
             n(first & fails & (F.col("quality") == 1)).alias("good_lost"), n(first & fails & (F.col("toxic") == 1)).alias("toxic_lost"), share.alias("shapley"),

@@ -6,7 +6,7 @@ Elements that cannot be article text are left out: scripts, styles, forms, navig
 asides, footers, hidden ones, and those whose class or id names them as a menu, notice,
 advert, side bar, comment list and the like. Each remaining paragraph of `LEAST` or
 more characters has points for itself, its commas and its length, which go to its
-ancestors, fewer the farther they are; a container's points are discounted by the
+next five ancestors, fewer the farther they are; a container's points are discounted by the
 share of its text that is link text. The best container is kept, with the article
 around it, and so are siblings that are text blocks or have a fifth of its points.
 In what is kept, lists of nothing but links are left out as menus, and nothing else.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ from tesserae.llm.common import table, trim
 LEAST = 25
 #: Share of the best container's points with which a sibling is kept, link share up to which it is, and that of a menu.
 SIBLING, LINKED, MENU = 0.2, 0.5, 0.9
+#: Ancestors that have a part of a paragraph's points.
+ANCESTORS = 5
 #: Points that an element has by its name.
 BONUS = {"article": 25, "main": 15, "div": 5, "section": 3, "td": 3, "blockquote": 3, "pre": 3}
 COMMAS = re.compile("[,،、，]")
@@ -89,7 +92,7 @@ class Tree:
     def __init__(self, page: str) -> None:
         self.names, self.parents, self.attributes, self.linked = ["html"], [-1], [""], [False]
         self.pieces: list[tuple[int, str] | None] = []
-        self.open = [0]
+        self.open, self.count = [0], Counter()
         at = 0
         while at < len(page):
             tag = _TAG.search(page, at)
@@ -114,7 +117,7 @@ class Tree:
             self.pieces.append(None)
             self.end_open(frozenset(["p"]), SCOPE)
             if name in HEADINGS and self.names[self.open[-1]] in HEADINGS:
-                self.open.pop()
+                self.end(slice(len(self.open) - 1, None))
         elif name == "br":
             self.pieces.append((self.open[-1], " "))
         if name in IMPLIED:
@@ -127,13 +130,20 @@ class Tree:
         self.attributes.append(attributes.strip())
         self.linked.append(self.linked[parent] or name == "a")
         self.open.append(len(self.names) - 1)
+        self.count[name] += 1
+
+    def end(self, which: slice) -> None:
+        self.count.subtract(self.names[i] for i in self.open[which])
+        del self.open[which]
 
     def end_open(self, names: frozenset[str], border: frozenset[str]) -> None:
         """End the innermost open element of these names, unless a border is nearer."""
+        if not any(self.count[name] for name in names):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             name = self.names[self.open[depth]]
             if name in names:
-                del self.open[depth:]
+                self.end(slice(depth, None))
                 return
             if name in border:
                 return
@@ -141,14 +151,16 @@ class Tree:
     def close(self, name: str, _: str) -> None:
         if name in BLOCKS:
             self.pieces.append(None)
+        if not self.count[name]:
+            return
         inside = name in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption")
         for depth in range(len(self.open) - 1, 0, -1):
             other = self.names[self.open[depth]]
             if other == name:
                 if name in BLOCKS or not any(self.names[o] in BLOCKS for o in self.open[depth + 1 :]):
-                    del self.open[depth:]
+                    self.end(slice(depth, None))
                 else:  # an inline element across blocks: only it ends
-                    del self.open[depth]
+                    self.end(slice(depth, depth + 1))
                 return
             if not inside and other in ("td", "th", "caption"):
                 return
@@ -209,7 +221,7 @@ def _runs(tree: Tree, out: list[bool]) -> list[tuple[int, str, int]]:
             return
         text = " ".join("".join(html.unescape(t) for _, t in held).split())
         if text:
-            links = sum(len("".join(html.unescape(t).split())) for n, t in held if tree.linked[n])
+            links = sum(len(" ".join(html.unescape(t).split())) for n, t in held if tree.linked[n])
             host = next((n for n, t in held if t.strip()), held[0][0])
             while host > 0 and tree.names[host] not in BLOCKS:
                 host = tree.parents[host]
@@ -239,51 +251,38 @@ def main_text(page: str) -> str:
 def _kept(tree: Tree, out: list[bool], runs: list[tuple[int, str, int]]) -> list[str]:
     names, parents = tree.names, tree.parents
     count = len(names)
-    points, chars, links = [0.0] * count, [0] * count, [0] * count
+    points, chars, links, entries = [0.0] * count, [0] * count, [0] * count, [0] * count
     for host, text, linked in runs:
         size = len(text)
+        chars[host] += size
+        links[host] += linked
         worth = 1 + len(COMMAS.findall(text)) + min(size / 100, 3) if size >= LEAST else 0
         up = parents[host] if names[host] in PARAGRAPHS and host else host
-        level = 0
-        while worth and up >= 0:
+        for level in range(ANCESTORS if worth else 0):
+            if up < 0:
+                break
             points[up] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = parents[up], level + 1
-        up = host
-        while up >= 0:
-            chars[up] += size
-            links[up] += linked
             up = parents[up]
+    for i in range(count - 1, 0, -1):  # children come after their parents
+        chars[parents[i]] += chars[i]
+        links[parents[i]] += links[i]
+        entries[parents[i]] += entries[i] + (names[i] == "a" and not out[i])
     share = [min(1.0, links[i] / chars[i]) if chars[i] else 0.0 for i in range(count)]
     score = [(points[i] + (BONUS.get(names[i], 0) if chars[i] else 0)) * (1 - share[i]) if names[i] in BLOCKS and not out[i] else -1.0 for i in range(count)]
     best = max(range(count), key=lambda i: (score[i], -i))
-    up = best
-    while up >= 0 and names[up] != "article":
-        up = parents[up]
-    if up < 0:
+    for around in ("article", "main"):
         up = best
-        while up >= 0 and names[up] != "main":
-            up = parents[up]
-    best = up if up >= 0 else best
-    roots = {best}
-    for i in range(1, count):
-        if parents[i] == parents[best] and not out[i] and chars[i] and share[i] < LINKED and (names[i] in TEXT_BLOCKS or score[i] >= max(10.0, SIBLING * score[best])):
-            roots.add(i)
-    entries = [0] * count  # links in an element
-    for i in range(1, count):
-        if names[i] == "a" and not out[i]:
-            up = parents[i]
-            while up >= 0:
-                entries[up] += 1
-                up = parents[up]
-    menus = [names[i] in ("ul", "ol", "dl", "div", "section", "table") and entries[i] > 1 and share[i] > MENU for i in range(count)]
-    texts = []
-    for host, text, _ in runs:
-        up = host
-        while up >= 0 and up not in roots and not menus[up]:
+        while up >= 0 and names[up] != around:
             up = parents[up]
-        if up >= 0 and not menus[up]:
-            texts.append(text)
-    return texts
+        if up >= 0:
+            best = up
+            break
+    kept = [False] * count  # a parent's answer is there before its children's
+    for i in range(count):
+        sibling = parents[i] == parents[best] and not out[i] and chars[i] > 0 and share[i] < LINKED and (names[i] in TEXT_BLOCKS or score[i] >= max(10.0, SIBLING * score[best]))
+        menu = names[i] in ("ul", "ol", "dl", "div", "section", "table") and entries[i] > 1 and share[i] > MENU
+        kept[i] = (i == best or sibling or (i > 0 and kept[parents[i]])) and not menu
+    return [text for host, text, _ in runs if kept[host]]
 
 
 def extract(pages: DataFrame) -> DataFrame:
