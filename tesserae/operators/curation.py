@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,18 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scalar as S
 from tesserae.functions import vectorised as U
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back: cuts the lineage and gives joins a true size."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/tesserae/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tesserae.operators.ranks import first_by_hash, ranked
+from tesserae.operators.store import materialise
 
 
 # labels
@@ -141,45 +129,60 @@ def near_groups(rows: DataFrame, threshold: int, bits: int = 60) -> DataFrame:
     roots = components(near_stars(hashed, threshold, bits))
     rooted = rows.join(roots, rows["id"] == roots["node"], "left").select("id", "label", "h", F.coalesce("root", "id").alias("root"))
     reps = rooted.where("h is not null").select("label", "root").distinct()
-    numbered = reps.withColumn("group_id", F.dense_rank().over(Window.partitionBy("label").orderBy("root")) - 1)
+    numbered = materialise(ranked(reps, ["label"], ["root"]).select("label", "root", (F.col("rank") - 1).alias("group_id")))
     return rooted.join(numbered, ["label", "root"], "left").select("id", "label", F.when(F.col("h").isNull(), -1).otherwise(F.col("group_id")).cast("long").alias("group_id"))
 
 
 # splits
 def stratified_split(rows: DataFrame, label: str, key: str, test: float, seed: int = 42, names: tuple[str, str] = ("test", "train"), least: int = 1) -> DataFrame:
     """Adds `split`: bround(n * test) rows of each label, at least `least`, never all, by hash order."""
-    w = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(w)
-    quota = F.least(F.greatest(F.bround(n * test, 0).cast("long"), F.lit(least)), n - 1)
-    rank = F.row_number().over(w.orderBy(S.hash_order(F.col(key), seed), F.col(key)))
-    return rows.withColumn("split", F.when(rank <= quota, names[0]).otherwise(names[1]))
+    quota = lambda n: F.least(F.greatest(F.bround(n * test, 0).cast("long"), F.lit(least)), n - 1)
+    return first_by_hash(rows, label, key, quota, seed).withColumn("split", F.when(F.col("_first"), names[0]).otherwise(names[1])).drop("_first")
 
 
 def grouped_split(groups: DataFrame, test: float, seed: int = 42) -> DataFrame:
     """(label, group_id, n) to (label, group_id, split): whole groups, the largest first, each to the side with the larger
-    deficit relative to its target; ties go to test. One task per label sees group sizes only."""
-
-    def assign(pdf):
-        pdf = pdf.sort_values(["n", "o"], ascending=[False, True], kind="stable")
-        total = int(pdf["n"].sum())
-        want = {"test": max(1, round(total * test)) if len(pdf) > 1 else 0, "train": 0}
-        want["train"] = total - want["test"]
-        have, out = {"test": 0, "train": 0}, []
-        for n in pdf["n"]:
-            lack = {s: (want[s] - have[s]) / want[s] if want[s] else 0.0 for s in ("test", "train")}
-            side = "test" if want["test"] and lack["test"] >= lack["train"] else "train"
-            have[side] += int(n)
-            out.append(side)
-        pdf["split"] = out
-        return pdf[["label", "group_id", "split"]]
-
-    ordered = groups.withColumn("o", S.hash_order(F.concat_ws("|", "label", "group_id"), seed))
-    return ordered.groupBy("label").applyInPandas(assign, "label string, group_id long, split string")
+    deficit relative to its target; ties go to test.
+
+    Groups of one size are a run. In a run of size n that begins with a rows in test and b in train, of the first j groups
+    floor((n * train + b * test - a * train + n * j * test) / (n * (test + train))) go to test, within 0 and j, where test and
+    train are the targets: the walk keeps a * train - b * test within the last step. So only runs, of which a label with N rows
+    has at most sqrt(2 N), are walked one after the other, and each group needs its place in its run alone.
+    """
+
+    def walk(runs):
+        runs = runs.sort_values("n", ascending=False)
+        sizes, many = [int(n) for n in runs["n"]], [int(m) for m in runs["m"]]
+        total = sum(n * m for n, m in zip(sizes, many, strict=True))
+        want = max(1, round(total * test)) if sum(many) > 1 else 0
+        a = b = 0
+        start = []
+        for n, m in zip(sizes, many, strict=True):
+            start.append((a, b))
+            to_test = min(max((n * (total - want) + b * want - a * (total - want) + n * m * want) // (n * total), 0), m) if want else 0
+            a, b = a + n * to_test, b + n * (m - to_test)
+        runs["a"], runs["b"] = [x for x, _ in start], [x for _, x in start]
+        runs["want"], runs["total"] = want, total
+        return runs[["label", "n", "a", "b", "want", "total"]]
+
+    runs = groups.groupBy("label", "n").agg(F.count(F.lit(1)).alias("m")).groupBy("label").applyInPandas(walk, "label string, n long, a long, b long, want long, total long")
+    placed = ranked(groups.withColumn("o", S.hash_order(F.concat_ws("|", "label", "group_id"), seed)), ["label", "n"], ["o", "group_id"])
+    joined = placed.select("label", "group_id", "n", "rank").hint("shuffle_merge").join(runs.hint("shuffle_merge"), ["label", "n"])
+    big = lambda c: F.col(c).cast("decimal(18,0)")
+    rest = big("total") - big("want")
+    lead = big("n") * rest + big("b") * big("want") - big("a") * rest
+
+    def tests(j: Column) -> Column:
+        whole = F.floor((lead + big("n") * big("want") * j.cast("decimal(18,0)")) / (big("n") * big("total"))).cast("long")
+        return F.least(F.greatest(whole, F.lit(0)), j)
+
+    to_test = (F.col("want") > 0) & (tests(F.col("rank")) > tests(F.col("rank") - 1))
+    return joined.select("label", "group_id", F.when(to_test, "test").otherwise("train").alias("split"))
 
 
 def sample_per_class(rows: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(S.hash_order(F.col(key), seed), F.col(key)))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    """The first min(k, n) rows of each label by hash order."""
+    return first_by_hash(rows, label, key, lambda n: F.least(F.lit(k), n), seed).where("_first").drop("_first")
 
 
 # manifests

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalar as S
+from tesserae.operators.ranks import running
 
 
 def confusion_matrix(predictions: DataFrame, classes: DataFrame) -> DataFrame:
@@ -48,8 +49,7 @@ def macro_weighted(classes: DataFrame) -> DataFrame:
 def auc_one_vs_rest(scores: DataFrame) -> DataFrame:
     """(cls, auc) of rows (cls, positive, score), by tie-averaged ranks; null where all rows are of one side."""
     per_score = scores.groupBy("cls", "score").agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per_score.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = running(per_score, ["cls"], ["score"], ["n"]).withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy("cls").agg(F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     return sums.select("cls", S.safe_div(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
@@ -57,9 +57,9 @@ def auc_one_vs_rest(scores: DataFrame) -> DataFrame:
 def roc_curve(scores: DataFrame) -> DataFrame:
     """(cls, threshold, fpr, tpr) at every score."""
     per_score = scores.groupBy("cls", "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    w = Window.partitionBy("cls").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("cls")
-    return per_score.select("cls", F.col("score").alias("threshold"), S.safe_div(F.sum("q").over(w).cast("double"), F.sum("q").over(whole)).alias("fpr"), S.safe_div(F.sum("p").over(w).cast("double"), F.sum("p").over(whole)).alias("tpr"))
+    summed = running(per_score, ["cls"], [F.desc("score")], ["p", "q"])
+    share = lambda c: S.safe_div((F.col(f"below_{c}") + F.col(c)).cast("double"), F.col(f"all_{c}"))
+    return summed.select("cls", F.col("score").alias("threshold"), share("q").alias("fpr"), share("p").alias("tpr"))
 
 
 def log_loss(p_truth: Column, weight: Column | None = None) -> Column:

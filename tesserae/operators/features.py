@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalar as S
+from tesserae.operators.neighbours import Index, build, search
 
 BLOCK = 2048
 
@@ -27,9 +28,25 @@ def model_row(model: DataFrame) -> DataFrame:
 
 
 def class_cosines(vectors: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds cosines: array of (cls, cos) in class order."""
-    joined = vectors.join(F.broadcast(model_row(model)))
-    return joined.withColumn("cosines", F.transform("model", lambda m: F.struct(m["cls"].alias("cls"), S.cosine(S.doubles(F.col("v")), m["centroid"]).alias("cos")))).drop("model")
+    """Adds cosines: array of (cls, cos) in class order. Centroids are a dimension: one small row a class, gathered once.
+
+    Vectors of an Arrow batch are normalised and multiplied with all centroids in one matrix product.
+    """
+    rows = model.orderBy("cls").collect()
+    if not rows:
+        return vectors.withColumn("cosines", F.expr("cast(null as array<struct<cls:bigint,cos:double>>)")).limit(0)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    centres = unit(np.array([r["centroid"] for r in rows], float))
+
+    def cosines(v: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in v:
+            m = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.zeros((0, centres.shape[1]))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * len(centres)), pa.array((unit(m) @ centres.T).ravel()))
+
+    cosines.__annotations__ = {"v": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    classes = F.array(*(F.lit(r["cls"]) for r in rows))
+    found = F.arrow_udf(cosines, "array<double>")(S.doubles(F.col("v")))
+    return vectors.withColumn("cosines", F.zip_with(classes, found, lambda c, x: F.struct(c.alias("cls"), x.alias("cos"))))
 
 
 def score(vectors: DataFrame, model: DataFrame) -> DataFrame:
@@ -42,42 +59,12 @@ def score(vectors: DataFrame, model: DataFrame) -> DataFrame:
     return rows.select("id", "truth", "cosines", "classes", "probabilities", F.get("classes", at(0, "index")).alias("pred"), at(0, "value").alias("confidence"), F.get("classes", at(1, "index")).alias("second"), at(1, "value").alias("second_p"), (at(0, "value") - at(1, "value")).alias("margin"))
 
 
-def neighbours(queries: DataFrame, gallery: DataFrame, k: int, scope: str = "any", block: int = BLOCK) -> DataFrame:
-    """(q, rank, g, cos, q_label, g_label): the k nearest gallery rows by cosine, ties by id, never the row itself.
+def neighbours(queries: DataFrame, gallery: DataFrame, k: int, scope: str = "any", index: Index | None = None, block: int | None = None) -> DataFrame:
+    """(q, rank, g, cos, q_label, g_label): the k nearest gallery rows by cosine, ties by id, never the row itself; exact.
 
-    scope: any, own (same label) or other. Rows are (id, label, v). Blocks of queries meet blocks of the gallery in
-    tasks of fixed size; each keeps its k best per query, and a window keeps the best of these.
+    scope: any, own (same label) or other. Rows are (id, label, v). An index of the gallery can be used again.
     """
-    blocks = lambda df: max(1, -(-df.count() // block))
-    nq, ng = blocks(queries), blocks(gallery)
-    # the gallery gets names of its own: it may be the same frame as the queries
-    vec = lambda df, side: df.select(F.col("id").alias(f"{side}id"), F.col("label").alias(f"{side}label"), S.doubles(F.col("v")).alias("v"))
-    q = vec(queries, "q").withColumns({"qb": F.pmod(F.xxhash64("qid"), F.lit(nq)), "gb": F.explode(F.sequence(F.lit(0), F.lit(ng - 1)).cast("array<long>"))})
-    g = vec(gallery, "g").withColumns({"gb": F.pmod(F.xxhash64("gid"), F.lit(ng)), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>"))})
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["q", "g", "cos", "q_label", "g_label"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        matrix = lambda t: np.stack(t["v"].to_numpy(zero_copy_only=False)).astype(float)
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        qi, gi, ql, gl = (t[c].to_numpy() for t, c in ((left, "qid"), (right, "gid"), (left, "qlabel"), (right, "glabel")))
-        cos = unit(matrix(left)) @ unit(matrix(right)).T
-        bad = qi[:, None] == gi[None, :]
-        if scope != "any":
-            bad |= (ql[:, None] == gl[None, :]) != (scope == "own")
-        cos = np.where(bad, -np.inf, cos)
-        order = np.argsort(gi, kind="stable")
-        best = order[np.argsort(-cos[:, order], axis=1, kind="stable")[:, :k]]
-        rows = np.repeat(np.arange(len(qi)), best.shape[1])
-        cols = best.ravel()
-        keep = np.isfinite(cos[rows, cols])
-        rows, cols = rows[keep], cols[keep]
-        return pa.table([pa.array(x, t) for x, t in zip((qi[rows], gi[cols], cos[rows, cols], ql[rows], gl[cols]), kinds, strict=True)], names=names)
-
-    found = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(meet, "q long, g long, cos double, q_label long, g_label long")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "g"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return search(index or build(gallery), queries, k, scope, block=block)
 
 
 def all_cosines(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tesserae.functions import scalar as S
 from tesserae.functions import vectorised as U
 from tesserae.operators import curation as C
+from tesserae.operators import distributions as D
 from tesserae.operators import features as V
+from tesserae.operators.ranks import average_ranks, ranked
 from tesserae.plans.base import CENTROIDS, COS_PAIRS, GROUPS, SAMPLES, SCORES, VECTORS, hashed, query, samples, table, vectors
 from tesserae.plans.evaluation import scored
 
@@ -168,15 +170,34 @@ def knn_topk(spark, d):
     return V.neighbours(v.where("id % 20 = 0"), v, 20).select("q", F.col("rank").cast("long").alias("rank"), "g", R6("cos").alias("cos"))
 
 
+@query("knn_index", f"WITH {_KNN} SELECT q, rk AS rank, g, round(cos, 6) AS cos FROM nn WHERE rk <= 20 AND q % 20 = 0")
+def knn_index(spark, d):
+    """The same rows through many small cells: first the likely ones, then all whose bound is above the 20th cosine found."""
+    v = vectors(spark, d)
+    index = V.build(v, cells=int(v.count() ** 0.5))
+    return V.search(index, v.where("id % 20 = 0"), 20).select("q", F.col("rank").cast("long").alias("rank"), "g", R6("cos").alias("cos"))
+
+
+@query("knn_index_recall")
+def knn_index_recall(spark, d):
+    """How many of the exact 20 nearest a search with the narrower bound finds, for each query."""
+    v = vectors(spark, d)
+    index, some = V.build(v, cells=int(v.count() ** 0.5)), v.where("id % 20 = 0")
+    near = C.materialise(V.search(index, some, 20, spread=0.35).select("q", "g").withColumn("found", F.lit(1)))
+    exact = C.materialise(V.search(index, some, 20).select("q", "g"))
+    return exact.hint("shuffle_merge").join(near.hint("shuffle_merge"), ["q", "g"], "left").groupBy("q").agg(F.count("found").alias("found"), F.count(F.lit(1)).alias("exact"))
+
+
 _CROSS = COS_PAIRS + """, own AS (SELECT q, q_label, arg_max(g, cos) AS own_id, max(cos) AS own_cos FROM cp WHERE q_label = g_label GROUP BY ALL),
 oth AS (SELECT q, arg_max(g, cos) AS cross_id, max(cos) AS cross_cos FROM cp WHERE q_label <> g_label GROUP BY ALL), cn AS (SELECT q, q_label, own_id, own_cos, cross_id, cross_cos, own_cos - cross_cos AS gap FROM own JOIN oth USING (q))"""
 
 
 def cross_neighbours(spark, d) -> DataFrame:
     v = vectors(spark, d)
-    own = V.neighbours(v, v, 1, "own").select("q", "q_label", F.col("g").alias("own_id"), F.col("cos").alias("own_cos"))
-    other = V.neighbours(v, v, 1, "other").select("q", F.col("g").alias("cross_id"), F.col("cos").alias("cross_cos"))
-    return C.materialise(own.join(other, "q").withColumn("gap", F.col("own_cos") - F.col("cross_cos")))
+    index = V.build(v)
+    own = V.neighbours(v, v, 1, "own", index).select("q", "q_label", F.col("g").alias("own_id"), F.col("cos").alias("own_cos"))
+    other = V.neighbours(v, v, 1, "other", index).select("q", F.col("g").alias("cross_id"), F.col("cos").alias("cross_cos"))
+    return C.materialise(own.hint("shuffle_merge").join(other.hint("shuffle_merge"), "q").withColumn("gap", F.col("own_cos") - F.col("cross_cos")))
 
 
 @query("cross_class_nn", f"WITH {_CROSS} SELECT q, own_id, round(own_cos, 6) AS own_cos, cross_id, round(cross_cos, 6) AS cross_cos, round(gap, 6) AS gap FROM cn")
@@ -213,8 +234,9 @@ def self_retrieval_1nn(spark, d):
 @query("region_occupancy", f"WITH {_KNN}, n1 AS (SELECT q AS id, g_label AS near_label FROM nn WHERE rk = 1) SELECT q, near_label, count(*) AS n FROM nn JOIN n1 ON id = g WHERE rk <= 20 AND q % 20 = 0 GROUP BY ALL")
 def region_occupancy(spark, d):
     v = vectors(spark, d)
-    near = nearest(spark, d).select(F.col("q").alias("g"), F.col("g_label").alias("near_label"))
-    return V.neighbours(v.where("id % 20 = 0"), v, 20).select("q", "g").join(near, "g").groupBy("q", "near_label").agg(F.count(F.lit(1)).alias("n"))
+    index = V.build(v)
+    near = C.materialise(V.neighbours(v, v, 1, index=index).select(F.col("q").alias("g"), F.col("g_label").alias("near_label")))
+    return V.neighbours(v.where("id % 20 = 0"), v, 20, index=index).select("q", "g").hint("shuffle_merge").join(near.hint("shuffle_merge"), "g").groupBy("q", "near_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("knn_vote", f"WITH {_KNN}, k(k) AS (VALUES (1), (3), (5), (10), (20)), c AS (SELECT q, k, g_label, count(*) AS n FROM nn, k WHERE rk <= k AND q % 20 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q, k ORDER BY n DESC, g_label) AS o FROM c) SELECT q, k, g_label AS vote, n FROM r WHERE o = 1")
@@ -245,6 +267,35 @@ def similarity_distribution(spark, d):
     return rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), R6(F.avg(c)).alias("mean"), R6(F.stddev_pop(c)).alias("sd"), R6(F.min(c)).alias("min"), R6(F.max(c)).alias("max"), *(R6(F.percentile(c, F.lit(p))).alias(f"p{round(p * 100)}") for p in _PCTS))
 
 
+_SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+@query("similarity_histogram", f"WITH {COS_PAIRS}, b AS (SELECT q_label || '-' || g_label AS block, cos FROM cp WHERE q_label IN (0, 1) AND g_label IN (0, 1)), b2 AS (SELECT * FROM b UNION ALL SELECT 'pooled', cos FROM b), h AS (SELECT *, least(greatest(floor((cos + 1) * {D.BINS // 2}), 0), {D.BINS - 1}) AS bin, row_number() OVER (PARTITION BY block ORDER BY cos) AS rk, count(*) OVER (PARTITION BY block) AS al FROM b2) SELECT block, count(*) AS n, round(avg(cos), 6) AS mean, round(stddev_pop(cos), 6) AS sd, round(min(cos), 6) AS min, round(max(cos), 6) AS max, " + ", ".join(f"round((min(bin) FILTER (rk >= ceil(al * {p}::DOUBLE)) + 0.5) * 2.0 / {D.BINS} - 1, 6) AS p{round(p * 100)}" for p in _SHARES) + " FROM h GROUP BY block")
+def similarity_histogram(spark, d):
+    """The distributions of all pairs' cosines from histograms of block pairs; the pooled one adds up the others."""
+    blocks = C.materialise(D.cosine_histograms(C.materialise(vectors(spark, d).where("label in (0, 1)"))))
+    own = D.histogram_summary(blocks, [F.concat_ws("-", "q_label", "g_label").alias("block")], list(_SHARES))
+    both = own.unionByName(D.histogram_summary(blocks, [F.lit("pooled").alias("block")], list(_SHARES)))
+    return both.select("block", "n", *(R6(c).alias(c) for c in both.columns if c not in ("block", "n")))
+
+
+@query("value_sketches", f"""WITH {SCORES}, j AS (SELECT v.label, list_cosine_similarity(v, centroid) AS x FROM v JOIN model ON cls = label),
+x AS (SELECT 'own_cosine' AS metric, CAST(label AS VARCHAR) AS part, x FROM j UNION ALL SELECT 'confidence', CAST(truth AS VARCHAR), confidence FROM scored UNION ALL SELECT 'n_chars', lang, CAST(n_chars AS DOUBLE) FROM documents)
+SELECT metric, part, count(*) AS n, round(quantile_disc(x, 0.25), 6) AS p25, round(quantile_disc(x, 0.5), 6) AS p50, round(quantile_disc(x, 0.75), 6) AS p75, round(quantile_disc(x, 0.9), 6) AS p90 FROM x GROUP BY ALL""")
+def value_sketches(spark, d):
+    """Quantiles of three metrics by class from stored KLL sketches: sketched in 16 buckets of ids, stored, merged, asked.
+
+    A group of fewer rows than a sketch holds is exact, as in the tables the SQL is compared on.
+    """
+    cosines = to_own_centroid(spark, d).select(F.lit("own_cosine").alias("metric"), F.col("label").cast("string").alias("part"), "id", S.cosine(F.col("v"), F.col("centroid")).alias("x"))
+    confident = scored(spark, d).select(F.lit("confidence").alias("metric"), F.col("truth").cast("string").alias("part"), "id", F.col("confidence").alias("x"))
+    lengths = table(spark, d, "documents").select(F.lit("n_chars").alias("metric"), F.col("lang").alias("part"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("x"))
+    rows = cosines.unionByName(confident).unionByName(lengths).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
+    stored = C.materialise(D.sketches(rows, ["metric", "part", "bucket"], "x"))
+    found = D.quantiles(D.merged(stored, ["metric", "part"]), ["metric", "part"], {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
+    return found.select("metric", "part", "n", *(R6(c).alias(c) for c in ("p25", "p50", "p75", "p90")))
+
+
 _SIM = COS_PAIRS + ", qs AS (SELECT g, g_label AS cls, cos, row_number() OVER (PARTITION BY g_label ORDER BY cos DESC) AS rk FROM cp WHERE q = 0)"
 
 
@@ -430,32 +481,19 @@ def extremes(spark, d):
     return out.select("family", F.col("hi.id").alias("toward_id"), R6(-F.col("hi.k")).alias("toward"), F.col("lo.id").alias("away_id"), R6("lo.k").alias("away"))
 
 
-def average_rank(by: str, value: str):
-    w = Window.partitionBy(by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(by, value)) - 1) / 2.0
-
-
-@query("spearman_monotonicity", f"WITH {_VARIANTS}, r AS (SELECT family, rank() OVER (PARTITION BY family ORDER BY factor) + (count(*) OVER (PARTITION BY family, factor) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY family ORDER BY round(top, 9)) + (count(*) OVER (PARTITION BY family, round(top, 9)) - 1) / 2.0 AS ry FROM vd) SELECT family, round(corr(rx, ry), 6) AS rho FROM r GROUP BY family")
+@query("spearman_monotonicity", f"WITH {_VARIANTS}, r AS (SELECT family, rank() OVER (PARTITION BY family ORDER BY factor) + (count(*) OVER (PARTITION BY family, factor) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY family ORDER BY round(top, 9)) + (count(*) OVER (PARTITION BY family, round(top, 9)) - 1) / 2.0 AS ry FROM vd) SELECT family, round(corr(rx, ry), 6) + 0.0 AS rho FROM r GROUP BY family")
 def spearman_monotonicity(spark, d):
     rows = compared(spark, d).select("family", "factor", F.round("top", 9).alias("y"))
-    ranked = rows.select("family", average_rank("family", "factor").alias("rx"), average_rank("family", "y").alias("ry"))
-    return ranked.groupBy("family").agg(R6(F.corr("rx", "ry")).alias("rho"))
+    ranked = average_ranks(average_ranks(rows, ["family"], "factor", "rx"), ["family"], "y", "ry")
+    return ranked.groupBy("family").agg((R6(F.corr("rx", "ry")) + 0.0).alias("rho"))
 
 
 # statistics
 @query("permutation_test")
-def permutation_test(spark, d, draws: int = 2000):
-    """One-sided: the share of hash-ordered samples of all documents whose mean length reaches that of one source.
-
-    A sample of a draw is the documents whose keyed hash is below the subset's share, so no draw is sorted or gathered.
-    """
-    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("x"), (F.col("source") == "src3").alias("own"))
-    seen = rows.agg(F.avg(F.when(F.col("own"), F.col("x"))).alias("observed"), (F.count_if("own") / F.count(F.lit(1))).alias("share")).first()
-    if seen["observed"] is None:
-        return spark.createDataFrame([], "observed double, p_value double")
-    dealt = rows.select("x", "doc_id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).where((F.pmod(F.xxhash64("draw", "doc_id"), F.lit(1 << 30)) / float(1 << 30)) < seen["share"])
-    means = dealt.groupBy("draw").agg(F.avg("x").alias("m"))
-    return means.agg(F.lit(round(seen["observed"], 6)).alias("observed"), R6(F.avg((F.col("m") >= seen["observed"]).cast("double"))).alias("p_value"))
+def permutation_test(spark, d, draws: int = 200_000):
+    """One-sided: whether one source's documents are longer than as many documents drawn from all."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").cast("double").alias("x"), (F.col("source") == "src3").alias("own"))
+    return D.permutation_p(rows, F.col("own"), draws).select("n", R6("observed").alias("observed"), R6("p_value").alias("p_value"))
 
 
 @query("robust_z", "WITH q AS (SELECT n_chars AS x FROM documents WHERE doc_id = 0) SELECT lang, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25), 6) AS iqr, round((any_value(q.x) - quantile_cont(n_chars, 0.5)) / nullif(quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25), 0), 6) AS z FROM documents, q GROUP BY lang")
@@ -508,7 +546,7 @@ dr AS (SELECT n.label, n.k, r.id FROM need n JOIN rr r ON r.label = n.label AND
 def draws(spark, d) -> DataFrame:
     need = plan(spark, d).where("needed > 0 and real > 0").select("label", "real", F.explode(F.sequence(F.lit(1).cast("long"), F.col("needed"))).alias("k"))
     pick = F.conv(F.substring(S.hash_order(F.concat_ws("|", "label", "k")), 1, 12), 16, 10).cast("long") % F.col("real")
-    real = vectors(spark, d).where("id % 10 <> 0").withColumn("rn", (F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).cast("long"))
+    real = ranked(vectors(spark, d).where("id % 10 <> 0"), ["label"], ["id"]).withColumn("rn", F.col("rank") - 1).drop("rank", "size")
     return need.withColumn("rn", pick).hint("shuffle_merge").join(real, ["label", "rn"])
 
 
