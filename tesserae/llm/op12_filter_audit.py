@@ -2,7 +2,7 @@
 
 Filters A to D are column functions. For E, the copies, texts are partitioned by
 adaptive prefixes: a prefix is the range of all texts that begin with it, and a range
-of more than `RANGE_BYTES` bytes is split by the next longer prefixes, until it is
+of more than `RANGE_BYTES` bytes (less where a task's share is less) is split by the next longer prefixes, until it is
 small or one text alone. One pass adds up the bytes of all prefixes of 8, 128,
 2,048 ... characters; only the hashes of the prefixes that must be split are gathered
 (at most `MOST_RANGES` for each length, as the size of a range grows with the input
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import materialise, table, text_buffer, trim
 
 FILTERS = "ABCDE"
-#: Bytes of text of a range, and of the tries over what a task reads.
-RANGE_BYTES, LOCAL_BYTES = 16 << 20, 32 << 20
+#: Bytes of text of a range, at most and at least, and of the tries over what a task reads. Between these two a range is half a task's share.
+RANGE_BYTES, LEAST_RANGE_BYTES, LOCAL_BYTES = 16 << 20, 1 << 20, 32 << 20
 #: Ranges gathered for each prefix length.
 MOST_RANGES = 200_000
 #: Characters of the shortest prefix, and how many times longer the next one is.
@@ -92,9 +92,10 @@ def split_ranges(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     size = F.octet_length("text").cast("long") + 16
     every = F.array_append("prefixes", F.lit(None))  # null: all texts
     sums = texts.select(size.alias("bytes"), F.explode(every).alias("prefix")).groupBy("prefix").agg(F.sum("bytes").alias("bytes"))
-    sums = materialise(sums.where((F.col("bytes") > RANGE_BYTES) | F.col("prefix").isNull()))
+    sums = materialise(sums.where((F.col("bytes") > LEAST_RANGE_BYTES) | F.col("prefix").isNull()))
     total = next((r["bytes"] for r in sums.where(F.col("prefix").isNull()).collect()), 0)
-    limit = max(RANGE_BYTES, total // MOST_RANGES)
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(LEAST_RANGE_BYTES, min(RANGE_BYTES, total // (2 * tasks)), total // MOST_RANGES)
     wide = sums.where((F.col("bytes") > limit) & F.col("prefix").isNotNull()).orderBy("prefix").toArrow()  # at most MOST_RANGES for each length
     parts = -(-wide["bytes"].to_numpy() // limit)
     return wide["prefix"].to_numpy().astype(np.int64), parts.astype(np.int64), -(-total // limit)

@@ -264,7 +264,7 @@ def test_large_key_groups_are_exact(spark):
 
 
 def test_workers_need_no_installed_copy(tmp_path):
-    """A Spark whose workers cannot import the package: task code and broadcasts travel with the job."""
+    """Workers of a Spark that was started in an empty folder cannot import the package: task code and broadcasts travel with the job."""
     import subprocess
     import sys
 
@@ -272,7 +272,7 @@ def test_workers_need_no_installed_copy(tmp_path):
 import sys
 sys.path.insert(0, {str(__import__("pathlib").Path(__file__).parents[2])!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 from tesserae.llm.queries import QUERIES
 for name in ("op2_benchmark_decontamination", "op5_language_id", "op6_lm_scoring", "op9_toxicity"):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200, name

@@ -88,6 +88,7 @@ def test_trie():
 @pytest.mark.parametrize(("size", "local"), [(16 << 20, 32 << 20), (20_000, 2000)])
 def test_masks(spark, monkeypatch, size, local):
     monkeypatch.setattr(op, "RANGE_BYTES", size)
+    monkeypatch.setattr(op, "LEAST_RANGE_BYTES", min(size, op.LEAST_RANGE_BYTES))
     monkeypatch.setattr(op, "LOCAL_BYTES", local)
     rows = some_rows()
     docs = spark.createDataFrame([(*r, 1, "mine") for r in rows], "doc_id long, lang string, text string, mask int, part string").repartition(5)
@@ -99,6 +100,7 @@ def test_masks(spark, monkeypatch, size, local):
 
 def test_ranges_are_split(spark, monkeypatch):
     monkeypatch.setattr(op, "RANGE_BYTES", 3000)
+    monkeypatch.setattr(op, "LEAST_RANGE_BYTES", 3000)
     texts = spark.createDataFrame([(r[2] or "",) for r in some_rows()], "text string")
     split, parts, _ = op.split_ranges(texts.withColumn("prefixes", op.prefixes(texts["text"])))
     known = texts.select(op.prefixes(texts["text"]).alias("p"), "text").distinct().collect()
