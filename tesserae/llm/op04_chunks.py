@@ -12,8 +12,8 @@ is written out and joined back, where adaptive execution splits a hot digest. No
 group is ever gathered.
 
 Defined results: null or empty text: no chunk; a null doc_id is never reported nor
-kept; rows with one doc_id count as one document; ties do not arise; no rows: no
-rows; further columns are ignored (or, in `deduplicate`, kept).
+kept; equal texts of one doc_id are one document, different ones are documents of
+their own, the smaller text hash first; ties do not arise; no rows: no rows; further columns are ignored (or, in `deduplicate`, kept).
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def chunked(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """doc_id, the digest (d1, d2), start and end in code points, bytes, and whether the document had the chunk before."""
+    """doc_id and version (a hash of the text: rows of one id may differ), the digest (d1, d2), start and end in code points, bytes, and whether the document had the chunk before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,46 +121,47 @@ def chunks(documents: DataFrame) -> DataFrame:
                     o, x, y = owner[order], both[order, 0], both[order, 1]
                     again[order[1:]] = (o[1:] == o[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(owner)), pa.array(both[:, 0]), pa.array(both[:, 1]), *(pa.array(c.astype(np.int32)) for c in (start, end, size)), pa.array(again)],
-                    names=["doc_id", "d1", "d2", "start", "end", "n_bytes", "again"],
+                    [*(batch.column(c).take(pa.array(owner)) for c in ("doc_id", "version")), pa.array(both[:, 0]), pa.array(both[:, 1]), *(pa.array(c.astype(np.int32)) for c in (start, end, size)), pa.array(again)],
+                    names=["doc_id", "version", "d1", "d2", "start", "end", "n_bytes", "again"],
                 )
             trim()
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, start int, end int, n_bytes int, again boolean")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return rows.withColumn("version", F.hash("text")).mapInArrow(run, "doc_id long, version int, d1 long, d2 long, start int, end int, n_bytes int, again boolean")
 
 
 def repeated_spans(documents: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, end, kept_doc_id: the spans that repeat an earlier text, and a document that keeps all chunks of it.
+    """doc_id, version, start, end, kept_doc_id: the spans that repeat an earlier text, and a document that keeps all chunks of it.
 
     Neighbouring repeats count together for `least_bytes`, also where other documents keep them; such a run is several rows.
     """
     cut = chunks(documents)
-    counted = cut.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("n"))
-    known = materialise(counted.where("n > 1").select("d1", "d2", "kept_doc_id"))
-    repeats = cut.hint("shuffle_merge").join(known, ["d1", "d2"]).where("doc_id > kept_doc_id or again")
-    repeats = repeats.groupBy("doc_id", "start", "end").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("n_bytes").alias("n_bytes"))
-    w = Window.partitionBy("doc_id").orderBy("start", "end")
+    text = ["doc_id", "version"]
+    counted = cut.groupBy("d1", "d2").agg(F.min(F.struct(*text)).alias("kept"), F.count("*").alias("n"))
+    known = materialise(counted.where("n > 1").select("d1", "d2", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.version").alias("kept_version")))
+    repeats = cut.hint("shuffle_merge").join(known, ["d1", "d2"]).where("again or doc_id > kept_doc_id or (doc_id = kept_doc_id and version > kept_version)")
+    repeats = repeats.groupBy(*text, "start", "end").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("n_bytes").alias("n_bytes"))
+    w = Window.partitionBy(*text).orderBy("start", "end")
     apart = F.coalesce(F.lag("end").over(w), F.lit(-1)) < F.col("start")
     other = apart | (F.lag("kept_doc_id").over(w) != F.col("kept_doc_id"))
     marked = repeats.withColumns({"apart": apart.cast("int"), "other": other.cast("int")})
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumns({"run": F.sum("apart").over(upto), "span": F.sum("other").over(upto)})
-    joined = marked.groupBy("doc_id", "run", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_bytes").alias("n_bytes"), F.min("kept_doc_id").alias("kept_doc_id"))
-    total = F.sum("n_bytes").over(Window.partitionBy("doc_id", "run"))
-    return joined.withColumn("total", total).where(F.col("total") >= least_bytes).select("doc_id", "start", "end", "kept_doc_id")
+    joined = marked.groupBy(*text, "run", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_bytes").alias("n_bytes"), F.min("kept_doc_id").alias("kept_doc_id"))
+    total = F.sum("n_bytes").over(Window.partitionBy(*text, "run"))
+    return joined.withColumn("total", total).where(F.col("total") >= least_bytes).select(*text, "start", "end", "kept_doc_id")
 
 
 def deduplicate(documents: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """The documents with their repeated spans cut out of `text`; all other columns stay as they are."""
     spans = materialise(repeated_spans(documents, least_bytes))
-    gone = spans.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    gone = spans.groupBy(F.col("doc_id").alias("id"), "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
     names = [f"c{i}" for i in range(len(documents.columns))]
     text, key = (F.col(names[documents.columns.index(c)]) for c in ("text", "doc_id"))
     step = lambda acc, g: F.struct(F.concat(acc["kept"], F.substring(text, acc["at"] + 1, g["start"] - acc["at"])).alias("kept"), g["end"].alias("at"))
     zero = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     cut = F.aggregate("gone", zero, step, lambda acc: F.concat(acc["kept"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    joined = documents.toDF(*names).hint("shuffle_merge").join(gone.hint("shuffle_merge"), key.cast("long") == F.col("id"), "left")
+    joined = documents.toDF(*names).hint("shuffle_merge").join(gone.hint("shuffle_merge"), (key.cast("long") == F.col("id")) & (F.hash(text.cast("string")) == F.col("version")), "left")
     out = F.when(F.col("gone").isNull(), text).otherwise(cut)
     return joined.select(*(out.alias(n) if c == "text" else F.col(n) for n, c in zip(names, documents.columns, strict=True))).toDF(*documents.columns)
 

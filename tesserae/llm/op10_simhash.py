@@ -411,7 +411,7 @@ def least_hashes(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def sketches(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest of the shingle set (d1, d2), its size n, the fingerprints, the bands of least hashes, and the least hashes, of each row with an id."""
+    """doc_id and a hash of the text, digest of the shingle set (d1, d2), its size n, the fingerprints, the bands of least hashes, and the least hashes, of each row with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,11 +422,11 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
                 values, count = _distinct(values, count)
                 digests[:, rows], sizes[rows] = _set_digests(values, count), count
                 bands[rows], mins[rows] = least_hashes(values, count)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(sizes), _lists(prints), _lists(bands), pa.array([m.tobytes() for m in mins], pa.binary())], names=["doc_id", "d1", "d2", "n", "prints", "bands", "mins"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(digests[0]), pa.array(digests[1]), pa.array(sizes), _lists(prints), _lists(bands), pa.array([m.tobytes() for m in mins], pa.binary())], names=["doc_id", "version", "d1", "d2", "n", "prints", "bands", "mins"])
             trim()
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, n int, prints array<long>, bands array<long>, mins binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return rows.withColumn("version", F.xxhash64("text")).mapInArrow(run, "doc_id long, version long, d1 long, d2 long, n int, prints array<long>, bands array<long>, mins binary")
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -467,11 +467,12 @@ def shingle_table(documents: DataFrame, nodes: DataFrame, ids: DataFrame, words:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(d1), pa.array(d2), s], names=["doc_id", "d1", "d2", "s"])
             trim()
 
-    linked = materialise(ids.join(nodes.select("doc_id", "d1", "d2").hint("shuffle_merge"), "doc_id"))
+    linked = materialise(ids.join(nodes.select("doc_id", "own", "d1", "d2").hint("shuffle_merge"), "doc_id"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.hint("shuffle_merge").join(linked.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, s array<long>")
+    sets = texts.hint("shuffle_merge").join(linked.select(F.col("own").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, s array<long>")
     # of rows with one id, the one that was sketched
-    return materialise(sets.hint("shuffle_merge").join(linked.hint("shuffle_merge"), ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id").agg(F.first("s").alias("s")))
+    sets = sets.withColumnRenamed("doc_id", "own").hint("shuffle_merge").join(linked.hint("shuffle_merge"), ["own", "d1", "d2"])
+    return materialise(sets.groupBy("doc_id").agg(F.first("s").alias("s")))
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -596,21 +597,29 @@ def drop_near_copies(documents: DataFrame, words: int = 5, similarity: float = 0
     similarity of at least `similarity`. Equal sets are folded first. Fingerprints over word pairs under several seeds
     bring together what may be similar, and bands of least hashes what differs in more bits than the fingerprints' links
     allow; all members of a group are tested, never only the links of a star, whose centre may be there by chance. A null
-    doc_id always stays; rows of one doc_id are one document.
+    doc_id always stays; equal texts of one doc_id are one document, and of different ones all but the first are judged
+    after all ids.
     """
     rows = materialise(sketches(documents, words))
-    known = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n", "prints", "bands", "mins")).alias("r")).select("doc_id", "r.*"))
-    nodes = materialise(known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "prints", "bands", "mins")).alias("r")).select("d1", "d2", "n", "r.*"))
+    known = materialise(rows.groupBy("doc_id", "version").agg(F.min(F.struct("d1", "d2", "n", "prints", "bands", "mins")).alias("r")).select("doc_id", "version", "r.*"))
+    several = known.groupBy(F.col("doc_id").alias("own")).agg(F.min("version").alias("first"), F.count("*").alias("many"))
+    several = materialise(several.where("many > 1").drop("many"))  # none in a table whose ids are keys
+    later = (F.col("first") != F.col("version")) & F.col("first").isNotNull()
+    key = F.when(later, F.xxhash64("doc_id", "version").bitwiseAND((1 << 62) - 1) + (1 << 62)).otherwise(F.col("doc_id"))
+    known = known.join(several, known["doc_id"] == several["own"], "left").select(key.alias("doc_id"), F.col("doc_id").alias("own"), "version", "d1", "d2", "n", "prints", "bands", "mins")
+    nodes = materialise(known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "own", "prints", "bands", "mins")).alias("r")).select("d1", "d2", "n", "r.*"))
     out = known.select("doc_id").join(nodes.select("doc_id").hint("shuffle_merge"), "doc_id", "left_anti")
     groups = candidate_groups(nodes)
     sets = shingle_table(documents, nodes, groups.select("doc_id").distinct(), words)
     for gone in losers(groups, nodes, sets, similarity):
         out = out.unionByName(gone)
     names = [f"c{i}" for i in range(len(documents.columns))]
-    out = materialise(out.select(F.col("doc_id").alias("gone")).distinct())
+    out = out.distinct().hint("shuffle_merge").join(known.select("doc_id", "own", "version").hint("shuffle_merge"), "doc_id")
+    out = materialise(out.select(F.col("own").alias("gone"), "version"))
     left = documents.toDF(*names)
-    key = F.col(names[documents.columns.index("doc_id")]).cast("long")
-    return left.hint("shuffle_merge").join(out.hint("shuffle_merge"), key == F.col("gone"), "left_anti").toDF(*documents.columns)
+    key, text = (F.col(names[documents.columns.index(c)]) for c in ("doc_id", "text"))
+    same = (key.cast("long") == F.col("gone")) & (F.xxhash64(text.cast("string")) == F.col("version"))
+    return left.hint("shuffle_merge").join(out.hint("shuffle_merge"), same, "left_anti").toDF(*documents.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

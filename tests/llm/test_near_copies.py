@@ -114,3 +114,15 @@ def test_judged_in_rising_order(spark):
             frame, may = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(i,) for i in ready], "doc_id long")
             stay, go = op10_simhash.judge(frame, may, limit)
             assert ({r.doc_id for r in stay.collect()}, {r.doc_id for r in go.collect()}) == (stays, goes)
+
+
+def test_each_text_of_a_repeated_id_is_judged(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+    shared, own = text(), [text() for _ in range(8)]
+    rows = [(1, shared), *((i, shared) for i in range(2, 8)), *((i, own[i]) for i in range(2, 8)), (2, own[2]), (9, edited(rng, own[3], 1)), (None, shared)]
+    left = sorted(((r.doc_id or 0, r.text) for r in op10_simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert [t for i, t in left if i == 1] == [shared] and [t for i, t in left if i == 0] == [shared]
+    texts = [t for i, t in left if i > 1]
+    assert all(own[i] in texts for i in (2, 4, 5, 6, 7)) and shared not in texts
+    assert (own[3] in texts) != any(i == 9 for i, _ in left)  # one of the two near copies

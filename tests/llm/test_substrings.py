@@ -52,3 +52,12 @@ def test_long_texts_are_cut_as_whole(monkeypatch):
     parts = [tuple(map(np.ndarray.tolist, x)) for x in op04_chunks.chunked(texts)]
     for k in range(5):
         assert [v for p in whole for v in p[k]] == [v for p in parts for v in p[k]]
+
+
+def test_unique_text_of_a_repeated_id_stays(spark):
+    rng = random.Random(6)
+    shared, own, other = words(rng, 80), words(rng, 80), words(rng, 80)
+    rows = [(1, shared), (2, shared), (2, own), (3, own + " " + other), (3, own), (3, own)]
+    left = sorted((r.doc_id, r.text) for r in op04_chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert (1, shared) in left and (2, own) in left and all(len(t) < 40 for i, t in left if i == 2 and t != own)
+    assert [len(t) < 40 for i, t in left if i == 3].count(True) == 2 and any(other[20:-20] in t for i, t in left if i == 3)
