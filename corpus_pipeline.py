@@ -2,7 +2,7 @@
 
 Defined results: documents with a null doc_id stay (nothing can name them as a copy); a null or empty text is not toxic,
 holds no benchmark words and no entity, and is drawn once an epoch in the mix; of equal texts the smallest doc_id stays;
-rows of one doc_id go and stay together; an empty table gives an empty result; the columns of documents, whatever their
+each text of a doc_id is judged as a document of its own; an empty table gives an empty result; the columns of documents, whatever their
 names, are kept, and the last stage adds its own.
 
 Every stage works on all that the one before kept; its result is written as Parquet to the shared folder and read back
