@@ -207,6 +207,7 @@ def unpivot_metrics(row: DataFrame, names: list[str]) -> DataFrame:
 
 def suffix_collisions(rows: DataFrame, keys: list[str], name: str, order: Column) -> DataFrame:
     """Names that occur again under the same keys get __1, __2, ... before the extension."""
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(order)) - 1
+    n = (F.col("rank") - 1).cast("string")
     renamed = F.concat(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.lit("__"), n, F.regexp_extract(name, r"(\.[^.]*)?$", 1))
-    return rows.withColumn("stored_name", F.when(n == 0, F.col(name)).otherwise(renamed))
+    placed = ranked(rows, [*keys, name], [order])
+    return placed.withColumn("stored_name", F.when(F.col("rank") == 1, F.col(name)).otherwise(renamed)).drop("rank", "size")

@@ -11,6 +11,7 @@ from tesserae.functions import scalar as S
 from tesserae.operators import audit as A
 from tesserae.operators import curation as C
 from tesserae.operators import features as V
+from tesserae.operators import trees as H
 from tesserae.plans.base import SAMPLES, SCORES, SPLIT, query, samples, split_samples, table, vectors
 from tesserae.streaming import pipelines as P
 
@@ -97,6 +98,18 @@ def snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
 _DIFF = _AFTER + ", df AS (SELECT path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN b.sha256 = a.sha256 THEN 'unchanged' ELSE 'changed' END AS state FROM before b FULL JOIN after a USING (path))"
 
 
+@query("tree_diff", f"WITH {_DIFF} SELECT path, state FROM df WHERE state <> 'unchanged'")
+def tree_diff(spark, d):
+    """The rows that differ between two snapshots, read from the leaves in which their hash trees differ."""
+    return H.diff(*snapshots(spark, d), "path", "sha256", depth=2).select("path", "state")
+
+
+@query("manifest_tree", f"WITH {SAMPLES}, l AS (SELECT sha256('=' || replace(path, '|', '\\|') || '|=' || sha256) AS line, substr(sha256('=' || replace(path, '|', '\\|')), 1, 2) AS place FROM samples), l2 AS (SELECT place, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY place), l1 AS (SELECT substr(place, 1, 1) AS up, sum(n) AS n, sha256(string_agg(place || '|' || digest, chr(10) ORDER BY place || '|' || digest)) AS digest FROM l2 GROUP BY 1), l0 AS (SELECT '' AS place, sum(n) AS n, sha256(string_agg(up || '|' || digest, chr(10) ORDER BY up || '|' || digest)) AS digest FROM l1) SELECT 2 AS level, place, CAST(n AS BIGINT) AS n, digest FROM l2 UNION ALL SELECT 1, up, CAST(n AS BIGINT), digest FROM l1 UNION ALL SELECT 0, place, CAST(n AS BIGINT), digest FROM l0")
+def manifest_tree(spark, d):
+    """All nodes of the hash tree of the samples, two levels deep."""
+    return H.tree(samples(spark, d).select("path", "sha256"), ["path"], ["sha256"], depth=2)
+
+
 @query("integrity_diff", f"WITH {_DIFF} SELECT path, state FROM df")
 def integrity_diff(spark, d):
     return A.integrity_diff(*snapshots(spark, d), "path", "sha256").select("path", "state")
@@ -153,6 +166,37 @@ def stream_dedup(spark, d):
     return spark.read.schema("doc_id long, sha256 string").parquet(f"{out}/rows").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
+_BATCHES, _DELAY, _KEEP = 5, 100, 300
+
+
+def _first_rows_sql() -> str:
+    """Batch by batch, as the stream sees it: the watermark of the batches before, rows not later than it, digests not known; after a batch, what its own watermark lets go."""
+    out = [f"""lim AS (SELECT max(doc_id) + 1 AS n FROM documents), a AS (SELECT sha256(text) AS sha, doc_id AS id, (doc_id * 1000) // n AS ts,
+  CASE WHEN doc_id % 7 = 3 THEN {_BATCHES - 1} ELSE least((doc_id * {_BATCHES}) // n, {_BATCHES - 1}) END AS batch FROM documents, lim), alive0 AS (SELECT '' AS sha, 0 AS ts WHERE false)"""]
+    for b in range(_BATCHES):
+        mark, after = (f"coalesce((SELECT max(ts) FROM a WHERE batch < {k}) - {_DELAY}, -1)" for k in (b, b + 1))
+        out.append(f"new{b} AS (SELECT sha, arg_min(id, ts * 1000000000000 + id) AS id, min(ts) AS ts FROM a WHERE batch = {b} AND ts > {mark} AND sha NOT IN (SELECT sha FROM alive{b}) GROUP BY sha)")
+        out.append(f"alive{b + 1} AS (SELECT sha, ts FROM (SELECT * FROM alive{b} UNION ALL SELECT sha, ts FROM new{b}) WHERE ts + {_KEEP} > {after})")
+    rows = " UNION ALL ".join(f"SELECT sha AS sha256, id, CAST({b} AS INTEGER) AS batch FROM new{b}" for b in range(_BATCHES))
+    return f"WITH {', '.join(out)} SELECT sha256, id FROM ({rows})"
+
+
+@query("stream_first_rows", _first_rows_sql())
+def stream_first_rows(spark, d):
+    """Documents in five batches by id, every seventh in the last one: there most are late and dropped, and digests that the state has let go come again."""
+    docs = table(spark, d, "documents")
+    n = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
+    batch = F.when(F.col("doc_id") % 7 == 3, _BATCHES - 1).otherwise(F.least(F.floor(F.col("doc_id") * _BATCHES / n), F.lit(_BATCHES - 1)))
+    rows = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("doc_id").cast("long").alias("id"), F.timestamp_seconds(F.floor(F.col("doc_id") * 1000 / n) + 1_700_000_000).alias("at"), batch.cast("int").alias("batch"))
+    out = _scratch(spark)
+    rows = C.materialise(rows)
+    for b in range(_BATCHES):
+        rows.where(F.col("batch") == b).drop("batch").write.mode("append").parquet(f"{out}/arrived")
+        with P.rocksdb(spark):
+            P.run_available(P.first_rows(P.read(spark, f"{out}/arrived", rows.drop("batch").schema, 1_000_000), f"{_DELAY} seconds", _KEEP), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema("sha256 string, id long, at timestamp").parquet(f"{out}/rows").select("sha256", "id")
+
+
 @query("stream_leak_gate", f"WITH {SPLIT} SELECT CASE WHEN t.class = r.class THEN 'exact' ELSE 'cross_class_exact' END AS kind, t.class AS cls, t.path AS test_path, r.path AS train_path, t.sha256 FROM samples t JOIN split r ON r.split = 'train' AND r.sha256 = t.sha256 WHERE t.sample_id % 5 = 0")
 def stream_leak_gate(spark, d):
     docs = arriving_files(spark, d, "documents")

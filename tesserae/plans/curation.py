@@ -12,6 +12,7 @@ from tesserae.operators import audit as A
 from tesserae.operators import curation as C
 from tesserae.plans.base import GROUPS, HASHED, NEAR, SAMPLES, SPLIT, hashed, query, samples, split_samples, table
 from tesserae.sources import files
+from tesserae.sources.tree import ClassTree
 
 R6 = lambda c: F.round(c, 6)
 ALIASES = {"en": "English", "english": "English", "fr": "French", "francais": "French", "de": "German", "german": "German"}
@@ -402,6 +403,18 @@ def materialise_splits(spark, d):
     return spark.read.schema(named.schema).parquet(path).select("split", "class", "stored_name", "sample_id")
 
 
+@query("class_tree", f"WITH {SPLIT}, n AS (SELECT split, class, CASE WHEN sample_id % 5 = 0 THEN class || '.bin' WHEN sample_id % 5 = 1 THEN class || '.TXT' ELSE class || '.txt' END AS name, text, sample_id FROM split), k AS (SELECT *, row_number() OVER (PARTITION BY split, class, name ORDER BY sample_id) - 1 AS k FROM n) SELECT split || '/' || class || '/' || f AS path, split, class, f AS filename, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length FROM (SELECT *, CASE WHEN k = 0 THEN name ELSE split_part(name, '.', 1) || '__' || k || '.' || split_part(name, '.', 2) END AS f FROM k) WHERE lower(name) LIKE '%.txt'")
+def class_tree(spark, d):
+    """Members are written as files under split/class, with suffixes where names collide, and the tree is listed again, by extension."""
+    spark.dataSource.register(ClassTree)
+    rows = split_samples(spark, d)
+    name = F.concat("class", F.when(F.col("sample_id") % 5 == 0, ".bin").when(F.col("sample_id") % 5 == 1, ".TXT").otherwise(".txt"))
+    named = C.suffix_collisions(rows.select("split", "class", "sample_id", "text", name.alias("name")), ["split", "class"], "name", F.col("sample_id"))
+    root = _out(spark)
+    named.select("split", "class", F.col("stored_name").alias("filename"), F.col("text").cast("binary").alias("content")).write.format("classtree").mode("overwrite").option("path", root).save()
+    return spark.read.format("classtree").option("path", root).option("extensions", ".txt,.md").schema("path string, split string, class string, filename string, length long").load()
+
+
 @query("build_dataset", f"""WITH RECURSIVE {GROUPS}, docs AS (SELECT doc_id, lang, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents WHERE lang <> 'es'),
 kept AS (SELECT doc_id, lang AS label, sha, group_id FROM docs JOIN groups ON doc_id = id WHERE rn = 1), {_walk('SELECT label, group_id, count(*) AS n FROM kept GROUP BY ALL')},
 manifest AS (SELECT split, kept.label AS class, sha, group_id FROM kept JOIN sided USING (label, group_id)),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timezone
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tesserae.functions import scalar as S
 
@@ -45,3 +50,49 @@ def run_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class FirstOfDigest(StatefulProcessor):
+    """The first row of each digest, by event time and id; the digest is forgotten once the watermark is `keep` seconds past it."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "id long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = min(((r["at"], r["id"]) for r in rows), default=None)  # one batch's rows of one digest, read one by one
+        if first is None or self.seen.exists():
+            return
+        self.seen.update((first[1],))
+        self.handle.registerTimer(int(first[0].replace(tzinfo=timezone.utc).timestamp() + self.keep) * 1000)
+        yield Row(sha256=key[0], id=first[1], at=first[0])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def first_rows(stream: DataFrame, delay: str, keep: int) -> DataFrame:
+    """Of rows (sha256, id, at) the first of each digest. Rows later than the watermark are dropped, and the state holds the
+    digests of the last `keep` seconds before it. Needs the RocksDB state store, see `rocksdb`."""
+    return stream.withWatermark("at", delay).groupBy("sha256").transformWithState(
+        statefulProcessor=FirstOfDigest(keep), outputStructType="sha256 string, id long, at timestamp", outputMode="Append", timeMode="EventTime"
+    )
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
