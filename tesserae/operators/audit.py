@@ -75,6 +75,17 @@ def gate(summary: DataFrame, allow: bool = False) -> DataFrame:
     return summary
 
 
+def gate_report(summary: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(check, ok, detail): no blocking hits; near copies were searched at all (no candidates: their count means nothing); and
+    whether the gate is open. `summary` is of leak_summary, `candidates` one row with a count."""
+    blocking = summary.agg(F.coalesce(F.sum(F.when(F.col("blocking"), F.col("hits"))), F.lit(0)).alias("n"))
+    searched = candidates.select(F.col("candidates").alias("n"))
+    line = lambda rows, check, ok: rows.select(F.lit(check).alias("check"), ok.alias("ok"), F.col("n").cast("string").alias("detail"))
+    checks = line(blocking, "blocking_hits", F.col("n") == 0).unionByName(line(searched, "near_candidates_checked", F.col("n") > 0))
+    gate_line = blocking.select(F.lit("gate").alias("check"), (F.col("n") == 0).alias("ok"), F.when(F.col("n") == 0, "open").otherwise("closed").alias("detail"))
+    return checks.unionByName(gate_line)
+
+
 def leakage_audit(test: DataFrame, train: DataFrame, allow: bool = False, threshold: int = 6, bits: int = 60) -> DataFrame:
     """All hit kinds with their counts, and the copies inside each side; raises where a blocking kind has hits and is not allowed."""
     n = test.count()

@@ -185,6 +185,26 @@ def sample_per_class(rows: DataFrame, label: str, key: str, k: int, seed: int =
     return first_by_hash(rows, label, key, lambda n: F.least(F.lit(k), n), seed).where("_first").drop("_first")
 
 
+# augmentation
+def augmentation_report(rows: DataFrame, label: str, augmented: str, classes: DataFrame, target: int | None = None, extra: int = 0) -> DataFrame:
+    """(label, real, existing, target, generated, reason) of each expected class.
+
+    The target is fixed, or the size of the largest class and `extra`; augmented rows count for it and are never sources, so
+    a class without other rows is skipped with a reason.
+    """
+    counts = rows.groupBy(label).agg(F.count_if(~F.col(augmented)).alias("real"), F.count_if(augmented).alias("existing"))
+    full = classes.select(label).distinct().join(counts, label, "left").select(label, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("real", "existing")))
+    there = F.col("real") + F.col("existing")
+    if target is None:
+        aim = materialise(full.agg((F.coalesce(F.max(there), F.lit(0)) + extra).alias("target")))  # one row
+        full = full.join(F.broadcast(aim))
+    else:
+        full = full.withColumn("target", F.lit(target).cast("long"))
+    generated = F.when(F.col("real") == 0, 0).otherwise(F.greatest(F.col("target") - there, F.lit(0))).cast("long")
+    reason = F.when(F.col("target") <= there, "at target").when(there == 0, "no rows").when(F.col("real") == 0, "no source rows to augment from")
+    return full.select(label, "real", "existing", "target", generated.alias("generated"), reason.alias("reason"))
+
+
 # manifests
 def manifest_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The exact form: SHA-256 of the rows sorted as tuples, one line each. One task holds the lines, so it is for manifests."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scalar as S
 from tesserae.operators import audit as A
+from tesserae.operators import build as B
 from tesserae.operators import curation as C
 from tesserae.plans.base import GROUPS, HASHED, NEAR, SAMPLES, SPLIT, hashed, query, samples, split_samples, table
 from tesserae.sources import files
@@ -204,6 +205,15 @@ def leakage_audit(spark, d):
     return A.leakage_audit(test, train, allow=True)
 
 
+@query("leakage_gate", f"""WITH {_NEAR_LEAK_SQL}, {_LEAKS_SQL.removeprefix(SPLIT).lstrip(', ').replace('t AS (', 'te AS (', 1).replace('r AS (', 'tr AS (', 1).replace('FROM t JOIN r USING', 'FROM te t JOIN tr r USING')}, b AS (SELECT CAST(coalesce(sum(n_train), 0) AS BIGINT) AS n FROM exact)
+SELECT 'blocking_hits' AS check, n = 0 AS ok, CAST(n AS VARCHAR) AS detail FROM b UNION ALL SELECT 'near_candidates_checked', count(*) > 0, CAST(count(*) AS VARCHAR) FROM q WHERE h IS NOT NULL UNION ALL SELECT 'gate', n = 0, CASE WHEN n = 0 THEN 'open' ELSE 'closed' END FROM b""")
+def leakage_gate(spark, d):
+    """Whether the audit lets the split pass; `audit.gate` raises where it does not."""
+    test, train = hashed_sides(spark, d)
+    t, r = sides(spark, d)
+    return A.gate_report(C.materialise(A.leak_summary(A.exact_leaks(t, r), t.count())), A.without_exact(test, train).agg(F.count("h").alias("candidates")))
+
+
 @query("within_split_dups", f"WITH {SPLIT}, g AS (SELECT split, sha256, count(*) AS n FROM split WHERE sha256 <> '' GROUP BY ALL) SELECT split, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM g GROUP BY split")
 def within_split_dups(spark, d):
     return A.within_split_copies(split_samples(spark, d))
@@ -436,6 +446,40 @@ def build_dataset(spark, d):
     return out.select("class", "n_rows", (F.col("n_rows") - F.col("n")).alias("duplicates"), "n_groups", "n_train", "n_test", "fingerprint")
 
 
+_BUILD_SQL = f"""{HASHED}, docs AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' ELSE lang END AS lang, CASE WHEN doc_id % 29 <> 3 THEN sha256(text) END AS sha FROM documents),
+ok AS (SELECT id, lang AS label, sha, row_number() OVER (PARTITION BY sha ORDER BY id) AS rn, first_value(lang) OVER (PARTITION BY sha ORDER BY id) AS kl FROM docs WHERE lang <> 'es' AND sha IS NOT NULL),
+kept0 AS (SELECT id, label, sha FROM ok WHERE rn = 1), kh AS (SELECT kept0.*, hashed.h FROM kept0 JOIN hashed USING (id)),
+kp AS (SELECT a.id AS l, b.id AS r, a.label FROM kh a JOIN kh b ON a.label = b.label AND a.id < b.id AND bit_count(xor(a.h, b.h)) <= 6),
+kr AS (SELECT id AS node, id AS root FROM kh UNION SELECT e.r, kr.root FROM kr JOIN (SELECT l, r FROM kp UNION ALL SELECT r, l FROM kp) e ON kr.node = e.l),
+kroot AS (SELECT node, min(root) AS root FROM kr GROUP BY node), kept AS (SELECT kh.id, kh.label, kh.sha, dense_rank() OVER (PARTITION BY kh.label ORDER BY root) - 1 AS group_id FROM kroot JOIN kh ON node = id),
+{_walk('SELECT label, group_id, count(*) AS n FROM kept GROUP BY ALL')},
+ug AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42|' || id), id) AS rk, count(*) OVER (PARTITION BY label) AS cn FROM kept0),
+m AS (SELECT 'grouped' AS mode, split, label FROM kept JOIN sided USING (label, group_id) UNION ALL SELECT 'ungrouped', CASE WHEN rk <= least(greatest(CAST(round_even(cn * 0.2, 0) AS BIGINT), 1), cn - 1) THEN 'test' ELSE 'train' END, label FROM ug),
+gs AS (SELECT label, group_id, count(*) AS n FROM kept GROUP BY ALL),
+f AS (SELECT 'raw' AS metric, CAST(count(*) AS VARCHAR) AS value FROM docs UNION ALL SELECT 'unknown', CAST(count_if(lang = 'es') AS VARCHAR) FROM docs UNION ALL SELECT 'unreadable', CAST(count_if(lang <> 'es' AND sha IS NULL) AS VARCHAR) FROM docs
+  UNION ALL SELECT 'removed', CAST(count_if(rn > 1) AS VARCHAR) FROM ok UNION ALL SELECT 'cross_class_removed', CAST(count_if(rn > 1 AND kl <> label) AS VARCHAR) FROM ok UNION ALL SELECT 'unique', CAST(count_if(rn = 1) AS VARCHAR) FROM ok),
+g AS (SELECT 'threshold' AS metric, '6' AS value UNION ALL SELECT 'groups', CAST(count(*) AS VARCHAR) FROM gs UNION ALL SELECT 'rows_in_groups', CAST(CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS VARCHAR) FROM gs)"""
+
+
+@query("build_reports", f"""WITH RECURSIVE {_BUILD_SQL} SELECT mode, metric, value FROM f, (VALUES ('grouped'), ('ungrouped')) x(mode) UNION ALL SELECT 'grouped', metric, value FROM g
+UNION ALL SELECT mode, split, CAST(count(*) AS VARCHAR) FROM m GROUP BY mode, split UNION ALL SELECT mode, split || '_' || label, CAST(count(*) AS VARCHAR) FROM m GROUP BY ALL
+UNION ALL SELECT 'ungrouped', 'warning', 'near copies were not grouped: they can lie on both sides of the split' UNION ALL SELECT mode, metric, value FROM (VALUES ('grouped'), ('ungrouped')) x(mode), (VALUES ('test_fraction', '0.2'), ('seed', '42')) y(metric, value)""")
+def build_reports(spark, d):
+    """The build in both modes, with every 29th document unreadable: manifest and audit are written, the reports read back from CSV."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.concat("source", F.lit("/"), "doc_id").alias("path"), F.when(F.col("doc_id") % 29 != 3, F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"))
+    rows = C.materialise(docs.hint("shuffle_merge").join(hashed(spark, d).select("id", "h").hint("shuffle_merge"), "id"))
+    out = None
+    for grouped in (True, False):
+        made = B.build_dataset(rows, C.alias_table(spark, ALIASES), "crop", grouped=grouped, strict=False)
+        path = _out(spark)
+        files.write_manifest(made.manifest.withColumn("filename", F.col("id").cast("string")), f"{path}/manifest")
+        made.duplicates.write.csv(f"{path}/duplicates", header=True)
+        made.report.coalesce(1).write.csv(f"{path}/report", header=True)
+        lines = spark.read.schema("metric string, value string").csv(f"{path}/report", header=True).where("metric not in ('fingerprint', 'mode')").select(F.lit("grouped" if grouped else "ungrouped").alias("mode"), "metric", "value")
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
 # validation
 _CLASSES_SQL = "expected(class) AS (VALUES ('src0'), ('src1'), ('src2'), ('none'))"
 _SPLITS_SQL = "sides(split) AS (VALUES ('train'), ('test'))"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import planes
 from tesserae.functions import scalar as S
 from tesserae.functions import vectorised as U
 from tesserae.operators import curation as C
@@ -555,13 +556,59 @@ def augmentation_sources(spark, d):
     return draws(spark, d).select("label", "k", F.col("id").alias("source_id"), F.concat(F.format_string("aug_%05d_", "k"), F.col("id").cast("string")).alias("name"))
 
 
-@query("augment_rows")
+def _chance_sql(name: str) -> str:
+    return f"CAST('0x' || substr(sha256('42|' || label || '|' || k || '|{name}'), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+def _pixel_sql(p: str, x: str, y: str, lx: str = "0", hx: str = "7", ly: str = "0", hy: str = "7") -> str:
+    return f"{p}[CAST(least(greatest({y}, {ly}), {hy}) * 8 + least(greatest({x}, {lx}), {hx}) AS INTEGER) + 1]"
+
+
+def _between_sql(p: str, x: str, y: str, *borders: str) -> str:
+    tx, ty = f"(({x}) - floor({x}))", f"(({y}) - floor({y}))"
+    at = lambda dx, dy: _pixel_sql(p, f"floor({x}) + {dx}", f"floor({y}) + {dy}", *borders)
+    return f"(1 - {ty}) * ((1 - {tx}) * {at(0, 0)} + {tx} * {at(1, 0)}) + {ty} * ((1 - {tx}) * {at(0, 1)} + {tx} * {at(1, 1)})"
+
+
+def _augment_sql() -> str:
+    every = lambda e: f"list_transform(range(0, 64), lambda i: {e})"
+    x, y = "(i % 8)", "(i // 8)"
+    sx, sy = f"(3.5 + c * ({x} - 3.5) + s * ({y} - 3.5))", f"(3.5 - s * ({x} - 3.5) + c * ({y} - 3.5))"
+    cx, cy = f"(l + ({x} + 0.5) * w / 8 - 0.5)", f"(t + ({y} + 0.5) * w / 8 - 0.5)"
+    bell = lambda dx, dy: f"(b * {_pixel_sql('p', f'{x} - {dx}', f'{y} - {dy}')} + p[i + 1] + b * {_pixel_sql('p', f'{x} + {dx}', f'{y} + {dy}')}) / (1 + 2 * b)"
+    named = lambda *names: ", ".join(f"{_chance_sql(n)} AS u_{n}" for n in names)
+    steps = [
+        f"SELECT label, k, id, p, {named('sides', 'over', 'turn', 'gain', 'contrast', 'cropped', 'crop', 'left', 'top', 'blurred', 'radius')} FROM (SELECT dr.label, dr.k, dr.id, v.v AS p FROM dr JOIN v ON v.id = dr.id)",
+        f"SELECT * REPLACE (CASE WHEN u_sides < 0.5 THEN {every(f'p[{y} * 8 + 7 - {x} + 1]')} ELSE p END AS p) FROM a0",
+        f"SELECT * REPLACE (CASE WHEN u_over < 0.3 THEN {every(f'p[(7 - {y}) * 8 + {x} + 1]')} ELSE p END AS p), cos(radians(-15 + u_turn * 30)) AS c, sin(radians(-15 + u_turn * 30)) AS s FROM a1",
+        f"SELECT * REPLACE ({every(f'CASE WHEN {sx} < -0.5 OR {sx} > 7.5 OR {sy} < -0.5 OR {sy} > 7.5 THEN 0.0 ELSE {_between_sql(chr(112), sx, sy)} END')} AS p) FROM a2",
+        "SELECT * REPLACE (list_transform(p, lambda q: q * (0.8 + u_gain * 0.4)) AS p) FROM a3",
+        "SELECT *, list_sum(p) / 64 AS m, floor(8 * (0.8 + u_crop * 0.2)) AS w FROM a4",
+        "SELECT * REPLACE (list_transform(p, lambda q: m + (q - m) * (0.8 + u_contrast * 0.4)) AS p), floor(u_left * (9 - w)) AS l, floor(u_top * (9 - w)) AS t, exp(-1 / (2 * (0.3 + u_radius * 0.7) * (0.3 + u_radius * 0.7))) AS b FROM a5",
+        f"SELECT * REPLACE (CASE WHEN u_cropped < 0.5 THEN {every(_between_sql('p', cx, cy, 'l', 'l + w - 1', 't', 't + w - 1'))} ELSE p END AS p) FROM a6",
+        f"SELECT * REPLACE (CASE WHEN u_blurred < 0.2 THEN {every(bell(1, 0))} ELSE p END AS p) FROM a7",
+        f"SELECT * REPLACE (CASE WHEN u_blurred < 0.2 THEN {every(bell(0, 1))} ELSE p END AS p) FROM a8",
+    ]
+    return f"WITH {_DRAWS}, " + ", ".join(f"a{i} AS ({q})" for i, q in enumerate(steps)) + " SELECT label, k, id AS source_id, round(list_avg(p), 6) AS mean, round(p[1], 6) AS first, round(p[28], 6) AS middle, round(list_max(p), 6) AS most FROM a9"
+
+
+@query("augment_rows", _augment_sql())
 def augment_rows(spark, d):
-    """Flip, gain and jitter with parameters from a hash of the seed, class and draw."""
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "label", "k"), F.lit(1 << 20)) / float(1 << 20)
-    v = S.doubles(F.col("v"))
-    flipped = F.when(u("flip") < 0.5, F.reverse(v)).otherwise(v)
-    return draws(spark, d).select("label", "k", F.col("id").alias("source_id"), R6(S.mean(F.transform(flipped, lambda x: x * (0.8 + 0.4 * u("gain"))))).alias("mean"))
+    """Flips, rotation, gain, contrast, crop and blur, with parameters from a hash of the seed, class, draw and choice."""
+    chance = lambda name: F.conv(F.substring(S.hash_order(F.concat_ws("|", "label", "k", F.lit(name))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    made = draws(spark, d).select("label", "k", F.col("id").alias("source_id"), planes.augmented(S.doubles(F.col("v")), 8, chance).alias("w"))
+    at = lambda i: F.get("w", F.lit(i))
+    return made.select("label", "k", "source_id", R6(S.mean(F.col("w"))).alias("mean"), R6(at(0)).alias("first"), R6(at(27)).alias("middle"), R6(F.array_max("w")).alias("most"))
+
+
+_REPORT = "pr AS (SELECT label, CAST(count_if(id % 10 <> 0 AND label <> 9) AS BIGINT) AS real, CAST(count_if(id % 10 = 0 OR label = 9) AS BIGINT) AS existing FROM v GROUP BY label UNION ALL SELECT 10, 0, 0), pt AS (SELECT *, max(real + existing) OVER () + 2 AS target FROM pr)"
+
+
+@query("augmentation_report", f"WITH {VECTORS}, {_REPORT} SELECT label, real, existing, target, CASE WHEN real = 0 THEN 0 ELSE greatest(target - real - existing, 0) END AS generated, CASE WHEN target <= real + existing THEN 'at target' WHEN real = 0 AND existing = 0 THEN 'no rows' WHEN real = 0 THEN 'no source rows to augment from' END AS reason FROM pt")
+def augmentation_report(spark, d):
+    """What each expected class gets and, where it gets nothing, why: class 9 has augmented rows only, class 10 no rows."""
+    rows = vectors(spark, d).withColumn("augmented", (F.col("id") % 10 == 0) | (F.col("label") == 9))
+    return C.augmentation_report(rows, "label", "augmented", spark.range(11).select(F.col("id").alias("label")), extra=2)
 
 
 @query("mixup_pairs", f"WITH {VECTORS}, o AS (SELECT *, row_number() OVER (PARTITION BY id // 32 ORDER BY id) AS a, row_number() OVER (PARTITION BY id // 32 ORDER BY sha256('42|' || id), id) AS b FROM v) SELECT x.id, y.id AS partner, x.label, y.label AS partner_label, round(0.7 * x.v[1] + 0.3 * y.v[1], 6) AS first FROM o x JOIN o y ON x.id // 32 = y.id // 32 AND x.a = y.b")
