@@ -45,7 +45,7 @@ def flip_over(plane: Column, side: int) -> Column:
 
 
 def rotate(plane: Column, side: int, degrees: Column, fill: float = 0.0) -> Column:
-    """Around the middle; what comes from outside is `fill`."""
+    """Clockwise around the middle, as y runs down; what comes from outside is `fill`."""
     middle, low, high = (side - 1) / 2, F.lit(0.0), F.lit(side - 1.0)
 
     def turned(cs: Column) -> Column:

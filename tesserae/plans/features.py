@@ -39,7 +39,12 @@ def phash64(spark, d):
     return plane(spark, d).select("id", S.median_hash(F.col("v")).alias("h"))
 
 
-@query("phash_dct")
+_BASIS = lambda k, x: f"(cos(pi() * (2 * {x} + 1) * {k} / 16) * CASE WHEN {k} = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END)"
+_DCT = f"""{VECTORS}, dr AS (SELECT id, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 8), lambda x: v[CAST((i // 8) * 8 + x AS INTEGER) + 1] * {_BASIS('(i % 8)', 'x')}))) AS r FROM v),
+dc AS (SELECT id, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 8), lambda y: r[CAST(y * 8 + i % 8 AS INTEGER) + 1] * {_BASIS('(i // 8)', 'y')}))) AS c FROM dr)"""
+
+
+@query("phash_dct", f"WITH {_DCT}, e AS (SELECT id, unnest(c) AS x, unnest(range(0, 64)) AS i FROM dc), m AS (SELECT id, quantile_cont(x, 0.5) AS m FROM e WHERE i > 0 GROUP BY id), p AS (SELECT id, sum(CASE WHEN x > m THEN CAST(1 AS HUGEINT) << i ELSE 0 END) AS u FROM e JOIN m USING (id) GROUP BY id) SELECT id, {_SIGNED('u')} AS h FROM p")
 def phash_dct(spark, d):
     """The whole hash: a two-dimensional cosine transform of the plane, then the threshold."""
     return plane(spark, d).select("id", S.median_hash(U.dct2("v")).alias("h"))
@@ -449,7 +454,16 @@ def appearance_variants(spark, d):
     return variants(spark, d).select("id", "family", "factor", R6(S.mean(F.col("w"))).alias("mean"), R6(F.get("w", F.lit(0))).alias("first"))
 
 
-@query("blur_variants")
+def _pixel_sql(p: str, x: str, y: str, lx: str = "0", hx: str = "7", ly: str = "0", hy: str = "7") -> str:
+    return f"{p}[CAST(least(greatest({y}, {ly}), {hy}) * 8 + least(greatest({x}, {lx}), {hx}) AS INTEGER) + 1]"
+
+
+def _blur_sql(p: str) -> str:
+    near = " + ".join(_pixel_sql(p, f"i % 8 + {dx}", f"i // 8 + {dy}") for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+    return f"list_transform(range(0, 64), lambda i: ({near}) / 9)"
+
+
+@query("blur_variants", f"WITH {VECTORS}, s AS (SELECT id, v, list_transform(v, lambda x: x - list_min(v) + 1) AS u FROM v), b AS (SELECT id, v, u, {_blur_sql('v')} AS bv, {_blur_sql('u')} AS bu FROM s) SELECT id, round(list_sum(list_transform(range(1, 65), lambda i: v[i] - bv[i] + list_avg(v))) / 64, 6) AS flat_field_mean, round(list_sum(list_transform(range(1, 65), lambda i: ln(u[i]) - ln(bu[i]))) / 64, 6) AS retinex_mean FROM b")
 def blur_variants(spark, d):
     """Flat-field and retinex-style variants: a blur in numpy, each from the original."""
     return plane(spark, d).select("id", R6(S.mean(U.flat_field("v"))).alias("flat_field_mean"), R6(S.mean(U.retinex("v"))).alias("retinex_mean"))
@@ -560,10 +574,6 @@ def _chance_sql(name: str) -> str:
     return f"CAST('0x' || substr(sha256('42|' || label || '|' || k || '|{name}'), 1, 8) AS BIGINT) / 4294967296.0"
 
 
-def _pixel_sql(p: str, x: str, y: str, lx: str = "0", hx: str = "7", ly: str = "0", hy: str = "7") -> str:
-    return f"{p}[CAST(least(greatest({y}, {ly}), {hy}) * 8 + least(greatest({x}, {lx}), {hx}) AS INTEGER) + 1]"
-
-
 def _between_sql(p: str, x: str, y: str, *borders: str) -> str:
     tx, ty = f"(({x}) - floor({x}))", f"(({y}) - floor({y}))"
     at = lambda dx, dy: _pixel_sql(p, f"floor({x}) + {dx}", f"floor({y}) + {dy}", *borders)

@@ -23,10 +23,10 @@ def dedup(stream: DataFrame, digest: str, at: str, delay: str) -> DataFrame:
 
 
 def leak_gate(stream: DataFrame, train: DataFrame) -> DataFrame:
-    """Arriving rows (class, path, sha256) that are copies of training rows."""
-    known = train.where("sha256 <> ''").select("sha256", F.col("class").alias("train_cls"), F.col("path").alias("train_path"))
+    """Arriving rows (class, path, sha256) that are copies of training rows: one row for each train class, as in the batch form."""
+    known = train.where("sha256 <> ''").groupBy("sha256", F.col("class").alias("train_cls")).agg(F.min("path").alias("train_path"), F.count(F.lit(1)).alias("n_train"))
     kind = F.when(F.col("class") == F.col("train_cls"), "exact").otherwise("cross_class_exact")
-    return stream.join(known, "sha256").select(kind.alias("kind"), F.col("class").alias("cls"), F.col("path").alias("test_path"), "train_path", "sha256")
+    return stream.join(known, "sha256").select(kind.alias("kind"), F.col("class").alias("cls"), F.col("path").alias("test_path"), "train_path", "n_train", "sha256")
 
 
 def score(stream: DataFrame, model: list[tuple[int, list[float]]]) -> DataFrame:
