@@ -46,7 +46,7 @@ def near_leaks(test: DataFrame, train: DataFrame, threshold: int = 6, bits: int
     copies = train.where("h is not null").groupBy(label.alias("label"), "h").agg(F.min("path").alias("id"))
     pairs = hash_pairs(rows.select(F.col("path").alias("id"), label.alias("label"), "h"), materialise(copies), threshold, bits)
     best = pairs.groupBy("l").agg(F.min(F.struct("distance", "r")).alias("m"))
-    return best.join(rows.select(F.col("path").alias("l"), "class"), "l").select(F.lit("near").alias("kind"), F.col("class").alias("cls"), F.col("l").alias("test_path"), F.col("m.r").alias("train_path"), F.lit(1).cast("long").alias("n_train"), F.col("m.distance").alias("distance"), F.lit(None).cast("string").alias("sha256"))
+    return best.hint("shuffle_merge").join(rows.select(F.col("path").alias("l"), "class").hint("shuffle_merge"), "l").select(F.lit("near").alias("kind"), F.col("class").alias("cls"), F.col("l").alias("test_path"), F.col("m.r").alias("train_path"), F.lit(1).cast("long").alias("n_train"), F.col("m.distance").alias("distance"), F.lit(None).cast("string").alias("sha256"))
 
 
 def severity(kind: Column) -> Column:
@@ -100,7 +100,7 @@ def count_by_split_class(rows: DataFrame, classes: DataFrame, splits: list[str])
     """Rows per split and class, zero-filled over the class dimension."""
     grid = classes.select("class", F.explode(F.array(*(F.lit(s) for s in splits))).alias("split"))
     counts = rows.groupBy("split", "class").count()
-    return grid.join(counts, ["split", "class"], "left").select("split", "class", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+    return grid.hint("shuffle_merge").join(counts.hint("shuffle_merge"), ["split", "class"], "left").select("split", "class", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
 def class_differences(expected: DataFrame, found: DataFrame) -> DataFrame:

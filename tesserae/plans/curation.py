@@ -294,7 +294,7 @@ _CLASSES = NEAR + ", c AS (SELECT label, h, min(id) AS class_id FROM hashed WHER
 def near_pairs(spark, d):
     """Pairs between the classes of equal hashes; near_pair_members gives the rows of each class."""
     rows = hashed(spark, d).where("h is not null")
-    return C.near_pairs(rows, 6).join(rows.select(F.col("id").alias("l"), "label"), "l").select("label", "l", "r", F.col("distance").cast("int").alias("distance"))
+    return C.near_pairs(rows, 6).hint("shuffle_merge").join(rows.select(F.col("id").alias("l"), "label").hint("shuffle_merge"), "l").select("label", "l", "r", F.col("distance").cast("int").alias("distance"))
 
 
 @query("near_pair_members", f"WITH {_CLASSES} SELECT id, label, class_id FROM hashed JOIN c USING (label, h)")

@@ -206,7 +206,7 @@ SELECT metric, cls, round(value, 6) AS value FROM lines""")
 def evaluate(spark, d):
     """Every metric as a line (metric, cls, value); cls is null for metrics of all classes."""
     rows = C.materialise(predictions(spark, d))
-    per = E.per_class(E.confusion_matrix(rows, classes(spark, d))).join(E.auc_one_vs_rest(class_scores(spark, d)), "cls", "left")
+    per = E.per_class(E.confusion_matrix(rows, classes(spark, d))).hint("shuffle_merge").join(E.auc_one_vs_rest(class_scores(spark, d)).hint("shuffle_merge"), "cls", "left")
     per = C.materialise(per)
     whole = rows.agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"))
     whole = whole.join(F.broadcast(E.macro_weighted(per))).withColumn("balanced_accuracy", F.col("macro_recall"))  # one row each
