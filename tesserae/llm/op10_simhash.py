@@ -518,11 +518,11 @@ def close_pairs(groups: DataFrame, nodes: DataFrame, similarity: float, limit: i
     return dealt.groupBy("gid", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def losers(groups: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, few: int = 4) -> list[DataFrame]:
+def losers(groups: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, few: int = 1) -> list[DataFrame]:
     """The ids that are similar to a smaller id which stays, of written groups; ids are judged in rising order.
 
-    In each round the `few` smallest ids of each group are tested against its other members: as many pairs as members,
-    a few times. Ids that are among them in all their groups are judged, and go or stay; so a group of thousands of near
+    In each round the `few` smallest ids of each group, twice as many as in the round before, are tested against its other
+    members: in the first, most of a group of near copies goes with its smallest id, for one pair a member and group. Ids that are among them in all their groups are judged, and go or stay; so a group of thousands of near
     copies goes in a few rounds. Once a round takes less than a tenth of the ids, those left are together by chance: they
     are compared by their least hashes within tasks, and the few close pairs are tested.
     """
@@ -540,7 +540,7 @@ def losers(groups: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: flo
         gone.append(go)
         settled = materialise(stay.unionByName(go))
         groups = _shared(materialise(groups.hint("shuffle_merge").join(settled.hint("shuffle_merge"), "doc_id", "left_anti")))
-        few_went = go.count() < ids / 10
+        few_went, few = go.count() < ids / 10, few * 2
         ids = groups.select("doc_id").distinct().count()
         if ids and few_went:
             pairs = materialise(close_pairs(groups, nodes, similarity))
