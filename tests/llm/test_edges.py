@@ -42,6 +42,8 @@ def folder(request, spark, tmp_path_factory):
     spark.createDataFrame(some([(-10, 0, 1), (1, 1, 0), (7, None, None), (None, 1, 1), (-10, 0, 1)]), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     talk = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "a"), (None, 0, "user", "x\\</turn>"), (2, None, None, "\\"), (2, 3, "assistant", "<text>\n</turn>\n<turn>")]
     spark.createDataFrame(some(talk), "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    page = "<article><p>A page, which is long enough, and has commas.</p></article>"
+    spark.createDataFrame(some([(1, "u", page), (1, "u", page), (None, None, None), (2, "", "<nav>")]), "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     return path, full
 
 
@@ -57,6 +59,10 @@ def test_query_on_odd_tables(spark, folder, name):
         assert all(r.doc_id != 1 or r.kept_doc_id == 1 for r in rows)
     elif name.startswith("op7_"):
         assert len({r.doc_id for r in rows}) == len({r[0] for r in ROWS})
+    elif name.startswith("op12_"):  # all orders and steps for en, de and no language
+        assert len(rows) == 3 * 600 and sum(r.kept + r.removed for r in rows if r.step == 1 and r.filter_order == "ABCDE") == len(ROWS)
+    elif name.startswith("op13_"):
+        assert sorted(r.n_chars for r in rows) == [0, 0, 45, 45]
     else:
         assert len(rows) == len(ROWS)
 
