@@ -20,3 +20,20 @@ def test_draws_do_not_depend_on_shuffle_partitions(spark, monkeypatch):
     assert totals[0] == totals[1] and len(totals[0]) == 2000
     assert abs(np.mean(totals[0]) - 200 * values.mean()) < 5 * np.sqrt(200 * values.var() * 200 / 399 / 2000)
     assert abs(np.var(totals[0]) / (200 * values.var() * 200 / 399) - 1) < 0.2
+
+
+def test_percentiles_of_all_pairs_are_exact(spark):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(70, 6))
+    m[5:15] = m[5]  # copies: many pairs of one cosine
+    frame = spark.createDataFrame([(i, i % 2, m[i].tolist()) for i in range(70)], "id long, label long, v array<double>")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    shares = [0.0, 0.01, 0.33, 0.5, 0.95, 1.0]
+    blocks = F.array(F.concat_ws("-", "q_label", "g_label"), F.lit("pooled"))
+    got = {r.block: r for r in D.cosine_distribution(frame, blocks, shares, bins=8, block=16).collect()}
+    assert sorted(got) == ["0-0", "0-1", "1-0", "1-1", "pooled"]
+    for name, r in got.items():
+        x = np.array([cos[a, b] for a in range(70) for b in range(70) if a != b and name in ("pooled", f"{a % 2}-{b % 2}")])
+        assert r.n == len(x) and np.allclose([r["mean"], r.sd, r.min, r.max], [x.mean(), x.std(), x.min(), x.max()])
+        assert np.allclose([r[f"p{round(p * 100)}"] for p in shares], np.quantile(x, shares), atol=1e-12)
