@@ -1,6 +1,7 @@
 """Draws, selections, neighbours and hashes that stay bounded as tables grow."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tesserae.operators import distributions as D
@@ -37,3 +38,10 @@ def test_percentiles_of_all_pairs_are_exact(spark):
         x = np.array([cos[a, b] for a in range(70) for b in range(70) if a != b and name in ("pooled", f"{a % 2}-{b % 2}")])
         assert r.n == len(x) and np.allclose([r["mean"], r.sd, r.min, r.max], [x.mean(), x.std(), x.min(), x.max()])
         assert np.allclose([r[f"p{round(p * 100)}"] for p in shares], np.quantile(x, shares), atol=1e-12)
+
+
+def test_cosines_of_a_block_are_held_a_strip_at_a_time():
+    rng = np.random.default_rng(9)
+    side = pa.table({"id": np.arange(900), "label": np.arange(900) % 2, "v": pa.array(list(rng.normal(size=(900, 4))))})
+    tiles = list(D._tiles(side, side))
+    assert max(cos.shape[0] for _, _, _, cos, _ in tiles) <= D.STRIP and sum(other.sum() for *_, other in tiles) == 900 * 899
