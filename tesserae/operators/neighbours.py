@@ -5,7 +5,9 @@ probes the cells that may hold its nearest rows, then every other cell whose bes
 k-th row found so far. With `spread` = 1 that bound holds for certain, so the result is exact at any number of cells;
 a smaller one is the bound for rows that lie around their cell's centre without a common direction, and trades recall for work.
 
-A hot cell is dealt out: blocks of at most `BLOCK` rows meet blocks of at most as many queries.
+A hot cell is dealt out: blocks of at most `BLOCK` rows meet blocks of at most as many queries. The cells probed first get
+their queries by a shuffle, a fixed number of copies of each row; all others, which without clusters are nearly all cells of
+each query, by a Cartesian product of written blocks, which moves the nearest rows found and no vectors.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from tesserae.functions import scalar as S
 from tesserae.operators.store import materialise
 
 BLOCK = 2048
+#: Queries of a block whose cosines are held at once, and the parts of an index that give their own nearest rows.
+STRIP, PARTS = 128, 8
 #: Rows that a cell has on average, up to MOST_CELLS cells; the sample that they are fitted on has SAMPLE rows a cell, by hash of the id.
 ROWS_A_CELL, MOST_CELLS, SAMPLE = 2048, 16_384, 4
 #: Cells that a query probes first.
@@ -121,25 +125,116 @@ def build(vectors: DataFrame, cells: int | None = None) -> Index:
     return Index(placed.drop("angle"), Cells(centres, counts, low, high))
 
 
+def _best(q: np.ndarray, qi: np.ndarray, ql: np.ndarray, least: np.ndarray, g: np.ndarray, gi: np.ndarray, gl: np.ndarray, k: int, scope: str) -> tuple[np.ndarray, ...]:
+    """(row, column, cosine) of the k best columns of each row that reach its least cosine, ties by id; STRIP rows at a time."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for at in range(0, len(q), STRIP):
+        rows = slice(at, at + STRIP)
+        cos = q[rows] @ g.T
+        bad = qi[rows, None] == gi[None, :]
+        if scope != "any":
+            bad |= (ql[rows, None] == gl[None, :]) != (scope == "own")
+        cos[bad] = -np.inf
+        bound = least[rows, None]
+        hit = cos >= bound
+        if hit.sum() > 4 * k * len(cos) and cos.shape[1] > k:
+            hit &= cos >= np.partition(cos, -k, axis=1)[:, -k, None]
+        r, c = np.nonzero(hit & (cos > -np.inf))
+        out.append(_cut(r + at, c, cos[r, c], gi[c], k))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _cut(r: np.ndarray, c: np.ndarray, cos: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best entries of each row."""
+    order = np.lexsort((ids, -cos, r))
+    r, c, cos = r[order], c[order], cos[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], c[keep], cos[keep]
+
+
+_NAMES, _KINDS = ["q", "g", "cos", "q_label", "g_label"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+
+
 def _compare(left: pa.Table, right: pa.Table, k: int, scope: str) -> pa.Table:
     """The k best rows of one block for each query of another."""
-    names, kinds = ["q", "g", "cos", "q_label", "g_label"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
     if not left.num_rows or not right.num_rows:
-        return pa.table([pa.array([], t) for t in kinds], names=names)
+        return pa.table([pa.array([], t) for t in _KINDS], names=_NAMES)
     left, right = (t.combine_chunks().to_batches()[0] for t in (left, right))
     qi, gi, ql, gl = (t.column(c).to_numpy() for t, c in ((left, "qid"), (right, "id"), (left, "qlabel"), (right, "label")))
-    cos = _unit(_matrix(left, "w")) @ _unit(_matrix(right)).T
-    bad = qi[:, None] == gi[None, :]
-    if scope != "any":
-        bad |= (ql[:, None] == gl[None, :]) != (scope == "own")
-    cos = np.where(bad, -np.inf, cos)
-    order = np.argsort(gi, kind="stable")
-    best = order[np.argsort(-cos[:, order], axis=1, kind="stable")[:, :k]]
-    rows = np.repeat(np.arange(len(qi)), best.shape[1])
-    cols = best.ravel()
-    keep = np.isfinite(cos[rows, cols])
-    rows, cols = rows[keep], cols[keep]
-    return pa.table([pa.array(x, t) for x, t in zip((qi[rows], gi[cols], cos[rows, cols], ql[rows], gl[cols]), kinds, strict=True)], names=names)
+    r, c, cos = _best(_unit(_matrix(left, "w")), qi, ql, np.full(len(qi), -np.inf), _unit(_matrix(right)), gi, gl, k, scope)
+    return pa.table([pa.array(x, t) for x, t in zip((qi[r], gi[c], cos, ql[r], gl[c]), _KINDS, strict=True)], names=_NAMES)
+
+
+_ASKED = "qid array<long>, qlabel array<long>, reached array<double>, w array<double>"
+_HELD = "cell int, id array<long>, label array<long>, v array<double>"
+
+
+def _row(*columns: np.ndarray) -> list[pa.Array]:
+    """One row of lists."""
+    return [pa.ListArray.from_arrays(pa.array([0, c.size], pa.int32()), pa.array(np.ascontiguousarray(c).ravel())) for c in columns]
+
+
+def _all_pairs(again: DataFrame, index: Index, k: int, scope: str, spread: float, probes: int, block: int) -> DataFrame:
+    """The k best rows, for each query (qid, qlabel, w, reached) and PARTS parts of the index, of the cells whose bound reaches the
+    k-th cosine found and that were not probed first.
+
+    Both sides are written as blocks, one row each, and Spark's Cartesian product brings them together: it reads the written
+    blocks of the index again for each part of the queries and shuffles none.
+    """
+    of = index.cells
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = np.concatenate([np.argmax(_unit(_matrix(b.slice(i, 512), "w")) @ of.centres.T, axis=1) for i in range(0, b.num_rows, 512)] or [np.empty(0)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("qid", "qlabel", "reached", "w")), pa.array(cell.astype(np.int32))], names=["qid", "qlabel", "reached", "w", "near"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, block) for x in batches for i in range(0, x.num_rows, block)):
+            yield pa.RecordBatch.from_arrays(_row(*(b.column(c).to_numpy() for c in ("qid", "qlabel", "reached")), _unit(_matrix(b, "w"))), names=["qid", "qlabel", "reached", "w"])
+
+    def held(rows: pa.Table) -> pa.Table:
+        b = rows.combine_chunks().to_batches()[0]
+        return pa.Table.from_arrays([b.column("cell").slice(0, 1), *_row(b.column("id").to_numpy(), b.column("label").to_numpy(), _unit(_matrix(b)))], names=["cell", "id", "label", "v"])
+
+    placed = materialise(again.mapInArrow(near, "qid long, qlabel long, reached double, w array<double>, near int"))
+    queries = materialise(placed.repartitionByRange(max(1, -(-placed.count() // block)), "near", "qid").drop("near").mapInArrow(asked, _ASKED))
+    cut = again.sparkSession.createDataFrame([(int(c), -(-int(of.counts[c]) // block)) for c in np.flatnonzero(of.counts)], "cell int, parts int")  # at most MOST_CELLS rows
+    parted = index.rows.join(F.broadcast(cut), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    gallery = materialise(parted.select("cell", "part", "id", "label", "v").groupBy("cell", "part").applyInArrow(held, _HELD)).coalesce(PARTS)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qi = None
+        for b in (x.slice(i, 1) for x in batches for i in range(x.num_rows)):
+            flat = {c: b.column(c).flatten().to_numpy() for c in ("qid", "id", "label", "v")}
+            if qi is None or not np.array_equal(qi, flat["qid"]):
+                if qi is not None:
+                    yield done()
+                qi, ql, least = flat["qid"], *(b.column(c).flatten().to_numpy() for c in ("qlabel", "reached"))
+                q, least = b.column("w").flatten().to_numpy().reshape(len(qi), -1), least - 1e-12
+                wanted = np.concatenate([(of.bounds(q[i : i + STRIP], spread) >= least[i : i + STRIP, None] - 1e-9) & ~of.likely(q[i : i + STRIP], spread, probes) for i in range(0, len(qi), STRIP)])
+                have = tuple(np.empty(0, t) for t in (np.int64, np.int64, float, np.int64))  # row, id, cosine, label
+
+                def done() -> pa.RecordBatch:
+                    r, g, cos, label = have
+                    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((qi[r], g, cos, ql[r], label), _KINDS, strict=True)], names=_NAMES)
+
+            asks = np.flatnonzero(wanted[:, b.column("cell")[0].as_py()])
+            if not len(asks):
+                continue
+            r, c, cos = _best(q[asks], qi[asks], ql[asks], least[asks], flat["v"].reshape(len(flat["id"]), -1), flat["id"], flat["label"], k, scope)
+            if not len(r):
+                continue
+            r, g, cos, label = (np.concatenate(x) for x in zip(have, (asks[r], flat["id"][c], cos, flat["label"][c]), strict=True))
+            r, at, cos = _cut(r, np.arange(len(r)), cos, g, k)
+            have = (r, g[at], cos, label[at])
+            last = np.flatnonzero(np.append(r[1:] != r[:-1], True))
+            last = last[np.bincount(r, minlength=len(qi))[r[last]] >= k]
+            least[r[last]] = np.maximum(least[r[last]], cos[last] - 1e-12)
+        if qi is not None:
+            yield done()
+
+    met = queries.hint("shuffle_replicate_nl").crossJoin(gallery)
+    return met.mapInArrow(best, _FOUND)
 
 
 def search(index: Index, queries: DataFrame, k: int, scope: str = "any", spread: float = 1.0, probes: int = PROBES, block: int | None = None) -> DataFrame:
@@ -195,5 +290,4 @@ def search(index: Index, queries: DataFrame, k: int, scope: str = "any", spread:
     nearest = materialise(top(found))
     reached = nearest.groupBy(F.col("q").alias("qid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(-2.0).alias("least"))
     again = asked.hint("shuffle_merge").join(reached.hint("shuffle_merge"), "qid", "left").select("qid", "qlabel", "w", F.coalesce("least", F.lit(-2.0)).alias("reached"))
-    more = meet(again, lambda unit, least: (of.bounds(unit, spread) >= least[:, None] - 1e-9) & ~of.likely(unit, spread, probes))
-    return nearest if more is None else top(nearest.drop("rank").unionByName(more))
+    return top(nearest.drop("rank").unionByName(_all_pairs(again, index, k, scope, spread, probes, block)))

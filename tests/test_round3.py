@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tesserae.operators import distributions as D
+from tesserae.operators import neighbours as N
 
 
 def test_draws_do_not_depend_on_shuffle_partitions(spark, monkeypatch):
@@ -45,3 +46,24 @@ def test_cosines_of_a_block_are_held_a_strip_at_a_time():
     side = pa.table({"id": np.arange(900), "label": np.arange(900) % 2, "v": pa.array(list(rng.normal(size=(900, 4))))})
     tiles = list(D._tiles(side, side))
     assert max(cos.shape[0] for _, _, _, cos, _ in tiles) <= D.STRIP and sum(other.sum() for *_, other in tiles) == 900 * 899
+
+
+def test_cells_beyond_the_first_are_met_without_a_shuffle_of_vectors(spark):
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(200, 6))
+    frame = spark.createDataFrame([(i, i % 3, m[i].tolist()) for i in range(200)], "id long, label long, v array<double>")
+    found = N.search(N.build(frame, 20), frame, 3, "other")
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    got = {(r.q, r["rank"]): r.g for r in found.collect()}
+    for q in range(200):
+        want = sorted((g for g in range(200) if g % 3 != q % 3), key=lambda g: -cos[q, g])[:3]
+        assert [got[q, k] for k in (1, 2, 3)] == want
+
+
+def test_best_rows_are_cut_by_strips_with_ties_by_id():
+    g, ids = np.ones((500, 2)), np.arange(500)[::-1].copy()
+    zero = np.zeros(300, np.int64)
+    r, c, cos = N._best(np.ones((300, 2)), np.arange(1000, 1300), zero, np.full(300, -np.inf), g, ids, np.zeros(500, np.int64), 4, "any")
+    assert len(r) == 1200 and (ids[c].reshape(300, 4) == [0, 1, 2, 3]).all()
