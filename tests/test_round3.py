@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tesserae.operators import curation as C
 from tesserae.operators import distributions as D
 from tesserae.operators import neighbours as N
 
@@ -67,3 +68,16 @@ def test_best_rows_are_cut_by_strips_with_ties_by_id():
     zero = np.zeros(300, np.int64)
     r, c, cos = N._best(np.ones((300, 2)), np.arange(1000, 1300), zero, np.full(300, -np.inf), g, ids, np.zeros(500, np.int64), 4, "any")
     assert len(r) == 1200 and (ids[c].reshape(300, 4) == [0, 1, 2, 3]).all()
+
+
+def test_quantiles_from_sketches_are_exact_beyond_their_size(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 4 != 0, (F.col("id") % 3).cast("string")).alias("g"), (F.col("id") % 16).alias("bucket"), F.when(F.col("id") % 5 != 0, F.pmod(F.xxhash64("id"), F.lit(9_973))).cast("double").alias("x"))
+    rows = C.materialise(rows)
+    wrong = D.sketches(rows.withColumn("x", F.lit(-1.0)), ["g", "bucket"], "x")  # no bound holds: all values are counted
+    for stored in (D.sketches(rows, ["g", "bucket"], "x"), wrong):
+        got = {r.g: r for r in D.exact_quantiles(rows, stored, ["g"], "x", [1, 50, 90, 100]).collect()}
+        assert sorted(got, key=str) == ["0", "1", "2", None]
+        for g, r in got.items():
+            values = [v.x for v in rows.where(F.col("g").eqNullSafe(g)).collect()]
+            x = sorted(v for v in values if v is not None)
+            assert r.n == len(values) > len(x) > D.SKETCH and [r[f"p{p}"] for p in (1, 50, 90, 100)] == [x[(len(x) * p + 99) // 100 - 1] for p in (1, 50, 90, 100)]
