@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tesserae.functions import vectorised as U
 from tesserae.operators import curation as C
 from tesserae.operators import distributions as D
 from tesserae.operators import neighbours as N
@@ -81,3 +82,11 @@ def test_quantiles_from_sketches_are_exact_beyond_their_size(spark):
             values = [v.x for v in rows.where(F.col("g").eqNullSafe(g)).collect()]
             x = sorted(v for v in values if v is not None)
             assert r.n == len(values) > len(x) > D.SKETCH and [r[f"p{p}"] for p in (1, 50, 90, 100)] == [x[(len(x) * p + 99) // 100 - 1] for p in (1, 50, 90, 100)]
+
+
+def test_text_hashes_stream_and_short_texts_count_as_they_are(spark):
+    texts = ["", "A", " A b ", "a B", "A b c", "A b c ", " one two three four", "\x0bX\fy\tz", None, "É é é", "a " * 5000]
+    got = [r.h for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", C.simhash60(F.col("t")).alias("h")).orderBy("i").collect()]
+    assert got == [None if t is None else U.similarity_hash(t.lower(), t) for t in texts]
+    batches = U._hashes(iter([(pa.array(["a b c d", None]), pa.array([None, None], pa.string()))]))
+    assert [b.to_pylist() for b in batches] == [[U.similarity_hash("a b c d", None), None]]
