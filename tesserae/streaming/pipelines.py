@@ -29,6 +29,12 @@ def leak_gate(stream: DataFrame, train: DataFrame) -> DataFrame:
     return stream.join(known, "sha256").select(kind.alias("kind"), F.col("class").alias("cls"), F.col("path").alias("test_path"), "train_path", "n_train", "sha256")
 
 
+def leak_members(hits: DataFrame, train: DataFrame) -> DataFrame:
+    """The training rows (train_cls, train_path, sha256) that the written rows of the gate count."""
+    known = train.select(F.col("class").alias("train_cls"), F.col("path").alias("train_path"), "sha256")
+    return known.hint("shuffle_merge").join(hits.select("sha256").distinct().hint("shuffle_merge"), "sha256", "left_semi").select("train_cls", "train_path", "sha256")
+
+
 def score(stream: DataFrame, model: list[tuple[int, list[float]]]) -> DataFrame:
     """Rows (id, label, v) against class centroids held as literals: classes x dimensions numbers."""
     cosines = F.array(*(S.cosine(S.doubles(F.col("v")), F.array(*map(F.lit, c))) for _, c in model))

@@ -90,3 +90,16 @@ def test_text_hashes_stream_and_short_texts_count_as_they_are(spark):
     assert got == [None if t is None else U.similarity_hash(t.lower(), t) for t in texts]
     batches = U._hashes(iter([(pa.array(["a b c d", None]), pa.array([None, None], pa.string()))]))
     assert [b.to_pylist() for b in batches] == [[U.similarity_hash("a b c d", None), None]]
+
+
+def test_gate_and_members_tell_every_pair_of_copies(spark):
+    from tesserae.streaming import pipelines as P
+
+    train = spark.createDataFrame([("a", "a/1", "x"), ("a", "a/2", "x"), ("b", "b/1", "x"), ("b", "b/2", "y"), ("b", "b/3", "z"), ("b", "b/4", None)], "class string, path string, sha256 string")
+    rows = spark.createDataFrame([("a", "t/1", "x"), ("b", "t/2", "x"), ("b", "t/3", "y"), ("b", "t/4", "w"), ("b", "t/5", None)], "class string, path string, sha256 string")
+    hits = C.materialise(P.leak_gate(rows, train))
+    members = P.leak_members(hits, train)
+    label = F.when(hits["kind"] == "exact", hits["cls"] == members["train_cls"]).otherwise(hits["cls"] != members["train_cls"])
+    got = {(r.test_path, r.path) for r in hits.join(members, (hits["sha256"] == members["sha256"]) & label).select("test_path", members["train_path"].alias("path")).collect()}
+    assert got == {(t, p) for t, ps in (("t/1", ("a/1", "a/2", "b/1")), ("t/2", ("a/1", "a/2", "b/1")), ("t/3", ("b/2",))) for p in ps}
+    assert members.count() == 4 and hits.agg(F.sum("n_train")).first()[0] == 7
