@@ -184,15 +184,24 @@ class Level:
 class Trie:
     """Words; contexts v; u relative to v; w relative to (u, v); w relative to v; and the codes of leaves and contexts."""
 
-    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, total3: np.ndarray, total2: np.ndarray, own2: np.ndarray):
-        """Of distinct training n-grams sorted by (v, u, w): counts c, context totals of each, and whether the pairs (v, w) of v are all here."""
-        words, code = np.unique(np.concatenate([v, u, w]), return_inverse=True)
-        rv, ru, rw = code.reshape(3, -1)
+    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, total3: np.ndarray, total2: np.ndarray, own2: np.ndarray, known: np.ndarray | None = None):
+        """Of distinct training n-grams sorted by (v, u, w): counts c, context totals of each, and whether the pairs (v, w) of v are all here.
+
+        Given sorted words `known`, v, u and w are places in them.
+        """
+        if known is None:
+            known, code = np.unique(np.concatenate([v, u, w]), return_inverse=True)
+            v, u, w = code.reshape(3, -1)
+        used = np.zeros(len(known), bool)
+        for x in (v, u, w):
+            used[x] = True
+        words, rank = known[used], np.cumsum(used) - 1
+        rv, ru, rw = rank[v], rank[u], rank[w]
         new = lambda *columns: np.flatnonzero(np.any([np.append(True, x[1:] != x[:-1]) for x in columns], axis=0)) if len(v) else np.empty(0, np.int64)
         one, two = new(rv), new(rv, ru)
         node1 = np.repeat(np.arange(len(one)), np.diff(np.append(one, len(v))))
         node2 = np.repeat(np.arange(len(two)), np.diff(np.append(two, len(v))))
-        pair = np.lexsort((rw, node1))
+        pair = np.argsort(node1 * len(words) + rw)
         head = np.flatnonzero(np.append(True, (node1[pair][1:] != node1[pair][:-1]) | (rw[pair][1:] != rw[pair][:-1]))) if len(v) else np.empty(0, np.int64)
         c2 = np.add.reduceat(c[pair], head) if len(v) else np.empty(0, np.int64)
         bi = pair[head]
@@ -481,15 +490,17 @@ def _asked(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa
 
 
 def _joined(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """The words of some n-grams; the distinct n-grams in order as places in these; and which one each row is."""
-    words, code = np.unique(np.concatenate(columns), return_inverse=True)
+    """The words of some n-grams; the distinct n-grams in order as places in these; and which one each row is. Takes the columns out of the list."""
+    words, many = np.unique(np.concatenate([np.unique(c) for c in columns])), len(columns)
     width = np.uint64(max(1, len(words).bit_length()))
     key = np.zeros(len(columns[0]), np.uint64)
-    for c in code.reshape(len(columns), -1):
-        key = key << width | c.astype(np.uint64)
+    while columns:
+        key <<= width
+        key |= np.searchsorted(words, columns.pop(0)).astype(np.uint64)
     distinct, inverse = np.unique(key, return_inverse=True)
+    del key
     mask = (np.uint64(1) << width) - np.uint64(1)
-    return words, [(distinct >> (width * np.uint64(len(columns) - 1 - i)) & mask).astype(np.int64) for i in range(len(columns))], inverse
+    return words, [(distinct >> (width * np.uint64(many - 1 - i)) & mask).astype(np.int64) for i in range(many)], inverse
 
 
 def _by_run(x: np.ndarray, n: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -516,7 +527,8 @@ def _answered(rows: pa.Table, frequent: Frequent) -> pa.Table:
         if level == 1:  # pairs of a hot context
             asked.insert(1, np.zeros(len(n), np.int64))
         known = np.flatnonzero(n)
-        v, u, w = (words[c[known]] for c in asked)
+        places = [c[known] for c in asked]
+        v, u = (words[x] for x in places[:2])
         c = n[known]
         if level == 1:
             total3, total2, own2 = c, frequent.totals()[v.astype(np.int64)], np.ones(len(v), bool)
@@ -525,9 +537,9 @@ def _answered(rows: pa.Table, frequent: Frequent) -> pa.Table:
             total3 = np.where(pair > 0, pair, _by_run(v, c, u))
             total2, own2 = _by_run(v, c), ~frequent.is_hot(v)
         with tempfile.TemporaryDirectory() as folder:
-            trie = Trie(v, u, w, c, total3, total2, own2)
+            trie = Trie(*places, c, total3, total2, own2, words)
             trie.mapped(folder)
-            del v, u, w, c, n, total2, total3, own2
+            del v, u, places, c, n, total2, total3, own2
             codes = trie.lookup(words, *asked)[2 * level :]
             del trie
         answers = [pack_codes([x[inverse[a:b]] for x in codes]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]

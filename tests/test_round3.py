@@ -103,3 +103,15 @@ def test_gate_and_members_tell_every_pair_of_copies(spark):
     got = {(r.test_path, r.path) for r in hits.join(members, (hits["sha256"] == members["sha256"]) & label).select("test_path", members["train_path"].alias("path")).collect()}
     assert got == {(t, p) for t, ps in (("t/1", ("a/1", "a/2", "b/1")), ("t/2", ("a/1", "a/2", "b/1")), ("t/3", ("b/2",))) for p in ps}
     assert members.count() == 4 and hits.agg(F.sum("n_train")).first()[0] == 7
+
+
+def test_trie_of_places_is_that_of_words():
+    from tesserae.llm import op06_lm as g
+
+    rng = np.random.default_rng(12)
+    words = np.unique(rng.integers(1, 1 << 40, 80).astype(np.uint64))
+    v, u, w = np.unique(rng.integers(0, 60, (3, 500)), axis=1)
+    c = rng.integers(1, 9, len(v))
+    rest = (c, c + 5, c + 9, np.ones(len(v), bool))
+    one, two = g.Trie(v, u, w, *rest, words), g.Trie(words[v], words[u], words[w], *rest)
+    assert all((x == y).all() for x, y in zip(one.lookup(words, v, u, w), two.lookup(words, v, u, w), strict=True)) and (one.a3 == two.a3).all() and (one.a2 == two.a2).all()
