@@ -452,7 +452,7 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
 def _shared(groups: DataFrame) -> DataFrame:
     """Of written groups those of two members or more, written."""
     some = groups.groupBy("gid").agg(F.count("*").alias("many")).where("many > 1").select("gid")
-    return materialise(groups.hint("shuffle_merge").join(some.hint("shuffle_merge"), "gid"))
+    return materialise(groups.hint("shuffle_merge").join(some.hint("shuffle_merge"), "gid", "left_semi"))
 
 
 def shingle_table(documents: DataFrame, nodes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -495,52 +495,72 @@ LEAST_SHARED = 58
 
 def close_pairs(groups: DataFrame, nodes: DataFrame, similarity: float, limit: int = 1024) -> DataFrame:
     """Distinct pairs (a, b) of a group that share LEAST_SHARED least hashes, compared in blocks within tasks: no other pair
-    is ever a row. A group of more than `limit` members is dealt out as pairs of blocks."""
-    size = materialise(groups.groupBy("gid").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks")))
-    rows = materialise(groups.hint("shuffle_merge").join(nodes.select("doc_id", "mins").hint("shuffle_merge"), "doc_id"))
-    one = rows.hint("shuffle_merge").join(size.hint("shuffle_merge"), "gid").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    is ever a row. A group of more than `limit` members is dealt out as pairs of blocks. A pair comes from one of its groups
+    alone, that of the smallest gid, and from one pair of blocks."""
+    size = groups.groupBy("gid").agg(F.count("*").alias("many"), F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
+    size = materialise(size.where("many > 1").drop("many"))
+    some = materialise(groups.hint("shuffle_merge").join(size.hint("shuffle_merge"), "gid"))
+    all_of = some.groupBy("doc_id").agg(F.collect_list("gid").alias("gids"))
+    known = materialise(all_of.hint("shuffle_merge").join(nodes.select("doc_id", "mins").hint("shuffle_merge"), "doc_id"))
+    one = some.hint("shuffle_merge").join(known.hint("shuffle_merge"), "doc_id").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     both = one.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = both.select("gid", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "doc_id", "n", "mins")
+    lower = F.filter("gids", lambda g: g < F.col("gid")).alias("lower")
+    dealt = both.select("gid", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("i").alias("own"), "doc_id", "n", "mins", lower)
 
     def pairs(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["doc_id"].to_numpy())
-        ids, n = group["doc_id"].to_numpy()[order], group["n"].to_numpy()[order]
-        mins = np.frombuffer(b"".join(group["mins"].to_pylist()), np.uint32).reshape(len(ids), -1)[order].T.copy()
+        group = group.combine_chunks().sort_by("doc_id")
+        ids, n, own = (group[c].to_numpy() for c in ("doc_id", "n", "own"))
+        alone = group["i"][0].as_py() == group["j"][0].as_py()
+        mins = np.frombuffer(b"".join(group["mins"].to_pylist()), np.uint32).reshape(len(ids), -1).T.copy()
+        others = group["lower"].combine_chunks()
+        at, gids = np.append(0, np.cumsum(others.value_lengths().to_numpy())), others.flatten().to_numpy()
         left, right = [], []
         for a in range(len(ids) - 1):
             fits = np.minimum(n[a], n[a + 1 :]) >= similarity * np.maximum(n[a], n[a + 1 :]) - 1e-6
-            near = a + 1 + np.flatnonzero(fits & ((mins[:, a, None] == mins[:, a + 1 :]).sum(0) >= LEAST_SHARED))
+            near = a + 1 + np.flatnonzero(fits & (alone | (own[a + 1 :] != own[a])) & ((mins[:, a, None] == mins[:, a + 1 :]).sum(0) >= LEAST_SHARED))
+            mine = set(gids[at[a] : at[a + 1]].tolist())
+            near = np.array([b for b in near.tolist() if mine.isdisjoint(gids[at[b] : at[b + 1]].tolist())], np.int64) if mine else near
             left.append(np.full(len(near), ids[a]))
             right.append(ids[near])
         empty = [np.empty(0, np.int64)]
         return pa.table({"a": np.concatenate(left or empty), "b": np.concatenate(right or empty)})
 
-    return dealt.groupBy("gid", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+    return dealt.groupBy("gid", "i", "j").applyInArrow(pairs, "a long, b long")
 
 
 def losers(groups: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, few: int = 1) -> list[DataFrame]:
     """The ids that are similar to a smaller id which stays, of written groups; ids are judged in rising order.
 
-    In each round the `few` smallest ids of each group, twice as many as in the round before, are tested against its other
-    members: in the first, most of a group of near copies goes with its smallest id, for one pair a member and group. Ids that are among them in all their groups are judged, and go or stay; so a group of thousands of near
-    copies goes in a few rounds. Once a round takes less than a tenth of the ids, those left are together by chance: they
-    are compared by their least hashes within tasks, and the few close pairs are tested.
+    In each round those of the `few` smallest ids of each group, twice as many as in the round before, that are among them
+    in all their groups are ready to be judged: they go or stay. Only they can make a member go, so only groups with such
+    a head meet their members, and a member is tested against these; a ready id is tested against the other heads too, as
+    it has to wait for one that it is similar to. In the first round most of a group of near copies goes with its
+    smallest id; a group of thousands goes in a few rounds. Once a round takes less than a tenth of the ids, those left
+    are together by chance: they are compared by their least hashes within tasks, and the few close pairs are tested.
     """
     gone, ids = [], groups.select("doc_id").distinct().count()
     while ids:
         rank = F.row_number().over(Window.partitionBy("gid").orderBy("doc_id"))
-        heads = groups.withColumn("rank", rank).where(F.col("rank") <= few).select("gid", F.struct(F.col("doc_id").alias("a"), F.col("n").alias("a_n")).alias("head"))
-        heads = materialise(heads.groupBy("gid").agg(F.collect_list("head").alias("heads")))
-        # one row a member, with the heads of its group; then one row an id, with the heads of all its groups
-        led = salted_join(groups, heads, "gid").select("doc_id", "n", "heads", F.exists("heads", lambda h: h["a"] == F.col("doc_id")).cast("int").alias("leads"))
-        led = materialise(led.groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"), (F.min("leads") == 1).alias("ready")))
-        ready = led.where("ready").select("doc_id")
-        tried = led.select(F.explode("heads").alias("head"), F.col("doc_id").alias("b"), F.col("n").alias("b_n")).select("head.a", "head.a_n", "b", "b_n").where("a < b").where(_fits(similarity)).select("a", "b")
+        top = materialise(groups.withColumn("rank", rank).where(F.col("rank") <= few + 1))  # one more tells a group of heads alone
+        if top.where("rank > 1").isEmpty():
+            break
+        own = groups.groupBy("doc_id").agg(F.count("*").alias("many"))
+        led = top.where(F.col("rank") <= few).groupBy("doc_id").agg(F.count("*").alias("many"))
+        ready = materialise(led.hint("shuffle_merge").join(own.hint("shuffle_merge"), ["doc_id", "many"]).select("doc_id"))
+        marked = top.hint("shuffle_merge").join(ready.withColumn("ready", F.lit(True)).hint("shuffle_merge"), "doc_id", "left")
+        head = F.when(F.col("rank") <= few, F.struct(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("ready").isNotNull().alias("ready")))
+        heads = marked.groupBy("gid").agg(F.collect_list(head).alias("heads"), F.max("rank").alias("most"))
+        heads = materialise(heads.where((F.col("most") > 1) & F.exists("heads", lambda h: h["ready"])).drop("most"))
+        # one row a member of a group with a ready head, with its heads; then one row an id, with the heads of all its groups
+        met = salted_join(groups, heads, "gid").groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+        met = met.withColumn("may", F.exists("heads", lambda h: h["ready"] & (h["a"] == F.col("doc_id"))))
+        met = met.select(F.filter("heads", lambda h: (h["a"] < F.col("doc_id")) & (h["ready"] | F.col("may"))).alias("heads"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"))
+        tried = met.select(F.explode("heads").alias("head"), "b", "b_n").select("head.a", "head.a_n", "b", "b_n").where(_fits(similarity)).select("a", "b")
         stay, go = judge(similar_pairs(materialise(tried), sets, similarity), ready)
         gone.append(go)
-        settled = materialise(stay.unionByName(go))
-        groups = _shared(materialise(groups.hint("shuffle_merge").join(settled.hint("shuffle_merge"), "doc_id", "left_anti")))
         few_went, few = go.count() < ids / 10, few * 2
+        settled = materialise(stay.unionByName(go))
+        groups = materialise(groups.hint("shuffle_merge").join(settled.hint("shuffle_merge"), "doc_id", "left_anti"))
         ids = groups.select("doc_id").distinct().count()
         if ids and few_went:
             pairs = materialise(close_pairs(groups, nodes, similarity))

@@ -80,6 +80,46 @@ def test_a_large_group_goes_in_few_pairs(spark):
     assert dropped(spark, texts) == kept(texts)
 
 
+def hashed(texts: list[str]) -> tuple[list, list]:
+    """The shingle hashes of each text, and its least hashes."""
+    values, count = op10_simhash.set_hashes(pa.array(texts), 5)
+    values, count = op10_simhash._distinct(values, count)
+    sets = np.split(values.view(np.int64), np.cumsum(count)[:-1])
+    return [s.tolist() for s in sets], [m.tobytes() for m in op10_simhash.least_hashes(values, count)[1]]
+
+
+def test_only_groups_with_a_ready_head_meet_their_members(spark, monkeypatch):
+    rng = random.Random(19)
+    text = " ".join(rng.choice([f"w{i}" for i in range(3000)]) for _ in range(300))
+    sets, mins = hashed([edited(rng, text, 2) for _ in range(41)])
+    # 0 leads the first group; the heads of the others, 1 to 9, are in it too and can't be ready
+    groups = [(0, i) for i in range(41)] + [(g, i) for g in range(1, 10) for i in range(g, 41)]
+    frame = spark.createDataFrame([(g, i, len(sets[i])) for g, i in groups], "gid long, doc_id long, n int")
+    nodes = spark.createDataFrame([(i, bytearray(mins[i])) for i in range(41)], "doc_id long, mins binary")
+    made, join = {"gid": 0, "b": 0}, op10_simhash.salted_join
+
+    def counted(left, right, key, *more):
+        made[key] = made.get(key, 0) + join(left, right, key, *more).count()
+        return join(left, right, key, *more)
+
+    monkeypatch.setattr(op10_simhash, "salted_join", counted)
+    gone = op10_simhash.losers(frame, nodes, spark.createDataFrame(list(enumerate(sets)), "doc_id long, s array<long>"), 0.8)
+    assert sorted(r.doc_id for part in gone for r in part.collect()) == list(range(1, 41))
+    assert made["gid"] == 41 and made["b"] == 40
+
+
+def test_a_close_pair_comes_from_one_group(spark):
+    rng = random.Random(23)
+    text = " ".join(rng.choice([f"w{i}" for i in range(3000)]) for _ in range(300))
+    sets, mins = hashed([edited(rng, text, 2) for _ in range(30)] + ["alone"])
+    rows = [(g, i, len(sets[i])) for g in range(-4, 4) for i in range(30) if i % 8 != g + 4] + [(9, 30, 1)]
+    groups = spark.createDataFrame(rows, "gid long, doc_id long, n int")
+    nodes = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(mins)], "doc_id long, mins binary")
+    for limit in (1024, 7):
+        found = sorted((r.a, r.b) for r in op10_simhash.close_pairs(groups, nodes, 0.8, limit).collect())
+        assert found == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
 def test_a_hub_is_one_component(spark):
     links = spark.range(1, 5000).selectExpr("0L as a", "id as b").unionByName(spark.range(1).selectExpr("7000L as a", "8000L as b"))
     roots = {(r.node, r.root) for r in op10_simhash.components(links).collect()}
