@@ -115,3 +115,17 @@ def test_trie_of_places_is_that_of_words():
     rest = (c, c + 5, c + 9, np.ones(len(v), bool))
     one, two = g.Trie(v, u, w, *rest, words), g.Trie(words[v], words[u], words[w], *rest)
     assert all((x == y).all() for x, y in zip(one.lookup(words, v, u, w), two.lookup(words, v, u, w), strict=True)) and (one.a3 == two.a3).all() and (one.a2 == two.a2).all()
+
+
+def test_a_pair_of_blocks_gives_a_bar_once(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    side = pa.table({"id": np.arange(900), "label": np.arange(900) % 2, "v": pa.array(list(rng.normal(size=(900, 4))))})
+    works = []
+    monkeypatch.setattr(D, "_pairs_of_blocks", lambda rows, work, kind, block: works.append(work) or spark.createDataFrame([], kind))
+    for bins in (20, 1_000_000):  # more bars than pairs of a strip
+        D.cosine_histograms(None, bins)
+        found = works[-1](side, side)
+        assert sum(found["n"].to_pylist()) == 900 * 899
+        if bins == 20:
+            keys = list(zip(*(found[c].to_pylist() for c in ("q_label", "g_label", "bin")), strict=True))
+            assert len(keys) == len(set(keys)) <= 4 * bins
