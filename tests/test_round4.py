@@ -22,3 +22,15 @@ def test_nearest_rows_of_every_row(spark):
     got = {(r.q, r["rank"]): r.g for r in registry.QUERIES["knn_topk"](spark, SF).collect()}
     want = {(int(q), k + 1): int(g) for q, line in zip(ids, cos, strict=True) for k, g in enumerate(ids[np.lexsort((ids, -line))[:20]])}
     assert got == want and len(got) == 20 * len(ids)
+
+
+def test_regions_of_every_row(spark):
+    ids, labels, cos = cosines(spark)
+    order = [np.lexsort((ids, -line))[:20] for line in cos]
+    want = {}
+    for q, near in zip(ids, order, strict=True):
+        for g in near:
+            key = int(q), int(labels[order[g][0]])
+            want[key] = want.get(key, 0) + 1
+    got = {(r.q, r.near_label): r.n for r in registry.QUERIES["region_occupancy"](spark, SF).collect()}
+    assert got == want and sum(got.values()) == 20 * len(ids)
