@@ -197,18 +197,19 @@ def stream_first_rows(spark, d):
     return spark.read.schema("sha256 string, id long, at timestamp").parquet(f"{out}/rows").select("sha256", "id")
 
 
-@query("stream_leak_gate", f"WITH {SPLIT} SELECT CASE WHEN t.class = r.class THEN 'exact' ELSE 'cross_class_exact' END AS kind, t.class AS cls, t.path AS test_path, min(r.path) AS train_path, count(*) AS n_train, t.sha256 FROM samples t JOIN split r ON r.split = 'train' AND r.sha256 = t.sha256 WHERE t.sample_id % 5 = 0 GROUP BY t.class, r.class, t.path, t.sha256")
+@query("stream_leak_gate", f"WITH {SPLIT} SELECT CASE WHEN t.class = r.class THEN 'exact' ELSE 'cross_class_exact' END AS kind, t.class AS cls, t.path AS test_path, r.path AS train_path, t.sha256 FROM samples t JOIN split r ON r.split = 'train' AND r.sha256 = t.sha256 WHERE t.sample_id % 5 = 0")
 def stream_leak_gate(spark, d):
-    return gated(spark, d)[0]
+    """Every arriving copy with every training copy."""
+    return gated(spark, d, P.leak_pairs)[0]
 
 
-def gated(spark, d) -> tuple[DataFrame, DataFrame]:
+def gated(spark, d, gate=P.leak_gate) -> tuple[DataFrame, DataFrame]:
     """What the gate writes of the arriving rows, and the training rows."""
     docs = arriving_files(spark, d, "documents")
     name = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     arriving = docs.where("doc_id % 5 = 0").select(F.col("source").alias("class"), F.concat("source", F.lit("/"), name).alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     known = C.materialise(split_samples(spark, d).where("split = 'train'").select("sha256", "class", "path"))
-    hits = P.leak_gate(arriving, known)
+    hits = gate(arriving, known)
     out = _scratch(spark)
     P.run_available(hits, f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema(hits.schema).parquet(f"{out}/rows"), known
@@ -216,7 +217,7 @@ def gated(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query("stream_leak_members", f"WITH {SPLIT} SELECT class AS train_cls, path AS train_path, sha256 FROM split WHERE split = 'train' AND sha256 IN (SELECT sha256 FROM samples WHERE sample_id % 5 = 0)")
 def stream_leak_members(spark, d):
-    """The training rows behind the gate's numbers: with `stream_leak_gate` by digest and class, every arriving copy's every training copy."""
+    """The training rows that arriving copies have, from the folded form of the gate."""
     return P.leak_members(*gated(spark, d))
 
 

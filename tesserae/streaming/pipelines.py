@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tesserae.functions import scalar as S
+from tesserae.operators.store import materialise
+
+#: Training copies of a digest that one task has at once for an arriving copy.
+PAIRS = 256
 
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
@@ -29,6 +33,21 @@ def leak_gate(stream: DataFrame, train: DataFrame) -> DataFrame:
     return stream.join(known, "sha256").select(kind.alias("kind"), F.col("class").alias("cls"), F.col("path").alias("test_path"), "train_path", "n_train", "sha256")
 
 
+def leak_pairs(stream: DataFrame, train: DataFrame, block: int = PAIRS) -> DataFrame:
+    """Arriving rows (class, path, sha256) with every training row of their digest: one row a pair of copies.
+
+    Training rows of a digest with more than `block` of them are dealt out over parts, and an arriving copy meets them part by part.
+    """
+    known = train.where("sha256 <> ''").select("sha256", F.col("class").alias("train_cls"), F.col("path").alias("train_path"))
+    counts = known.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    hot = materialise(counts.select("sha256", F.ceil(F.col("n") / block).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = materialise(known.join(hot, "sha256", "left").withColumn("part", F.pmod(F.xxhash64("train_path"), parts)).drop("parts"))
+    each = stream.join(hot, "sha256", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    kind = F.when(F.col("class") == F.col("train_cls"), "exact").otherwise("cross_class_exact")
+    return each.join(dealt.hint("shuffle_merge"), ["sha256", "part"]).select(kind.alias("kind"), F.col("class").alias("cls"), F.col("path").alias("test_path"), "train_path", "sha256")
+
+
 def leak_members(hits: DataFrame, train: DataFrame) -> DataFrame:
     """The training rows (train_cls, train_path, sha256) that the written rows of the gate count."""
     known = train.select(F.col("class").alias("train_cls"), F.col("path").alias("train_path"), "sha256")

@@ -34,3 +34,28 @@ def test_regions_of_every_row(spark):
             want[key] = want.get(key, 0) + 1
     got = {(r.q, r.near_label): r.n for r in registry.QUERIES["region_occupancy"](spark, SF).collect()}
     assert got == want and sum(got.values()) == 20 * len(ids)
+
+
+def test_stream_gate_gives_every_pair_of_copies(spark, tmp_path):
+    from tesserae.plans.base import split_samples
+
+    texts = [(i, "common" if i % 2 else f"text {i // 6}", "en", None if i % 31 == 5 else f"s{i % 3}", 6) for i in range(900)]  # 450 copies of one text, in three sources
+    spark.createDataFrame([*texts, (900, None, "en", "s0", None)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    train = split_samples(spark, str(tmp_path)).where("split = 'train'").select("class", "path", "sha256").collect()
+    rows = split_samples(spark, str(tmp_path)).where("sample_id % 5 = 0").select("class", "path", "sha256").collect()
+    pairs = lambda found: sorted(found, key=str)
+    want = [("exact" if t["class"] is not None and t["class"] == r["class"] else "cross_class_exact", t["class"], t.path, r.path, t.sha256) for t in rows for r in train if t.sha256 is not None and t.sha256 == r.sha256]
+    got = registry.QUERIES["stream_leak_gate"](spark, str(tmp_path))
+    assert got.columns == ["kind", "cls", "test_path", "train_path", "sha256"]
+    assert pairs(map(tuple, got.collect())) == pairs(want) and len(want) > 30_000
+
+
+def test_pairs_of_a_digest_are_dealt_out(spark):
+    from tesserae.streaming import pipelines as P
+
+    train = spark.createDataFrame([("a", f"a/{i}", "x" if i < 90 else f"y{i}") for i in range(100)], "class string, path string, sha256 string")
+    rows = spark.createDataFrame([("b", "t/1", "x"), ("a", "t/2", "x"), ("a", "t/3", "y95"), ("a", "t/4", "z"), ("a", "t/5", None)], "class string, path string, sha256 string")
+    for block in (7, 89, 90, 1000):
+        found = P.leak_pairs(rows, train, block)
+        got = sorted((r.kind, r.test_path, r.train_path) for r in found.collect())
+        assert got == sorted([("cross_class_exact", "t/1", f"a/{i}") for i in range(90)] + [("exact", "t/2", f"a/{i}") for i in range(90)] + [("exact", "t/3", "a/95")])
