@@ -131,15 +131,18 @@ def _best(q: np.ndarray, qi: np.ndarray, ql: np.ndarray, least: np.ndarray, g: n
     for at in range(0, len(q), STRIP):
         rows = slice(at, at + STRIP)
         cos = q[rows] @ g.T
-        bad = qi[rows, None] == gi[None, :]
-        if scope != "any":
-            bad |= (ql[rows, None] == gl[None, :]) != (scope == "own")
-        cos[bad] = -np.inf
-        bound = least[rows, None]
-        hit = cos >= bound
-        if hit.sum() > 4 * k * len(cos) and cos.shape[1] > k:
+        hit = cos >= least[rows, None]
+        if np.count_nonzero(hit) > 4 * k * len(cos) and cos.shape[1] > k:
+            bad = qi[rows, None] == gi[None, :]
+            if scope != "any":
+                bad |= (ql[rows, None] == gl[None, :]) != (scope == "own")
+            cos[bad] = -np.inf
             hit &= cos >= np.partition(cos, -k, axis=1)[:, -k, None]
-        r, c = np.nonzero(hit & (cos > -np.inf))
+        r, c = np.divmod(np.flatnonzero(hit), cos.shape[1])
+        good = (qi[r + at] != gi[c]) & (cos[r, c] > -np.inf)
+        if scope != "any":
+            good &= (ql[r + at] == gl[c]) == (scope == "own")
+        r, c = r[good], c[good]
         out.append(_cut(r + at, c, cos[r, c], gi[c], k))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -165,13 +168,18 @@ def _compare(left: pa.Table, right: pa.Table, k: int, scope: str) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip((qi[r], gi[c], cos, ql[r], gl[c]), _KINDS, strict=True)], names=_NAMES)
 
 
-_ASKED = "qid array<long>, qlabel array<long>, reached array<double>, w array<double>"
-_HELD = "cell int, id array<long>, label array<long>, v array<double>"
+_ASKED = "qid binary, qlabel binary, reached binary, w binary"
+_HELD = "cell int, id binary, label binary, v binary"
 
 
 def _row(*columns: np.ndarray) -> list[pa.Array]:
-    """One row of lists."""
-    return [pa.ListArray.from_arrays(pa.array([0, c.size], pa.int32()), pa.array(np.ascontiguousarray(c).ravel())) for c in columns]
+    """One row, each array as its bytes: Spark copies them whole."""
+    return [pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns]
+
+
+def _array(b: pa.RecordBatch, name: str, kind: type = np.int64) -> np.ndarray:
+    """The array of a batch of one such row."""
+    return np.frombuffer(b.column(name)[0].as_buffer(), kind)
 
 
 def _all_pairs(again: DataFrame, index: Index, k: int, scope: str, spread: float, probes: int, block: int) -> DataFrame:
@@ -205,12 +213,11 @@ def _all_pairs(again: DataFrame, index: Index, k: int, scope: str, spread: float
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi = None
         for b in (x.slice(i, 1) for x in batches for i in range(x.num_rows)):
-            flat = {c: b.column(c).flatten().to_numpy() for c in ("qid", "id", "label", "v")}
-            if qi is None or not np.array_equal(qi, flat["qid"]):
+            if qi is None or not np.array_equal(qi, _array(b, "qid")):
                 if qi is not None:
                     yield done()
-                qi, ql, least = flat["qid"], *(b.column(c).flatten().to_numpy() for c in ("qlabel", "reached"))
-                q, least = b.column("w").flatten().to_numpy().reshape(len(qi), -1), least - 1e-12
+                qi, ql = _array(b, "qid"), _array(b, "qlabel")
+                q, least = _array(b, "w", float).reshape(len(qi), -1), _array(b, "reached", float) - 1e-12
                 wanted = np.concatenate([(of.bounds(q[i : i + STRIP], spread) >= least[i : i + STRIP, None] - 1e-9) & ~of.likely(q[i : i + STRIP], spread, probes) for i in range(0, len(qi), STRIP)])
                 have = tuple(np.empty(0, t) for t in (np.int64, np.int64, float, np.int64))  # row, id, cosine, label
 
@@ -221,10 +228,11 @@ def _all_pairs(again: DataFrame, index: Index, k: int, scope: str, spread: float
             asks = np.flatnonzero(wanted[:, b.column("cell")[0].as_py()])
             if not len(asks):
                 continue
-            r, c, cos = _best(q[asks], qi[asks], ql[asks], least[asks], flat["v"].reshape(len(flat["id"]), -1), flat["id"], flat["label"], k, scope)
+            ids, labels = _array(b, "id"), _array(b, "label")
+            r, c, cos = _best(q[asks], qi[asks], ql[asks], least[asks], _array(b, "v", float).reshape(len(ids), -1), ids, labels, k, scope)
             if not len(r):
                 continue
-            r, g, cos, label = (np.concatenate(x) for x in zip(have, (asks[r], flat["id"][c], cos, flat["label"][c]), strict=True))
+            r, g, cos, label = (np.concatenate(x) for x in zip(have, (asks[r], ids[c], cos, labels[c]), strict=True))
             r, at, cos = _cut(r, np.arange(len(r)), cos, g, k)
             have = (r, g[at], cos, label[at])
             last = np.flatnonzero(np.append(r[1:] != r[:-1], True))
